@@ -8,14 +8,23 @@ be replayed on validation, test or scoring data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass, field
+from itertools import combinations, combinations_with_replacement
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.functions.types import NUMERIC, kind_of
+from tessera.session import cut_lineage
 
 
-def _q(name: str):
+def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+# ---------------------------------------------------------------- P4 / E1 --
+
 def null_shares(df: DataFrame, columns: list[str] | None = None) -> dict[str, float]:
     """Share of nulls per column from one aggregation (all rows)."""
     cols = columns or df.columns
@@ -30,3 +39,479 @@ def drop_high_null_columns(df: DataFrame, threshold: float = 0.5,
     shares = null_shares(df)
     drop = [c for c, s in shares.items() if s > threshold and c not in protect]
     return df.drop(*drop)
+
+
+# ------------------------------------------------------------ W1 / W2 fill --
+
+def fill_along(df: DataFrame, columns: list[str], order_by: list[str],
+               keys: list[str] = (), backward: bool = False,
+               partitions: int | None = None) -> DataFrame:
+    """Forward (or backward) fill along ``order_by`` within ``keys``.
+
+    Skew-safe and without a single-partition window even when ``keys`` is
+    empty or one key holds a third of the rows:
+
+    1. range-partition on (keys, order) so a hot key is split over several
+       contiguous partitions, and tag rows with their partition id;
+    2. per (partition, key) take the last non-null value of every column
+       (one aggregation, one row per partition-key pair);
+    3. carry values into the next partitions with a window over that small
+       table; only the first key of a partition can continue from an
+       earlier partition, so at most one carry row per partition survives
+       and is broadcast (bounded by the partition count);
+    4. fill inside each (partition, key) group with an ordinary window and
+       fall back to the carried value.
+    """
+    keys = list(keys)
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order_cols = [F.col(f"`{o}`").desc_nulls_last() if backward else F.col(f"`{o}`").asc_nulls_first()
+                  for o in order_by]
+    key_cols = [_q(k) for k in keys]
+    # Range bounds are sampled per exchange, so the partition ids must be
+    # pinned before two branches read them: a reliable checkpoint into the
+    # shared folder (also cuts lineage, so a lost executor does not replay
+    # the sort).
+    ranged = cut_lineage(df.repartitionByRange(n, *key_cols, *order_cols)
+                         .withColumn("__pid", F.spark_partition_id()))
+    seq = F.struct(*[_q(o) for o in order_by])
+    pick = F.max if not backward else F.min
+    stats = ranged.groupBy("__pid", *key_cols).agg(
+        *[pick(F.when(_q(c).isNotNull(), F.struct(seq.alias("s"), _q(c).alias("v")))).alias(f"__l{i}")
+          for i, c in enumerate(columns)])
+    # partitions are numbered in processing order (the range sort already
+    # runs backwards for a backward fill)
+    wk = Window.partitionBy(*key_cols).orderBy("__pid")
+    prior = wk.rowsBetween(Window.unboundedPreceding, -1)
+    carry = stats.select("__pid", *key_cols, *[
+        F.last(F.col(f"__l{i}.v"), ignorenulls=True).over(prior).alias(f"__c{i}")
+        for i in range(len(columns))])
+    has_carry = F.lit(False)
+    for i in range(len(columns)):
+        has_carry = has_carry | F.col(f"__c{i}").isNotNull()
+    carry = carry.where(has_carry)
+    joined = ranged.join(F.broadcast(carry), ["__pid", *keys], "left")
+    wf = (Window.partitionBy("__pid", *key_cols).orderBy(*order_cols)
+          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = joined
+    for i, c in enumerate(columns):
+        out = out.withColumn(c, F.coalesce(F.last(_q(c), ignorenulls=True).over(wf), F.col(f"__c{i}")))
+    return out.select(*[_q(c) for c in df.columns])
+
+
+# -------------------------------------------------------- E1-E8 imputation --
+
+STRATEGIES = ("drop", "mean", "median", "mode", "forward_fill", "backward_fill", "constant")
+
+
+@dataclass
+class MissingReport:
+    changes: list[dict] = field(default_factory=list)
+    errors: list[str] = field(default_factory=list)
+
+
+def mode_value(df: DataFrame, column: str):
+    """Most frequent non-null value, ties to the smallest.
+
+    Grouped counts first (partial aggregation), then a TakeOrdered of one
+    row — no per-group value map is held in a single task.
+    """
+    r = (df.where(_q(column).isNotNull()).groupBy(_q(column).alias("v"))
+         .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc("v")).limit(1).first())
+    return None if r is None else r["v"]
+
+
+def handle_missing(df: DataFrame, strategy: dict[str, str], order_by: list[str] | None = None,
+                   keys: list[str] = ()) -> tuple[DataFrame, MissingReport]:
+    """Apply a per-column strategy map in order.
+
+    ``drop`` removes rows (later means see fewer rows); ``mean`` / ``median``
+    (numeric only) and ``mode`` come from aggregations over the table as it
+    is at that step; ``constant:VALUE`` (also ``unknown``) fills a typed
+    literal; fills along ``order_by`` (within ``keys``) use W1/W2.
+    """
+    from tessera.operators.dtypes import typed_constant
+    rep = MissingReport()
+    out = df
+    pending: dict[str, Column] = {}
+    items = list(strategy.items())
+
+    def flush():
+        nonlocal out, pending
+        if pending:
+            out = out.select(*[pending.get(c, _q(c)).alias(c) for c in out.columns])
+            pending = {}
+
+    # batch all mean/median statistics of a run without drops into one agg
+    i = 0
+    while i < len(items):
+        run = []
+        while i < len(items) and items[i][1] != "drop":
+            run.append(items[i])
+            i += 1
+        stat_cols = [(c, s) for c, s in run if s in ("mean", "median") and c in out.columns
+                     and kind_of(out.schema[c].dataType) == NUMERIC]
+        stats = {}
+        if stat_cols:
+            row = out.agg(*[(F.avg(_q(c)) if s == "mean" else F.percentile(_q(c), 0.5)).alias(f"s{j}")
+                            for j, (c, s) in enumerate(stat_cols)]).first()
+            stats = {c: row[f"s{j}"] for j, (c, _s) in enumerate(stat_cols)}
+        for c, s in run:
+            if c not in out.columns:
+                rep.errors.append(f"column not found: {c}")
+                continue
+            if s in ("mean", "median"):
+                if kind_of(out.schema[c].dataType) != NUMERIC:
+                    rep.errors.append(f"{s} needs a numeric column: {c}")
+                    continue
+                pending[c] = F.coalesce(_q(c), F.lit(stats[c]).cast(out.schema[c].dataType))
+            elif s == "mode":
+                v = mode_value(out, c)
+                pending[c] = F.coalesce(_q(c), F.lit(v).cast(out.schema[c].dataType))
+            elif s.startswith("constant:") or s == "unknown":
+                lit = typed_constant(out, c, s if s != "unknown" else "constant:unknown")
+                pending[c] = F.coalesce(_q(c), lit)
+            elif s in ("forward_fill", "backward_fill"):
+                if not order_by:
+                    rep.errors.append(f"{s} needs an explicit order: {c}")
+                    continue
+                flush()
+                out = fill_along(out, [c], order_by, keys, backward=(s == "backward_fill"))
+            else:
+                rep.errors.append(f"unknown strategy {s!r} for {c}")
+                continue
+            rep.changes.append({"column": c, "strategy": s})
+        flush()
+        if i < len(items):
+            c, s = items[i]
+            if c in out.columns:
+                out = out.dropna(subset=[c])
+                rep.changes.append({"column": c, "strategy": s})
+            else:
+                rep.errors.append(f"column not found: {c}")
+            i += 1
+    return out, rep
+
+
+def default_strategies(df: DataFrame, overrides: dict[str, str] | None = None,
+                       target: str | None = None) -> dict[str, str]:
+    """Numeric → median, other → mode, only for columns holding nulls;
+    ``overrides`` win."""
+    shares = null_shares(df)
+    plan = {}
+    for f in df.schema.fields:
+        if f.name == target or shares[f.name] == 0:
+            continue
+        plan[f.name] = "median" if kind_of(f.dataType) == NUMERIC else "mode"
+    plan.update(overrides or {})
+    return plan
+
+
+# --------------------------------------------------------- E9-E13 encoders --
+
+@dataclass
+class Encoder:
+    method: str
+    column: str
+    categories: list = field(default_factory=list)
+    means: dict | None = None
+    drop_first: bool = False
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        c = _q(self.column)
+        if self.method == "one_hot":
+            cats = self.categories[1:] if self.drop_first else self.categories
+            new = [F.when(c == F.lit(v), 1).otherwise(0).alias(f"{self.column}_{v}") for v in cats]
+            return df.select(*[_q(x) for x in df.columns if x != self.column], *new)
+        if self.method in ("label", "ordinal"):
+            m = F.create_map(*[e for i, v in enumerate(self.categories) for e in (F.lit(v), F.lit(i))])
+            if self.method == "label":
+                code = F.element_at(m, c.cast("string"))
+            else:
+                code = F.coalesce(F.element_at(m, F.coalesce(c.cast("string"), F.lit("nan"))), F.lit(-1))
+            return df.withColumn(self.column, code.cast("bigint"))
+        if self.method == "target":
+            m = F.create_map(*[e for k, v in self.means.items() for e in (F.lit(k), F.lit(v))])
+            return df.withColumn(self.column, F.element_at(m, c.cast("string")).cast("double"))
+        raise ValueError(self.method)
+
+
+def fit_encoder(df: DataFrame, column: str, method: str, target: str | None = None,
+                max_categories: int = 1000, drop_first: bool = False) -> Encoder:
+    """Learn the category list (text order) or the target means.
+
+    The distinct list is read through a TakeOrdered of ``max_categories``+1
+    rows and refused above it: one-hot width and map size stay bounded.
+    """
+    c = _q(column)
+    if method in ("one_hot", "label", "ordinal"):
+        src = c.cast("string")
+        if method == "ordinal":
+            src = F.coalesce(src, F.lit("nan"))
+        vals = (df.select(src.alias("v")).where(F.col("v").isNotNull()).distinct()
+                .orderBy("v").limit(max_categories + 1).collect())
+        if len(vals) > max_categories:
+            raise ValueError(f"{column} has more than {max_categories} categories")
+        return Encoder(method, column, [r["v"] for r in vals], drop_first=drop_first)
+    if method == "target":
+        if target is None or kind_of(df.schema[target].dataType) != NUMERIC:
+            raise ValueError("target encoding needs a numeric target")
+        rows = (df.where(c.isNotNull()).groupBy(c.cast("string").alias("v"))
+                .agg(F.avg(_q(target)).alias("m")).limit(max_categories + 1).collect())
+        if len(rows) > max_categories:
+            raise ValueError(f"{column} has more than {max_categories} categories")
+        return Encoder(method, column, means={r["v"]: r["m"] for r in rows})
+    raise ValueError(f"unknown encoding {method!r}")
+
+
+def target_encode_join(df: DataFrame, column: str, target: str) -> DataFrame:
+    """E12 for high-cardinality columns: per-category means joined back
+    (no driver round trip; AQE broadcasts the means when they are small)."""
+    means = df.groupBy(_q(column).alias("__k")).agg(F.avg(_q(target)).alias("__m"))
+    return (df.join(means, _q(column).eqNullSafe(F.col("__k")), "left")
+            .withColumn(column, F.when(_q(column).isNotNull(), F.col("__m")))
+            .drop("__k", "__m"))
+
+
+def auto_encoding(df: DataFrame, columns: list[str], overrides: dict[str, str] | None = None,
+                  target: str | None = None, one_hot_below: int = 10) -> dict[str, str]:
+    """One-hot under ``one_hot_below`` distinct values, else label;
+    overrides win; the target is never encoded.  One aggregation."""
+    cols = [c for c in columns if c != target]
+    if not cols:
+        return {}
+    row = df.agg(*[F.count_distinct(_q(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    plan = {c: ("one_hot" if row[f"d{i}"] < one_hot_below else "label") for i, c in enumerate(cols)}
+    plan.update({k: v for k, v in (overrides or {}).items() if k != target})
+    return plan
+
+
+# ---------------------------------------------------------- E14-E17 scalers --
+
+@dataclass
+class Scaler:
+    method: str
+    params: dict
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        exprs = {}
+        for c, p in self.params.items():
+            x = _q(c).cast("double")
+            if self.method == "standard":
+                exprs[c] = (x - F.lit(p[0])) / F.lit(p[1] if p[1] else 1.0)
+            elif self.method == "minmax":
+                rng = p[1] - p[0]
+                exprs[c] = (x - F.lit(p[0])) / F.lit(rng) if rng else F.when(x.isNotNull(), F.lit(0.0))
+            elif self.method == "robust":
+                iqr = p[2] - p[0]
+                exprs[c] = (x - F.lit(p[1])) / F.lit(iqr if iqr else 1.0)
+            elif self.method == "log":
+                shift = abs(p[0]) + 1 if p[0] is not None and p[0] <= 0 else 0.0
+                exprs[c] = F.log1p(x + F.lit(shift))
+        return df.select(*[exprs[c].alias(c) if c in exprs else _q(c) for c in df.columns])
+
+
+def fit_scaler(df: DataFrame, columns: list[str], method: str) -> Scaler:
+    """E14 standard (population deviation, 0 → 1), E15 min-max (constant → 0),
+    E16 robust (exact interpolated quartiles), E17 log (shift by |min|+1
+    when min ≤ 0).  One aggregation for all columns; non-numeric skipped."""
+    cols = [c for c in columns if c in df.columns and kind_of(df.schema[c].dataType) == NUMERIC]
+    if not cols:
+        return Scaler(method, {})
+    aggs = []
+    for i, c in enumerate(cols):
+        x = _q(c).cast("double")
+        if method == "standard":
+            aggs += [F.avg(x).alias(f"a{i}"), F.stddev_pop(x).alias(f"b{i}")]
+        elif method == "minmax":
+            aggs += [F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")]
+        elif method == "robust":
+            aggs += [F.percentile(x, [0.25, 0.5, 0.75]).alias(f"a{i}")]
+        elif method == "log":
+            aggs += [F.min(x).alias(f"a{i}")]
+        else:
+            raise ValueError(f"unknown scaling {method!r}")
+    r = df.agg(*aggs).first()
+    params = {}
+    for i, c in enumerate(cols):
+        if method in ("standard", "minmax"):
+            params[c] = (r[f"a{i}"], r[f"b{i}"])
+        elif method == "robust":
+            params[c] = tuple(r[f"a{i}"] or (0.0, 0.0, 0.0))
+        else:
+            params[c] = (r[f"a{i}"],)
+    return Scaler(method, params)
+
+
+# ------------------------------------------------------- E19-E21 features --
+
+def polynomial_features(df: DataFrame, columns: list[str], degree: int = 2,
+                        interaction_only: bool = False) -> DataFrame:
+    """Append every new term of degree 2..d (nulls as 0), named
+    ``a^2``, ``a b``, ``a^2 b``; ``interaction_only`` keeps products of
+    distinct columns.  Unknown or non-numeric columns raise."""
+    bad = [c for c in columns if c not in df.columns or kind_of(df.schema[c].dataType) != NUMERIC]
+    if bad:
+        raise ValueError(f"not numeric or missing: {', '.join(bad)}")
+    new = []
+    for d in range(2, degree + 1):
+        combos = combinations(columns, d) if interaction_only else combinations_with_replacement(columns, d)
+        for combo in combos:
+            expr = None
+            for c in combo:
+                v = F.coalesce(_q(c).cast("double"), F.lit(0.0))
+                expr = v if expr is None else expr * v
+            parts = []
+            for c in dict.fromkeys(combo):
+                k = combo.count(c)
+                parts.append(c if k == 1 else f"{c}^{k}")
+            new.append(expr.alias(" ".join(parts)))
+    return df.select("*", *new)
+
+
+def interaction_features(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """``a_x_b`` = a · b with nulls as 0."""
+    bad = [c for p in pairs for c in p
+           if c not in df.columns or kind_of(df.schema[c].dataType) != NUMERIC]
+    if bad:
+        raise ValueError(f"not numeric or missing: {', '.join(sorted(set(bad)))}")
+    return df.select("*", *[(F.coalesce(_q(a).cast("double"), F.lit(0.0)) *
+                             F.coalesce(_q(b).cast("double"), F.lit(0.0))).alias(f"{a}_x_{b}")
+                            for a, b in pairs])
+
+
+def feature_chain(df: DataFrame, target: str | None = None, poly_columns: list[str] | None = None,
+                  degree: int = 2, pairs: list[tuple[str, str]] | None = None,
+                  scale: str = "standard") -> DataFrame:
+    """Polynomial terms (given columns or the first five numeric ones),
+    then interactions, then scaling of the ORIGINAL numeric columns."""
+    num = [f.name for f in df.schema.fields if kind_of(f.dataType) == NUMERIC and f.name != target]
+    poly = poly_columns or num[:5]
+    out = polynomial_features(df, poly, degree) if poly else df
+    if pairs:
+        out = interaction_features(out, pairs)
+    return fit_scaler(out, num, scale).transform(out) if scale else out
+
+
+# ----------------------------------------------------- E22 declared steps --
+
+@dataclass
+class Step:
+    kind: str            # impute | encode | scale
+    columns: list[str]
+    method: str
+
+
+class StepChain:
+    """A declared list of impute / encode / scale steps fitted in order
+    and replayable on other data (validation, test, scoring)."""
+
+    def __init__(self, steps: list[Step], order_by: list[str] | None = None):
+        self.steps = steps
+        self.order_by = order_by
+        self.fitted: list = []
+
+    def fit(self, df: DataFrame) -> "StepChain":
+        self.fitted = []
+        cur = df
+        for s in self.steps:
+            if s.kind == "impute":
+                plan = {c: s.method for c in s.columns}
+                fills = {}
+                for c in s.columns:
+                    if s.method == "mean":
+                        fills[c] = cur.agg(F.avg(_q(c))).first()[0]
+                    elif s.method == "median":
+                        fills[c] = cur.agg(F.percentile(_q(c), 0.5)).first()[0]
+                    elif s.method == "mode":
+                        fills[c] = mode_value(cur, c)
+                    elif s.method.startswith("constant:"):
+                        fills[c] = s.method.split(":", 1)[1]
+                    else:
+                        raise ValueError(f"step chain cannot replay {s.method!r}")
+                self.fitted.append(("impute", fills))
+                cur = self._impute(cur, fills)
+                del plan
+            elif s.kind == "encode":
+                encs = [fit_encoder(cur, c, s.method) for c in s.columns]
+                self.fitted.append(("encode", encs))
+                for e in encs:
+                    cur = e.transform(cur)
+            elif s.kind == "scale":
+                sc = fit_scaler(cur, s.columns, s.method)
+                self.fitted.append(("scale", sc))
+                cur = sc.transform(cur)
+            else:
+                raise ValueError(f"unknown step kind {s.kind!r}")
+        return self
+
+    @staticmethod
+    def _impute(df: DataFrame, fills: dict) -> DataFrame:
+        return df.select(*[F.coalesce(_q(c), F.lit(fills[c]).cast(df.schema[c].dataType)).alias(c)
+                           if c in fills else _q(c) for c in df.columns])
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        cur = df
+        for kind, obj in self.fitted:
+            if kind == "impute":
+                cur = self._impute(cur, obj)
+            elif kind == "encode":
+                for e in obj:
+                    cur = e.transform(cur)
+            else:
+                cur = obj.transform(cur)
+        return cur
+
+
+# ---------------------------------------------------- E23 model matrix --
+
+@dataclass
+class ModelMatrix:
+    """One shared fitted transformer for training and scoring —
+    text features one-hot with the first level dropped, numeric features
+    median-filled, a text target label-encoded."""
+    target: str
+    numeric: list[str]
+    medians: dict
+    encoders: list[Encoder]
+    target_encoder: Encoder | None
+
+    @property
+    def feature_names(self) -> list[str]:
+        names = list(self.numeric)
+        for e in self.encoders:
+            names += [f"{e.column}_{v}" for v in e.categories[1:]]
+        return names
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        cur = df
+        for c in self.numeric:
+            if c not in cur.columns:          # P7: absent feature → 0
+                cur = cur.withColumn(c, F.lit(0.0))
+        cur = cur.select(*[F.coalesce(_q(c).cast("double"), F.lit(self.medians.get(c) or 0.0)).alias(c)
+                           if c in self.numeric else _q(c) for c in cur.columns])
+        for e in self.encoders:
+            if e.column not in cur.columns:
+                cur = cur.withColumn(e.column, F.lit(None).cast("string"))
+            cur = e.transform(cur)
+        if self.target_encoder is not None and self.target in cur.columns:
+            cur = self.target_encoder.transform(cur)
+        keep = self.feature_names + ([self.target] if self.target in cur.columns else [])
+        return cur.select(*[_q(c).cast("double").alias(c) if c in self.feature_names else _q(c)
+                            for c in keep])
+
+
+def fit_model_matrix(df: DataFrame, target: str, features: list[str] | None = None,
+                     max_categories: int = 100) -> ModelMatrix:
+    feats = [c for c in (features or df.columns) if c != target and c in df.columns]
+    num = [c for c in feats if kind_of(df.schema[c].dataType) == NUMERIC]
+    txt = [c for c in feats if kind_of(df.schema[c].dataType) == "string"]
+    medians = {}
+    if num:
+        r = df.agg(*[F.percentile(_q(c).cast("double"), 0.5).alias(f"m{i}") for i, c in enumerate(num)]).first()
+        medians = {c: r[f"m{i}"] for i, c in enumerate(num)}
+    encs = [fit_encoder(df, c, "one_hot", max_categories=max_categories, drop_first=True) for c in txt]
+    tenc = None
+    if kind_of(df.schema[target].dataType) != NUMERIC:
+        tenc = fit_encoder(df, target, "label", max_categories=max_categories)
+    return ModelMatrix(target, num, medians, encs, tenc)

@@ -1,4 +1,4 @@
 """Named queries over the driver's tables (one module per operator family)."""
 
-from tessera.plans import q_ingest, q_merge  # noqa: F401  (registration side effects)
+from tessera.plans import q_ingest, q_merge, q_explore, q_prepare  # noqa: F401  (registration)
 from tessera.plans.registry import HEADLINE, ORACLES, QUERIES  # noqa: F401
