@@ -78,10 +78,10 @@ def spearman(spark, d):
 @query("anova", """
 WITH g AS (SELECT l_returnflag, count(*) AS n, avg(l_extendedprice) AS m, var_samp(l_extendedprice) AS v
            FROM lineitem WHERE l_extendedprice IS NOT NULL AND l_returnflag IS NOT NULL GROUP BY 1),
-t AS (SELECT sum(n) AS N, sum(n * m) / sum(n) AS gm, count(*) AS k FROM g),
-s AS (SELECT N, k, sum(n * (m - gm) * (m - gm)) AS ssb, sum((n - 1) * v) AS ssw FROM g, t GROUP BY N, k)
-SELECT 'anova' AS test_type, round((ssb / (k - 1)) / (ssw / (N - k)), 6) AS statistic,
-       CAST(k - 1 AS DOUBLE) AS dof, CAST(N AS BIGINT) AS n FROM s""")
+t AS (SELECT sum(n) AS n_total, sum(n * m) / sum(n) AS gm, count(*) AS k FROM g),
+s AS (SELECT n_total, k, sum(n * (m - gm) * (m - gm)) AS ssb, sum((n - 1) * v) AS ssw FROM g, t GROUP BY n_total, k)
+SELECT 'anova' AS test_type, round((ssb / (k - 1)) / (ssw / (n_total - k)), 6) AS statistic,
+       CAST(k - 1 AS DOUBLE) AS dof, CAST(n_total AS BIGINT) AS n FROM s""")
 def anova(spark, d):
     """H5: one-way ANOVA of price across the three return flags."""
     return _core(st.anova_stats(load(spark, d, "lineitem"), "l_extendedprice", "l_returnflag"))
