@@ -1,12 +1,19 @@
-"""Global running totals without a single-partition window.
+"""Running totals without a single-partition or single-key window.
 
 A window with ``orderBy`` and no ``partitionBy`` moves every row into one
-task.  Instead: range-partition on the order, pin the partitioning with a
-reliable checkpoint, total each partition (one row per partition), turn the
-totals into offsets with a window over that tiny table, broadcast the
-offsets (bounded by the partition count) and finish with per-partition
-windows.  Callers first reduce to distinct order values where possible
-(distinct dates, distinct scores), so the checkpoint holds a reduced table.
+task, and a window partitioned by a key that holds a third of the rows
+moves that third into one task.  Instead:
+
+1. range-partition on (keys, order) — a hot key spreads over several
+   contiguous partitions — and pin the partitioning with a reliable
+   checkpoint into the shared folder (range bounds are sampled per
+   exchange, so two branches must read the same materialised ids);
+2. total each (partition, key) — one row per pair;
+3. turn the totals into offsets with a window over that small table; only
+   the first key of a partition can continue from an earlier partition, so
+   at most one non-zero offset row per partition remains and is broadcast
+   (bounded by the partition count);
+4. finish with ordinary per-(partition, key) running windows plus offset.
 """
 
 from __future__ import annotations
@@ -17,24 +24,41 @@ from pyspark.sql import functions as F
 from tessera.session import cut_lineage
 
 
-def running_sum(df: DataFrame, order_by: list[Column], values: list[str],
+def _q(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
+def running_sum(df: DataFrame, order_by: list[Column], values: list[str], keys: list[str] = (),
                 prefix: str = "cum_", partitions: int | None = None) -> DataFrame:
-    """Adds ``cum_<v>`` = sum of ``v`` over all rows up to and including the
-    current one in the global ``order_by`` order (which must be total)."""
+    """Adds ``cum_<v>`` = sum of ``v`` over the rows of the same key up to
+    and including the current one in ``order_by`` order (a total order)."""
+    keys = list(keys)
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut_lineage(df.repartitionByRange(n, *order_by).withColumn("__pid", F.spark_partition_id()))
-    totals = ranged.groupBy("__pid").agg(*[F.sum(v).alias(f"__t{i}") for i, v in enumerate(values)])
-    prior = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)  # over ≤ n rows
-    offsets = totals.select("__pid", *[F.coalesce(F.sum(f"__t{i}").over(prior), F.lit(0)).alias(f"__o{i}")
-                                       for i in range(len(values))])
-    w = Window.partitionBy("__pid").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = ranged.join(F.broadcast(offsets), "__pid")
+    kc = [_q(k) for k in keys]
+    ranged = cut_lineage(df.repartitionByRange(n, *kc, *order_by).withColumn("__pid", F.spark_partition_id()))
+    totals = ranged.groupBy("__pid", *kc).agg(*[F.sum(_q(v)).alias(f"__t{i}") for i, v in enumerate(values)])
+    prior = Window.partitionBy(*kc).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__pid", *kc, *[F.coalesce(F.sum(f"__t{i}").over(prior), F.lit(0)).alias(f"__o{i}")
+                                            for i in range(len(values))])
+    nonzero = F.lit(False)
+    for i in range(len(values)):
+        nonzero = nonzero | (F.col(f"__o{i}") != 0)
+    offsets = offsets.where(nonzero)
+    w = (Window.partitionBy("__pid", *kc).orderBy(*order_by)
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = ranged.join(F.broadcast(offsets), ["__pid", *keys], "left")
     for i, v in enumerate(values):
-        out = out.withColumn(f"{prefix}{v}", F.col(f"__o{i}") + F.sum(v).over(w))
+        out = out.withColumn(f"{prefix}{v}", F.coalesce(F.col(f"__o{i}"), F.lit(0)) + F.sum(_q(v)).over(w))
     return out.drop("__pid", *[f"__o{i}" for i in range(len(values))])
 
 
+def row_numbers(df: DataFrame, order_by: list[Column], keys: list[str] = (), name: str = "row_number") -> DataFrame:
+    """1-based position within each key by a total order, skew-safe."""
+    out = running_sum(df.withColumn("__one", F.lit(1)), order_by, ["__one"], keys)
+    return out.withColumnRenamed("cum___one", name).drop("__one")
+
+
 def average_ranks(df: DataFrame, column: str, name: str = "rank") -> DataFrame:
     """Average rank (ties share the mean of their positions), 1-based.
 
