@@ -483,7 +483,9 @@ class ModelMatrix:
             names += [f"{e.column}_{v}" for v in e.categories[1:]]
         return names
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def transform(self, df: DataFrame, keep: list[str] = ()) -> DataFrame:
+        """Aligned model matrix (P7: absent features → 0, extras dropped,
+        order fixed) plus the target and any ``keep`` columns."""
         cur = df
         for c in self.numeric:
             if c not in cur.columns:          # P7: absent feature → 0
@@ -496,9 +498,10 @@ class ModelMatrix:
             cur = e.transform(cur)
         if self.target_encoder is not None and self.target in cur.columns:
             cur = self.target_encoder.transform(cur)
-        keep = self.feature_names + ([self.target] if self.target in cur.columns else [])
+        cols = (self.feature_names + ([self.target] if self.target in cur.columns else [])
+                + [k for k in keep if k in cur.columns])
         return cur.select(*[_q(c).cast("double").alias(c) if c in self.feature_names else _q(c)
-                            for c in keep])
+                            for c in cols])
 
 
 def fit_model_matrix(df: DataFrame, target: str, features: list[str] | None = None,
