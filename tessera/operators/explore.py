@@ -146,10 +146,11 @@ def box_stats(df: DataFrame, column: str, group_by: str | None = None) -> DataFr
     x = _q(column).cast("double")
     g = [_q(group_by).alias("group")] if group_by else [F.lit("all").alias("group")]
     data = df.select(*g, x.alias("x")).where(F.col("x").isNotNull() & F.col("group").isNotNull())
-    q = data.groupBy("group").agg(
-        F.percentile("x", [0.25, 0.5, 0.75]).alias("qs"), F.count(F.lit(1)).alias("n"))
-    q = q.select("group", "n", F.col("qs")[0].alias("q1"), F.col("qs")[1].alias("median"),
-                 F.col("qs")[2].alias("q3"))
+    from tessera.operators.quantiles import quantiles_long
+    qs = quantiles_long(data, ["group"], "x", [0.25, 0.5, 0.75])
+    n = data.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    q = qs.join(n, "group").select("group", "n", F.col("q0").alias("q1"), F.col("q1").alias("median"),
+                                   F.col("q2").alias("q3"))
     j = data.join(q, "group")
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))

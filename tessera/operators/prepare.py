@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.types import NUMERIC, kind_of
+from tessera.operators.quantiles import column_quantiles
 from tessera.session import cut_lineage
 
 
@@ -152,10 +153,13 @@ def handle_missing(df: DataFrame, strategy: dict[str, str], order_by: list[str]
         stat_cols = [(c, s) for c, s in run if s in ("mean", "median") and c in out.columns
                      and kind_of(out.schema[c].dataType) == NUMERIC]
         stats = {}
-        if stat_cols:
-            row = out.agg(*[(F.avg(_q(c)) if s == "mean" else F.percentile(_q(c), 0.5)).alias(f"s{j}")
-                            for j, (c, s) in enumerate(stat_cols)]).first()
-            stats = {c: row[f"s{j}"] for j, (c, _s) in enumerate(stat_cols)}
+        means = [c for c, s in stat_cols if s == "mean"]
+        medians = [c for c, s in stat_cols if s == "median"]
+        if means:
+            row = out.agg(*[F.avg(_q(c)).alias(f"s{j}") for j, c in enumerate(means)]).first()
+            stats.update({c: row[f"s{j}"] for j, c in enumerate(means)})
+        if medians:
+            stats.update({c: v[0] for c, v in column_quantiles(out, medians, [0.5]).items()})
         for c, s in run:
             if c not in out.columns:
                 rep.errors.append(f"column not found: {c}")
@@ -318,6 +322,9 @@ def fit_scaler(df: DataFrame, columns: list[str], method: str) -> Scaler:
     cols = [c for c in columns if c in df.columns and kind_of(df.schema[c].dataType) == NUMERIC]
     if not cols:
         return Scaler(method, {})
+    if method == "robust":
+        q = column_quantiles(df, cols, [0.25, 0.5, 0.75])
+        return Scaler(method, {c: tuple(v if v[0] is not None else (0.0, 0.0, 0.0)) for c, v in q.items()})
     aggs = []
     for i, c in enumerate(cols):
         x = _q(c).cast("double")
@@ -325,8 +332,6 @@ def fit_scaler(df: DataFrame, columns: list[str], method: str) -> Scaler:
             aggs += [F.avg(x).alias(f"a{i}"), F.stddev_pop(x).alias(f"b{i}")]
         elif method == "minmax":
             aggs += [F.min(x).alias(f"a{i}"), F.max(x).alias(f"b{i}")]
-        elif method == "robust":
-            aggs += [F.percentile(x, [0.25, 0.5, 0.75]).alias(f"a{i}")]
         elif method == "log":
             aggs += [F.min(x).alias(f"a{i}")]
         else:
@@ -336,8 +341,6 @@ def fit_scaler(df: DataFrame, columns: list[str], method: str) -> Scaler:
     for i, c in enumerate(cols):
         if method in ("standard", "minmax"):
             params[c] = (r[f"a{i}"], r[f"b{i}"])
-        elif method == "robust":
-            params[c] = tuple(r[f"a{i}"] or (0.0, 0.0, 0.0))
         else:
             params[c] = (r[f"a{i}"],)
     return Scaler(method, params)
@@ -422,7 +425,7 @@ class StepChain:
                     if s.method == "mean":
                         fills[c] = cur.agg(F.avg(_q(c))).first()[0]
                     elif s.method == "median":
-                        fills[c] = cur.agg(F.percentile(_q(c), 0.5)).first()[0]
+                        fills[c] = column_quantiles(cur, [c], [0.5])[c][0]
                     elif s.method == "mode":
                         fills[c] = mode_value(cur, c)
                     elif s.method.startswith("constant:"):
@@ -509,10 +512,7 @@ def fit_model_matrix(df: DataFrame, target: str, features: list[str] | None = No
     feats = [c for c in (features or df.columns) if c != target and c in df.columns]
     num = [c for c in feats if kind_of(df.schema[c].dataType) == NUMERIC]
     txt = [c for c in feats if kind_of(df.schema[c].dataType) == "string"]
-    medians = {}
-    if num:
-        r = df.agg(*[F.percentile(_q(c).cast("double"), 0.5).alias(f"m{i}") for i, c in enumerate(num)]).first()
-        medians = {c: r[f"m{i}"] for i, c in enumerate(num)}
+    medians = {c: v[0] for c, v in column_quantiles(df, num, [0.5]).items()}
     encs = [fit_encoder(df, c, "one_hot", max_categories=max_categories, drop_first=True) for c in txt]
     tenc = None
     if kind_of(df.schema[target].dataType) != NUMERIC:

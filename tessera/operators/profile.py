@@ -190,11 +190,11 @@ def quality_flags(df: DataFrame, high_null_pct: float = 30.0) -> DataFrame:
     if num:
         # Fit: quartiles of every numeric column in one aggregation; only
         # 2·k numbers reach the driver.
-        q = df.agg(*[F.percentile(_q(c).cast("double"), [0.25, 0.75]).alias(f"q{i}")
-                     for i, c in enumerate(num)]).first()
+        from tessera.operators.quantiles import column_quantiles
+        q = column_quantiles(df, num, [0.25, 0.75])
         bounds = []
-        for i in range(len(num)):
-            q1, q3 = (q[f"q{i}"] or [None, None])
+        for c in num:
+            q1, q3 = q[c]
             bounds.append((None, None) if q1 is None else (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)))
         outs = df.agg(*[F.sum(F.when((_q(c) < F.lit(lo)) | (_q(c) > F.lit(hi)), 1).otherwise(0))
                         .cast("bigint").alias(f"__o{i}")
