@@ -274,10 +274,18 @@ def key_uniqueness(df: DataFrame, key: str) -> DataFrame:
 
 
 def duplicate_flags(df: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
-    """Flag every row after the first of its key (by ``order_by``)."""
-    from pyspark.sql import Window
-    w = Window.partitionBy(*[_q(k) for k in keys]).orderBy(*order_by)
-    return df.withColumn("is_duplicate", F.row_number().over(w) > 1)
+    """Flag every row after the first of its key (by ``order_by``).
+
+    The first row of a key is its ``min`` by the order — a grouped
+    aggregation (partial per partition, so a key holding a third of the
+    rows is reduced before the shuffle) joined back on the key, instead of
+    a window that would sort the whole hot key in one task."""
+    order = F.struct(*[_q(o) for o in order_by])
+    first = df.groupBy(*[_q(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.min(order).alias("__first"))
+    cond = reduce(lambda a, b: a & b, [_q(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    j = df.join(first, cond, "left")
+    return j.withColumn("is_duplicate", order != F.col("__first")).drop(
+        "__first", *[f"__k{i}" for i in range(len(keys))])
 
 
 def lookup_statistic(df: DataFrame, category: str, value: str, stat: str = "mean",

@@ -204,7 +204,7 @@ def fit_model(train: DataFrame, matrix: ModelMatrix, model_type: str, task: str,
             ev_ = (MulticlassClassificationEvaluator(metricName="f1") if task == "classification"
                    else RegressionEvaluator(metricName="r2"))
             cv = CrossValidator(estimator=est, estimatorParamMaps=param_grid(est, model_type), evaluator=ev_,
-                                numFolds=folds, seed=SEED, parallelism=2)
+                                numFolds=folds, seed=SEED, parallelism=4)
             model = Pipeline(stages=[asm, cv]).fit(prepared)
             best = model.stages[1].bestModel
             return PipelineModel(stages=[model.stages[0], best])

@@ -326,3 +326,30 @@ def null_report_events(spark, d):
     """S1 normalisation check: injected nulls are counted as nulls."""
     p = prof.profile(_events_with_nulls(spark, d).select("value"))
     return p.select("column_name", "null_count")
+
+
+@query("suggest_names", """
+SELECT 'o_orderkey_id' AS "column", 'bigint' AS current_dtype, 'string' AS suggested_dtype,
+       'column ''o_orderkey_id'' appears to be an identifier, not a number' AS reason
+UNION ALL SELECT 'ship_date_text', 'string', 'datetime',
+       'column ''ship_date_text'' appears to contain dates but is stored as string'
+UNION ALL SELECT 'is_returned', 'double', 'boolean',
+       'column ''is_returned'' holds only whole values and looks like a flag'""")
+def suggest_names(spark, d):
+    """Name + sample hints over the profile (A1 + A2) of derived columns."""
+    li = load(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey_id"),
+        F.date_format("l_shipdate", "yyyy-MM-dd").alias("ship_date_text"),
+        F.when(F.col("l_returnflag") == "R", 1.0).otherwise(0.0).alias("is_returned"),
+        "l_extendedprice")
+    return dty.suggest_from_names(prof.profile_with_samples(li))
+
+
+@query("detect_date")
+def detect_date(spark, d):
+    """The date column used by a temporal split (first timestamp column,
+    else a date-named text column whose first values parse)."""
+    li = load(spark, d, "lineitem").select(
+        "l_orderkey", F.date_format("l_shipdate", "MM/dd/yyyy").alias("ship_date"), "l_quantity")
+    found = dty.detect_date_column(li)
+    return li.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(found).alias("date_column"), "n_rows")

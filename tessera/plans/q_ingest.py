@@ -176,3 +176,38 @@ def drop_high_null(spark, d):
         F.when(F.col("event_id") % 4 == 0, F.lit(None)).otherwise(F.col("props")).alias("props"))
     kept = drop_high_null_columns(ev, threshold=0.5)
     return kept.dropna(subset=["value"])
+
+
+@query("select_numeric", """
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax
+FROM lineitem""")
+def select_numeric(spark, d):
+    """Project the numeric columns of a table (schema only, pruned scan)."""
+    from tessera.functions.types import NUMERIC, select_kind
+    return select_kind(load(spark, d, "lineitem"), NUMERIC)
+
+
+@query("project_features", """
+SELECT o_totalprice, o_orderpriority, o_orderstatus FROM orders""")
+def project_features(spark, d):
+    """A chosen feature list matched case-insensitively, absent names
+    and identifier-like names ignored, the target kept last."""
+    from tessera.functions.types import project_features as pf
+    return pf(load(spark, d, "orders"), ["O_TOTALPRICE", "o_orderpriority", "no_such_column", "id"],
+              target="o_orderstatus")
+
+
+@query("long_export", """
+WITH m AS (SELECT l_returnflag AS k, count(*) AS n_rows, round(avg(l_extendedprice), 6) AS mean_price
+           FROM lineitem GROUP BY 1),
+p AS (SELECT o_orderpriority AS k, count(*) AS n_rows FROM orders GROUP BY 1)
+SELECT 'lineitem_by_flag' AS section, k || '.n_rows' AS key, CAST(n_rows AS VARCHAR) AS value FROM m
+UNION ALL SELECT 'lineitem_by_flag', k || '.mean_price', CAST(mean_price AS VARCHAR) FROM m
+UNION ALL SELECT 'orders_by_priority', k || '.n_rows', CAST(n_rows AS VARCHAR) FROM p""")
+def long_export(spark, d):
+    """Result tables unioned into (section, key, value) text rows."""
+    li = load(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("k")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("l_extendedprice"), 6).alias("mean_price"))
+    od = load(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("k")).agg(
+        F.count(F.lit(1)).alias("n_rows"))
+    return src.long_form({"lineitem_by_flag": li, "orders_by_priority": od}, "k")

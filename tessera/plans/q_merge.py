@@ -186,3 +186,13 @@ def flagship_merge_profile(spark, d):
     best = mg.choose_plans(mg.detect_keys({"orders": o, "customer": c}), 0).first()
     joined = mg.merge(o, c, best["left_key"], best["right_key"], best["merge_type"])
     return prof.profile(joined).select("position", "column_name", "null_count", "unique_count")
+
+
+@query("duplicate_flags", """
+SELECT l_orderkey, l_linenumber, l_partkey,
+       row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) > 1 AS is_duplicate
+FROM lineitem""")
+def duplicate_flags(spark, d):
+    """Every line after the first of its part is a duplicate of the key."""
+    li = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return mg.duplicate_flags(li, ["l_partkey"], ["l_orderkey", "l_linenumber"])

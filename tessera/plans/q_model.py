@@ -142,3 +142,13 @@ def model_card(spark, d):
     res, models = md.train_compare(data, "quality", ["doc_id"], ["logistic_regression"], FEATURES,
                                    split_col="split")
     return md.model_card(models["logistic_regression"], res, data, "quality")
+
+
+@query("search_train")
+def search_train(spark, d):
+    """Randomised search (≤ 10 sampled maps × 3 folds, CrossValidator)
+    for logistic regression and a forest, metrics on three splits."""
+    data = md.split_random(doc_features(spark, d), "quality", ["doc_id"])
+    res, _ = md.train_compare(data, "quality", ["doc_id"], ["logistic_regression", "random_forest"], FEATURES,
+                              search=True, split_col="split")
+    return res

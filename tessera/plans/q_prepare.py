@@ -229,3 +229,21 @@ def model_matrix(spark, d):
     j = merge(o, c, "o_custkey", "c_custkey", "left").drop("c_custkey")
     mm = pp.fit_model_matrix(j, "o_orderstatus", ["o_totalprice", "o_orderpriority", "c_acctbal", "c_mktsegment"])
     return mm.transform(j)
+
+
+@query("encode_auto", """
+SELECT o_orderkey,
+  CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS o_orderstatus_F,
+  CASE WHEN o_orderstatus = 'O' THEN 1 ELSE 0 END AS o_orderstatus_O,
+  CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS o_orderstatus_P,
+  CAST(dense_rank() OVER (ORDER BY o_clerkish) - 1 AS BIGINT) AS o_clerkish
+FROM (SELECT o_orderkey, o_orderstatus, 'clerk-' || CAST(o_custkey % 40 AS VARCHAR) AS o_clerkish FROM orders)""")
+def encode_auto(spark, d):
+    """Automatic choice — one-hot under 10 distinct values, label above."""
+    o = load(spark, d, "orders").select(
+        "o_orderkey", "o_orderstatus",
+        F.concat(F.lit("clerk-"), (F.col("o_custkey") % 40).cast("string")).alias("o_clerkish"))
+    plan = pp.auto_encoding(o, ["o_orderstatus", "o_clerkish"])
+    for col, method in plan.items():
+        o = pp.fit_encoder(o, col, method).transform(o)
+    return o
