@@ -79,9 +79,33 @@ def merge_chain(base: DataFrame, steps: list[tuple[DataFrame, object, object, st
     return reduce(lambda acc, s: merge(acc, s[0], s[1], s[2], s[3], null_keys_match), steps, base)
 
 
-def _key_counts(df: DataFrame, keys: list[str], tag: str) -> DataFrame:
-    return df.groupBy(*[_q(k).alias(f"k{i}") for i, k in enumerate(keys)]).agg(
-        F.count(F.lit(1)).alias(tag))
+def _null_safe_parts(df: DataFrame, keys: list[str], types: list[T.DataType]) -> list:
+    """(value-or-default, is-null) per key: the form Catalyst uses for ``<=>``
+    join keys.  Grouping on exactly these expressions makes the aggregate's
+    output partitioning satisfy the join, so the grouped counts are not
+    shuffled a second time."""
+    parts = []
+    for i, (k, t) in enumerate(zip(keys, types)):
+        default = F.lit("") if isinstance(t, T.StringType) else F.lit(0).cast(t)
+        parts += [F.coalesce(_q(k).cast(t), default).alias(f"k{i}"), _q(k).isNull().alias(f"z{i}")]
+    return parts
+
+
+def _key_counts(df: DataFrame, keys: list[str], tag: str, null_safe_types: list | None = None) -> DataFrame:
+    cols = (_null_safe_parts(df, keys, null_safe_types) if null_safe_types
+            else [_q(k).alias(f"k{i}") for i, k in enumerate(keys)])
+    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias(tag))
+
+
+def _common_type(a: T.DataType, b: T.DataType) -> T.DataType:
+    if a == b:
+        return a
+    if isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
+        order = [T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType]
+        ia = next((i for i, c in enumerate(order) if isinstance(a, c)), len(order))
+        ib = next((i for i, c in enumerate(order) if isinstance(b, c)), len(order))
+        return a if ia >= ib else b
+    return T.StringType()
 
 
 def merge_size(left: DataFrame, right: DataFrame, left_on, right_on=None, how: str = "inner",
@@ -95,12 +119,15 @@ def merge_size(left: DataFrame, right: DataFrame, left_on, right_on=None, how: s
     """
     lk = _as_list(left_on)
     rk = _as_list(right_on if right_on is not None else left_on)
-    lc = _key_counts(left, lk, "nl").alias("a")
-    rc = _key_counts(right, rk, "nr").alias("b")
+    types = ([_common_type(left.schema[a].dataType, right.schema[b].dataType) for a, b in zip(lk, rk)]
+             if null_keys_match else None)
+    lc = _key_counts(left, lk, "nl", types).alias("a")
+    rc = _key_counts(right, rk, "nr", types).alias("b")
     conds = []
     for i in range(len(lk)):
-        a, b = F.col(f"a.k{i}"), F.col(f"b.k{i}")
-        conds.append(a.eqNullSafe(b) if null_keys_match else a == b)
+        conds.append(F.col(f"a.k{i}") == F.col(f"b.k{i}"))
+        if null_keys_match:
+            conds.append(F.col(f"a.z{i}") == F.col(f"b.z{i}"))
     j = lc.join(rc, reduce(lambda x, y: x & y, conds), "full")
     # Both counters are set exactly when the key matched under the chosen rule.
     matched = F.col("nl").isNotNull() & F.col("nr").isNotNull()
