@@ -236,16 +236,10 @@ def stream_append(spark, d):
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
 SELECT event_id, ts, user_id, event_type, value, props FROM r WHERE rn <= 5""")
 def stream_last_n(spark, d):
-    """The last five events per session from bounded streaming state."""
-    s = _stream(spark, d)
-    out = st.last_n_per_key(s, "user_id", ["ts", "event_id"], 5,
-                            "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
-                            "value double, props string")
-    path = st.run_to_table(out, spark, "last-n", "update")
-    res = spark.read.parquet(path)
-    latest = res.groupBy("user_id").agg(F.max("batch_id").alias("batch_id"))
-    return res.join(latest, ["user_id", "batch_id"]).drop("batch_id").select(
-        "event_id", "ts", "user_id", "event_type", "value", "props")
+    """The last five events per session, kept by the streaming job in a
+    bounded versioned state table."""
+    root = st.last_n_per_key(_stream(spark, d), spark, "user_id", ["ts", "event_id"], 5)
+    return st.read_last_n(spark, root).select("event_id", "ts", "user_id", "event_type", "value", "props")
 
 
 @query("stream_state", """
