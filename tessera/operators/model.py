@@ -147,6 +147,7 @@ class TrainedModel:
     matrix: ModelMatrix
     threshold: float | None
     positive: float | None = 1.0
+    threshold_method: str | None = None
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Same encoding, aligned columns (absent → 0), probabilities."""
@@ -244,11 +245,12 @@ def _fit_one(mt, data, matrix, target, task, n_classes, split_col, threshold, se
     tm = TrainedModel(mt, task, pm, matrix, None)
     if task == "classification" and n_classes == 2:
         if threshold is not None:
-            tm.threshold = float(threshold)
+            tm.threshold, tm.threshold_method = float(threshold), "user_specified"
         else:
             val = tm.predict(data.where(F.col(split_col) == "validation")).withColumnRenamed(target, "label")
             best = ev.optimal_threshold(val, "label", "score").first() if "score" in val.columns else None
             tm.threshold = float(best["threshold"]) if best else 0.5
+            tm.threshold_method = "optimal" if best else "default"
     return tm, _split_metrics(tm, data, target, split_col)
 
 
@@ -271,7 +273,7 @@ def train_compare(df: DataFrame, target: str, keys: list[str], model_types=MODEL
     n_classes = data.select(_q(target)).distinct().count() if task == "classification" else 0
     rows, models = [], {}
     schema = ("model_type string, split string, accuracy double, precision double, recall double, f1 double, "
-              "auc double, r2 double, rmse double, threshold double, error double")
+              "auc double, r2 double, rmse double, threshold double, threshold_method string, error double")
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         futs = {mt: pool.submit(_fit_one, mt, data, matrix, target, task, n_classes, split_col, threshold, search)
                 for mt in model_types}
@@ -281,9 +283,9 @@ def train_compare(df: DataFrame, target: str, keys: list[str], model_types=MODEL
                 models[mt] = tm
                 for m in mets:
                     rows.append((mt, m["split"], m["accuracy"], m["precision"], m["recall"], m["f1"], m["auc"],
-                                 m["r2"], m["rmse"], tm.threshold, None))
+                                 m["r2"], m["rmse"], tm.threshold, tm.threshold_method, None))
             except Exception:  # noqa: BLE001 - unknown type or failed fit → error row
-                rows.append((mt, "error", None, None, None, None, None, None, None, None, -1.0))
+                rows.append((mt, "error", None, None, None, None, None, None, None, None, None, -1.0))
     res = spark.createDataFrame(rows, schema)
     key = "f1" if task == "classification" else "r2"
     best = (res.where(F.col("split") == "validation").orderBy(F.desc_nulls_last(key), "model_type")

@@ -146,7 +146,7 @@ def handle_missing(df: DataFrame, strategy: dict[str, str], order_by: list[str]
     # batch all mean/median statistics of a run without drops into one agg
     i = 0
     while i < len(items):
-        run = []
+        run, ffill, bfill = [], [], []
         while i < len(items) and items[i][1] != "drop":
             run.append(items[i])
             i += 1
@@ -179,13 +179,17 @@ def handle_missing(df: DataFrame, strategy: dict[str, str], order_by: list[str]
                 if not order_by:
                     rep.errors.append(f"{s} needs an explicit order: {c}")
                     continue
-                flush()
-                out = fill_along(out, [c], order_by, keys, backward=(s == "backward_fill"))
+                # fills only read their own column: batch them per direction
+                (bfill if s == "backward_fill" else ffill).append(c)
             else:
                 rep.errors.append(f"unknown strategy {s!r} for {c}")
                 continue
             rep.changes.append({"column": c, "strategy": s})
         flush()
+        if ffill:
+            out = fill_along(out, ffill, order_by, keys)
+        if bfill:
+            out = fill_along(out, bfill, order_by, keys, backward=True)
         if i < len(items):
             c, s = items[i]
             if c in out.columns:
@@ -501,15 +505,18 @@ class ModelMatrix:
             cur = e.transform(cur)
         if self.target_encoder is not None and self.target in cur.columns:
             cur = self.target_encoder.transform(cur)
-        cols = (self.feature_names + ([self.target] if self.target in cur.columns else [])
-                + [k for k in keep if k in cur.columns])
+        cols = self.feature_names + ([self.target] if self.target in cur.columns else [])
+        cols += [k for k in keep if k in cur.columns and k not in cols]
         return cur.select(*[_q(c).cast("double").alias(c) if c in self.feature_names else _q(c)
                             for c in cols])
 
 
 def fit_model_matrix(df: DataFrame, target: str, features: list[str] | None = None,
                      max_categories: int = 100) -> ModelMatrix:
-    feats = [c for c in (features or df.columns) if c != target and c in df.columns]
+    from tessera.functions.types import ID_LIKE_NAMES
+    # Without an explicit list, identifier-like columns are never features
+    feats = [c for c in (features or [c for c in df.columns if c.lower() not in ID_LIKE_NAMES])
+             if c != target and c in df.columns]
     num = [c for c in feats if kind_of(df.schema[c].dataType) == NUMERIC]
     txt = [c for c in feats if kind_of(df.schema[c].dataType) == "string"]
     medians = {c: v[0] for c, v in column_quantiles(df, num, [0.5]).items()}
