@@ -215,17 +215,17 @@ def detect_keys(tables: dict[str, DataFrame], min_name: float = 0.3,
     for _, ta, ca, tb, cb, _s in pairs:
         cand.setdefault(ta, set()).add(ca)
         cand.setdefault(tb, set()).add(cb)
+    # Per-column statistics and per-pair overlaps: one job, a few numbers per
+    # candidate column / pair come back (each table is aggregated once).
     col_stats = []
     for t, cols in cand.items():
         cols = sorted(cols)
         one = tables[t].agg(F.count(F.lit(1)).alias("__n"),
                             *[F.count_distinct(_q(c)).alias(f"__d{i}") for i, c in enumerate(cols)])
         col_stats.append(one.select(F.explode(F.array(*[
-            F.struct(F.lit(t).alias("t"), F.lit(c).alias("c"), F.col("__n").alias("n_rows"),
-                     F.col(f"__d{i}").alias("n_distinct")) for i, c in enumerate(cols)])).alias("s")
+            F.struct(F.lit(t).alias("t"), F.lit(c).alias("c"), F.lit(-1).alias("pid"),
+                     F.col("__n").alias("a"), F.col(f"__d{i}").alias("b")) for i, c in enumerate(cols)])).alias("s")
         ).select("s.*"))
-    stats = reduce(DataFrame.unionByName, col_stats)
-
     commons = []
     for pid, ta, ca, tb, cb, _s in pairs:
         ka, kb = tables[ta].schema[ca].dataType, tables[tb].schema[cb].dataType
@@ -234,20 +234,18 @@ def detect_keys(tables: dict[str, DataFrame], min_name: float = 0.3,
         vb = _q(cb).cast("string") if as_text else _q(cb)
         da = tables[ta].select(va.alias("v")).where(F.col("v").isNotNull()).distinct()
         db = tables[tb].select(vb.alias("v")).where(F.col("v").isNotNull()).distinct()
-        commons.append(da.join(db, "v", "left_semi").agg(F.count(F.lit(1)).alias("n_common"))
-                       .select(F.lit(pid).alias("plan_id"), "n_common"))
-    common = reduce(DataFrame.unionByName, commons)
-
-    cand_df = spark.createDataFrame(
-        [p for p in pairs],
-        "plan_id int, left_table string, left_key string, right_table string, right_key string, "
-        "name_similarity double")
-    sl = stats.select(F.col("t").alias("left_table"), F.col("c").alias("left_key"),
-                      F.col("n_rows").alias("l_rows"), F.col("n_distinct").alias("l_distinct"))
-    sr = stats.select(F.col("t").alias("right_table"), F.col("c").alias("right_key"),
-                      F.col("n_rows").alias("r_rows"), F.col("n_distinct").alias("r_distinct"))
-    j = (cand_df.join(sl, ["left_table", "left_key"]).join(sr, ["right_table", "right_key"])
-         .join(common, "plan_id"))
+        commons.append(da.join(db, "v", "left_semi").agg(F.count(F.lit(1)).alias("b"))
+                       .select(F.lit("").alias("t"), F.lit("").alias("c"), F.lit(pid).alias("pid"),
+                               F.lit(0).cast("bigint").alias("a"), "b"))
+    got = reduce(DataFrame.unionByName, col_stats + commons).collect()
+    stat = {(r["t"], r["c"]): (r["a"], r["b"]) for r in got if r["pid"] < 0}
+    common = {r["pid"]: r["b"] for r in got if r["pid"] >= 0}
+    rows = [(pid, ta, ca, tb, cb, s, stat[(ta, ca)][0], stat[(ta, ca)][1], stat[(tb, cb)][0],
+             stat[(tb, cb)][1], common[pid]) for pid, ta, ca, tb, cb, s in pairs]
+    j = spark.createDataFrame(
+        rows, "plan_id int, left_table string, left_key string, right_table string, right_key string, "
+              "name_similarity double, l_rows bigint, l_distinct bigint, r_rows bigint, r_distinct bigint, "
+              "n_common bigint")
     small = F.least("l_distinct", "r_distinct")
     overlap = F.when(small > 0, F.col("n_common") / small).otherwise(F.lit(0.0))
     ul = F.col("l_distinct") / F.greatest(F.col("l_rows"), F.lit(1))
