@@ -97,7 +97,8 @@ def _select_ranks(x: DataFrame, n_cols: int, targets: dict[tuple[int, int], None
                 k = F.least(F.floor((v - F.lit(b["mn"])) * F.lit(buckets) / F.lit(b["mx"] - b["mn"])),
                             F.lit(buckets - 1)).cast("double")
             exprs.append(F.when(cond, F.struct(F.lit(bid).alias("b"), k.alias("k"), v.alias("v"))))
-        hits = x.select(F.explode(F.filter(F.array(*exprs), lambda s: s.isNotNull())).alias("h"))
+        # explode + where stay in whole-stage codegen (a lambda filter would not)
+        hits = x.select(F.explode(F.array(*exprs)).alias("h")).where(F.col("h").isNotNull())
         rows = hits.groupBy("h.b", "h.k").agg(F.count(F.lit(1)).alias("n"), F.min("h.v").alias("mn"),
                                               F.max("h.v").alias("mx")).collect()
         per = {}
