@@ -345,7 +345,13 @@ def suggest_names(spark, d):
     return dty.suggest_from_names(prof.profile_with_samples(li))
 
 
-@query("detect_date")
+@query("detect_date", """
+WITH l AS (SELECT strftime(l_shipdate, '%m/%d/%Y') AS ship_date FROM lineitem),
+probe AS (SELECT ship_date FROM l WHERE ship_date IS NOT NULL LIMIT 20)
+SELECT CASE WHEN (SELECT count(*) FROM probe WHERE try_strptime(ship_date, '%m/%d/%Y') IS NOT NULL)
+                 = (SELECT count(*) FROM probe) AND (SELECT count(*) FROM probe) > 0
+            THEN 'ship_date' END AS date_column,
+       (SELECT count(*) FROM l) AS n_rows""")
 def detect_date(spark, d):
     """The date column used by a temporal split (first timestamp column,
     else a date-named text column whose first values parse)."""

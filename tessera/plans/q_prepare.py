@@ -194,11 +194,19 @@ def interact(spark, d):
     return round_doubles(pp.interaction_features(li, [("l_quantity", "l_discount")]))
 
 
-@query("feature_chain_part")
+@query("feature_chain_part", """
+SELECT p_partkey,
+  round((p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER (), 6) AS p_size,
+  round((p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER (), 6) AS p_retailprice,
+  round(CAST(p_size AS DOUBLE) * p_size, 6) AS "p_size^2",
+  round(CAST(p_size AS DOUBLE) * p_retailprice, 6) AS "p_size p_retailprice",
+  round(p_retailprice * p_retailprice, 6) AS "p_retailprice^2",
+  round(CAST(p_size AS DOUBLE) * p_retailprice, 6) AS p_size_x_p_retailprice
+FROM part""")
 def feature_chain_part(spark, d):
     """Polynomial → interactions → scaling of the original numerics."""
     p = load(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
-    return pp.feature_chain(p, target="p_partkey", pairs=[("p_size", "p_retailprice")])
+    return round_doubles(pp.feature_chain(p, target="p_partkey", pairs=[("p_size", "p_retailprice")]))
 
 
 @query("declared_steps", """
@@ -219,7 +227,21 @@ def declared_steps(spark, d):
     return round_doubles(chain.transform(cu))
 
 
-@query("model_matrix")
+@query("model_matrix", """
+WITH j AS (SELECT o.o_totalprice, o.o_orderpriority, o.o_orderstatus, c.c_acctbal, c.c_mktsegment
+           FROM orders o LEFT JOIN customer c ON o.o_custkey IS NOT DISTINCT FROM c.c_custkey)
+SELECT coalesce(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM j)) AS o_totalprice,
+       coalesce(c_acctbal, (SELECT quantile_cont(c_acctbal, 0.5) FROM j)) AS c_acctbal,
+       CASE WHEN o_orderpriority = '2-HIGH' THEN 1.0 ELSE 0.0 END AS "o_orderpriority_2-HIGH",
+       CASE WHEN o_orderpriority = '3-MEDIUM' THEN 1.0 ELSE 0.0 END AS "o_orderpriority_3-MEDIUM",
+       CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 1.0 ELSE 0.0 END AS "o_orderpriority_4-NOT SPECIFIED",
+       CASE WHEN o_orderpriority = '5-LOW' THEN 1.0 ELSE 0.0 END AS "o_orderpriority_5-LOW",
+       CASE WHEN c_mktsegment = 'BUILDING' THEN 1.0 ELSE 0.0 END AS c_mktsegment_BUILDING,
+       CASE WHEN c_mktsegment = 'FURNITURE' THEN 1.0 ELSE 0.0 END AS c_mktsegment_FURNITURE,
+       CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 1.0 ELSE 0.0 END AS c_mktsegment_HOUSEHOLD,
+       CASE WHEN c_mktsegment = 'MACHINERY' THEN 1.0 ELSE 0.0 END AS c_mktsegment_MACHINERY,
+       CAST(dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS BIGINT) AS o_orderstatus
+FROM j""")
 def model_matrix(spark, d):
     """The shared model matrix of orders ⋈ customer with the order
     status as text target (one-hot drop-first, median fill, label target)."""

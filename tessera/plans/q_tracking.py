@@ -199,7 +199,23 @@ def keyword_columns(spark, d):
     return ru.keyword_columns(p, ["price", "quantity", "date"]).select("position", "column_name")
 
 
-@query("feature_listing")
+def _listing_sql() -> str:
+    from tessera.plans.q_ingest import profile_sql
+    cols = [("l_quantity", "double", "num"), ("l_extendedprice", "double", "num"), ("l_discount", "double", "num"),
+            ("l_tax", "double", "num"), ("l_returnflag", "string", "str")]
+    prof_sql = profile_sql("lineitem", cols)
+    return f"""
+WITH p AS ({prof_sql}),
+imp AS (SELECT 'l_quantity' AS f, least(round(abs(corr(l_quantity, l_extendedprice)), 3), 1.0) AS s FROM lineitem
+  UNION ALL SELECT 'l_discount', least(round(abs(corr(l_discount, l_extendedprice)), 3), 1.0) FROM lineitem
+  UNION ALL SELECT 'l_tax', least(round(abs(corr(l_tax, l_extendedprice)), 3), 1.0) FROM lineitem
+  UNION ALL SELECT 'l_returnflag', 0.3)
+SELECT p.*, coalesce(imp.s, 0.5) AS importance, CAST(NULL AS VARCHAR) AS description,
+       p.column_name IN ('l_quantity', 'l_discount') AS selected
+FROM p LEFT JOIN imp ON p.column_name = imp.f"""
+
+
+@query("feature_listing", _listing_sql())
 def feature_listing(spark, d):
     """Profile joined with importance (default 0.5) and selection."""
     from tessera.operators.explore import feature_ranking
@@ -208,7 +224,33 @@ def feature_listing(spark, d):
     return round_doubles(ru.feature_listing(prof.profile(li), imp, selected=["l_quantity", "l_discount"]))
 
 
-@query("feature_screen")
+@query("feature_screen", """
+WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus, o_orderpriority,
+                  o_totalprice * 1.05 AS price_with_tax, 'x' AS constant_col FROM orders),
+p AS (
+  SELECT 'o_orderkey' AS c, 'bigint' AS t, count(DISTINCT o_orderkey) AS u, count(*) - count(o_orderkey) AS nn,
+         abs(corr(o_orderkey, o_totalprice)) AS tc FROM o
+  UNION ALL SELECT 'o_custkey', 'bigint', count(DISTINCT o_custkey), count(*) - count(o_custkey),
+         abs(corr(o_custkey, o_totalprice)) FROM o
+  UNION ALL SELECT 'o_totalprice', 'double', count(DISTINCT o_totalprice), count(*) - count(o_totalprice), NULL FROM o
+  UNION ALL SELECT 'o_orderstatus', 'string', count(DISTINCT o_orderstatus), count(*) - count(o_orderstatus), NULL FROM o
+  UNION ALL SELECT 'o_orderpriority', 'string', count(DISTINCT o_orderpriority), count(*) - count(o_orderpriority), NULL FROM o
+  UNION ALL SELECT 'price_with_tax', 'double', count(DISTINCT price_with_tax), count(*) - count(price_with_tax),
+         abs(corr(price_with_tax, o_totalprice)) FROM o
+  UNION ALL SELECT 'constant_col', 'string', count(DISTINCT constant_col), count(*) - count(constant_col), NULL FROM o),
+d AS (SELECT abs(corr(o_orderkey, o_custkey)) AS kc, abs(corr(o_orderkey, price_with_tax)) AS kp,
+             abs(corr(o_custkey, price_with_tax)) AS cp FROM o),
+n AS (SELECT count(*) AS n FROM o),
+r AS (SELECT c, CASE
+    WHEN c = 'o_totalprice' THEN 'target'
+    WHEN lower(c) IN ('id', 'customerid', 'customer_id', 'index', 'row_number') THEN 'identifier'
+    WHEN nn * 100.0 / n > 60 THEN 'too many nulls'
+    WHEN u <= 1 THEN 'single value'
+    WHEN t = 'string' AND u > 0.9 * n THEN 'high-cardinality text'
+    WHEN tc > 0.95 THEN 'leakage'
+    WHEN (c = 'o_custkey' AND kc > 0.98) OR (c = 'price_with_tax' AND (kp > 0.98 OR cp > 0.98)) THEN 'near-duplicate'
+    END AS reason FROM p, d, n)
+SELECT c AS column_name, reason IS NULL AS keep, coalesce(reason, '') AS reason FROM r""")
 def feature_screen(spark, d):
     """Keep / drop with reasons over orders ⋈ a leaky copy of the total."""
     o = load(spark, d, "orders").select(
