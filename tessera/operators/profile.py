@@ -82,15 +82,37 @@ def _long_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def sample_values(df: DataFrame, k: int = 5, columns: list[str] | None = None) -> DataFrame:
     """A2: the first ``k`` distinct non-null values of each column, in text order.
 
-    Spark has no file order, so "first" is the smallest text.  The window's
-    ``row_number <= k`` filter becomes a partial group-limit before the
-    shuffle, so no task ever holds more than k values per column and partition.
+    Spark has no file order, so "first" is the smallest text.  ``k`` passes,
+    each ONE global aggregation over all columns: pass j takes, per column,
+    the smallest text greater than pass j−1's answer.  Partial aggregation
+    leaves one row per partition, so nothing data-sized is shuffled (a
+    distinct over (column, value) would shuffle every distinct value).
     """
-    long = _long_text(df, columns).where(F.col("v").isNotNull()).distinct()
-    w = Window.partitionBy("column_name").orderBy("v")
-    top = long.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
-    return top.groupBy("column_name").agg(
-        F.array_sort(F.collect_list("v")).alias("sample_values"))
+    cols = columns or df.columns
+    txt = df.select(*[_q(c).cast("string").alias(f"s{i}") for i, c in enumerate(cols)])
+    found: list[list[str]] = [[] for _ in cols]
+    prev: list[str | None] = [None] * len(cols)
+    for _ in range(k):
+        live = [i for i in range(len(cols)) if prev[i] is not None or not found[i]]
+        if not live:
+            break
+        aggs = []
+        for i in live:
+            s = F.col(f"s{i}")
+            cond = s.isNotNull() if prev[i] is None else (s > F.lit(prev[i]))
+            aggs.append(F.min(F.when(cond, s)).alias(f"m{i}"))
+        row = txt.agg(*aggs).first()
+        for i in live:
+            v = row[f"m{i}"]
+            if v is None:
+                prev[i] = None
+                found[i] = found[i] or []
+                found[i].append(None)        # marks the column as exhausted
+            else:
+                found[i].append(v)
+                prev[i] = v
+    data = [(c, [v for v in found[i] if v is not None]) for i, c in enumerate(cols)]
+    return df.sparkSession.createDataFrame(data, "column_name string, sample_values array<string>")
 
 
 def first_values(df: DataFrame, order_by: list[str], k: int = 5) -> DataFrame:
