@@ -217,15 +217,16 @@ def detect_keys(tables: dict[str, DataFrame], min_name: float = 0.3,
         cand.setdefault(tb, set()).add(cb)
     # Per-column statistics and per-pair overlaps: one job, a few numbers per
     # candidate column / pair come back (each table is aggregated once).
+    from tessera.operators.profile import distinct_counts
     col_stats = []
     for t, cols in cand.items():
         cols = sorted(cols)
-        one = tables[t].agg(F.count(F.lit(1)).alias("__n"),
-                            *[F.count_distinct(_q(c)).alias(f"__d{i}") for i, c in enumerate(cols)])
-        col_stats.append(one.select(F.explode(F.array(*[
-            F.struct(F.lit(t).alias("t"), F.lit(c).alias("c"), F.lit(-1).alias("pid"),
-                     F.col("__n").alias("a"), F.col(f"__d{i}").alias("b")) for i, c in enumerate(cols)])).alias("s")
-        ).select("s.*"))
+        col_stats.append(tables[t].agg(F.count(F.lit(1)).alias("a")).select(
+            F.lit(t).alias("t"), F.lit("").alias("c"), F.lit(-2).alias("pid"), "a", F.lit(0).cast("bigint").alias("b")))
+        names = F.array(*[F.lit(c) for c in cols])
+        col_stats.append(distinct_counts(tables[t], cols).select(
+            F.lit(t).alias("t"), F.element_at(names, F.col("__pos") + 1).alias("c"), F.lit(-1).alias("pid"),
+            F.lit(0).cast("bigint").alias("a"), F.col("__nd").alias("b")))
     commons = []
     for pid, ta, ca, tb, cb, _s in pairs:
         ka, kb = tables[ta].schema[ca].dataType, tables[tb].schema[cb].dataType
@@ -238,7 +239,8 @@ def detect_keys(tables: dict[str, DataFrame], min_name: float = 0.3,
                        .select(F.lit("").alias("t"), F.lit("").alias("c"), F.lit(pid).alias("pid"),
                                F.lit(0).cast("bigint").alias("a"), "b"))
     got = reduce(DataFrame.unionByName, col_stats + commons).collect()
-    stat = {(r["t"], r["c"]): (r["a"], r["b"]) for r in got if r["pid"] < 0}
+    n_rows = {r["t"]: r["a"] for r in got if r["pid"] == -2}
+    stat = {(r["t"], r["c"]): (n_rows[r["t"]], r["b"]) for r in got if r["pid"] == -1}
     common = {r["pid"]: r["b"] for r in got if r["pid"] >= 0}
     rows = [(pid, ta, ca, tb, cb, s, stat[(ta, ca)][0], stat[(ta, ca)][1], stat[(tb, cb)][0],
              stat[(tb, cb)][1], common[pid]) for pid, ta, ca, tb, cb, s in pairs]

@@ -35,8 +35,9 @@ def profile(df: DataFrame, string_minmax: bool = False, approx_distinct: bool =
     for i, f in enumerate(fields):
         c = _q(f.name)
         kind = kind_of(f.dataType)
-        nd = F.approx_count_distinct(c, rsd) if approx_distinct else F.count_distinct(c)
-        aggs += [F.count(c).alias(f"__nn{i}"), nd.alias(f"__nd{i}")]
+        aggs.append(F.count(c).alias(f"__nn{i}"))
+        if approx_distinct:
+            aggs.append(F.approx_count_distinct(c, rsd).alias(f"__nd{i}"))
         has_minmax = kind in (NUMERIC, DATETIME) or (string_minmax and kind == STRING)
         if has_minmax:
             aggs += [F.min(c).cast("string").alias(f"__mn{i}"),
@@ -48,13 +49,19 @@ def profile(df: DataFrame, string_minmax: bool = False, approx_distinct: bool =
             F.lit(f.name).alias("column_name"),
             F.lit(dtype_name(f.dataType)).alias("dtype"),
             F.col(f"__nn{i}").alias("non_null"),
-            F.col(f"__nd{i}").cast("bigint").alias("unique_count"),
+            (F.col(f"__nd{i}") if approx_distinct else F.lit(None)).cast("bigint").alias("unique_count"),
             (F.col(f"__mn{i}") if has_minmax else F.lit(None).cast("string")).alias("min_value"),
             (F.col(f"__mx{i}") if has_minmax else F.lit(None).cast("string")).alias("max_value"),
             (F.col(f"__av{i}") if kind == NUMERIC else F.lit(None).cast("double")).alias("mean_value"),
         ))
     one = df.agg(*aggs)
     rows = one.select(F.col("__rows"), F.explode(F.array(*cells)).alias("p"))
+    if not approx_distinct:
+        nd = distinct_counts(df)
+        rows = rows.join(F.broadcast(nd), F.col("p.position") == nd["__pos"]).select(
+            "__rows", F.struct(*[F.col(f"p.{n}") if n != "unique_count" else F.col("__nd").alias("unique_count")
+                                 for n in ("position", "column_name", "dtype", "non_null", "unique_count",
+                                           "min_value", "max_value", "mean_value")]).alias("p"))
     return rows.select(
         F.col("p.position").alias("position"),
         F.col("p.column_name").alias("column_name"),
@@ -71,6 +78,26 @@ def profile(df: DataFrame, string_minmax: bool = False, approx_distinct: bool =
     )
 
 
+def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Exact distinct non-null count per column as (__pos, __nd) rows.
+
+    One narrow branch per column — it reads only that column, de-duplicates
+    per partition and shuffles just the distinct values — unioned into one
+    job.  (``count(DISTINCT a), count(DISTINCT b), …`` in one aggregation
+    makes Spark Expand every row once per column, shuffling k full-width
+    copies of the table.)  The result has one row per column, so the join
+    back is a broadcast of a table bounded by the column count.
+    """
+    cols = columns or df.columns
+    parts = [df.select(_q(c).alias("v")).where(F.col("v").isNotNull()).distinct()
+             .agg(F.count(F.lit(1)).alias("__nd")).select(F.lit(i).alias("__pos"), "__nd")
+             for i, c in enumerate(cols)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _long_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column_name, v) with every value as text — the input of per-column ranking."""
     cols = columns or df.columns
