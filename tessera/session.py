@@ -52,7 +52,10 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if not d:
-        # Unset: only happens in local tests.  A cluster names a shared folder.
+        # A machine-local folder is only acceptable when every task runs on
+        # this machine; a cluster must name a shared folder.
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
