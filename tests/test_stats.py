@@ -48,3 +48,18 @@ def test_leakage_flags_copy(spark):
     assert st.leakage(df, "missing").count() == 0
     lower = [r["feature"] for r in st.leakage(df, "target", 0.0).collect()]
     assert set(flagged) <= set(lower)
+
+
+def test_hypotheses_by_name_and_context():
+    hs = st.generate_hypotheses_by_name(["monthly_revenue", "region", "usage_minutes", "churn"], "churn",
+                                        context="predict churn")
+    kinds = {(h.test_type, h.variables[0]) for h in hs}
+    assert ("t_test", "monthly_revenue") in kinds and ("chi_square", "region") in kinds
+    assert sum(1 for h in hs if h.variables[0] == "usage_minutes") == 2   # typed + churn extra
+    assert st.context_hypotheses(["usage_minutes"], "churn", "") == []
+
+
+def test_typed_hypotheses(spark):
+    df = spark.createDataFrame([(1.0, "a", i % 2) for i in range(10)], "x double, s string, y bigint")
+    kinds = sorted(h.test_type for h in st.generate_hypotheses(df, "y"))
+    assert kinds == ["chi_square", "t_test"]
