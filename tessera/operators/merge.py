@@ -277,6 +277,34 @@ def choose_plans(plans: DataFrame, n_alternatives: int = 3) -> DataFrame:
     return plans.orderBy(F.desc("confidence"), "plan_id").limit(1 + n_alternatives)
 
 
+def merge_by_best_plan(tables: dict[str, DataFrame], null_keys_match: bool = True) -> DataFrame:
+    """Detect keys, merge every table reachable through the best
+    remaining plan (in confidence order, each table joined once); with no
+    plan at all the first table is returned alone."""
+    names = list(tables)
+    plans = choose_plans(detect_keys(tables), n_alternatives=len(names) * len(names)).collect()
+    if not plans:
+        return tables[names[0]]
+    first = plans[0]
+    out, used = tables[first["left_table"]], {first["left_table"]}
+    progress = True
+    while progress:                      # plans are metadata rows: a handful
+        progress = False
+        for p in plans:
+            lt, rt = p["left_table"], p["right_table"]
+            if (lt in used) == (rt in used):
+                continue
+            if lt in used:
+                new, ok, nk = rt, p["left_key"], p["right_key"]
+            else:
+                new, ok, nk = lt, p["right_key"], p["left_key"]
+            out = merge(out, tables[new], ok, nk, p["merge_type"], null_keys_match)
+            used.add(new)
+            progress = True
+            break
+    return out
+
+
 def value_overlap(a: DataFrame, a_col: str, b: DataFrame, b_col: str) -> DataFrame:
     """Distinct non-null sets of two columns and their intersection."""
     as_text = kind_of(a.schema[a_col].dataType) != kind_of(b.schema[b_col].dataType)

@@ -84,6 +84,17 @@ def sample_values_part(spark, d):
     return prof.sample_values(load(spark, d, "part"))
 
 
+@query("first_values_orders", """
+WITH h AS (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS pos FROM orders
+           ORDER BY o_orderdate, o_orderkey LIMIT 5),
+l AS (""" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, pos, CAST({c} AS VARCHAR) AS v FROM h"
+                              for c, _, _ in ORDERS_COLS) + """)
+SELECT column_name, list(v ORDER BY pos) AS sample_values FROM l GROUP BY 1""")
+def first_values_orders(spark, d):
+    """A3: values of the first five rows by an explicit order (duplicates kept)."""
+    return prof.first_values(load(spark, d, "orders"), ["o_orderdate", "o_orderkey"], 5)
+
+
 @query("row_count_lineitem", "SELECT count(*) AS n_rows FROM lineitem")
 def row_count_lineitem(spark, d):
     return src.row_count(load(spark, d, "lineitem"))

@@ -63,6 +63,16 @@ def merge_plan_choice(spark, d):
     return mg.choose_plans(detect_keys_orders_customer(spark, d))
 
 
+@query("merge_best_plan", """
+SELECT o.*, c.*, n.*, r.* FROM orders o
+LEFT JOIN customer c ON o.o_custkey IS NOT DISTINCT FROM c.c_custkey
+LEFT JOIN nation n ON c.c_nationkey IS NOT DISTINCT FROM n.n_nationkey
+LEFT JOIN region r ON n.n_regionkey IS NOT DISTINCT FROM r.r_regionkey""")
+def merge_best_plan(spark, d):
+    """Merge the four tables along the detected plans, best first."""
+    return mg.merge_by_best_plan({t: load(spark, d, t) for t in _DETECT})
+
+
 @query("value_overlap", """
 WITH a AS (SELECT DISTINCT o_custkey AS v FROM orders WHERE o_custkey IS NOT NULL),
 b AS (SELECT DISTINCT c_custkey AS v FROM customer WHERE c_custkey IS NOT NULL),
