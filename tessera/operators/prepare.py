@@ -155,9 +155,15 @@ def handle_missing(df: DataFrame, strategy: dict[str, str], order_by: list[str]
         stats = {}
         means = [c for c, s in stat_cols if s == "mean"]
         medians = [c for c, s in stat_cols if s == "median"]
-        if means:
-            row = out.agg(*[F.avg(_q(c)).alias(f"s{j}") for j, c in enumerate(means)]).first()
+        present = list(dict.fromkeys(c for c, _s in run if c in out.columns))
+        nulls = {}
+        if means or present:
+            # one aggregation: the means and how many values each step fills
+            row = out.agg(*[F.avg(_q(c)).alias(f"s{j}") for j, c in enumerate(means)],
+                          *[F.sum(_q(c).isNull().cast("long")).alias(f"z{j}") for j, c in enumerate(present)]
+                          ).first()
             stats.update({c: row[f"s{j}"] for j, c in enumerate(means)})
+            nulls = {c: row[f"z{j}"] or 0 for j, c in enumerate(present)}
         if medians:
             stats.update({c: v[0] for c, v in column_quantiles(out, medians, [0.5]).items()})
         for c, s in run:
@@ -184,7 +190,7 @@ def handle_missing(df: DataFrame, strategy: dict[str, str], order_by: list[str]
             else:
                 rep.errors.append(f"unknown strategy {s!r} for {c}")
                 continue
-            rep.changes.append({"column": c, "strategy": s})
+            rep.changes.append({"column": c, "strategy": s, "n_filled": nulls.get(c, 0)})
         flush()
         if ffill:
             out = fill_along(out, ffill, order_by, keys)
@@ -193,8 +199,9 @@ def handle_missing(df: DataFrame, strategy: dict[str, str], order_by: list[str]
         if i < len(items):
             c, s = items[i]
             if c in out.columns:
+                removed = out.agg(F.sum(_q(c).isNull().cast("long"))).first()[0] or 0
                 out = out.dropna(subset=[c])
-                rep.changes.append({"column": c, "strategy": s})
+                rep.changes.append({"column": c, "strategy": s, "n_removed": removed})
             else:
                 rep.errors.append(f"column not found: {c}")
             i += 1

@@ -86,3 +86,11 @@ def test_step_chain_replays(spark):
     test = spark.createDataFrame([(None, "b")], "x double, s string")
     r = chain.transform(test).first()
     assert r["x"] == 0.5 and r["s"] == 1
+
+
+def test_change_log_counts(spark):
+    df = spark.createDataFrame([(1, 1.0, None), (2, None, "b"), (3, None, None)], "id bigint, v double, s string")
+    out, rep = pp.handle_missing(df, {"v": "mean", "s": "drop"})
+    log = {c["column"]: c for c in rep.changes}
+    assert log["v"]["n_filled"] == 2 and log["s"]["n_removed"] == 2
+    assert out.count() == 1
