@@ -383,6 +383,25 @@ def polynomial_features(df: DataFrame, columns: list[str], degree: int = 2,
     return df.select("*", *new)
 
 
+def create_polynomial_features(df: DataFrame, columns: list[str], degree: int = 2,
+                               interaction_only: bool = False) -> tuple[DataFrame | None, list[str]]:
+    """E19 with the tool's error handling: unknown or non-numeric columns are
+    reported and skipped; with no usable column the result is a failure
+    (``None``) plus the errors."""
+    errors = []
+    ok = []
+    for c in columns:
+        if c not in df.columns:
+            errors.append(f"column not found: {c}")
+        elif kind_of(df.schema[c].dataType) != NUMERIC:
+            errors.append(f"not numeric: {c}")
+        else:
+            ok.append(c)
+    if not ok:
+        return None, errors + ["no numeric columns to expand"]
+    return polynomial_features(df, ok, degree, interaction_only), errors
+
+
 def interaction_features(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """``a_x_b`` = a · b with nulls as 0."""
     bad = [c for p in pairs for c in p

@@ -69,6 +69,18 @@ def best_by(df: DataFrame, group: list[str], metric: str, tie_break: list[str] =
     return latest_per_group(tmp, group, "__m").drop("__m")
 
 
+def best_with_override(df: DataFrame, group: list[str], metric: str, key: str,
+                       override: DataFrame | None = None, tie_break: list[str] = ()) -> DataFrame:
+    """L3: the registered model of each group with the best metric, unless
+    the user selected one (``override`` rows of group columns + ``key``)."""
+    best = best_by(df, group, metric, tie_break)
+    if override is None:
+        return best
+    sel = override.select(*group, key)
+    chosen = df.join(sel, [*group, key], "left_semi")
+    return chosen.unionByName(best.join(sel.select(*group), group, "left_anti"))
+
+
 def paginate(df: DataFrame, order_by: list[Column], offset: int = 0, limit: int = 50,
              group: list[str] = ()) -> DataFrame:
     """Newest-first pages.  With ``group`` every group gets its own

@@ -94,3 +94,10 @@ def test_change_log_counts(spark):
     log = {c["column"]: c for c in rep.changes}
     assert log["v"]["n_filled"] == 2 and log["s"]["n_removed"] == 2
     assert out.count() == 1
+
+
+def test_polynomial_tool_errors(numeric):
+    out, errs = pp.create_polynomial_features(numeric, ["a", "missing"], 2)
+    assert out is not None and "a^2" in out.columns and errs == ["column not found: missing"]
+    none, errs = pp.create_polynomial_features(numeric, ["label"], 2)
+    assert none is None and errs

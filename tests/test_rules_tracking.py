@@ -85,3 +85,25 @@ def test_profile_values(spark):
     sv = {r["column_name"]: r["sample_values"] for r in prof.sample_values(df).collect()}
     assert sv["s"] == ["a", "b"]
     assert df.select(F.lit(1)).count() == 3
+
+
+def test_model_override(spark):
+    models = spark.createDataFrame([("s", "m1", 0.80), ("s", "m2", 0.85), ("t", "m3", 0.5)],
+                                   "session string, model string, f1_score double")
+    pick = spark.createDataFrame([("s", "m1")], "session string, model string")
+    got = {r["session"]: r["model"] for r in tr.best_with_override(models, ["session"], "f1_score", "model",
+                                                                    pick).collect()}
+    assert got == {"s": "m1", "t": "m3"}
+
+
+def test_tables_by_name_or_index(spark):
+    import tempfile
+    from tessera.sources import tables as src
+    d = tempfile.mkdtemp(prefix="tessera-book-")
+    spark.createDataFrame([(1, 2), (3, 4)], "a bigint, b bigint").write.parquet(d + "/Customers.parquet")
+    spark.createDataFrame([(1, 2), (3, 4), (5, 6)], "x bigint, y bigint").write.parquet(d + "/Orders.parquet")
+    spark.createDataFrame([(1, 2)], "p bigint, q bigint").write.parquet(d + "/Products.parquet")
+    assert src.load_by_name_or_index(spark, d, "Orders").count() == 3
+    assert src.load_by_name_or_index(spark, d, 2).count() == 1
+    info = {r["table_name"]: r["n_rows"] for r in src.table_info(spark, d).collect()}
+    assert info == {"Customers": 2, "Orders": 3, "Products": 1}
