@@ -295,8 +295,15 @@ def auto_encoding(df: DataFrame, columns: list[str], overrides: dict[str, str] |
     cols = [c for c in columns if c != target]
     if not cols:
         return {}
-    row = df.agg(*[F.count_distinct(_q(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
-    plan = {c: ("one_hot" if row[f"d{i}"] < one_hot_below else "label") for i, c in enumerate(cols)}
+    from tessera.operators.profile import distinct_counts
+    # HyperLogLog first (one pass, no shuffle); exact narrow counts only for
+    # the columns whose estimate is anywhere near the cut-off
+    est = df.agg(*[F.approx_count_distinct(_q(c), 0.05).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+    near = [c for i, c in enumerate(cols) if est[f"d{i}"] < 2 * one_hot_below + 10]
+    exact = {}
+    if near:
+        exact = {near[r["__pos"]]: r["__nd"] for r in distinct_counts(df, near).collect()}
+    plan = {c: ("one_hot" if exact.get(c, one_hot_below) < one_hot_below else "label") for c in cols}
     plan.update({k: v for k, v in (overrides or {}).items() if k != target})
     return plan
 

@@ -35,14 +35,21 @@ def identify_target(df: DataFrame) -> DataFrame:
             return spark.createDataFrame([(c, "name")], "target string, reason string")
     cand = [f.name for f in df.schema.fields if kind_of(f.dataType) in (NUMERIC, "string", "boolean")]
     if cand:
-        row = df.agg(*[F.count_distinct(_q(c)).alias(f"d{i}") for i, c in enumerate(cand)]).first()
-        for i, c in enumerate(cand):
-            if row[f"d{i}"] != 2:
-                continue
-            vals = df.select(F.lower(_q(c).cast("string")).alias("v")).where(F.col("v").isNotNull()) \
-                .distinct().limit(3).collect()
-            if {r["v"] for r in vals} & set(BINARY_VALUES):
-                return spark.createDataFrame([(c, "two_valued")], "target string, reason string")
+        # exactly two distinct values ⇔ min ≠ max and nothing outside {min, max}:
+        # two single-pass aggregations, no shuffle of values
+        mm = df.agg(*[e for i, c in enumerate(cand) for e in (F.min(_q(c)).alias(f"a{i}"),
+                                                              F.max(_q(c)).alias(f"b{i}"))]).first()
+        two = [i for i in range(len(cand)) if mm[f"a{i}"] is not None and mm[f"a{i}"] != mm[f"b{i}"]]
+        if two:
+            other = df.agg(*[F.count(F.when((_q(cand[i]) != F.lit(mm[f"a{i}"])) &
+                                            (_q(cand[i]) != F.lit(mm[f"b{i}"])), 1)).alias(f"o{i}")
+                             for i in two]).first()
+            texts = df.select(*[F.array(F.lower(F.lit(mm[f"a{i}"]).cast(df.schema[cand[i]].dataType).cast("string")),
+                                        F.lower(F.lit(mm[f"b{i}"]).cast(df.schema[cand[i]].dataType).cast("string")))
+                                .alias(f"t{i}") for i in two]).limit(1).first()
+            for i in two:
+                if other[f"o{i}"] == 0 and set(texts[f"t{i}"]) & set(BINARY_VALUES):
+                    return spark.createDataFrame([(cand[i], "two_valued")], "target string, reason string")
     return spark.createDataFrame([(None, "none")], "target string, reason string")
 
 
