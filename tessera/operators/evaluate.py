@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.scalar import stable_round as sround
 from tessera.operators.ordered import running_sum
 
 
@@ -40,9 +41,9 @@ def classification_metrics(df: DataFrame, label: str = "label", prediction: str
         p = _safe_div(F.col("tp"), F.col("tp") + F.col("fp"))
         r = _safe_div(F.col("tp"), F.col("tp") + F.col("fn"))
         return one.select(
-            F.round(_safe_div(F.col("correct"), F.col("n")), 4).alias("accuracy"),
-            F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"),
-            F.round(_safe_div(2 * p * r, p + r), 4).alias("f1"))
+            sround(_safe_div(F.col("correct"), F.col("n")), 4).alias("accuracy"),
+            sround(p, 4).alias("precision"), sround(r, 4).alias("recall"),
+            sround(_safe_div(2 * p * r, p + r), 4).alias("f1"))
     # weighted over classes
     per_label = c.groupBy("label").agg(F.sum("count").alias("support"),
                                        F.sum(F.when(F.col("label") == F.col("prediction"), F.col("count"))
@@ -55,10 +56,10 @@ def classification_metrics(df: DataFrame, label: str = "label", prediction: str
     one = cls.agg(F.sum("support").alias("n"), F.sum("tp").alias("correct"),
                   F.sum(p * F.col("support")).alias("wp"), F.sum(r * F.col("support")).alias("wr"),
                   F.sum(f * F.col("support")).alias("wf"))
-    return one.select(F.round(_safe_div(F.col("correct"), F.col("n")), 4).alias("accuracy"),
-                      F.round(_safe_div(F.col("wp"), F.col("n")), 4).alias("precision"),
-                      F.round(_safe_div(F.col("wr"), F.col("n")), 4).alias("recall"),
-                      F.round(_safe_div(F.col("wf"), F.col("n")), 4).alias("f1"))
+    return one.select(sround(_safe_div(F.col("correct"), F.col("n")), 4).alias("accuracy"),
+                      sround(_safe_div(F.col("wp"), F.col("n")), 4).alias("precision"),
+                      sround(_safe_div(F.col("wr"), F.col("n")), 4).alias("recall"),
+                      sround(_safe_div(F.col("wf"), F.col("n")), 4).alias("f1"))
 
 
 def _score_counts(df: DataFrame, label: str, score: str, positive) -> DataFrame:
@@ -75,7 +76,7 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", positive=
     cum = running_sum(sc, [F.col("s")], ["neg"])
     one = cum.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"),
                   F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg")) + 0.5 * F.col("pos") * F.col("neg")).alias("u"))
-    return one.select(F.when((F.col("P") > 0) & (F.col("N") > 0), F.round(F.col("u") / (F.col("P") * F.col("N")), 4))
+    return one.select(F.when((F.col("P") > 0) & (F.col("N") > 0), sround(F.col("u") / (F.col("P") * F.col("N")), 4))
                       .alias("auc"))
 
 
@@ -86,7 +87,7 @@ def multiclass_auc(df: DataFrame, label: str, score_cols: dict) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.agg(F.round(F.avg("auc"), 4).alias("auc"))
+    return out.agg(sround(F.avg("auc"), 4).alias("auc"))
 
 
 def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -96,8 +97,8 @@ def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "p
         F.count(F.lit(1)).alias("n"), F.sum((y - p) * (y - p)).alias("sse"),
         F.sum(y).alias("sy"), F.sum(y * y).alias("syy"))
     sst = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
-    return one.select(F.round(F.when(sst > 0, 1 - F.col("sse") / sst), 4).alias("r2"),
-                      F.round(F.sqrt(F.col("sse") / F.col("n")), 4).alias("rmse"))
+    return one.select(sround(F.when(sst > 0, 1 - F.col("sse") / sst), 4).alias("r2"),
+                      sround(F.sqrt(F.col("sse") / F.col("n")), 4).alias("rmse"))
 
 
 def pr_curve(df: DataFrame, label: str = "label", score: str = "score", positive=1) -> DataFrame:
@@ -117,7 +118,7 @@ def optimal_threshold(df: DataFrame, label: str = "label", score: str = "score",
     """Threshold with the highest F1; the first maximum in ascending
     threshold order (a TakeOrdered of one row)."""
     return (pr_curve(df, label, score, positive).orderBy(F.desc("f1"), F.asc("threshold")).limit(1)
-            .select(F.col("threshold"), F.round("f1", 4).alias("f1")))
+            .select(F.col("threshold"), sround("f1", 4).alias("f1")))
 
 
 def apply_threshold(df: DataFrame, score: str, threshold: float, name: str = "prediction") -> DataFrame:
@@ -138,8 +139,8 @@ def threshold_sweep(df: DataFrame, label: str = "label", score: str = "score",
         F.sum(F.when((F.col("s") < F.col("threshold")) & (F.col("y") == positive), 1).otherwise(0)).alias("fn"))
     p = _safe_div(F.col("tp"), F.col("tp") + F.col("fp"))
     r = _safe_div(F.col("tp"), F.col("tp") + F.col("fn"))
-    return g.select("threshold", F.round(p, 4).alias("precision"), F.round(r, 4).alias("recall"),
-                    F.round(_safe_div(2 * p * r, p + r), 4).alias("f1"))
+    return g.select("threshold", sround(p, 4).alias("precision"), sround(r, 4).alias("recall"),
+                    sround(_safe_div(2 * p * r, p + r), 4).alias("f1"))
 
 
 def threshold_for_goal(sweep: DataFrame, min_recall: float | None = None,
@@ -157,11 +158,11 @@ def calibration(df: DataFrame, label: str = "label", score: str = "score", bins:
     over ``bins`` right-closed bins, and a ``hist_bins`` score histogram."""
     s, y = F.col(score).cast("double"), F.col(label).cast("double")
     data = df.where(s.isNotNull() & y.isNotNull())
-    brier = data.agg(F.round(F.avg((s - y) * (s - y)), 6).alias("brier")).withColumn(
+    brier = data.agg(sround(F.avg((s - y) * (s - y)), 6).alias("brier")).withColumn(
         "well_calibrated", F.col("brier") < 0.1)
     b = F.least(F.greatest(F.ceil(s * bins) - 1, F.lit(0)), F.lit(bins - 1)).cast("int")
-    curve = data.groupBy(b.alias("bin")).agg(F.round(F.avg(s), 6).alias("mean_predicted"),
-                                             F.round(F.avg(y), 6).alias("fraction_positive"),
+    curve = data.groupBy(b.alias("bin")).agg(sround(F.avg(s), 6).alias("mean_predicted"),
+                                             sround(F.avg(y), 6).alias("fraction_positive"),
                                              F.count(F.lit(1)).alias("count"))
     hb = F.least(F.floor(s * hist_bins), F.lit(hist_bins - 1)).cast("int")
     hist = data.groupBy(hb.alias("bin")).agg(F.count(F.lit(1)).alias("count"))

@@ -16,6 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.scalar import stable_round as sround
 from tessera.operators.model import SEED, TrainedModel
 
 
@@ -70,7 +71,7 @@ def permutation_shap(tm: TrainedModel, df: DataFrame, id_col: str, sample_rows:
 
 def mean_abs_shap(shap: DataFrame) -> DataFrame:
     """Mean |Shapley value| per feature, sorted."""
-    return shap.groupBy("feature").agg(F.round(F.avg(F.abs("shap")), 6).alias("mean_abs_shap")) \
+    return shap.groupBy("feature").agg(sround(F.avg(F.abs("shap")), 6).alias("mean_abs_shap")) \
         .orderBy(F.desc("mean_abs_shap"), "feature")
 
 

@@ -12,6 +12,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.scalar import stable_round as sround
 from tessera.functions.types import NUMERIC, STRING, kind_of
 
 
@@ -240,7 +241,7 @@ def feature_ranking(df: DataFrame, target: str, features: list[str] | None = Non
     if num:
         one = df.agg(*[F.corr(_q(c).cast("double"), y).alias(f"r{i}") for i, c in enumerate(num)])
         cells = [F.struct(F.lit(c).alias("feature"),
-                          F.least(F.round(F.abs(F.col(f"r{i}")), 3), F.lit(1.0)).alias("score"))
+                          F.least(sround(F.abs(F.col(f"r{i}")), 3), F.lit(1.0)).alias("score"))
                  for i, c in enumerate(num)]
         scored = one.select(F.explode(F.array(*cells)).alias("e")).select("e.*")
     else:
@@ -270,7 +271,7 @@ def base_rate(df: DataFrame, target: str, default: float = 0.25) -> DataFrame:
     """Share of the smaller class of a two-class column, else ``default``."""
     counts = df.where(_q(target).isNotNull()).groupBy(_q(target)).agg(F.count(F.lit(1)).alias("n"))
     return counts.agg(F.count(F.lit(1)).alias("n_classes"), F.min("n").alias("mn"), F.sum("n").alias("tot")).select(
-        F.when(F.col("n_classes") == 2, F.round(F.col("mn") / F.col("tot"), 6))
+        F.when(F.col("n_classes") == 2, sround(F.col("mn") / F.col("tot"), 6))
         .otherwise(F.lit(default)).alias("base_rate"))
 
 

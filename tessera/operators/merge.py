@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.scalar import stable_round as sround
 from tessera.functions.scalar import py_name_similarity
 from tessera.functions.types import kind_of
 
@@ -258,14 +259,14 @@ def detect_keys(tables: dict[str, DataFrame], min_name: float = 0.3,
     scored = scored.where(F.col("value_overlap") >= min_overlap)
     return scored.select(
         "plan_id", "left_table", "left_key", "right_table", "right_key",
-        F.round("name_similarity", 6).alias("name_similarity"),
+        sround("name_similarity", 6).alias("name_similarity"),
         F.when((F.col("left_uniqueness") > 0.9) & (F.col("right_uniqueness") > 0.9), F.lit("inner"))
         .otherwise(F.lit("left")).alias("merge_type"),
-        F.round(0.3 * F.col("name_similarity") + 0.5 * F.col("value_overlap")
+        sround(0.3 * F.col("name_similarity") + 0.5 * F.col("value_overlap")
                 + 0.2 * F.greatest("left_uniqueness", "right_uniqueness"), 3).alias("confidence"),
-        F.round("value_overlap", 6).alias("value_overlap"),
-        F.round("left_uniqueness", 6).alias("left_uniqueness"),
-        F.round("right_uniqueness", 6).alias("right_uniqueness"),
+        sround("value_overlap", 6).alias("value_overlap"),
+        sround("left_uniqueness", 6).alias("left_uniqueness"),
+        sround("right_uniqueness", 6).alias("right_uniqueness"),
         F.format_string("Name similarity: %.0f%%; Value overlap: %.0f%%; Uniqueness L: %.0f%%, R: %.0f%%",
                         F.col("name_similarity") * 100, F.col("value_overlap") * 100,
                         F.col("left_uniqueness") * 100, F.col("right_uniqueness") * 100).alias("rationale"),
@@ -318,13 +319,13 @@ def value_overlap(a: DataFrame, a_col: str, b: DataFrame, b_col: str) -> DataFra
     one = na.crossJoin(nb).crossJoin(nc)
     small = F.least("n_left", "n_right")
     return one.select("n_left", "n_right", "n_common",
-                      F.round(F.when(small > 0, F.col("n_common") / small).otherwise(F.lit(0.0)), 6)
+                      sround(F.when(small > 0, F.col("n_common") / small).otherwise(F.lit(0.0)), 6)
                       .alias("overlap"))
 
 
 def key_uniqueness(df: DataFrame, key: str) -> DataFrame:
     """Distinct non-null keys / max(rows, 1)."""
-    return df.agg(F.round(F.count_distinct(_q(key)) / F.greatest(F.count(F.lit(1)), F.lit(1)), 6)
+    return df.agg(sround(F.count_distinct(_q(key)) / F.greatest(F.count(F.lit(1)), F.lit(1)), 6)
                   .alias("uniqueness"))
 
 

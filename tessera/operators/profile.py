@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.scalar import stable_round as sround
 from tessera.functions.types import DATETIME, NUMERIC, STRING, dtype_name, kind_of
 
 
@@ -67,7 +68,7 @@ def profile(df: DataFrame, string_minmax: bool = False, approx_distinct: bool =
         F.col("p.column_name").alias("column_name"),
         F.col("p.dtype").alias("dtype"),
         (F.col("__rows") - F.col("p.non_null")).alias("null_count"),
-        F.round(F.when(F.col("__rows") > 0,
+        sround(F.when(F.col("__rows") > 0,
                        (F.col("__rows") - F.col("p.non_null")) * 100.0 / F.col("__rows"))
                 .otherwise(F.lit(0.0)), 2).alias("null_pct"),
         F.col("p.unique_count").alias("unique_count"),
@@ -193,7 +194,7 @@ def target_stats(df: DataFrame, target: str, max_classes: int = 10) -> DataFrame
     return summary.crossJoin(few).select(
         F.lit(target).alias("target"), F.lit(dt).alias("dtype"),
         F.col("n_distinct"),
-        F.round(F.col("n_null") * 100.0 / F.greatest(F.col("n_rows"), F.lit(1)), 2).alias("null_pct"),
+        sround(F.col("n_null") * 100.0 / F.greatest(F.col("n_rows"), F.lit(1)), 2).alias("null_pct"),
         F.when(F.col("n_distinct") <= max_classes, F.col("_dist")).alias("class_counts"))
 
 
@@ -223,7 +224,7 @@ def class_balance(df: DataFrame, target: str) -> DataFrame:
     return counts.agg(
         F.count(F.lit(1)).alias("n_classes"),
         F.min("n").alias("minority"), F.max("n").alias("majority"),
-        F.round(F.min("n") / F.max("n"), 6).alias("class_balance"))
+        sround(F.min("n") / F.max("n"), 6).alias("class_balance"))
 
 
 def quality_flags(df: DataFrame, high_null_pct: float = 30.0) -> DataFrame:
@@ -256,7 +257,7 @@ def quality_flags(df: DataFrame, high_null_pct: float = 30.0) -> DataFrame:
         prof = prof.withColumn("n_outliers", F.lit(None).cast("bigint"))
     return prof.select(
         "column_name",
-        F.round(F.col("n_outliers") * 100.0 / F.greatest(F.col("row_count"), F.lit(1)), 4).alias("outlier_pct"),
+        sround(F.col("n_outliers") * 100.0 / F.greatest(F.col("row_count"), F.lit(1)), 4).alias("outlier_pct"),
         (F.col("unique_count") <= 1).alias("is_constant"),
         (F.col("null_pct") > high_null_pct).alias("high_nulls"),
         ((F.col("unique_count") == F.col("row_count")) & (F.col("null_count") == 0)).alias("is_grain"))

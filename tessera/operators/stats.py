@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.scalar import stable_round as sround
 from tessera.functions.special import p_value
 from tessera.functions.types import NUMERIC, kind_of
 
@@ -47,8 +48,8 @@ def welch_stats(df: DataFrame, value: str, group: str) -> DataFrame:
         (se2 * se2 / ((F.col("v1") / F.col("n1")) ** 2 / (F.col("n1") - 1)
                       + (F.col("v2") / F.col("n2")) ** 2 / (F.col("n2") - 1))).alias("dof"),
         F.lit(None).cast("double").alias("dof2"), (F.col("n1") + F.col("n2")).alias("n"),
-        F.concat_ws(" vs ", F.concat(F.col("g1"), F.lit(" (mean "), F.round("m1", 4).cast("string"), F.lit(")")),
-                    F.concat(F.col("g2"), F.lit(" (mean "), F.round("m2", 4).cast("string"), F.lit(")"))).alias("detail"))
+        F.concat_ws(" vs ", F.concat(F.col("g1"), F.lit(" (mean "), sround("m1", 4).cast("string"), F.lit(")")),
+                    F.concat(F.col("g2"), F.lit(" (mean "), sround("m2", 4).cast("string"), F.lit(")"))).alias("detail"))
 
 
 def chi_square_stats(df: DataFrame, a: str, b: str, yates: bool = True, max_levels: int = 1000) -> DataFrame:
@@ -96,7 +97,7 @@ def correlation_stats(df: DataFrame, x: str, y: str, method: str = "pearson") ->
         F.array(F.lit(x), F.lit(y)).alias("variables"),
         (r * F.sqrt((F.col("n") - 2) / (1 - r * r))).alias("statistic"),
         (F.col("n") - 2).cast("double").alias("dof"), F.lit(None).cast("double").alias("dof2"),
-        F.col("n"), F.concat(F.lit("r="), F.round(r, 6).cast("string")).alias("detail"))
+        F.col("n"), F.concat(F.lit("r="), sround(r, 6).cast("string")).alias("detail"))
 
 
 def anova_stats(df: DataFrame, value: str, group: str) -> DataFrame:
@@ -131,8 +132,8 @@ def with_conclusions(stats: DataFrame, alpha: float = ALPHA, min_n: int = 3) ->
     bad = (F.col("statistic").isNull() | F.isnan("statistic") | F.col("p_value").isNull()
            | F.isnan("p_value") | (F.col("n") < min_n))
     return out.select(
-        "test_type", "variables", F.round("statistic", 6).alias("statistic"), "dof", "dof2", "n",
-        F.round("p_value", 6).alias("p_value"),
+        "test_type", "variables", sround("statistic", 6).alias("statistic"), "dof", "dof2", "n",
+        sround("p_value", 6).alias("p_value"),
         F.when(bad, "inconclusive").when(F.col("p_value") < alpha, "supported").otherwise("rejected")
         .alias("conclusion"), "detail")
 
@@ -268,7 +269,7 @@ def leakage(df: DataFrame, target: str, threshold: float = 0.95) -> DataFrame:
         df = df.join(codes, y == F.col("__v"), "left")
         y = F.col("__code").cast("double")
     one = df.agg(*[F.abs(F.corr(_q(c).cast("double"), y)).alias(f"r{i}") for i, c in enumerate(num)])
-    cells = [F.struct(F.lit(c).alias("feature"), F.round(F.col(f"r{i}"), 6).alias("abs_corr"))
+    cells = [F.struct(F.lit(c).alias("feature"), sround(F.col(f"r{i}"), 6).alias("abs_corr"))
              for i, c in enumerate(num)]
     del feature_ranking
     return (one.select(F.explode(F.array(*cells)).alias("e")).select("e.*")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.scalar import stable_round as sround
 from tessera.operators import profile as prof
 from tessera.plans.registry import load, query, round_doubles
 from tessera.session import scratch_path
@@ -36,12 +37,12 @@ def profile_sql(table: str, cols, source: str | None = None, string_minmax: bool
             "SELECT " + (f"'{table}' AS table_name, " if table_col else "") +
             f"{i} AS position, '{c}' AS column_name, '{dt}' AS dtype, "
             f"CAST(count(*) - count({c}) AS BIGINT) AS null_count, "
-            f"round(CASE WHEN count(*) > 0 THEN CAST(count(*) - count({c}) AS DOUBLE) * 100 / count(*) "
-            f"ELSE 0 END, 2) AS null_pct, "
+            f"round((CASE WHEN count(*) > 0 THEN CAST(count(*) - count({c}) AS DOUBLE) * 100 / count(*) "
+            f"ELSE 0 END) * (1 + 1e-14), 2) AS null_pct, "
             f"CAST(count(DISTINCT {c}) AS BIGINT) AS unique_count, "
             + (f"CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value, "
                if mm else "CAST(NULL AS VARCHAR) AS min_value, CAST(NULL AS VARCHAR) AS max_value, ")
-            + (f"round(avg({c}), 6) AS mean_value, " if kind == "num"
+            + (f"round((avg({c})) * (1 + 1e-14), 6) AS mean_value, " if kind == "num"
                else "CAST(NULL AS DOUBLE) AS mean_value, ")
             + f"count(*) AS row_count FROM {src_}")
     return "\nUNION ALL\n".join(parts)
@@ -162,7 +163,7 @@ FROM events"""
 @query("null_report", f"""
 WITH e AS ({EVENTS_NULLS_SQL}), p AS (
   {' UNION ALL '.join(f"SELECT '{c}' AS column_name, CAST(count(*) - count({c}) AS BIGINT) AS null_count, "
-                      f"round(CAST(count(*) - count({c}) AS DOUBLE) * 100 / count(*), 2) AS null_pct FROM e"
+                      f"round((CAST(count(*) - count({c}) AS DOUBLE) * 100 / count(*)) * (1 + 1e-14), 2) AS null_pct FROM e"
                       for c in ('event_id', 'ts', 'user_id', 'event_type', 'value', 'props'))})
 SELECT column_name, null_count, null_pct, null_pct > 30 AS high_nulls FROM p""")
 def null_report(spark, d):
@@ -209,7 +210,7 @@ def project_features(spark, d):
 
 
 @query("long_export", """
-WITH m AS (SELECT l_returnflag AS k, count(*) AS n_rows, round(avg(l_extendedprice), 6) AS mean_price
+WITH m AS (SELECT l_returnflag AS k, count(*) AS n_rows, round((avg(l_extendedprice)) * (1 + 1e-14), 6) AS mean_price
            FROM lineitem GROUP BY 1),
 p AS (SELECT o_orderpriority AS k, count(*) AS n_rows FROM orders GROUP BY 1)
 SELECT 'lineitem_by_flag' AS section, k || '.n_rows' AS key, CAST(n_rows AS VARCHAR) AS value FROM m
@@ -218,7 +219,7 @@ UNION ALL SELECT 'orders_by_priority', k || '.n_rows', CAST(n_rows AS VARCHAR) F
 def long_export(spark, d):
     """Result tables unioned into (section, key, value) text rows."""
     li = load(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("k")).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("l_extendedprice"), 6).alias("mean_price"))
+        F.count(F.lit(1)).alias("n_rows"), sround(F.avg("l_extendedprice"), 6).alias("mean_price"))
     od = load(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("k")).agg(
         F.count(F.lit(1)).alias("n_rows"))
     return src.long_form({"lineitem_by_flag": li, "orders_by_priority": od}, "k")

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.scalar import stable_round
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 HEADLINE: list[str] = []
@@ -38,6 +40,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def round_doubles(df: DataFrame, places: int = 6) -> DataFrame:
     return df.select(*[
-        F.round(F.col(f"`{f.name}`"), places).alias(f.name)
+        stable_round(F.col(f"`{f.name}`"), places).alias(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f"`{f.name}`")
         for f in df.schema.fields])
