@@ -63,7 +63,14 @@ def merge(left: DataFrame, right: DataFrame, left_on, right_on=None, how: str =
     r = right.select(*[_q(c).alias("__r_" + c) for c in right.columns])
     conds = [(F.col(f"`__l_{a}`").eqNullSafe(F.col(f"`__r_{b}`")) if null_keys_match
               else F.col(f"`__l_{a}`") == F.col(f"`__r_{b}`")) for a, b in zip(lk, rk)]
-    j = l.join(r, reduce(lambda x, y: x & y, conds), "full" if how == "outer" else how)
+    cond = reduce(lambda x, y: x & y, conds)
+    if how == "outer":
+        # full outer = left outer ∪ (right rows without a partner).  AQE can
+        # split a hot key in both parts (it never splits a full outer join).
+        unmatched = r.join(l, cond, "left_anti")
+        j = l.join(r, cond, "left").unionByName(unmatched, allowMissingColumns=True)
+    else:
+        j = l.join(r, cond, how)
     out = []
     for c in left.columns:
         if c in shared:
