@@ -48,7 +48,7 @@ def kde_quantity(spark, d):
 SELECT count(l_extendedprice) AS n, round((avg(l_extendedprice)) * (1 + 1e-14), 6) AS mean,
        round((stddev_samp(l_extendedprice)) * (1 + 1e-14), 6) AS std FROM lineitem""")
 def summary_price(spark, d):
-    """N, mean, sample deviation."""
+    """N, mean, sample deviation (rounded to 6 places)."""
     return round_doubles(ex.summary(load(spark, d, "lineitem"), "l_extendedprice"))
 
 
@@ -58,7 +58,7 @@ n AS (SELECT count(*) AS n_categories FROM c)
 SELECT value, count, CAST(row_number() OVER (ORDER BY count DESC, value) AS INTEGER) AS rank, n_categories
 FROM (SELECT * FROM c ORDER BY count DESC, value LIMIT 30) t, n""")
 def top_types(spark, d):
-    """30 most frequent part types and the number of types."""
+    """30 most frequent part types and the number of types."""
     return ex.top_categories(load(spark, d, "part"), "p_type", 30)
 
 

@@ -60,6 +60,7 @@ _ALL = {"region": REGION_COLS, "nation": NATION_COLS, "customer": CUSTOMER_COLS,
 @query("profile_all_tables", "\nUNION ALL\n".join(
     profile_sql(t, c, table_col=True) for t, c in _ALL.items()))
 def profile_all_tables(spark, d):
+    """Profiles of all scalar tables in one plan, with a table column."""
     return round_doubles(prof.profile_tables({t: load(spark, d, t) for t in _ALL}))
 
 

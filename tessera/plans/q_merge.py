@@ -52,14 +52,15 @@ FROM m WHERE ov >= 0.1"""
 
 @query("detect_keys_orders_customer", _detect_sql())
 def detect_keys_orders_customer(spark, d):
-    """Ranked join-key candidates over orders, customer, nation, region."""
+    """Ranked join-key candidates over orders, customer, nation,
+    region (name tokens normalised, token-set intersection over union)."""
     return mg.detect_keys({t: load(spark, d, t) for t in _DETECT})
 
 
 @query("merge_plan_choice", f"""
 SELECT * FROM ({_detect_sql()}) ORDER BY confidence DESC, plan_id LIMIT 4""")
 def merge_plan_choice(spark, d):
-    """Best plan and three alternatives."""
+    """Best plan and three alternatives, by confidence descending."""
     return mg.choose_plans(detect_keys_orders_customer(spark, d))
 
 

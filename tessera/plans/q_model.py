@@ -70,8 +70,8 @@ def class_weights(spark, d):
 
 @query("train_compare")
 def train_compare(spark, d):
-    """Five model types (and an unknown one → error row),
-    metrics on three splits, F1-optimal thresholds, best flag."""
+    """Task type, five model types (and an unknown one →
+    error row), metrics on three splits, F1-optimal thresholds, best flag."""
     res, _ = md.train_compare(doc_features(spark, d), "quality", ["doc_id"],
                               list(md.MODEL_TYPES) + ["knn"], FEATURES)
     return res
@@ -86,8 +86,9 @@ def _lr(spark, d):
 
 @query("predict")
 def predict(spark, d):
-    """Persist the model (pipeline + metadata) to the shared folder,
-    load it back and score every document (labelled or not)."""
+    """Persist the model (pipeline + metadata) to the shared
+    folder, load it back and score every document (labelled or not) with the
+    columns aligned to the trained schema."""
     data, tm = _lr(spark, d)
     path = md.TrainedModel.save(tm, scratch_path(spark, "model"))
     loaded = md.load_model(path)
@@ -130,9 +131,12 @@ def waterfall(spark, d):
 
 @query("learning_curve")
 def learning_curve(spark, d):
-    """Five train sizes × five hash folds."""
-    return md.learning_curve(doc_features(spark, d).select("doc_id", "quality", "n_chars", "n_words", "n_lines"),
-                             "quality", ["doc_id"])
+    """Five train sizes × five hash folds over the fallback feature
+    set (every numeric column but the target and the key)."""
+    from tessera.operators.rules import fallback_features
+    data = doc_features(spark, d)
+    feats = [c for c in fallback_features(data, "quality") if c != "doc_id"]
+    return md.learning_curve(data.select("doc_id", "quality", *feats), "quality", ["doc_id"])
 
 
 @query("model_card")

@@ -110,7 +110,7 @@ WITH e AS ({EVENTS_NULLS_SQL}),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY coalesce(value, 0.0) DESC, event_id DESC) AS rn FROM e)
 SELECT user_id, event_id, event_type, value FROM r WHERE rn = 1""")
 def best_run(spark, d):
-    """T4/L4: best run per session (ties to the latest id)."""
+    """T4/L3/L4: best run (model) per session (ties to the latest id)."""
     ev = _events_with_nulls(spark, d).select("user_id", "event_id", "event_type", "value")
     return tr.best_by(ev, ["user_id"], "value", ["event_id"])
 
