@@ -50,6 +50,7 @@ def profile_sql(table: str, cols, source: str | None = None, string_minmax: bool
 
 @query("profile_orders", profile_sql("orders", ORDERS_COLS), headline=True)
 def profile_orders(spark, d):
+    """A1: column profile of orders (one aggregation + narrow distinct counts)."""
     return round_doubles(prof.profile(load(spark, d, "orders")))
 
 
@@ -99,6 +100,7 @@ def first_values_orders(spark, d):
 
 @query("row_count_lineitem", "SELECT count(*) AS n_rows FROM lineitem")
 def row_count_lineitem(spark, d):
+    """Number of records (answered from Parquet footers)."""
     return src.row_count(load(spark, d, "lineitem"))
 
 

@@ -118,6 +118,7 @@ def merge_size(spark, d):
 @query("merge_size_orders", _SIZE_SQL.format(lk="o_custkey", lt="orders", rk="c_custkey",
                                              rt="customer", pred="inner_rows + lo"))
 def merge_size_orders(spark, d):
+    """Exact left-join size of orders ⋈ customer (one-to-many)."""
     return mg.merge_size(load(spark, d, "orders"), load(spark, d, "customer"),
                          "o_custkey", "c_custkey", "left")
 
