@@ -134,8 +134,9 @@ def retention(spark, d):
     7 days before the newest event."""
     ev = load(spark, d, "events")
     sessions = ev.groupBy("user_id").agg(F.max(F.col("event_type") == "purchase").alias("completed"))
-    now = ev.agg(F.max("ts")).first()[0]
-    return tr.retention(ev, sessions, "user_id", "ts", "completed", F.lit(now), 7)
+    now = ev.agg(F.max("ts").cast("string")).first()[0]
+    # a wall-clock literal of the same type as ts: no session time zone involved
+    return tr.retention(ev, sessions, "user_id", "ts", "completed", F.lit(now).cast("timestamp_ntz"), 7)
 
 
 @query("register_if_changed", """
