@@ -100,12 +100,25 @@ def top_categories(df: DataFrame, column: str, k: int = 30) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(w)).crossJoin(n_cat)
 
 
-def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+def correlation_matrix(df: DataFrame, columns: list[str] | None = None, wide: int = 40) -> DataFrame:
     """Pearson correlation of every column pair (nulls dropped per pair),
     one aggregation, returned as the full matrix in long form (row, col, r)."""
     cols = columns or [f.name for f in df.schema.fields if kind_of(f.dataType) == NUMERIC]
     if len(cols) < 2:
         raise ValueError("correlation needs at least two numeric columns")
+    if len(cols) > wide:
+        nulls = df.agg(*[F.sum(_q(c).isNull().cast("long")).alias(f"z{i}") for i, c in enumerate(cols)]).first()
+        if not any(nulls[f"z{i}"] for i in range(len(cols))):
+            # wide and complete: one pass of MLlib's Gram-matrix correlation
+            # instead of k² pairwise aggregates (identical when nothing is null)
+            from pyspark.ml.feature import VectorAssembler
+            from pyspark.ml.stat import Correlation
+            vec = VectorAssembler(inputCols=cols, outputCol="__v").transform(
+                df.select(*[_q(c).cast("double").alias(c) for c in cols]))
+            m = Correlation.corr(vec, "__v").first()[0].toArray()
+            return df.sparkSession.createDataFrame(
+                [(a, b, float(m[i][j])) for i, a in enumerate(cols) for j, b in enumerate(cols)],
+                "row string, col string, r double")
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     one = df.agg(*[F.corr(_q(a).cast("double"), _q(b).cast("double")).alias(f"r{i}")
                    for i, (a, b) in enumerate(pairs)])

@@ -101,3 +101,15 @@ def test_polynomial_tool_errors(numeric):
     assert out is not None and "a^2" in out.columns and errs == ["column not found: missing"]
     none, errs = pp.create_polynomial_features(numeric, ["label"], 2)
     assert none is None and errs
+
+
+def test_wide_correlation_path_matches_pairwise(spark):
+    import numpy as np
+    from tessera.operators.explore import correlation_matrix
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 5))
+    x[:, 1] += x[:, 0]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"c{i} double" for i in range(5)))
+    a = {(r["row"], r["col"]): r["r"] for r in correlation_matrix(df).collect()}
+    b = {(r["row"], r["col"]): r["r"] for r in correlation_matrix(df, wide=2).collect()}
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
