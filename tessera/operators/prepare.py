@@ -13,7 +13,6 @@ from itertools import combinations, combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.functions.types import NUMERIC, kind_of
 from tessera.operators.quantiles import column_quantiles
@@ -456,7 +455,6 @@ class StepChain:
         cur = df
         for s in self.steps:
             if s.kind == "impute":
-                plan = {c: s.method for c in s.columns}
                 fills = {}
                 for c in s.columns:
                     if s.method == "mean":
@@ -471,7 +469,6 @@ class StepChain:
                         raise ValueError(f"step chain cannot replay {s.method!r}")
                 self.fitted.append(("impute", fills))
                 cur = self._impute(cur, fills)
-                del plan
             elif s.kind == "encode":
                 encs = [fit_encoder(cur, c, s.method) for c in s.columns]
                 self.fitted.append(("encode", encs))

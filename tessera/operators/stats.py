@@ -256,7 +256,6 @@ def summarize(results: DataFrame) -> DataFrame:
 def leakage(df: DataFrame, target: str, threshold: float = 0.95) -> DataFrame:
     """H8: numeric features with |corr(feature, target)| above ``threshold``
     (text target label-encoded); a missing target gives an empty result."""
-    from tessera.operators.explore import feature_ranking
     if target not in df.columns:
         return df.sparkSession.createDataFrame([], "feature string, abs_corr double")
     num = [f.name for f in df.schema.fields if kind_of(f.dataType) == NUMERIC and f.name != target]
@@ -271,6 +270,5 @@ def leakage(df: DataFrame, target: str, threshold: float = 0.95) -> DataFrame:
     one = df.agg(*[F.abs(F.corr(_q(c).cast("double"), y)).alias(f"r{i}") for i, c in enumerate(num)])
     cells = [F.struct(F.lit(c).alias("feature"), sround(F.col(f"r{i}"), 6).alias("abs_corr"))
              for i, c in enumerate(num)]
-    del feature_ranking
     return (one.select(F.explode(F.array(*cells)).alias("e")).select("e.*")
             .where(F.col("abs_corr") > threshold))
