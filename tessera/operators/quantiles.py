@@ -50,7 +50,8 @@ def quantiles_long(long: DataFrame, group: list[str], value: str, probs: list[fl
 
 
 def _select_ranks(x: DataFrame, n_cols: int, targets: dict[tuple[int, int], None], first,
-                  buckets: int, exact_max: int, max_passes: int) -> dict | None:
+                  buckets: int, exact_max: int, max_passes: int, exact_budget: int = 2_000_000,
+                  hist_budget: int = 1_000_000) -> dict | None:
     """Exact order statistics by histogram narrowing.
 
     ``targets`` are (column index, 0-based rank).  A *band* (lo, hi] of one
@@ -81,6 +82,15 @@ def _select_ranks(x: DataFrame, n_cols: int, targets: dict[tuple[int, int], None
         if not active:
             return found
         ids = {key: i for i, key in enumerate(sorted(active, key=str))}
+        # What reaches the driver per pass stays bounded whatever the column
+        # count: exact values only while their total fits ``exact_budget``,
+        # and the bucket count shrinks as bands multiply.
+        nb = max(16, min(buckets, hist_budget // max(1, len(ids))))
+        budget, exact_keys = exact_budget, set()
+        for key in sorted(ids, key=lambda k_: bands[k_]["cnt"]):
+            if bands[key]["cnt"] <= min(exact_max, budget):
+                exact_keys.add(key)
+                budget -= bands[key]["cnt"]
         exprs = []
         for key, bid in ids.items():
             ci, lo, hi = key
@@ -91,11 +101,12 @@ def _select_ranks(x: DataFrame, n_cols: int, targets: dict[tuple[int, int], None
             if hi is not None:
                 cond = cond & (v <= F.lit(hi))
             b = bands[key]
-            if b["cnt"] <= exact_max:
+            b["exact"] = key in exact_keys
+            if b["exact"]:
                 k = v
             else:
-                k = F.least(F.floor((v - F.lit(b["mn"])) * F.lit(buckets) / F.lit(b["mx"] - b["mn"])),
-                            F.lit(buckets - 1)).cast("double")
+                k = F.least(F.floor((v - F.lit(b["mn"])) * F.lit(nb) / F.lit(b["mx"] - b["mn"])),
+                            F.lit(nb - 1)).cast("double")
             exprs.append(F.when(cond, F.struct(F.lit(bid).alias("b"), k.alias("k"), v.alias("v"))))
         # explode + where stay in whole-stage codegen (a lambda filter would not)
         hits = x.select(F.explode(F.array(*exprs)).alias("h")).where(F.col("h").isNotNull())
@@ -114,8 +125,8 @@ def _select_ranks(x: DataFrame, n_cols: int, targets: dict[tuple[int, int], None
                 acc, prev_max = 0, key[1]
                 for k, n, mn, mx in hist:
                     if acc + n > need:
-                        if b["cnt"] <= exact_max or mn == mx:
-                            found[t] = mn if b["cnt"] > exact_max else k
+                        if b["exact"] or mn == mx:
+                            found[t] = k if b["exact"] else mn
                         else:
                             nk = (key[0], prev_max, mx)
                             bands.setdefault(nk, {"cnt": n, "below": b["below"] + acc, "mn": mn, "mx": mx})
@@ -128,7 +139,8 @@ def _select_ranks(x: DataFrame, n_cols: int, targets: dict[tuple[int, int], None
 
 def column_quantiles(df: DataFrame, columns: list[str], probs: list[float], method: str = "exact",
                      accuracy: int = 10000, buckets: int = 4096, exact_max: int = 65536,
-                     max_passes: int = 16) -> dict[str, list[float | None]]:
+                     max_passes: int = 16, exact_budget: int = 2_000_000,
+                     hist_budget: int = 1_000_000) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles of several columns; returns the
     few fitted numbers to the driver: {column: [q per prob]}.
 
@@ -158,7 +170,8 @@ def column_quantiles(df: DataFrame, columns: list[str], probs: list[float], meth
             plan[(i, j)] = (lo, hi, h - lo)
             targets[(i, lo)] = None
             targets[(i, hi)] = None
-    found = _select_ranks(x, len(columns), targets, first, buckets, exact_max, max_passes) if targets else {}
+    found = (_select_ranks(x, len(columns), targets, first, buckets, exact_max, max_passes,
+                           exact_budget, hist_budget) if targets else {})
     if found is None:
         return _column_quantiles_sorted(df, columns, probs)
     out = {}

@@ -44,3 +44,10 @@ def test_grouped(skewed):
 def test_all_null_column(spark):
     df = spark.createDataFrame([(None,), (None,)], "x double")
     assert column_quantiles(df, ["x"], [0.5]) == {"x": [None]}
+
+
+def test_driver_budgets(skewed):
+    df, a, b = skewed
+    got = column_quantiles(df, ["a", "b"], PROBS, exact_budget=40, hist_budget=64, max_passes=40)
+    assert np.allclose(got["a"], np.quantile(a, PROBS), rtol=0, atol=1e-9)
+    assert np.allclose(got["b"], np.quantile(b, PROBS), rtol=0, atol=1e-9)
