@@ -106,10 +106,10 @@ def pr_curve(df: DataFrame, label: str = "label", score: str = "score", positive
     (predict positive when score ≥ threshold)."""
     sc = _score_counts(df, label, score, positive)
     cum = running_sum(sc, [F.col("s").desc()], ["pos", "neg"])
-    tot = sc.agg(F.sum("pos").alias("P"))
-    j = cum.crossJoin(tot)
+    total_pos = sc.agg(F.sum("pos")).first()[0] or 0      # one number, applied as a literal
+    j = cum
     prec = F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))
-    rec = _safe_div(F.col("cum_pos"), F.col("P"))
+    rec = _safe_div(F.col("cum_pos"), F.lit(total_pos))
     return j.select(F.col("s").alias("threshold"), prec.alias("precision"), rec.alias("recall"),
                     _safe_div(2 * prec * rec, prec + rec).alias("f1"))
 

@@ -94,10 +94,10 @@ def top_categories(df: DataFrame, column: str, k: int = 30) -> DataFrame:
     """The ``k`` most frequent values (ties by value) plus the number of categories."""
     counts = df.where(_q(column).isNotNull()).groupBy(_q(column).alias("value")).agg(
         F.count(F.lit(1)).alias("count"))
-    n_cat = counts.agg(F.count(F.lit(1)).alias("n_categories"))
+    n_cat = counts.count()                                   # one number
     top = counts.orderBy(F.desc("count"), "value").limit(k)
     w = Window.orderBy(F.desc("count"), "value")  # over k rows only
-    return top.withColumn("rank", F.row_number().over(w)).crossJoin(n_cat)
+    return top.withColumn("rank", F.row_number().over(w)).withColumn("n_categories", F.lit(n_cat).cast("bigint"))
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None, wide: int = 40) -> DataFrame:

@@ -318,12 +318,12 @@ def value_overlap(a: DataFrame, a_col: str, b: DataFrame, b_col: str) -> DataFra
     as_text = kind_of(a.schema[a_col].dataType) != kind_of(b.schema[b_col].dataType)
     va = _q(a_col).cast("string") if as_text else _q(a_col)
     vb = _q(b_col).cast("string") if as_text else _q(b_col)
-    da = a.select(va.alias("v")).where(F.col("v").isNotNull()).distinct()
-    db = b.select(vb.alias("v")).where(F.col("v").isNotNull()).distinct()
-    na = da.agg(F.count(F.lit(1)).alias("n_left"))
-    nb = db.agg(F.count(F.lit(1)).alias("n_right"))
-    nc = da.intersect(db).agg(F.count(F.lit(1)).alias("n_common"))
-    one = na.crossJoin(nb).crossJoin(nc)
+    da = a.select(va.alias("v")).where(F.col("v").isNotNull()).distinct().withColumn("l", F.lit(1))
+    db = b.select(vb.alias("v")).where(F.col("v").isNotNull()).distinct().withColumn("r", F.lit(1))
+    # both distinct sets side by side: one full outer join, one aggregation
+    one = da.join(db, "v", "full").agg(
+        F.count("l").alias("n_left"), F.count("r").alias("n_right"),
+        F.count(F.when(F.col("l").isNotNull() & F.col("r").isNotNull(), 1)).alias("n_common"))
     small = F.least("n_left", "n_right")
     return one.select("n_left", "n_right", "n_common",
                       sround(F.when(small > 0, F.col("n_common") / small).otherwise(F.lit(0.0)), 6)

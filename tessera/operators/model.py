@@ -53,7 +53,10 @@ def split_random(df: DataFrame, target: str, keys: list[str], fractions=(0.7, 0.
     grp = [target] if stratify else []
     ranked = row_numbers(data, [F.col("__h"), *[_q(k) for k in keys]], grp, "__pos")
     counts = data.groupBy(*[_q(g) for g in grp]).agg(F.count(F.lit(1)).alias("__n"))
-    j = ranked.join(F.broadcast(counts), grp) if grp else ranked.crossJoin(F.broadcast(counts))
+    if grp:
+        j = ranked.join(F.broadcast(counts), grp)            # one row per class
+    else:
+        j = ranked.withColumn("__n", F.lit(counts.first()["__n"]))
     a, b = fractions[0], fractions[0] + fractions[1]
     split = (F.when(F.col("__pos") <= F.floor(F.col("__n") * a), "train")
              .when(F.col("__pos") <= F.floor(F.col("__n") * b), "validation").otherwise("test"))
@@ -218,7 +221,8 @@ def _metrics_for(pred: DataFrame, task: str) -> DataFrame:
     if task == "classification":
         m = ev.classification_metrics(pred, "label", "prediction")
         if "score" in pred.columns:
-            m = m.crossJoin(ev.roc_auc(pred, "label", "score"))
+            auc = ev.roc_auc(pred, "label", "score").first()["auc"]     # one number
+            m = m.withColumn("auc", F.lit(auc).cast("double"))
         else:
             m = m.withColumn("auc", F.lit(None).cast("double"))
         return m.withColumn("r2", F.lit(None).cast("double")).withColumn("rmse", F.lit(None).cast("double"))
@@ -351,15 +355,19 @@ def learning_curve(df: DataFrame, target: str, keys: list[str], model_type: str
 def model_card(tm: TrainedModel, metrics: DataFrame, data: DataFrame, target: str) -> DataFrame:
     """One row — parameters, test metrics, top-10 features, data summary
     and limitations (rows < 1000, columns > 100, fit status, imbalance)."""
-    imp = feature_importance(tm).limit(10).agg(F.collect_list("feature").alias("top_features"))
-    test = metrics.where((F.col("model_type") == tm.model_type) & (F.col("split") == "test")).select(
-        F.col("f1").alias("test_f1"), F.col("auc").alias("test_auc"), F.col("r2").alias("test_r2"))
-    trn = metrics.where((F.col("model_type") == tm.model_type) & (F.col("split") == "train")).select(
-        F.col("f1").alias("train_f1"))
     from tessera.operators.profile import class_balance
-    summ = data.agg(F.count(F.lit(1)).alias("n_rows")).crossJoin(
-        class_balance(data, target).select("class_balance"))
-    card = summ.crossJoin(imp).crossJoin(test).crossJoin(trn)
+    # the card's inputs are a handful of fitted numbers: gathered first
+    top = [r["feature"] for r in feature_importance(tm).limit(10).collect()]
+    mets = {r["split"]: r for r in metrics.where(F.col("model_type") == tm.model_type).collect()}
+    cb = class_balance(data, target).first()["class_balance"]
+    te, tr = mets.get("test"), mets.get("train")
+    card = data.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        "n_rows", F.lit(cb).cast("double").alias("class_balance"),
+        F.array(*[F.lit(t) for t in top]).cast("array<string>").alias("top_features"),
+        F.lit(te["f1"] if te else None).cast("double").alias("test_f1"),
+        F.lit(te["auc"] if te else None).cast("double").alias("test_auc"),
+        F.lit(te["r2"] if te else None).cast("double").alias("test_r2"),
+        F.lit(tr["f1"] if tr else None).cast("double").alias("train_f1"))
     n_cols = len(data.columns)
     lim = F.filter(F.array(
         F.when(F.col("n_rows") < 1000, F.lit("fewer than 1000 rows")),

@@ -189,9 +189,10 @@ def target_stats(df: DataFrame, target: str, max_classes: int = 10) -> DataFrame
     # The class map is built from at most max_classes + 1 groups (TakeOrdered),
     # so a high-cardinality target never lands whole in one task.
     few = (counts.where(F.col("cls").isNotNull()).orderBy("cls").limit(max_classes + 1)
-           .agg(F.map_from_entries(F.collect_list(
-               F.struct(F.col("cls").cast("string"), F.col("n")))).alias("_dist")))
-    return summary.crossJoin(few).select(
+           .select(F.col("cls").cast("string").alias("k"), "n").collect())
+    dist = (F.create_map(*[e for r in few for e in (F.lit(r["k"]), F.lit(r["n"]).cast("bigint"))])
+            if few else F.create_map()).cast("map<string,bigint>")
+    return summary.withColumn("_dist", dist).select(
         F.lit(target).alias("target"), F.lit(dt).alias("dtype"),
         F.col("n_distinct"),
         sround(F.col("n_null") * 100.0 / F.greatest(F.col("n_rows"), F.lit(1)), 2).alias("null_pct"),
@@ -215,7 +216,8 @@ def data_characteristics(df: DataFrame, target: str | None, high_card: int = 20)
                                            F.col("column_name")))).alias("high_cardinality"))
     if target is None:
         return base.withColumn("class_balance", F.lit(None).cast("double"))
-    return base.crossJoin(class_balance(df, target).select("class_balance"))
+    cb = class_balance(df, target).first()["class_balance"]   # one number
+    return base.withColumn("class_balance", F.lit(cb).cast("double"))
 
 
 def class_balance(df: DataFrame, target: str) -> DataFrame:

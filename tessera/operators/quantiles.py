@@ -33,8 +33,11 @@ def quantiles_long(long: DataFrame, group: list[str], value: str, probs: list[fl
     data = long.where(_q(value).isNotNull()).select(*[_q(g) for g in group], _q(value).cast("double").alias("__v"))
     counts = data.groupBy(*[_q(g) for g in group], "__v").agg(F.count(F.lit(1)).alias("__c"))
     cum = running_sum(counts, [F.col("__v")], ["__c"], group)
-    sizes = counts.groupBy(*[_q(g) for g in group]).agg(F.sum("__c").alias("__n"))
-    j = cum.join(sizes, group) if group else cum.crossJoin(sizes)
+    if group:
+        sizes = counts.groupBy(*[_q(g) for g in group]).agg(F.sum("__c").alias("__n"))
+        j = cum.join(sizes, group)
+    else:
+        j = cum.withColumn("__n", F.lit(counts.agg(F.sum("__c")).first()[0] or 0))
     lo_edge = F.col("cum___c") - F.col("__c")
     aggs = []
     for i, p in enumerate(probs):

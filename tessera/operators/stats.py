@@ -66,19 +66,38 @@ def chi_square_stats(df: DataFrame, a: str, b: str, yates: bool = True, max_leve
     for side, name in ((ra, a), (cb, b)):
         if side.limit(max_levels + 1).count() > max_levels:
             raise ValueError(f"{name} has more than {max_levels} levels")
-    cells = ra.crossJoin(F.broadcast(cb)).join(obs, ["a", "b"], "left").fillna(0, ["o"])
-    tot = obs.agg(F.sum("o").alias("N"), F.countDistinct("a").alias("ka"), F.countDistinct("b").alias("kb"))
-    j = cells.crossJoin(tot).withColumn("e", F.col("ra") * F.col("cb") / F.col("N"))
-    dof = (F.col("ka") - 1) * (F.col("kb") - 1)
-    dev = F.abs(F.col("o") - F.col("e"))
-    if yates:
-        dev = F.when(dof == 1, dev - F.least(F.lit(0.5), dev)).otherwise(dev)
-    s = j.groupBy("N", "ka", "kb").agg(F.sum(dev * dev / F.col("e")).alias("chi2"))
-    return s.select(
+    tot = obs.agg(F.sum("o").alias("n"), F.countDistinct("a").alias("ka"), F.countDistinct("b").alias("kb")).first()
+    n, ka, kb = tot["n"] or 0, tot["ka"], tot["kb"]
+    dof = (ka - 1) * (kb - 1)
+    detail = F.lit(f"{ka}x{kb}")
+    if yates and dof == 1:
+        # 2×2 table: at most four observed cells; the zero cells' Yates terms
+        # need every cell, so the ≤ 4 counts are finished on the driver
+        cells = {(r["a"], r["b"]): r["o"] for r in obs.collect()}
+        rows_ = {k[0] for k in cells}
+        cols_ = {k[1] for k in cells}
+        r_tot = {x: sum(v for (p, _), v in cells.items() if p == x) for x in rows_}
+        c_tot = {y: sum(v for (_, q), v in cells.items() if q == y) for y in cols_}
+        chi2 = 0.0
+        for x in rows_:
+            for y in cols_:
+                e = r_tot[x] * c_tot[y] / n
+                d = abs(cells.get((x, y), 0) - e)
+                d -= min(0.5, d)
+                chi2 += d * d / e
+        stat = F.lit(chi2)
+        base = obs.limit(1)
+    else:
+        # Σ over all cells (O−E)²/E = Σ over observed cells (O−E)²/E + (N − Σ observed E):
+        # zero cells contribute their E, so the level grid is never built
+        e = F.col("ra") * F.col("cb") / F.lit(n)
+        j = obs.join(ra, "a").join(cb, "b")
+        base = j.agg(F.sum((F.col("o") - e) * (F.col("o") - e) / e).alias("s"), F.sum(e).alias("se"))
+        stat = F.col("s") + (F.lit(float(n)) - F.col("se"))
+    return base.select(
         F.lit("chi_square").alias("test_type"), F.array(F.lit(a), F.lit(b)).alias("variables"),
-        F.col("chi2").alias("statistic"), ((F.col("ka") - 1) * (F.col("kb") - 1)).cast("double").alias("dof"),
-        F.lit(None).cast("double").alias("dof2"), F.col("N").cast("bigint").alias("n"),
-        F.concat(F.col("ka").cast("string"), F.lit("x"), F.col("kb").cast("string")).alias("detail"))
+        stat.cast("double").alias("statistic"), F.lit(float(dof)).alias("dof"),
+        F.lit(None).cast("double").alias("dof2"), F.lit(n).cast("bigint").alias("n"), detail.alias("detail"))
 
 
 def correlation_stats(df: DataFrame, x: str, y: str, method: str = "pearson") -> DataFrame:
@@ -104,18 +123,20 @@ def anova_stats(df: DataFrame, value: str, group: str) -> DataFrame:
     """H5: one-way ANOVA from per-group n, mean, variance."""
     g = (df.where(_q(value).isNotNull() & _q(group).isNotNull()).groupBy(_q(group))
          .agg(F.count(F.lit(1)).alias("n"), F.avg(_q(value)).alias("m"), F.var_samp(_q(value)).alias("v")))
+    # grand totals: three numbers, fitted first and applied as literals
     tot = g.agg(F.sum("n").alias("n_total"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("gm"),
-                F.count(F.lit(1)).alias("k_groups"))
-    j = g.crossJoin(tot)
-    s = j.groupBy("n_total", "k_groups").agg(
-        F.sum(F.col("n") * (F.col("m") - F.col("gm")) ** 2).alias("ssb"),
+                F.count(F.lit(1)).alias("k_groups")).first()
+    nt, gm, k = tot["n_total"] or 0, tot["gm"], tot["k_groups"]
+    s = g.agg(
+        F.sum(F.col("n") * (F.col("m") - F.lit(gm)) ** 2).alias("ssb"),
         F.sum(F.coalesce((F.col("n") - 1) * F.col("v"), F.lit(0.0))).alias("ssw"))
-    d1, d2 = F.col("k_groups") - 1, F.col("n_total") - F.col("k_groups")
+    d1, d2 = float(k - 1), float(nt - k)
+    stat = (F.col("ssb") / F.lit(d1)) / (F.col("ssw") / F.lit(d2)) if d1 > 0 and d2 > 0 else F.lit(None)
     return s.select(
         F.lit("anova").alias("test_type"), F.array(F.lit(value), F.lit(group)).alias("variables"),
-        ((F.col("ssb") / d1) / (F.col("ssw") / d2)).alias("statistic"), d1.cast("double").alias("dof"),
-        d2.cast("double").alias("dof2"), F.col("n_total").cast("bigint").alias("n"),
-        F.concat(F.col("k_groups").cast("string"), F.lit(" groups")).alias("detail"))
+        stat.cast("double").alias("statistic"), F.lit(d1).alias("dof"),
+        F.lit(d2).alias("dof2"), F.lit(nt).cast("bigint").alias("n"),
+        F.lit(f"{k} groups").alias("detail"))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -125,12 +125,11 @@ def table_info(spark: SparkSession, directory: str, names: list[str] | None = No
             continue
         df = read_table(spark, pth, normalise=False)
         cols = df.columns
-        counted = df.agg(F.count(F.lit(1)).alias("n_rows"))
-        sized = source_size(df)
-        parts.append(counted.crossJoin(sized).select(
+        size = source_size(df).first()["size_bytes"]          # one number per table
+        parts.append(df.agg(F.count(F.lit(1)).alias("n_rows")).select(
             F.lit(i).cast("bigint").alias("table_index"), F.lit(n).alias("table_name"),
             F.col("n_rows"), F.lit(len(cols)).cast("bigint").alias("n_columns"),
-            F.lit(",".join(cols)).alias("column_names"), F.col("size_bytes"),
+            F.lit(",".join(cols)).alias("column_names"), F.lit(size).cast("bigint").alias("size_bytes"),
             F.lit(is_multi).alias("is_multi")))
     out = parts[0]
     for p in parts[1:]:
