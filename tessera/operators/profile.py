@@ -31,6 +31,9 @@ def profile(df: DataFrame, string_minmax: bool = False, approx_distinct: bool =
     wide or very large tables.
     """
     fields = df.schema.fields
+    # exact distinct counts: one narrow branch per column, k numbers back
+    exact_nd = ({} if approx_distinct else
+                {r["__pos"]: r["__nd"] for r in distinct_counts(df).collect()})
     aggs = [F.count(F.lit(1)).alias("__rows")]
     cells = []
     for i, f in enumerate(fields):
@@ -50,19 +53,14 @@ def profile(df: DataFrame, string_minmax: bool = False, approx_distinct: bool =
             F.lit(f.name).alias("column_name"),
             F.lit(dtype_name(f.dataType)).alias("dtype"),
             F.col(f"__nn{i}").alias("non_null"),
-            (F.col(f"__nd{i}") if approx_distinct else F.lit(None)).cast("bigint").alias("unique_count"),
+            (F.col(f"__nd{i}") if approx_distinct else F.lit(exact_nd.get(i, 0))).cast("bigint")
+            .alias("unique_count"),
             (F.col(f"__mn{i}") if has_minmax else F.lit(None).cast("string")).alias("min_value"),
             (F.col(f"__mx{i}") if has_minmax else F.lit(None).cast("string")).alias("max_value"),
             (F.col(f"__av{i}") if kind == NUMERIC else F.lit(None).cast("double")).alias("mean_value"),
         ))
     one = df.agg(*aggs)
     rows = one.select(F.col("__rows"), F.explode(F.array(*cells)).alias("p"))
-    if not approx_distinct:
-        nd = distinct_counts(df)
-        rows = rows.join(F.broadcast(nd), F.col("p.position") == nd["__pos"]).select(
-            "__rows", F.struct(*[F.col(f"p.{n}") if n != "unique_count" else F.col("__nd").alias("unique_count")
-                                 for n in ("position", "column_name", "dtype", "non_null", "unique_count",
-                                           "min_value", "max_value", "mean_value")]).alias("p"))
     return rows.select(
         F.col("p.position").alias("position"),
         F.col("p.column_name").alias("column_name"),
