@@ -19,7 +19,7 @@ def _q(name: str):
 
 
 def profile(df: DataFrame, string_minmax: bool = False, approx_distinct: bool = False,
-            rsd: float = 0.01) -> DataFrame:
+            rsd: float = 0.01, known_distinct: dict[int, int] | None = None) -> DataFrame:
     """A1/A3: one row per column.
 
     Columns: position, column_name, dtype, null_count, null_pct (2 dp),
@@ -32,7 +32,7 @@ def profile(df: DataFrame, string_minmax: bool = False, approx_distinct: bool =
     """
     fields = df.schema.fields
     # exact distinct counts: one narrow branch per column, k numbers back
-    exact_nd = ({} if approx_distinct else
+    exact_nd = ({} if approx_distinct else known_distinct if known_distinct is not None else
                 {r["__pos"]: r["__nd"] for r in distinct_counts(df).collect()})
     aggs = [F.count(F.lit(1)).alias("__rows")]
     cells = []
@@ -160,9 +160,20 @@ def profile_with_samples(df: DataFrame, k: int = 5, **kw) -> DataFrame:
 
 def profile_tables(tables: dict[str, DataFrame], **kw) -> DataFrame:
     """A4: profiles of several tables, one plan, with a table column."""
+    known = {name: None for name in tables}
+    if not kw.get("approx_distinct"):
+        # every table's distinct counts in ONE job (a union of narrow branches)
+        parts = [distinct_counts(df).select(F.lit(name).alias("__t"), "__pos", "__nd")
+                 for name, df in tables.items()]
+        allnd = parts[0]
+        for p in parts[1:]:
+            allnd = allnd.unionByName(p)
+        known = {name: {} for name in tables}
+        for r in allnd.collect():
+            known[r["__t"]][r["__pos"]] = r["__nd"]
     out = None
     for name, df in tables.items():
-        p = profile(df, **kw).select(F.lit(name).alias("table_name"), "*")
+        p = profile(df, known_distinct=known[name], **kw).select(F.lit(name).alias("table_name"), "*")
         out = p if out is None else out.unionByName(p)
     return out
 
