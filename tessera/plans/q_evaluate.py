@@ -39,8 +39,8 @@ c AS (SELECT count(*) AS n, sum(CASE WHEN label = prediction THEN 1 ELSE 0 END)
              sum(CASE WHEN label = 1 AND prediction <> 1 THEN 1 ELSE 0 END) AS fn FROM sc),
 pr AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p,
               CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM c)
-SELECT round((CASE WHEN n > 0 THEN correct / n ELSE 0 END) * (1 + 1e-14), 4) AS accuracy, round((p) * (1 + 1e-14), 4) AS precision,
-       round((r) * (1 + 1e-14), 4) AS recall, round((CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END) * (1 + 1e-14), 4) AS f1 FROM pr""")
+SELECT round((CASE WHEN n > 0 THEN correct / n ELSE 0 END) + sign((CASE WHEN n > 0 THEN correct / n ELSE 0 END)) * 1e-7, 4) AS accuracy, round((p) + sign((p)) * 1e-7, 4) AS precision,
+       round((r) + sign((r)) * 1e-7, 4) AS recall, round((CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END) + sign((CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END)) * 1e-7, 4) AS f1 FROM pr""")
 def metrics(spark, d):
     """Binary accuracy / precision / recall / F1."""
     return ev.classification_metrics(scored(spark, d))
@@ -55,8 +55,8 @@ cls AS (SELECT coalesce(pl.label, pp.label) AS label, coalesce(support, 0) AS su
 m AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END AS p,
              CASE WHEN support > 0 THEN tp / support ELSE 0 END AS r FROM cls),
 f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM m)
-SELECT round((sum(tp) / sum(support)) * (1 + 1e-14), 4) AS accuracy, round((sum(p * support) / sum(support)) * (1 + 1e-14), 4) AS precision,
-       round((sum(r * support) / sum(support)) * (1 + 1e-14), 4) AS recall, round((sum(f * support) / sum(support)) * (1 + 1e-14), 4) AS f1 FROM f""")
+SELECT round((sum(tp) / sum(support)) + sign((sum(tp) / sum(support))) * 1e-7, 4) AS accuracy, round((sum(p * support) / sum(support)) + sign((sum(p * support) / sum(support))) * 1e-7, 4) AS precision,
+       round((sum(r * support) / sum(support)) + sign((sum(r * support) / sum(support))) * 1e-7, 4) AS recall, round((sum(f * support) / sum(support)) + sign((sum(f * support) / sum(support))) * 1e-7, 4) AS f1 FROM f""")
 def metrics_weighted(spark, d):
     """Support-weighted metrics."""
     return ev.classification_metrics(scored(spark, d), average="weighted")
@@ -67,7 +67,7 @@ g AS (SELECT score AS s, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS pos,
              sum(CASE WHEN label <> 1 THEN 1 ELSE 0 END) AS neg FROM sc GROUP BY 1),
 c AS (SELECT *, sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_neg FROM g)
 SELECT CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN
-  round((sum(pos * (cum_neg - neg) + 0.5 * pos * neg) / (sum(pos) * sum(neg))) * (1 + 1e-14), 4) END AS auc FROM c""")
+  round((sum(pos * (cum_neg - neg) + 0.5 * pos * neg) / (sum(pos) * sum(neg))) + sign((sum(pos * (cum_neg - neg) + 0.5 * pos * neg) / (sum(pos) * sum(neg)))) * 1e-7, 4) END AS auc FROM c""")
 def auc(spark, d):
     """Exact ROC-AUC with ties counted half."""
     return ev.roc_auc(scored(spark, d))
@@ -81,7 +81,7 @@ c AS (SELECT s, sum(pos) OVER (ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING
              sum(pos) OVER () AS P FROM g),
 m AS (SELECT s, cp / (cp + cn) AS p, CASE WHEN P > 0 THEN cp / P ELSE 0 END AS r FROM c),
 f AS (SELECT s, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f1 FROM m)
-SELECT s AS threshold, round((f1) * (1 + 1e-14), 4) AS f1 FROM f ORDER BY f1 DESC, s ASC LIMIT 1""")
+SELECT s AS threshold, round((f1) + sign((f1)) * 1e-7, 4) AS f1 FROM f ORDER BY f1 DESC, s ASC LIMIT 1""")
 def pr_threshold(spark, d):
     """F1-optimal threshold from the precision-recall curve."""
     return ev.optimal_threshold(scored(spark, d))
@@ -94,8 +94,8 @@ g AS (SELECT threshold, sum(CASE WHEN score >= threshold AND label = 1 THEN 1 EL
              sum(CASE WHEN score < threshold AND label = 1 THEN 1 ELSE 0 END) AS fn FROM sc, t GROUP BY 1),
 m AS (SELECT threshold, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p,
              CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r FROM g),
-sw AS (SELECT threshold, round((p) * (1 + 1e-14), 4) AS precision, round((r) * (1 + 1e-14), 4) AS recall,
-              round((CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END) * (1 + 1e-14), 4) AS f1 FROM m)"""
+sw AS (SELECT threshold, round((p) + sign((p)) * 1e-7, 4) AS precision, round((r) + sign((r)) * 1e-7, 4) AS recall,
+              round((CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END) + sign((CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END)) * 1e-7, 4) AS f1 FROM m)"""
 
 
 @query("threshold_sweep", _SWEEP_SQL + " SELECT * FROM sw")
@@ -111,16 +111,16 @@ def threshold_for_recall(spark, d):
 
 
 @query("calibration", SCORED_SQL + """
-SELECT CAST(least(greatest(ceil(score * 10) - 1, 0), 9) AS INTEGER) AS bin, round((avg(score)) * (1 + 1e-14), 6) AS mean_predicted,
-       round((avg(label)) * (1 + 1e-14), 6) AS fraction_positive, count(*) AS count FROM sc GROUP BY 1""")
+SELECT CAST(least(greatest(ceil(score * 10) - 1, 0), 9) AS INTEGER) AS bin, round((avg(score)) + sign((avg(score))) * 1e-9, 6) AS mean_predicted,
+       round((avg(label)) + sign((avg(label))) * 1e-9, 6) AS fraction_positive, count(*) AS count FROM sc GROUP BY 1""")
 def calibration(spark, d):
     """10-bin reliability curve (right-closed bins)."""
     return ev.calibration(scored(spark, d))[1]
 
 
 @query("brier", SCORED_SQL + """
-SELECT round((avg((score - label) * (score - label))) * (1 + 1e-14), 6) AS brier,
-       round((avg((score - label) * (score - label))) * (1 + 1e-14), 6) < 0.1 AS well_calibrated FROM sc""")
+SELECT round((avg((score - label) * (score - label))) + sign((avg((score - label) * (score - label)))) * 1e-9, 6) AS brier,
+       round((avg((score - label) * (score - label))) + sign((avg((score - label) * (score - label)))) * 1e-9, 6) < 0.1 AS well_calibrated FROM sc""")
 def brier(spark, d):
     """Brier score."""
     return ev.calibration(scored(spark, d))[0]
@@ -128,8 +128,9 @@ def brier(spark, d):
 
 @query("regression_metrics", """
 SELECT round((1 - sum((o_totalprice - p) * (o_totalprice - p)) /
-             (sum(o_totalprice * o_totalprice) - sum(o_totalprice) * sum(o_totalprice) / count(*))) * (1 + 1e-14), 4) AS r2,
-       round((sqrt(sum((o_totalprice - p) * (o_totalprice - p)) / count(*))) * (1 + 1e-14), 4) AS rmse
+             (sum(o_totalprice * o_totalprice) - sum(o_totalprice) * sum(o_totalprice) / count(*))) + sign((1 - sum((o_totalprice - p) * (o_totalprice - p)) /
+             (sum(o_totalprice * o_totalprice) - sum(o_totalprice) * sum(o_totalprice) / count(*)))) * 1e-7, 4) AS r2,
+       round((sqrt(sum((o_totalprice - p) * (o_totalprice - p)) / count(*))) + sign((sqrt(sum((o_totalprice - p) * (o_totalprice - p)) / count(*)))) * 1e-7, 4) AS rmse
 FROM (SELECT o_totalprice, o_totalprice * 0.9 + 1000 AS p FROM orders)""")
 def regression_metrics(spark, d):
     """R² and RMSE of a fixed linear prediction of the order total."""

@@ -17,10 +17,10 @@ b AS (SELECT CAST(least(floor((l_extendedprice - mn) * 50 / (mx - mn)), 49) AS I
       FROM lineitem, s WHERE l_extendedprice IS NOT NULL),
 c AS (SELECT bin, count(*) AS cnt FROM b GROUP BY bin),
 g AS (SELECT CAST(range AS INTEGER) AS bin FROM range(50))
-SELECT g.bin, round((mn + g.bin * ((mx - mn) / 50)) * (1 + 1e-14), 6) AS lower,
-       round((mn + (g.bin + 1) * ((mx - mn) / 50)) * (1 + 1e-14), 6) AS upper,
+SELECT g.bin, round((mn + g.bin * ((mx - mn) / 50)) + sign((mn + g.bin * ((mx - mn) / 50))) * 1e-9, 6) AS lower,
+       round((mn + (g.bin + 1) * ((mx - mn) / 50)) + sign((mn + (g.bin + 1) * ((mx - mn) / 50))) * 1e-9, 6) AS upper,
        CAST(coalesce(cnt, 0) AS BIGINT) AS count,
-       round((coalesce(cnt, 0) / (n * ((mx - mn) / 50))) * (1 + 1e-14), 6) AS density
+       round((coalesce(cnt, 0) / (n * ((mx - mn) / 50))) + sign((coalesce(cnt, 0) / (n * ((mx - mn) / 50)))) * 1e-9, 6) AS density
 FROM g LEFT JOIN c ON g.bin = c.bin, s""", headline=True)
 def histogram_price(spark, d):
     """A5: 50-bin histogram of the extended price."""
@@ -35,9 +35,10 @@ b AS (SELECT least(floor((l_quantity - mn) * 4096 / (mx - mn)), 4095) AS b, coun
       FROM lineitem, p WHERE l_quantity IS NOT NULL GROUP BY 1),
 bc AS (SELECT mn + (b + 0.5) * w AS xc, c FROM b, p),
 g AS (SELECT range AS g FROM range(300))
-SELECT CAST(g AS INTEGER) AS grid_index, round((mn + g * step) * (1 + 1e-14), 6) AS x,
+SELECT CAST(g AS INTEGER) AS grid_index, round((mn + g * step) + sign((mn + g * step)) * 1e-9, 6) AS x,
        round((sum(c * exp(-0.5 * ((mn + g * step - xc) / bw) * ((mn + g * step - xc) / bw)))
-             / (n * bw * sqrt(2 * pi()))) * (1 + 1e-14), 6) AS density
+             / (n * bw * sqrt(2 * pi()))) + sign((sum(c * exp(-0.5 * ((mn + g * step - xc) / bw) * ((mn + g * step - xc) / bw)))
+             / (n * bw * sqrt(2 * pi())))) * 1e-9, 6) AS density
 FROM g, bc, p GROUP BY g, mn, step, n, bw""")
 def kde_quantity(spark, d):
     """Gaussian density of quantity on 300 grid points."""
@@ -45,8 +46,8 @@ def kde_quantity(spark, d):
 
 
 @query("summary_price", """
-SELECT count(l_extendedprice) AS n, round((avg(l_extendedprice)) * (1 + 1e-14), 6) AS mean,
-       round((stddev_samp(l_extendedprice)) * (1 + 1e-14), 6) AS std FROM lineitem""")
+SELECT count(l_extendedprice) AS n, round((avg(l_extendedprice)) + sign((avg(l_extendedprice))) * 1e-9, 6) AS mean,
+       round((stddev_samp(l_extendedprice)) + sign((stddev_samp(l_extendedprice))) * 1e-9, 6) AS std FROM lineitem""")
 def summary_price(spark, d):
     """N, mean, sample deviation (rounded to 6 places)."""
     return round_doubles(ex.summary(load(spark, d, "lineitem"), "l_extendedprice"))
@@ -66,7 +67,7 @@ _CORR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 @query("corr_matrix", " UNION ALL ".join(
-    [f"SELECT '{a}' AS row, '{b}' AS col, round((corr({a}, {b})) * (1 + 1e-14), 6) AS r FROM lineitem"
+    [f"SELECT '{a}' AS row, '{b}' AS col, round((corr({a}, {b})) + sign((corr({a}, {b}))) * 1e-9, 6) AS r FROM lineitem"
      for a in _CORR_COLS for b in _CORR_COLS if a != b]
     + [f"SELECT '{a}' AS row, '{a}' AS col, 1.0::DOUBLE AS r" for a in _CORR_COLS]))
 def corr_matrix(spark, d):
@@ -76,10 +77,10 @@ def corr_matrix(spark, d):
 
 @query("feature_rank", """
 WITH r AS (
-  SELECT 'l_quantity' AS feature, least(round((abs(corr(l_quantity, l_extendedprice))) * (1 + 1e-14), 3), 1.0) AS score FROM lineitem
-  UNION ALL SELECT 'l_discount', least(round((abs(corr(l_discount, l_extendedprice))) * (1 + 1e-14), 3), 1.0) FROM lineitem
-  UNION ALL SELECT 'l_tax', least(round((abs(corr(l_tax, l_extendedprice))) * (1 + 1e-14), 3), 1.0) FROM lineitem
-  UNION ALL SELECT 'l_linenumber', least(round((abs(corr(l_linenumber, l_extendedprice))) * (1 + 1e-14), 3), 1.0) FROM lineitem
+  SELECT 'l_quantity' AS feature, least(round((abs(corr(l_quantity, l_extendedprice))) + sign((abs(corr(l_quantity, l_extendedprice)))) * 1e-6, 3), 1.0) AS score FROM lineitem
+  UNION ALL SELECT 'l_discount', least(round((abs(corr(l_discount, l_extendedprice))) + sign((abs(corr(l_discount, l_extendedprice)))) * 1e-6, 3), 1.0) FROM lineitem
+  UNION ALL SELECT 'l_tax', least(round((abs(corr(l_tax, l_extendedprice))) + sign((abs(corr(l_tax, l_extendedprice)))) * 1e-6, 3), 1.0) FROM lineitem
+  UNION ALL SELECT 'l_linenumber', least(round((abs(corr(l_linenumber, l_extendedprice))) + sign((abs(corr(l_linenumber, l_extendedprice)))) * 1e-6, 3), 1.0) FROM lineitem
   UNION ALL SELECT 'l_linestatus', 0.3)
 SELECT feature, coalesce(score, 0.0) AS score, coalesce(score, 0.0) > 0.01 AS included FROM r""")
 def feature_rank(spark, d):
@@ -95,9 +96,9 @@ WITH q AS (SELECT l_returnflag AS "group", count(*) AS n,
                   quantile_cont(l_extendedprice, 0.75) AS q3
            FROM lineitem WHERE l_extendedprice IS NOT NULL AND l_returnflag IS NOT NULL GROUP BY 1),
 j AS (SELECT q.*, l.l_extendedprice AS x FROM q JOIN lineitem l ON l.l_returnflag = q."group")
-SELECT "group", n, round((q1) * (1 + 1e-14), 6) AS q1, round((median) * (1 + 1e-14), 6) AS median, round((q3) * (1 + 1e-14), 6) AS q3,
-  round((min(CASE WHEN x >= q1 - 1.5 * (q3 - q1) THEN x END)) * (1 + 1e-14), 6) AS whisker_low,
-  round((max(CASE WHEN x <= q3 + 1.5 * (q3 - q1) THEN x END)) * (1 + 1e-14), 6) AS whisker_high,
+SELECT "group", n, round((q1) + sign((q1)) * 1e-9, 6) AS q1, round((median) + sign((median)) * 1e-9, 6) AS median, round((q3) + sign((q3)) * 1e-9, 6) AS q3,
+  round((min(CASE WHEN x >= q1 - 1.5 * (q3 - q1) THEN x END)) + sign((min(CASE WHEN x >= q1 - 1.5 * (q3 - q1) THEN x END))) * 1e-9, 6) AS whisker_low,
+  round((max(CASE WHEN x <= q3 + 1.5 * (q3 - q1) THEN x END)) + sign((max(CASE WHEN x <= q3 + 1.5 * (q3 - q1) THEN x END))) * 1e-9, 6) AS whisker_high,
   CAST(sum(CASE WHEN x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1) THEN 1 ELSE 0 END) AS BIGINT) AS n_outliers
 FROM j GROUP BY "group", n, q1, median, q3""")
 def box_by_flag(spark, d):
@@ -108,7 +109,7 @@ def box_by_flag(spark, d):
 @query("crosstab_flag_status", """
 WITH c AS (SELECT l_returnflag AS row_value, l_linestatus AS col_value, count(*) AS count
            FROM lineitem WHERE l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY 1, 2)
-SELECT row_value, col_value, count, round((count / sum(count) OVER (PARTITION BY row_value)) * (1 + 1e-14), 6) AS share FROM c""")
+SELECT row_value, col_value, count, round((count / sum(count) OVER (PARTITION BY row_value)) + sign((count / sum(count) OVER (PARTITION BY row_value))) * 1e-9, 6) AS share FROM c""")
 def crosstab_flag_status(spark, d):
     """Row-normalised cross-tab of return flag by line status."""
     return round_doubles(ex.crosstab(load(spark, d, "lineitem"), "l_returnflag", "l_linestatus"))
@@ -141,10 +142,10 @@ o AS (SELECT
    count(*) - count(l_quantity) AS na, count(*) - count(l_extendedprice) AS nb, count(*) - count(l_discount) AS nc,
    count(*) - count(l_returnflag) AS nd, count(*) - count(l_orderkey) AS ne
    FROM lineitem, q)
-SELECT 'l_quantity' AS column_name, round((oa * 100.0 / n) * (1 + 1e-14), 4)::DOUBLE AS outlier_pct, da <= 1 AS is_constant,
+SELECT 'l_quantity' AS column_name, round((oa * 100.0 / n) + sign((oa * 100.0 / n)) * 1e-7, 4)::DOUBLE AS outlier_pct, da <= 1 AS is_constant,
        na * 100.0 / n > 30 AS high_nulls, da = n AND na = 0 AS is_grain FROM o
-UNION ALL SELECT 'l_extendedprice', round((ob * 100.0 / n) * (1 + 1e-14), 4)::DOUBLE, db <= 1, nb * 100.0 / n > 30, db = n AND nb = 0 FROM o
-UNION ALL SELECT 'l_discount', round((oc * 100.0 / n) * (1 + 1e-14), 4)::DOUBLE, dc <= 1, nc * 100.0 / n > 30, dc = n AND nc = 0 FROM o
+UNION ALL SELECT 'l_extendedprice', round((ob * 100.0 / n) + sign((ob * 100.0 / n)) * 1e-7, 4)::DOUBLE, db <= 1, nb * 100.0 / n > 30, db = n AND nb = 0 FROM o
+UNION ALL SELECT 'l_discount', round((oc * 100.0 / n) + sign((oc * 100.0 / n)) * 1e-7, 4)::DOUBLE, dc <= 1, nc * 100.0 / n > 30, dc = n AND nc = 0 FROM o
 UNION ALL SELECT 'l_returnflag', NULL::DOUBLE, dd <= 1, nd * 100.0 / n > 30, dd = n AND nd = 0 FROM o
 UNION ALL SELECT 'l_orderkey', NULL::DOUBLE, de <= 1, ne * 100.0 / n > 30, de = n AND ne = 0 FROM o""")
 def quality_flags(spark, d):
@@ -157,7 +158,7 @@ def quality_flags(spark, d):
 @query("target_stats", """
 WITH c AS (SELECT quality AS cls, count(*) AS n FROM labels GROUP BY 1)
 SELECT 'quality' AS target, 'int' AS dtype, count(cls) AS n_distinct,
-       round((coalesce(sum(CASE WHEN cls IS NULL THEN n END), 0) * 100.0 / sum(n)) * (1 + 1e-14), 2)::DOUBLE AS null_pct,
+       round((coalesce(sum(CASE WHEN cls IS NULL THEN n END), 0) * 100.0 / sum(n)) + sign((coalesce(sum(CASE WHEN cls IS NULL THEN n END), 0) * 100.0 / sum(n))) * 1e-5, 2)::DOUBLE AS null_pct,
        CASE WHEN count(cls) <= 10 THEN map_from_entries(list((CAST(cls AS VARCHAR), n) ORDER BY cls)
             FILTER (WHERE cls IS NOT NULL)) END AS class_counts
 FROM c""")
@@ -168,7 +169,7 @@ def target_stats(spark, d):
 
 @query("base_rate", """
 WITH c AS (SELECT quality, count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY 1)
-SELECT CASE WHEN count(*) = 2 THEN round((min(n) / sum(n)) * (1 + 1e-14), 6) ELSE 0.25 END AS base_rate FROM c""")
+SELECT CASE WHEN count(*) = 2 THEN round((min(n) / sum(n)) + sign((min(n) / sum(n))) * 1e-9, 6) ELSE 0.25 END AS base_rate FROM c""")
 def base_rate(spark, d):
     """Share of the smaller class."""
     return ex.base_rate(load(spark, d, "labels"), "quality")
@@ -176,7 +177,7 @@ def base_rate(spark, d):
 
 @query("class_balance", """
 WITH c AS (SELECT toxic, count(*) AS n FROM labels WHERE toxic IS NOT NULL GROUP BY 1)
-SELECT count(*) AS n_classes, min(n) AS minority, max(n) AS majority, round((min(n) / max(n)) * (1 + 1e-14), 6) AS class_balance FROM c""")
+SELECT count(*) AS n_classes, min(n) AS minority, max(n) AS majority, round((min(n) / max(n)) + sign((min(n) / max(n))) * 1e-9, 6) AS class_balance FROM c""")
 def class_balance(spark, d):
     """Minority / majority ratio of the toxic label."""
     return prof.class_balance(load(spark, d, "labels"), "toxic")
@@ -189,7 +190,7 @@ WITH p AS (
   UNION ALL SELECT 'l_extendedprice', 'double', count(DISTINCT l_extendedprice) FROM lineitem
   UNION ALL SELECT 'l_linestatus', 'string', count(DISTINCT l_linestatus) FROM lineitem
   UNION ALL SELECT 'l_shipdate', 'timestamp_ntz', count(DISTINCT l_shipdate) FROM lineitem),
-cb AS (SELECT round((min(n) / max(n)) * (1 + 1e-14), 6) AS class_balance
+cb AS (SELECT round((min(n) / max(n)) + sign((min(n) / max(n))) * 1e-9, 6) AS class_balance
        FROM (SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1))
 SELECT (SELECT count(*) FROM lineitem) AS n_rows, count(*) AS n_features,
   CAST(sum(CASE WHEN t IN ('bigint', 'double') THEN 1 ELSE 0 END) AS BIGINT) AS n_numeric,
@@ -205,7 +206,7 @@ def data_characteristics(spark, d):
 
 
 @query("group_means", """
-SELECT o_orderpriority, round((avg(o_totalprice)) * (1 + 1e-14), 6) AS mean_o_totalprice, count(*) AS n
+SELECT o_orderpriority, round((avg(o_totalprice)) + sign((avg(o_totalprice))) * 1e-9, 6) AS mean_o_totalprice, count(*) AS n
 FROM orders GROUP BY 1""")
 def group_means(spark, d):
     """Mean total price per priority."""
@@ -238,7 +239,7 @@ UNION ALL SELECT 'value_txt', 'string', 'float', 'values are mostly decimals sto
 UNION ALL SELECT 'day_txt', 'string', 'datetime', 'values look like dates or times', 1.0
 UNION ALL SELECT 'event_type', 'string', 'category',
        'low cardinality (' || (SELECT count(DISTINCT event_type) FROM e) || ' distinct values)',
-       round((1 - (SELECT count(DISTINCT event_type) FROM e) / (SELECT count(*) FROM e)) * (1 + 1e-14), 3)
+       round((1 - (SELECT count(DISTINCT event_type) FROM e) / (SELECT count(*) FROM e)) + sign((1 - (SELECT count(DISTINCT event_type) FROM e) / (SELECT count(*) FROM e))) * 1e-6, 3)
 UNION ALL SELECT 'value_floor', 'double', 'int', 'all non-null values are whole numbers', 0.95""")
 def suggest_types_events(spark, d):
     """D3: value-based type suggestions on text renderings of event columns."""
@@ -309,7 +310,7 @@ def json_props(spark, d):
 
 @query("log_shift", """
 WITH m AS (SELECT min(c_acctbal) AS mn FROM customer)
-SELECT c_custkey, round((ln(1 + c_acctbal + CASE WHEN mn <= 0 THEN abs(mn) + 1 ELSE 0 END)) * (1 + 1e-14), 6) AS c_acctbal_log
+SELECT c_custkey, round((ln(1 + c_acctbal + CASE WHEN mn <= 0 THEN abs(mn) + 1 ELSE 0 END)) + sign((ln(1 + c_acctbal + CASE WHEN mn <= 0 THEN abs(mn) + 1 ELSE 0 END))) * 1e-9, 6) AS c_acctbal_log
 FROM customer, m""")
 def log_shift(spark, d):
     """log(1 + x) with the shift that makes the minimum positive."""

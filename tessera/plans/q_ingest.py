@@ -38,11 +38,12 @@ def profile_sql(table: str, cols, source: str | None = None, string_minmax: bool
             f"{i} AS position, '{c}' AS column_name, '{dt}' AS dtype, "
             f"CAST(count(*) - count({c}) AS BIGINT) AS null_count, "
             f"round((CASE WHEN count(*) > 0 THEN CAST(count(*) - count({c}) AS DOUBLE) * 100 / count(*) "
-            f"ELSE 0 END) * (1 + 1e-14), 2) AS null_pct, "
+            f"ELSE 0 END) + sign((CASE WHEN count(*) > 0 THEN CAST(count(*) - count({c}) AS DOUBLE) * 100 / count(*) "
+            f"ELSE 0 END)) * 1e-5, 2) AS null_pct, "
             f"CAST(count(DISTINCT {c}) AS BIGINT) AS unique_count, "
             + (f"CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value, "
                if mm else "CAST(NULL AS VARCHAR) AS min_value, CAST(NULL AS VARCHAR) AS max_value, ")
-            + (f"round((avg({c})) * (1 + 1e-14), 6) AS mean_value, " if kind == "num"
+            + (f"round((avg({c})) + sign((avg({c}))) * 1e-9, 6) AS mean_value, " if kind == "num"
                else "CAST(NULL AS DOUBLE) AS mean_value, ")
             + f"count(*) AS row_count FROM {src_}")
     return "\nUNION ALL\n".join(parts)
@@ -166,7 +167,7 @@ FROM events"""
 @query("null_report", f"""
 WITH e AS ({EVENTS_NULLS_SQL}), p AS (
   {' UNION ALL '.join(f"SELECT '{c}' AS column_name, CAST(count(*) - count({c}) AS BIGINT) AS null_count, "
-                      f"round((CAST(count(*) - count({c}) AS DOUBLE) * 100 / count(*)) * (1 + 1e-14), 2) AS null_pct FROM e"
+                      f"round((CAST(count(*) - count({c}) AS DOUBLE) * 100 / count(*)) + sign((CAST(count(*) - count({c}) AS DOUBLE) * 100 / count(*))) * 1e-5, 2) AS null_pct FROM e"
                       for c in ('event_id', 'ts', 'user_id', 'event_type', 'value', 'props'))})
 SELECT column_name, null_count, null_pct, null_pct > 30 AS high_nulls FROM p""")
 def null_report(spark, d):
@@ -213,7 +214,7 @@ def project_features(spark, d):
 
 
 @query("long_export", """
-WITH m AS (SELECT l_returnflag AS k, count(*) AS n_rows, round((avg(l_extendedprice)) * (1 + 1e-14), 6) AS mean_price
+WITH m AS (SELECT l_returnflag AS k, count(*) AS n_rows, round((avg(l_extendedprice)) + sign((avg(l_extendedprice))) * 1e-9, 6) AS mean_price
            FROM lineitem GROUP BY 1),
 p AS (SELECT o_orderpriority AS k, count(*) AS n_rows FROM orders GROUP BY 1)
 SELECT 'lineitem_by_flag' AS section, k || '.n_rows' AS key, CAST(n_rows AS VARCHAR) AS value FROM m

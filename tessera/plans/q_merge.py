@@ -41,10 +41,10 @@ def _detect_sql() -> str:
 WITH s AS ({' UNION ALL '.join(parts)}),
 m AS (SELECT *, CASE WHEN least(ld, rd) > 0 THEN nc / least(ld, rd) ELSE 0 END AS ov,
              ld / greatest(lr, 1) AS ul, rd / greatest(rr, 1) AS ur FROM s)
-SELECT plan_id, left_table, left_key, right_table, right_key, round((name_similarity) * (1 + 1e-14), 6) AS name_similarity,
+SELECT plan_id, left_table, left_key, right_table, right_key, round((name_similarity) + sign((name_similarity)) * 1e-9, 6) AS name_similarity,
   CASE WHEN ul > 0.9 AND ur > 0.9 THEN 'inner' ELSE 'left' END AS merge_type,
-  round((0.3 * name_similarity + 0.5 * ov + 0.2 * greatest(ul, ur)) * (1 + 1e-14), 3) AS confidence,
-  round((ov) * (1 + 1e-14), 6) AS value_overlap, round((ul) * (1 + 1e-14), 6) AS left_uniqueness, round((ur) * (1 + 1e-14), 6) AS right_uniqueness,
+  round((0.3 * name_similarity + 0.5 * ov + 0.2 * greatest(ul, ur)) + sign((0.3 * name_similarity + 0.5 * ov + 0.2 * greatest(ul, ur))) * 1e-6, 3) AS confidence,
+  round((ov) + sign((ov)) * 1e-9, 6) AS value_overlap, round((ul) + sign((ul)) * 1e-9, 6) AS left_uniqueness, round((ur) + sign((ur)) * 1e-9, 6) AS right_uniqueness,
   printf('Name similarity: %.0f%%; Value overlap: %.0f%%; Uniqueness L: %.0f%%, R: %.0f%%',
          name_similarity * 100, ov * 100, ul * 100, ur * 100) AS rationale
 FROM m WHERE ov >= 0.1"""
@@ -82,7 +82,9 @@ SELECT (SELECT count(*) FROM a) AS n_left, (SELECT count(*) FROM b) AS n_right,
        (SELECT count(*) FROM c) AS n_common,
        round((CASE WHEN least((SELECT count(*) FROM a), (SELECT count(*) FROM b)) > 0
              THEN (SELECT count(*) FROM c) / least((SELECT count(*) FROM a), (SELECT count(*) FROM b))
-             ELSE 0 END) * (1 + 1e-14), 6) AS overlap""")
+             ELSE 0 END) + sign((CASE WHEN least((SELECT count(*) FROM a), (SELECT count(*) FROM b)) > 0
+             THEN (SELECT count(*) FROM c) / least((SELECT count(*) FROM a), (SELECT count(*) FROM b))
+             ELSE 0 END)) * 1e-9, 6) AS overlap""")
 def value_overlap(spark, d):
     """Overlap of the distinct order-customer keys."""
     return mg.value_overlap(load(spark, d, "orders"), "o_custkey", load(spark, d, "customer"), "c_custkey")
@@ -176,7 +178,7 @@ def merge_summary_orders(spark, d):
 
 
 @query("category_mean_lookup", """
-SELECT o.*, round((avg(o_totalprice) OVER (PARTITION BY o_orderpriority)) * (1 + 1e-14), 6) AS o_orderpriority_mean
+SELECT o.*, round((avg(o_totalprice) OVER (PARTITION BY o_orderpriority)) + sign((avg(o_totalprice) OVER (PARTITION BY o_orderpriority))) * 1e-9, 6) AS o_orderpriority_mean
 FROM orders o""")
 def category_mean_lookup(spark, d):
     """Per-category mean attached to every row by a join on the

@@ -60,7 +60,7 @@ def split_counts(spark, d):
 @query("class_weights", """
 WITH c AS (SELECT toxic, count(*) AS n FROM labels GROUP BY 1),
 s AS (SELECT sum(n) AS n_all, count(*) AS k, min(n) AS mn, max(n) AS mx FROM c)
-SELECT l.doc_id, l.toxic, round((CASE WHEN mn / mx < 0.2 THEN n_all / (k * c.n) ELSE 1.0 END) * (1 + 1e-14), 6) AS weight
+SELECT l.doc_id, l.toxic, round((CASE WHEN mn / mx < 0.2 THEN n_all / (k * c.n) ELSE 1.0 END) + sign((CASE WHEN mn / mx < 0.2 THEN n_all / (k * c.n) ELSE 1.0 END)) * 1e-9, 6) AS weight
 FROM labels l JOIN c ON l.toxic = c.toxic, s""")
 def class_weights(spark, d):
     """M4: balanced class weights for the imbalanced toxic label."""

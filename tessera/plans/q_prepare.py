@@ -19,14 +19,14 @@ def impute_drop(spark, d):
 
 
 @query("impute_mean", f"""{_EV}
-SELECT {_EV_COLS}, event_type, round((coalesce(value, (SELECT avg(value) FROM e))) * (1 + 1e-14), 6) AS value, props FROM e""")
+SELECT {_EV_COLS}, event_type, round((coalesce(value, (SELECT avg(value) FROM e))) + sign((coalesce(value, (SELECT avg(value) FROM e)))) * 1e-9, 6) AS value, props FROM e""")
 def impute_mean(spark, d):
     """Mean fill."""
     return round_doubles(pp.handle_missing(_events_with_nulls(spark, d), {"value": "mean"})[0])
 
 
 @query("impute_median", f"""{_EV}
-SELECT {_EV_COLS}, event_type, round((coalesce(value, (SELECT quantile_cont(value, 0.5) FROM e))) * (1 + 1e-14), 6) AS value,
+SELECT {_EV_COLS}, event_type, round((coalesce(value, (SELECT quantile_cont(value, 0.5) FROM e))) + sign((coalesce(value, (SELECT quantile_cont(value, 0.5) FROM e)))) * 1e-9, 6) AS value,
        props FROM e""")
 def impute_median(spark, d):
     """Exact median fill."""
@@ -86,7 +86,7 @@ def impute_ffill_global(spark, d):
 m AS (SELECT event_type AS v FROM e WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, v LIMIT 1),
 p AS (SELECT props AS v FROM e WHERE props IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, v LIMIT 1)
 SELECT {_EV_COLS}, coalesce(event_type, (SELECT v FROM m)) AS event_type,
-  round((coalesce(value, (SELECT quantile_cont(value, 0.5) FROM e))) * (1 + 1e-14), 6) AS value,
+  round((coalesce(value, (SELECT quantile_cont(value, 0.5) FROM e))) + sign((coalesce(value, (SELECT quantile_cont(value, 0.5) FROM e)))) * 1e-9, 6) AS value,
   coalesce(props, (SELECT v FROM p)) AS props FROM e""")
 def impute_plan(spark, d):
     """Default plan (numeric → median, other → mode) applied in order."""
@@ -127,7 +127,7 @@ def encode_ordinal(spark, d):
 
 
 @query("encode_target", """
-SELECT c_custkey, round((avg(c_acctbal) OVER (PARTITION BY c_mktsegment)) * (1 + 1e-14), 6) AS c_mktsegment, c_acctbal FROM customer""")
+SELECT c_custkey, round((avg(c_acctbal) OVER (PARTITION BY c_mktsegment)) + sign((avg(c_acctbal) OVER (PARTITION BY c_mktsegment))) * 1e-9, 6) AS c_mktsegment, c_acctbal FROM customer""")
 def encode_target(spark, d):
     """Category replaced by the target mean of its group."""
     cu = load(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
@@ -135,7 +135,7 @@ def encode_target(spark, d):
 
 
 @query("encode_target_join", """
-SELECT o_orderkey, round((avg(o_totalprice) OVER (PARTITION BY o_custkey)) * (1 + 1e-14), 6) AS o_custkey, o_totalprice FROM orders""")
+SELECT o_orderkey, round((avg(o_totalprice) OVER (PARTITION BY o_custkey)) + sign((avg(o_totalprice) OVER (PARTITION BY o_custkey))) * 1e-9, 6) AS o_custkey, o_totalprice FROM orders""")
 def encode_target_join(spark, d):
     """E12 for a high-cardinality key: grouped means joined back."""
     o = load(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
@@ -143,8 +143,8 @@ def encode_target_join(spark, d):
 
 
 @query("scale_standard", """
-SELECT c_custkey, round(((c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER ()) * (1 + 1e-14), 6) AS c_acctbal,
-       round(((c_nationkey - avg(c_nationkey) OVER ()) / stddev_pop(c_nationkey) OVER ()) * (1 + 1e-14), 6) AS c_nationkey
+SELECT c_custkey, round(((c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER ()) + sign(((c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER ())) * 1e-9, 6) AS c_acctbal,
+       round(((c_nationkey - avg(c_nationkey) OVER ()) / stddev_pop(c_nationkey) OVER ()) + sign(((c_nationkey - avg(c_nationkey) OVER ()) / stddev_pop(c_nationkey) OVER ())) * 1e-9, 6) AS c_nationkey
 FROM customer""")
 def scale_standard(spark, d):
     """(x − mean) / population deviation."""
@@ -154,8 +154,9 @@ def scale_standard(spark, d):
 
 @query("scale_minmax", """
 SELECT p_partkey, round(((p_retailprice - min(p_retailprice) OVER ()) /
-                        (max(p_retailprice) OVER () - min(p_retailprice) OVER ())) * (1 + 1e-14), 6) AS p_retailprice,
-       round(((p_size - min(p_size) OVER ()) / (max(p_size) OVER () - min(p_size) OVER ())) * (1 + 1e-14), 6) AS p_size
+                        (max(p_retailprice) OVER () - min(p_retailprice) OVER ())) + sign(((p_retailprice - min(p_retailprice) OVER ()) /
+                        (max(p_retailprice) OVER () - min(p_retailprice) OVER ()))) * 1e-9, 6) AS p_retailprice,
+       round(((p_size - min(p_size) OVER ()) / (max(p_size) OVER () - min(p_size) OVER ())) + sign(((p_size - min(p_size) OVER ()) / (max(p_size) OVER () - min(p_size) OVER ()))) * 1e-9, 6) AS p_size
 FROM part""")
 def scale_minmax(spark, d):
     """Scaled to [0, 1]."""
@@ -166,7 +167,7 @@ def scale_minmax(spark, d):
 @query("scale_robust", """
 WITH q AS (SELECT quantile_cont(l_extendedprice, 0.25) AS q1, quantile_cont(l_extendedprice, 0.5) AS m,
                   quantile_cont(l_extendedprice, 0.75) AS q3 FROM lineitem)
-SELECT l_orderkey, l_linenumber, round(((l_extendedprice - m) / (q3 - q1)) * (1 + 1e-14), 6) AS l_extendedprice FROM lineitem, q""")
+SELECT l_orderkey, l_linenumber, round(((l_extendedprice - m) / (q3 - q1)) + sign(((l_extendedprice - m) / (q3 - q1))) * 1e-9, 6) AS l_extendedprice FROM lineitem, q""")
 def scale_robust(spark, d):
     """(x − median) / IQR with exact quartiles."""
     li = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
@@ -175,9 +176,9 @@ def scale_robust(spark, d):
 
 @query("poly", """
 SELECT p_partkey, p_size, p_retailprice,
-  round((CAST(coalesce(p_size, 0) AS DOUBLE) * coalesce(p_size, 0)) * (1 + 1e-14), 6) AS "p_size^2",
-  round((CAST(coalesce(p_size, 0) AS DOUBLE) * coalesce(p_retailprice, 0)) * (1 + 1e-14), 6) AS "p_size p_retailprice",
-  round((coalesce(p_retailprice, 0) * coalesce(p_retailprice, 0)) * (1 + 1e-14), 6) AS "p_retailprice^2"
+  round((CAST(coalesce(p_size, 0) AS DOUBLE) * coalesce(p_size, 0)) + sign((CAST(coalesce(p_size, 0) AS DOUBLE) * coalesce(p_size, 0))) * 1e-9, 6) AS "p_size^2",
+  round((CAST(coalesce(p_size, 0) AS DOUBLE) * coalesce(p_retailprice, 0)) + sign((CAST(coalesce(p_size, 0) AS DOUBLE) * coalesce(p_retailprice, 0))) * 1e-9, 6) AS "p_size p_retailprice",
+  round((coalesce(p_retailprice, 0) * coalesce(p_retailprice, 0)) + sign((coalesce(p_retailprice, 0) * coalesce(p_retailprice, 0))) * 1e-9, 6) AS "p_retailprice^2"
 FROM part""")
 def poly(spark, d):
     """Degree-2 polynomial terms with their conventional names."""
@@ -187,7 +188,7 @@ def poly(spark, d):
 
 @query("interact", """
 SELECT l_orderkey, l_linenumber, l_quantity, l_discount,
-       round((coalesce(l_quantity, 0) * coalesce(l_discount, 0)) * (1 + 1e-14), 6) AS l_quantity_x_l_discount FROM lineitem""")
+       round((coalesce(l_quantity, 0) * coalesce(l_discount, 0)) + sign((coalesce(l_quantity, 0) * coalesce(l_discount, 0))) * 1e-9, 6) AS l_quantity_x_l_discount FROM lineitem""")
 def interact(spark, d):
     """a_x_b products."""
     li = load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
@@ -196,12 +197,12 @@ def interact(spark, d):
 
 @query("feature_chain_part", """
 SELECT p_partkey,
-  round(((p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER ()) * (1 + 1e-14), 6) AS p_size,
-  round(((p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER ()) * (1 + 1e-14), 6) AS p_retailprice,
-  round((CAST(p_size AS DOUBLE) * p_size) * (1 + 1e-14), 6) AS "p_size^2",
-  round((CAST(p_size AS DOUBLE) * p_retailprice) * (1 + 1e-14), 6) AS "p_size p_retailprice",
-  round((p_retailprice * p_retailprice) * (1 + 1e-14), 6) AS "p_retailprice^2",
-  round((CAST(p_size AS DOUBLE) * p_retailprice) * (1 + 1e-14), 6) AS p_size_x_p_retailprice
+  round(((p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER ()) + sign(((p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER ())) * 1e-9, 6) AS p_size,
+  round(((p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER ()) + sign(((p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER ())) * 1e-9, 6) AS p_retailprice,
+  round((CAST(p_size AS DOUBLE) * p_size) + sign((CAST(p_size AS DOUBLE) * p_size)) * 1e-9, 6) AS "p_size^2",
+  round((CAST(p_size AS DOUBLE) * p_retailprice) + sign((CAST(p_size AS DOUBLE) * p_retailprice)) * 1e-9, 6) AS "p_size p_retailprice",
+  round((p_retailprice * p_retailprice) + sign((p_retailprice * p_retailprice)) * 1e-9, 6) AS "p_retailprice^2",
+  round((CAST(p_size AS DOUBLE) * p_retailprice) + sign((CAST(p_size AS DOUBLE) * p_retailprice)) * 1e-9, 6) AS p_size_x_p_retailprice
 FROM part""")
 def feature_chain_part(spark, d):
     """Polynomial → interactions → scaling of the original numerics."""
@@ -214,7 +215,7 @@ WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctba
                   c_mktsegment FROM customer),
 f AS (SELECT c_custkey, coalesce(c_acctbal, (SELECT quantile_cont(c_acctbal, 0.5) FROM c)) AS c_acctbal,
              CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS BIGINT) AS c_mktsegment FROM c)
-SELECT c_custkey, round(((c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER ()) * (1 + 1e-14), 6) AS c_acctbal,
+SELECT c_custkey, round(((c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER ()) + sign(((c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER ())) * 1e-9, 6) AS c_acctbal,
        c_mktsegment FROM f""")
 def declared_steps(spark, d):
     """A declared impute → encode → scale chain, fitted then applied."""

@@ -22,8 +22,8 @@ WITH g AS (SELECT l_linestatus AS g, count(*) AS n, avg(l_extendedprice) AS m, v
 t AS (SELECT max(CASE WHEN rn = 1 THEN n END) n1, max(CASE WHEN rn = 1 THEN m END) m1, max(CASE WHEN rn = 1 THEN v END) v1,
              max(CASE WHEN rn = 2 THEN n END) n2, max(CASE WHEN rn = 2 THEN m END) m2, max(CASE WHEN rn = 2 THEN v END) v2
       FROM (SELECT *, row_number() OVER (ORDER BY g) AS rn FROM g))
-SELECT 't_test' AS test_type, round(((m1 - m2) / sqrt(v1 / n1 + v2 / n2)) * (1 + 1e-14), 6) AS statistic,
-  round(((v1 / n1 + v2 / n2) * (v1 / n1 + v2 / n2) / ((v1 / n1) * (v1 / n1) / (n1 - 1) + (v2 / n2) * (v2 / n2) / (n2 - 1))) * (1 + 1e-14), 6) AS dof,
+SELECT 't_test' AS test_type, round(((m1 - m2) / sqrt(v1 / n1 + v2 / n2)) + sign(((m1 - m2) / sqrt(v1 / n1 + v2 / n2))) * 1e-9, 6) AS statistic,
+  round(((v1 / n1 + v2 / n2) * (v1 / n1 + v2 / n2) / ((v1 / n1) * (v1 / n1) / (n1 - 1) + (v2 / n2) * (v2 / n2) / (n2 - 1))) + sign(((v1 / n1 + v2 / n2) * (v1 / n1 + v2 / n2) / ((v1 / n1) * (v1 / n1) / (n1 - 1) + (v2 / n2) * (v2 / n2) / (n2 - 1)))) * 1e-9, 6) AS dof,
   n1 + n2 AS n FROM t""")
 def ttest(spark, d):
     """H2: Welch t-test of price between line statuses."""
@@ -38,7 +38,7 @@ tot AS (SELECT sum(o) AS N, count(DISTINCT a) AS ka, count(DISTINCT b) AS kb FRO
 c AS (SELECT ra.a, cb.b, ra, cb, coalesce(o.o, 0) AS o FROM ra CROSS JOIN cb LEFT JOIN o ON o.a = ra.a AND o.b = cb.b),
 e AS (SELECT c.*, ra * cb / N AS e, (ka - 1) * (kb - 1) AS dof, N FROM c, tot),
 dv AS (SELECT *, CASE WHEN dof = 1 THEN abs(o - e) - least(0.5, abs(o - e)) ELSE abs(o - e) END AS dv FROM e)
-SELECT 'chi_square' AS test_type, round((sum(dv * dv / e)) * (1 + 1e-14), 6) AS statistic, CAST(max(dof) AS DOUBLE) AS dof,
+SELECT 'chi_square' AS test_type, round((sum(dv * dv / e)) + sign((sum(dv * dv / e))) * 1e-9, 6) AS statistic, CAST(max(dof) AS DOUBLE) AS dof,
        CAST(max(N) AS BIGINT) AS n FROM dv"""
 
 
@@ -56,7 +56,7 @@ def chi2_yates(spark, d):
 
 @query("pearson", """
 SELECT 'correlation' AS test_type,
-  round((corr(l_quantity, l_extendedprice) * sqrt((count(*) - 2) / (1 - corr(l_quantity, l_extendedprice) ^ 2))) * (1 + 1e-14), 6) AS statistic,
+  round((corr(l_quantity, l_extendedprice) * sqrt((count(*) - 2) / (1 - corr(l_quantity, l_extendedprice) ^ 2))) + sign((corr(l_quantity, l_extendedprice) * sqrt((count(*) - 2) / (1 - corr(l_quantity, l_extendedprice) ^ 2)))) * 1e-9, 6) AS statistic,
   CAST(count(*) - 2 AS DOUBLE) AS dof, count(*) AS n
 FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL""")
 def pearson(spark, d):
@@ -69,7 +69,7 @@ WITH d AS (SELECT CAST(l_quantity AS DOUBLE) AS x, l_extendedprice AS y FROM lin
            WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL),
 r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx,
              rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM d)
-SELECT 'spearman' AS test_type, round((corr(rx, ry) * sqrt((count(*) - 2) / (1 - corr(rx, ry) ^ 2))) * (1 + 1e-14), 6) AS statistic,
+SELECT 'spearman' AS test_type, round((corr(rx, ry) * sqrt((count(*) - 2) / (1 - corr(rx, ry) ^ 2))) + sign((corr(rx, ry) * sqrt((count(*) - 2) / (1 - corr(rx, ry) ^ 2)))) * 1e-9, 6) AS statistic,
        CAST(count(*) - 2 AS DOUBLE) AS dof, count(*) AS n FROM r""")
 def spearman(spark, d):
     """H4: Spearman correlation via average ranks (distinct-value prefix sums)."""
@@ -81,7 +81,7 @@ WITH g AS (SELECT l_returnflag, count(*) AS n, avg(l_extendedprice) AS m, var_sa
            FROM lineitem WHERE l_extendedprice IS NOT NULL AND l_returnflag IS NOT NULL GROUP BY 1),
 t AS (SELECT sum(n) AS n_total, sum(n * m) / sum(n) AS gm, count(*) AS k FROM g),
 s AS (SELECT n_total, k, sum(n * (m - gm) * (m - gm)) AS ssb, sum((n - 1) * v) AS ssw FROM g, t GROUP BY n_total, k)
-SELECT 'anova' AS test_type, round(((ssb / (k - 1)) / (ssw / (n_total - k))) * (1 + 1e-14), 6) AS statistic,
+SELECT 'anova' AS test_type, round(((ssb / (k - 1)) / (ssw / (n_total - k))) + sign(((ssb / (k - 1)) / (ssw / (n_total - k)))) * 1e-9, 6) AS statistic,
        CAST(k - 1 AS DOUBLE) AS dof, CAST(n_total AS BIGINT) AS n FROM s""")
 def anova(spark, d):
     """H5: one-way ANOVA of price across the three return flags."""
@@ -91,10 +91,10 @@ def anova(spark, d):
 @query("leakage", """
 WITH l AS (SELECT l_extendedprice * (1 - l_discount) AS net_price, l_quantity, l_discount, l_tax, l_extendedprice
            FROM lineitem),
-c AS (SELECT 'net_price' AS feature, round((abs(corr(net_price, l_extendedprice))) * (1 + 1e-14), 6) AS abs_corr FROM l
-      UNION ALL SELECT 'l_quantity', round((abs(corr(l_quantity, l_extendedprice))) * (1 + 1e-14), 6) FROM l
-      UNION ALL SELECT 'l_discount', round((abs(corr(l_discount, l_extendedprice))) * (1 + 1e-14), 6) FROM l
-      UNION ALL SELECT 'l_tax', round((abs(corr(l_tax, l_extendedprice))) * (1 + 1e-14), 6) FROM l)
+c AS (SELECT 'net_price' AS feature, round((abs(corr(net_price, l_extendedprice))) + sign((abs(corr(net_price, l_extendedprice)))) * 1e-9, 6) AS abs_corr FROM l
+      UNION ALL SELECT 'l_quantity', round((abs(corr(l_quantity, l_extendedprice))) + sign((abs(corr(l_quantity, l_extendedprice)))) * 1e-9, 6) FROM l
+      UNION ALL SELECT 'l_discount', round((abs(corr(l_discount, l_extendedprice))) + sign((abs(corr(l_discount, l_extendedprice)))) * 1e-9, 6) FROM l
+      UNION ALL SELECT 'l_tax', round((abs(corr(l_tax, l_extendedprice))) + sign((abs(corr(l_tax, l_extendedprice)))) * 1e-9, 6) FROM l)
 SELECT * FROM c WHERE abs_corr > 0.95""")
 def leakage(spark, d):
     """H8: features almost collinear with the target (net price here)."""

@@ -207,9 +207,9 @@ def _listing_sql() -> str:
     prof_sql = profile_sql("lineitem", cols)
     return f"""
 WITH p AS ({prof_sql}),
-imp AS (SELECT 'l_quantity' AS f, least(round((abs(corr(l_quantity, l_extendedprice))) * (1 + 1e-14), 3), 1.0) AS s FROM lineitem
-  UNION ALL SELECT 'l_discount', least(round((abs(corr(l_discount, l_extendedprice))) * (1 + 1e-14), 3), 1.0) FROM lineitem
-  UNION ALL SELECT 'l_tax', least(round((abs(corr(l_tax, l_extendedprice))) * (1 + 1e-14), 3), 1.0) FROM lineitem
+imp AS (SELECT 'l_quantity' AS f, least(round((abs(corr(l_quantity, l_extendedprice))) + sign((abs(corr(l_quantity, l_extendedprice)))) * 1e-6, 3), 1.0) AS s FROM lineitem
+  UNION ALL SELECT 'l_discount', least(round((abs(corr(l_discount, l_extendedprice))) + sign((abs(corr(l_discount, l_extendedprice)))) * 1e-6, 3), 1.0) FROM lineitem
+  UNION ALL SELECT 'l_tax', least(round((abs(corr(l_tax, l_extendedprice))) + sign((abs(corr(l_tax, l_extendedprice)))) * 1e-6, 3), 1.0) FROM lineitem
   UNION ALL SELECT 'l_returnflag', 0.3)
 SELECT p.*, coalesce(imp.s, 0.5) AS importance, CAST(NULL AS VARCHAR) AS description,
        p.column_name IN ('l_quantity', 'l_discount') AS selected
