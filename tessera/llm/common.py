@@ -44,3 +44,10 @@ def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFra
 def words_of(text: Column, separators: str) -> Column:
     """Non-empty parts between runs of ``separators``."""
     return F.filter(F.split(text, f"{separators}+"), lambda w: w != F.lit(""))
+
+
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer's file; every machine has the same package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

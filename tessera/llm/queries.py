@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, license_scan, quality, url_filter
+from tessera.llm import bpe, exact_dedup, license_scan, packing, quality, token_counts, url_filter
+from tessera.llm.common import tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +119,19 @@ FROM m
 """)
 def op6_quality(spark, sf_dir):
     return quality.judge_quality(_table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op3_bpe(spark, sf_dir):
+    return bpe.digests(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
+@_query()
+def op7_packing(spark, sf_dir):
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+@_query()
+def op10_token_counts(spark, sf_dir):
+    counted = token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+    return token_counts.length_histogram(counted)
