@@ -10,8 +10,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact_dedup, quality
-from tessera.llm.common import written
+from tessera.llm import exact_dedup, minhash, packing, quality, toxicity
+from tessera.llm.common import tokenizer_file, written
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic, by a model learnt from the table of labels."""
+    labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, labels))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +30,18 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_copies(docs)
 
 
-STAGES = [("quality", quality_stage), ("exact_dedup", exact_stage)]
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return minhash.drop_near_copies(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their sequences."""
+    return packing.pack(docs, tokenizer_file("byte_bpe_50k.json"))
+
+
+STAGES = [("toxicity", toxicity_stage), ("quality", quality_stage), ("exact_dedup", exact_stage),
+          ("near_dedup", near_stage), ("packing", packing_stage)]
 
 #: SQL cannot express learnt weights, tokenizers or packing; tests hold run() against a brute-force version.
 ORACLE_SQL = None

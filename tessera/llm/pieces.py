@@ -122,7 +122,7 @@ def gather(number: np.ndarray, flat: np.ndarray, offset: np.ndarray) -> tuple[np
     return flat[index], at
 
 
-def batches(texts: list[str], limit: int = 1 << 20):
+def batches(texts: list[str], limit: int = 3 << 20):
     """Ranges of rows whose texts hold about ``limit`` characters; a longer text is a range of its own."""
     begin, size = 0, 0
     for i, t in enumerate(texts):
@@ -136,7 +136,7 @@ def batches(texts: list[str], limit: int = 1 << 20):
 
 def encode_batches(texts: list[str], to_ids):
     """Ids of each text, in order. ``to_ids`` gives the ids of a list of different pieces;
-    memory is bounded by about a million characters or one text."""
+    memory is bounded by about three million characters or one text."""
     for a, b in batches(texts):
         found, number, begins = split_batch(texts[a:b])
         made = to_ids(found)

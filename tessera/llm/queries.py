@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, exact_dedup, license_scan, packing, quality, token_counts, url_filter
+from tessera.llm import (bpe, exact_dedup, license_scan, line_dedup, minhash, packing, quality, token_counts, toxicity,
+                         url_filter)
 from tessera.llm.common import tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +136,19 @@ def op7_packing(spark, sf_dir):
 def op10_token_counts(spark, sf_dir):
     counted = token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
     return token_counts.length_histogram(counted)
+
+
+@_query()
+def op1_line_dedup(spark, sf_dir):
+    return line_dedup.line_summary(_table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op8_minhash(spark, sf_dir):
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op9_toxicity(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))

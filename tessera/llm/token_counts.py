@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe
-from tessera.llm.common import id_and_text, ship
+from tessera.llm.common import id_and_text, ship, written
 
 ship(__name__)
 
@@ -40,9 +40,9 @@ def length_histogram(counted: DataFrame) -> DataFrame:
     """One row per different length, taken as a context limit: n_tokens, n_docs, docs_fitting (this long at most),
     docs_longer, tokens_fitting, tokens_longer (totals of those documents), truncated_total (all documents cut to
     this length) and quantile (share of documents this long at most)."""
-    sizes = counted.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")).select(
+    sizes = written(counted.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")).select(
         "n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"),
-        F.expr(f"n_tokens div {BLOCK}").alias("block"))
+        F.expr(f"n_tokens div {BLOCK}").alias("block")), "lengths")
     blocks = sizes.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     longer = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
