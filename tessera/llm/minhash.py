@@ -19,8 +19,8 @@
 
 Defined cases: a text without words has no shingles and links with nothing;
 fewer than ``width`` words are one shingle; rows that repeat id and set are
-one document (one id with two texts is two); a row with a null id is its own
-component (null) and is kept.
+one document; rows of one id with several texts share that id's component; a
+row with a null id is its own component (null) and is kept.
 """
 
 from __future__ import annotations
@@ -191,8 +191,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, bands: i
     sketch = written(sketches(docs, width, bands, rows), "sketches")
     named = sketch.where("doc_id is not null and n_shingles > 0")
     classes = named.groupBy("set_hash").agg(F.min("doc_id").alias("id"))
-    # An id with several texts stands for several sets; only its first can be told by the id, the rest keep to copies.
-    nodes = written(named.join(classes, "set_hash").where("doc_id = id").dropDuplicates(["id"])
+    # Of an id that stands first for several sets, the set with the smallest hash speaks.
+    speaks = classes.groupBy("id").agg(F.min("set_hash").alias("set_hash"))
+    nodes = written(named.join(speaks, "set_hash").where("doc_id = id").dropDuplicates(["id"])
                     .select("id", "set_hash", "n_shingles", "bands"), "nodes")
     members = nodes.select("id", "n_shingles", F.posexplode("bands").alias("band", "key"))
 
@@ -243,20 +244,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, bands: i
 
 
 def prefix_pairs(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a shingle of their prefixes."""
+    """Pairs (a, b) of different components that share a shingle early enough to be similar.
+
+    With every set in one order (rare shingles first), the first shingle that two sets share bounds their
+    intersection by what is left of either set from there on, which must reach the share of both sizes."""
     each = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
     common = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    # A shingle that occurs once links nothing; it still takes the place of a rare one in the prefix.
+    # A shingle that occurs once links nothing; it still takes the place of a rare one in the order.
     known = each.join(common, "shingle").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
-    lone = F.col("n") - F.size("s")
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    short = known.select("id", F.explode(F.slice("s", 1, F.greatest(prefix - lone, F.lit(0)).cast("int"))).alias("x")).select(
-        "id", "x.shingle")
-    placed = short.join(found, "id")
-    # Within a shingle, members of the component that comes first need no pair among themselves.
-    one = placed.select("shingle", F.col("id").alias("a"), F.col("component").alias("ca"))
-    two = placed.select("shingle", F.col("id").alias("b"), F.col("component").alias("cb"))
-    return one.join(two, "shingle").where("a < b and ca <> cb").select("a", "b").distinct()
+    placed = (known.select("id", "n", (F.col("n") - F.size("s")).alias("lone"), F.posexplode("s").alias("at", "x"))
+              .select("id", "n", "x.shingle", (F.col("n") - F.col("lone") - F.col("at")).alias("left"))
+              .where(f"left * 100 >= n * {percent}").join(found, "id"))
+    one = placed.select("shingle", F.col("id").alias("a"), F.col("n").alias("n"), F.col("left").alias("l"), F.col("component").alias("ca"))
+    two = placed.select("shingle", F.col("id").alias("b"), F.col("n").alias("m"), F.col("left").alias("r"), F.col("component").alias("cb"))
+    enough = f"least(l, r) * {100 + percent} >= (n + m) * {percent}"
+    return one.join(two, "shingle").where(f"a < b and ca <> cb and {enough}").select("a", "b").distinct()
 
 
 def drop_near_copies(docs: DataFrame, **settings) -> DataFrame:
