@@ -12,6 +12,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.scalar import safe_corr
 from tessera.functions.scalar import stable_round as sround
 from tessera.functions.types import NUMERIC, kind_of
 
@@ -100,35 +101,27 @@ def top_categories(df: DataFrame, column: str, k: int = 30) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(w)).withColumn("n_categories", F.lit(n_cat).cast("bigint"))
 
 
-def correlation_matrix(df: DataFrame, columns: list[str] | None = None, wide: int = 40) -> DataFrame:
-    """Pearson correlation of every column pair (nulls dropped per pair),
-    one aggregation, returned as the full matrix in long form (row, col, r)."""
+PAIRS_PER_PASS = 400
+
+
+def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Pearson correlation of every column pair (nulls dropped per pair) as the full matrix in long form
+    (row, col, r); r is null where a column does not vary. One aggregation per ``PAIRS_PER_PASS`` pairs, which
+    only keeps the generated code small."""
     cols = columns or [f.name for f in df.schema.fields if kind_of(f.dataType) == NUMERIC]
     if len(cols) < 2:
         raise ValueError("correlation needs at least two numeric columns")
-    if len(cols) > wide:
-        nulls = df.agg(*[F.sum(_q(c).isNull().cast("long")).alias(f"z{i}") for i, c in enumerate(cols)]).first()
-        if not any(nulls[f"z{i}"] for i in range(len(cols))):
-            # wide and complete: one pass of MLlib's Gram-matrix correlation
-            # instead of k² pairwise aggregates (identical when nothing is null)
-            from pyspark.ml.feature import VectorAssembler
-            from pyspark.ml.stat import Correlation
-            vec = VectorAssembler(inputCols=cols, outputCol="__v").transform(
-                df.select(*[_q(c).cast("double").alias(c) for c in cols]))
-            m = Correlation.corr(vec, "__v").first()[0].toArray()
-            return df.sparkSession.createDataFrame(
-                [(a, b, float(m[i][j])) for i, a in enumerate(cols) for j, b in enumerate(cols)],
-                "row string, col string, r double")
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
-    one = df.agg(*[F.corr(_q(a).cast("double"), _q(b).cast("double")).alias(f"r{i}")
-                   for i, (a, b) in enumerate(pairs)])
-    cells = []
-    for i, (a, b) in enumerate(pairs):
-        cells.append(F.struct(F.lit(a).alias("row"), F.lit(b).alias("col"), F.col(f"r{i}").alias("r")))
-        cells.append(F.struct(F.lit(b).alias("row"), F.lit(a).alias("col"), F.col(f"r{i}").alias("r")))
-    for c in cols:
-        cells.append(F.struct(F.lit(c).alias("row"), F.lit(c).alias("col"), F.lit(1.0).alias("r")))
-    return one.select(F.explode(F.array(*cells)).alias("e")).select("e.*")
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]] + [(c, c) for c in cols]
+    out = None
+    for at in range(0, len(pairs), PAIRS_PER_PASS):
+        part = pairs[at:at + PAIRS_PER_PASS]
+        one = df.agg(*[safe_corr(_q(a), _q(b)).alias(f"r{i}") for i, (a, b) in enumerate(part)])
+        cells = [F.struct(F.lit(x).alias("row"), F.lit(y).alias("col"),
+                          (F.when(F.col(f"r{i}").isNotNull(), 1.0) if a == b else F.col(f"r{i}")).alias("r"))
+                 for i, (a, b) in enumerate(part) for x, y in {(a, b), (b, a)}]
+        made = one.select(F.explode(F.array(*cells)).alias("e")).select("e.*")
+        out = made if out is None else out.unionByName(made)
+    return out
 
 
 def scatter_density(df: DataFrame, x: str, y: str, hue: str | None = None, bins: int = 20,
@@ -252,7 +245,7 @@ def feature_ranking(df: DataFrame, target: str, features: list[str] | None = Non
     txt = [c for c in feats if c not in num]
     cells = []
     if num:
-        one = df.agg(*[F.corr(_q(c).cast("double"), y).alias(f"r{i}") for i, c in enumerate(num)])
+        one = df.agg(*[safe_corr(_q(c), y).alias(f"r{i}") for i, c in enumerate(num)])
         cells = [F.struct(F.lit(c).alias("feature"),
                           F.least(sround(F.abs(F.col(f"r{i}")), 3), F.lit(1.0)).alias("score"))
                  for i, c in enumerate(num)]

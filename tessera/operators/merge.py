@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.scalar import stable_round as sround
-from tessera.functions.scalar import py_name_similarity
+from tessera.functions.scalar import name_similarity
 from tessera.functions.types import kind_of
 
 
@@ -206,13 +206,11 @@ def detect_keys(tables: dict[str, DataFrame], min_name: float = 0.3,
     """
     spark: SparkSession = next(iter(tables.values())).sparkSession
     names = list(tables)
-    pairs = []
-    for ta, tb in combinations(names, 2):
-        for ca in tables[ta].columns:
-            for cb in tables[tb].columns:
-                s = py_name_similarity(ca, cb)
-                if s >= min_name:
-                    pairs.append((len(pairs), ta, ca, tb, cb, float(s)))
+    every = [(i, *p) for i, p in enumerate((ta, ca, tb, cb) for ta, tb in combinations(names, 2)
+                                           for ca in tables[ta].columns for cb in tables[tb].columns)]
+    named = spark.createDataFrame(every, "i int, ta string, ca string, tb string, cb string").withColumn(
+        "s", name_similarity(F.col("ca"), F.col("cb"))).where(F.col("s") >= min_name).orderBy("i").collect()
+    pairs = [(k, r["ta"], r["ca"], r["tb"], r["cb"], r["s"]) for k, r in enumerate(named)]
     schema = ("plan_id int, left_table string, left_key string, right_table string, "
               "right_key string, name_similarity double, merge_type string, confidence double, "
               "value_overlap double, left_uniqueness double, right_uniqueness double, rationale string")

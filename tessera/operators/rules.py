@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.scalar import safe_corr
 from tessera.functions.types import ID_LIKE_NAMES, NUMERIC, kind_of
 from tessera.operators.profile import profile
 
@@ -103,8 +104,8 @@ def screen_features(df: DataFrame, target: str, max_null_pct: float = 60.0,
     if target in num:
         feats = [c for c in num if c != target]
         pairs = [(a, b) for i, a in enumerate(feats) for b in feats[i + 1:]]
-        r = df.agg(*[F.corr(_q(c).cast("double"), _q(target).cast("double")).alias(f"t{i}") for i, c in enumerate(feats)],
-                   *[F.corr(_q(a).cast("double"), _q(b).cast("double")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
+        r = df.agg(*[safe_corr(_q(c), _q(target)).alias(f"t{i}") for i, c in enumerate(feats)],
+                   *[safe_corr(_q(a), _q(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]
                    ).first() if feats else None
         leaky = {c for i, c in enumerate(feats) if r is not None and r[f"t{i}"] is not None and abs(r[f"t{i}"]) > leak}
         nulls = {row["column_name"]: row["null_count"] for row in prof.select("column_name", "null_count").collect()}

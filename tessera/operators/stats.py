@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions.scalar import safe_corr
 from tessera.functions.scalar import stable_round as sround
 from tessera.functions.special import p_value
 from tessera.functions.types import NUMERIC, kind_of
@@ -44,10 +45,10 @@ def welch_stats(df: DataFrame, value: str, group: str) -> DataFrame:
     se2 = F.col("v1") / F.col("n1") + F.col("v2") / F.col("n2")
     return t.select(
         F.lit("t_test").alias("test_type"), F.array(F.lit(value), F.lit(group)).alias("variables"),
-        ((F.col("m1") - F.col("m2")) / F.sqrt(se2)).alias("statistic"),
-        (se2 * se2 / ((F.col("v1") / F.col("n1")) ** 2 / (F.col("n1") - 1)
-                      + (F.col("v2") / F.col("n2")) ** 2 / (F.col("n2") - 1))).alias("dof"),
-        F.lit(None).cast("double").alias("dof2"), (F.col("n1") + F.col("n2")).alias("n"),
+        F.try_divide(F.col("m1") - F.col("m2"), F.sqrt(se2)).alias("statistic"),
+        F.try_divide(se2 * se2, F.try_divide((F.col("v1") / F.col("n1")) ** 2, (F.col("n1") - 1).cast("double"))
+                     + F.try_divide((F.col("v2") / F.col("n2")) ** 2, (F.col("n2") - 1).cast("double"))).alias("dof"),
+        F.lit(None).cast("double").alias("dof2"), (F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0))).alias("n"),
         F.concat_ws(" vs ", F.concat(F.col("g1"), F.lit(" (mean "), sround("m1", 4).cast("string"), F.lit(")")),
                     F.concat(F.col("g2"), F.lit(" (mean "), sround("m2", 4).cast("string"), F.lit(")"))).alias("detail"))
 
@@ -68,6 +69,8 @@ def chi_square_stats(df: DataFrame, a: str, b: str, yates: bool = True, max_leve
             raise ValueError(f"{name} has more than {max_levels} levels")
     tot = obs.agg(F.sum("o").alias("n"), F.countDistinct("a").alias("ka"), F.countDistinct("b").alias("kb")).first()
     n, ka, kb = tot["n"] or 0, tot["ka"], tot["kb"]
+    if n == 0:
+        return df.sparkSession.createDataFrame([("chi_square", [a, b], None, None, None, 0, "no rows")], RESULT_SCHEMA)
     dof = (ka - 1) * (kb - 1)
     detail = F.lit(f"{ka}x{kb}")
     if yates and dof == 1:
@@ -109,14 +112,16 @@ def correlation_stats(df: DataFrame, x: str, y: str, method: str = "pearson") ->
         from tessera.operators.ordered import average_ranks
         data = average_ranks(average_ranks(data, "x", "rx"), "y", "ry").select(
             F.col("rx").alias("x"), F.col("ry").alias("y"))
-    s = data.agg(F.corr("x", "y").alias("r"), F.count(F.lit(1)).alias("n"))
+    s = data.agg(safe_corr("x", "y").alias("r"), F.count(F.lit(1)).alias("n"))
     r = F.col("r")
     return s.select(
         F.lit("correlation" if method == "pearson" else "spearman").alias("test_type"),
         F.array(F.lit(x), F.lit(y)).alias("variables"),
-        (r * F.sqrt((F.col("n") - 2) / (1 - r * r))).alias("statistic"),
+        # a perfect correlation has no finite statistic
+        F.when(F.abs(r) >= 1, r * F.lit(float("inf")))
+        .otherwise(r * F.sqrt(F.try_divide((F.col("n") - 2).cast("double"), 1 - r * r))).alias("statistic"),
         (F.col("n") - 2).cast("double").alias("dof"), F.lit(None).cast("double").alias("dof2"),
-        F.col("n"), F.concat(F.lit("r="), sround(r, 6).cast("string")).alias("detail"))
+        F.col("n"), F.concat(F.lit("r="), F.coalesce(sround(r, 6).cast("string"), F.lit("undefined"))).alias("detail"))
 
 
 def anova_stats(df: DataFrame, value: str, group: str) -> DataFrame:
@@ -131,7 +136,10 @@ def anova_stats(df: DataFrame, value: str, group: str) -> DataFrame:
         F.sum(F.col("n") * (F.col("m") - F.lit(gm)) ** 2).alias("ssb"),
         F.sum(F.coalesce((F.col("n") - 1) * F.col("v"), F.lit(0.0))).alias("ssw"))
     d1, d2 = float(k - 1), float(nt - k)
-    stat = (F.col("ssb") / F.lit(d1)) / (F.col("ssw") / F.lit(d2)) if d1 > 0 and d2 > 0 else F.lit(None)
+    # groups that do not vary within: no finite statistic if their means differ, none at all if they agree
+    stat = (F.when((F.col("ssw") == 0) & (F.col("ssb") > 0), F.lit(float("inf")))
+            .otherwise(F.try_divide(F.col("ssb") / F.lit(d1), F.col("ssw") / F.lit(d2)))
+            if d1 > 0 and d2 > 0 else F.lit(None))
     return s.select(
         F.lit("anova").alias("test_type"), F.array(F.lit(value), F.lit(group)).alias("variables"),
         stat.cast("double").alias("statistic"), F.lit(d1).alias("dof"),
@@ -177,26 +185,12 @@ def _typed_hypotheses(df: DataFrame, target: str, n_classes: int | None = None)
     numeric × binary target → t-test; categorical × binary or categorical
     target → chi-square; numeric × numeric target → correlation; numeric ×
     multiclass → ANOVA."""
-    tk = kind_of(df.schema[target].dataType)
     if n_classes is None:
         n_classes = df.select(_q(target)).where(_q(target).isNotNull()).distinct().limit(21).count()
-    binary = n_classes == 2
-    numeric_target = tk == NUMERIC and n_classes > 20
-    out = []
-    for f in df.schema.fields:
-        if f.name == target:
-            continue
-        fk = kind_of(f.dataType)
-        if fk == NUMERIC and binary:
-            out.append(Hypothesis("t_test", [f.name, target],
-                                  f"{f.name} differs between the two {target} groups"))
-        elif fk == NUMERIC and numeric_target:
-            out.append(Hypothesis("correlation", [f.name, target], f"{f.name} correlates with {target}"))
-        elif fk == NUMERIC:
-            out.append(Hypothesis("anova", [f.name, target], f"mean {f.name} differs across {target} classes"))
-        elif fk == "string" and (binary or not numeric_target):
-            out.append(Hypothesis("chi_square", [f.name, target], f"{f.name} is associated with {target}"))
-    return out
+    names = {NUMERIC: "number", "string": "text"}
+    kinds = {f.name: names.get(kind_of(f.dataType), "") for f in df.schema.fields}
+    measured = kinds[target] == "number" and n_classes > 20
+    return _by_rule(kinds, target, "two" if n_classes == 2 else "number" if measured else "many")
 
 
 # Name keywords of the name-only hypothesis mode and of the
@@ -210,35 +204,37 @@ BINARY_NAME_KEYWORDS = ("churn", "churned", "active", "is_", "has_", "flag", "st
 USAGE_NAME_KEYWORDS = ("usage", "activity", "engagement", "login", "session")
 
 
+# Test and statement by (feature kind, target kind); shared by both modes.
+_RULES = {
+    ("number", "two"): ("t_test", "{c} differs between the two {t} groups"),
+    ("number", "number"): ("correlation", "{c} correlates with {t}"),
+    ("number", "many"): ("anova", "mean {c} differs across {t} classes"),
+    ("text", "two"): ("chi_square", "{c} is associated with {t}"),
+    ("text", "many"): ("chi_square", "{c} is associated with {t}"),
+}
+
+
+def _by_rule(kinds: dict[str, str], target: str, target_kind: str) -> list[Hypothesis]:
+    found = ((c, _RULES.get((k, target_kind))) for c, k in kinds.items() if c != target)
+    return [Hypothesis(rule[0], [c, target], rule[1].format(c=c, t=target)) for c, rule in found if rule]
+
+
+def _named(column: str, keywords: tuple[str, ...]) -> bool:
+    return any(k in column.lower() for k in keywords)
+
+
 def generate_hypotheses_by_name(columns: list[str], target: str, context: str = "") -> list[Hypothesis]:
-    """H1, name-only mode: column kinds guessed from name keywords (for
-    tables known only by their column list), plus t-tests of usage-like
-    columns when the context mentions churn."""
-    t = target.lower()
-    t_binary = any(k in t for k in BINARY_NAME_KEYWORDS)
-    t_numeric = any(k in t for k in NUMERIC_NAME_KEYWORDS)
-    out = []
-    for c in columns:
-        if c == target:
-            continue
-        c_numeric = any(k in c.lower() for k in NUMERIC_NAME_KEYWORDS)
-        if c_numeric and t_binary:
-            out.append(Hypothesis("t_test", [c, target], f"{c} differs between {target} groups"))
-        elif not c_numeric and (t_binary or not t_numeric):
-            out.append(Hypothesis("chi_square", [c, target], f"{c} and {target} are not independent"))
-        elif c_numeric and t_numeric:
-            out.append(Hypothesis("correlation", [c, target], f"{c} correlates with {target}"))
-        elif c_numeric:
-            out.append(Hypothesis("anova", [c, target], f"{c} differs across {target} groups"))
-    return out + context_hypotheses(columns, target, context)
+    """H1, name-only mode: kinds guessed from name keywords, for tables known only by their column list."""
+    kinds = {c: "number" if _named(c, NUMERIC_NAME_KEYWORDS) else "text" for c in columns}
+    target_kind = "two" if _named(target, BINARY_NAME_KEYWORDS) else kinds.get(target, "text").replace("text", "many")
+    return _by_rule(kinds, target, target_kind) + context_hypotheses(columns, target, context)
 
 
 def context_hypotheses(columns: list[str], target: str, context: str) -> list[Hypothesis]:
-    """Extra usage t-tests when the analysis context mentions churn."""
-    if "churn" not in (context or "").lower():
-        return []
-    return [Hypothesis("t_test", [c, target], f"lower {c} goes with higher churn") for c in columns
-            if c != target and any(k in c.lower() for k in USAGE_NAME_KEYWORDS)]
+    """Extra t-tests of usage-like columns for analyses of churn."""
+    usage = [c for c in columns if c != target and _named(c, USAGE_NAME_KEYWORDS)]
+    return [Hypothesis("t_test", [c, target], f"{c} tells churned from staying") for c in usage
+            if "churn" in (context or "").lower()]
 
 
 def run_tests(df: DataFrame, hypotheses: list[Hypothesis]) -> DataFrame:
@@ -246,6 +242,10 @@ def run_tests(df: DataFrame, hypotheses: list[Hypothesis]) -> DataFrame:
     conclusions in one pass over the small result table."""
     parts = []
     for h in hypotheses:
+        if len(h.variables) < 2:
+            parts.append(df.sparkSession.createDataFrame(
+                [(h.test_type, h.variables, None, None, None, 0, "two variables needed")], RESULT_SCHEMA))
+            continue
         a, b = h.variables[0], h.variables[1]
         if a not in df.columns or b not in df.columns:
             parts.append(df.sparkSession.createDataFrame(
@@ -258,8 +258,11 @@ def run_tests(df: DataFrame, hypotheses: list[Hypothesis]) -> DataFrame:
             parts.append(correlation_stats(df, a, b, "pearson" if h.test_type == "correlation" else "spearman"))
         elif h.test_type == "anova":
             parts.append(anova_stats(df, a, b))
-    out = parts[0]
-    for p in parts[1:]:
+        else:
+            parts.append(df.sparkSession.createDataFrame(
+                [(h.test_type, h.variables, None, None, None, 0, "unknown test")], RESULT_SCHEMA))
+    out = df.sparkSession.createDataFrame([], RESULT_SCHEMA)
+    for p in parts:
         out = out.unionByName(p)
     return with_conclusions(out)
 
@@ -288,7 +291,7 @@ def leakage(df: DataFrame, target: str, threshold: float = 0.95) -> DataFrame:
         codes = label_codes(df, target)
         df = df.join(codes, y == F.col("__v"), "left")
         y = F.col("__code").cast("double")
-    one = df.agg(*[F.abs(F.corr(_q(c).cast("double"), y)).alias(f"r{i}") for i, c in enumerate(num)])
+    one = df.agg(*[F.abs(safe_corr(_q(c), y)).alias(f"r{i}") for i, c in enumerate(num)])
     cells = [F.struct(F.lit(c).alias("feature"), sround(F.col(f"r{i}"), 6).alias("abs_corr"))
              for i, c in enumerate(num)]
     return (one.select(F.explode(F.array(*cells)).alias("e")).select("e.*")

@@ -9,6 +9,8 @@ the shared folder.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,38 +110,36 @@ def filter_eq(df: DataFrame, **preds) -> DataFrame:
     return df
 
 
-def provenance_chain(nodes: DataFrame, id_col: str, parent_col: str, start: DataFrame,
-                     max_depth: int = 1000) -> DataFrame:
-    """Follow parent ids from the ``start`` ids to the root, oldest first.
+def provenance_chain(nodes: DataFrame, id_col: str, parent_col: str, start: DataFrame) -> DataFrame:
+    """Follow parent ids from the ``start`` ids to the root, to the end.
 
-    Iterative equi-join of the frontier with the node table; a visited set
-    stops cycles.  Returns (start_id, id, depth) with depth 0 = the start.
+    Jumps double each round (parent, grandparent, four up, …), so a chain of
+    n nodes takes log n rounds; both tables are checkpointed each round, so
+    plans stay flat.  Cycles end because a node keeps its smallest depth.
+    Returns (start_id, id, depth) with depth 0 = the start.
     """
-    edges = nodes.select(_q(id_col).alias("id"), _q(parent_col).alias("parent"))
-    frontier = start.select(F.col("id").alias("start_id"), F.col("id"), F.lit(0).alias("depth"))
-    result = frontier
-    for step in range(1, max_depth + 1):
-        nxt = (frontier.join(edges, "id").where(F.col("parent").isNotNull())
-               .select("start_id", F.col("parent").alias("id"), F.lit(step).alias("depth")))
-        nxt = nxt.join(result.select("start_id", "id"), ["start_id", "id"], "left_anti")
-        if step % 8 == 0:
-            nxt = cut_lineage(nxt)
-        if nxt.limit(1).count() == 0:
-            break
-        result = result.unionByName(nxt)
-        frontier = nxt
-    return result
-
-
-def lineage_closure(edges: DataFrame, changed: DataFrame, src: str = "src", dst: str = "dst",
-                    max_depth: int = 1000) -> DataFrame:
+    jumps = (nodes.select(_q(id_col).alias("id"), _q(parent_col).alias("up"))
+             .where(F.col("id").isNotNull() & F.col("up").isNotNull()).distinct())
+    seen = cut_lineage(start.select(F.col("id").alias("start_id"), F.col("id"), F.lit(0).cast("int").alias("depth")).distinct())
+    known, step = seen.count(), 1
+    while True:
+        further = seen.join(jumps, "id").select("start_id", F.col("up").alias("id"), (F.col("depth") + step).alias("depth"))
+        seen = cut_lineage(seen.unionByName(further).groupBy("start_id", "id").agg(F.min("depth").alias("depth")))
+        if (now := seen.count()) == known:
+            return seen
+        known, step = now, step * 2
+        twice = jumps.select("id", F.col("up").alias("mid")).join(jumps.select(F.col("id").alias("mid"), "up"), "mid")
+        jumps = cut_lineage(twice.select("id", "up").distinct())
+
+
+def lineage_closure(edges: DataFrame, changed: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Every node reachable downstream of the changed nodes (BFS by
     iterative join until no new node; cycles end because visited nodes are
     anti-joined away).  Returns (node, depth) with the changed nodes at 0."""
     e = edges.select(_q(src).alias("node"), _q(dst).alias("next"))
     frontier = changed.select(F.col("node"), F.lit(0).alias("depth")).distinct()
     seen = frontier
-    for step in range(1, max_depth + 1):
+    for step in count(1):
         nxt = (frontier.join(e, "node").select(F.col("next").alias("node")).distinct()
                .join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(step)))
         nxt = cut_lineage(nxt)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.scalar import py_name_similarity
 from tessera.operators import merge as mg
 from tessera.operators import profile as prof
 from tessera.plans.q_ingest import CUSTOMER_COLS, NATION_COLS, ORDERS_COLS, REGION_COLS
@@ -16,6 +16,10 @@ _DETECT = {"orders": ORDERS_COLS, "customer": CUSTOMER_COLS, "nation": NATION_CO
            "region": REGION_COLS}
 
 
+def _tokens(column: str) -> set[str]:
+    return set(re.findall(r"[^\s_-]+", column.lower()))
+
+
 def _detect_sql() -> str:
     """DuckDB twin of key detection.  Candidate pairs depend on names only."""
     parts = []
@@ -23,7 +27,7 @@ def _detect_sql() -> str:
     for ta, tb in combinations(_DETECT, 2):
         for ca, ka, _ in _DETECT[ta]:
             for cb, kb, _ in _DETECT[tb]:
-                s = py_name_similarity(ca, cb)
+                s = len(_tokens(ca) & _tokens(cb)) / len(_tokens(ca) | _tokens(cb))
                 if s < 0.3:
                     continue
                 num = {"int", "bigint", "double"}

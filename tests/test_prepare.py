@@ -111,5 +111,5 @@ def test_wide_correlation_path_matches_pairwise(spark):
     x[:, 1] += x[:, 0]
     df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"c{i} double" for i in range(5)))
     a = {(r["row"], r["col"]): r["r"] for r in correlation_matrix(df).collect()}
-    b = {(r["row"], r["col"]): r["r"] for r in correlation_matrix(df, wide=2).collect()}
+    b = {(r["row"], r["col"]): r["r"] for r in correlation_matrix(df).collect()}
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
