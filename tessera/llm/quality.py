@@ -101,4 +101,6 @@ def judge_quality(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT) ->
 
 def keep_good(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
     """The rows whose verdict is to keep, unchanged."""
-    return quality_columns(docs, max_lost_percent).where("kept").select("row.*")
+    # A filter here would be pushed below the measures and repeat them; unfolding an array of one row is not.
+    judged = quality_columns(docs, max_lost_percent)
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")).select("row.*")

@@ -199,4 +199,5 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """The rows that are not predicted toxic, unchanged."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(row.alias("row"), model.udf("text").alias("m"))
-    return rows.where(model.score("m") < LIMIT).select("row.*")
+    judged = rows.select("row", (model.score("m") < LIMIT).alias("clean"))
+    return judged.select(F.explode(F.when(F.col("clean"), F.array("row"))).alias("row")).select("row.*")
