@@ -103,13 +103,17 @@ def test_polynomial_tool_errors(numeric):
     assert none is None and errs
 
 
-def test_wide_correlation_path_matches_pairwise(spark):
+def test_correlation_matrix_equals_numpy_in_several_passes(spark, monkeypatch):
     import numpy as np
-    from tessera.operators.explore import correlation_matrix
+    from tessera.operators import explore
+    monkeypatch.setattr(explore, "PAIRS_PER_PASS", 4)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 5))
     x[:, 1] += x[:, 0]
-    df = spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"c{i} double" for i in range(5)))
-    a = {(r["row"], r["col"]): r["r"] for r in correlation_matrix(df).collect()}
-    b = {(r["row"], r["col"]): r["r"] for r in correlation_matrix(df).collect()}
-    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    rows = [(*map(float, r), 7.0) for r in x]
+    df = spark.createDataFrame(rows, ", ".join(f"c{i} double" for i in range(6)))
+    got = {(r["row"], r["col"]): r["r"] for r in explore.correlation_matrix(df).collect()}
+    want = np.corrcoef(x.T)
+    assert len(got) == 36
+    assert all(abs(got[f"c{i}", f"c{j}"] - want[i, j]) < 1e-9 for i in range(5) for j in range(5))
+    assert all(got["c5", f"c{i}"] is None for i in range(6))  # a constant column
