@@ -37,13 +37,14 @@ def linear_shap(tm: TrainedModel, df: DataFrame, id_col: str) -> DataFrame:
     return x.select(_q(id_col), F.explode(F.array(*cells)).alias("e")).select(id_col, "e.feature", "e.shap")
 
 
-def permutation_shap(tm: TrainedModel, df: DataFrame, id_col: str, sample_rows: int = 500,
+def permutation_shap(tm: TrainedModel, df: DataFrame, id_col: str, sample_rows: int | None = None,
                      permutations: int = 10, seed: int = SEED) -> DataFrame:
-    """Sampled permutation Shapley for any fitted model, (id, feature, shap)."""
+    """Permutation Shapley for any fitted model, (id, feature, shap), of all
+    rows, or of ``sample_rows`` of them (the smallest by a hash of the id)."""
     names = tm.matrix.feature_names
     x = tm.matrix.transform(df, [id_col])
     bg = x.agg(*[F.avg(_q(c)).alias(f"m{i}") for i, c in enumerate(names)]).first()
-    rows = x.orderBy(F.xxhash64(_q(id_col), F.lit(seed))).limit(sample_rows)
+    rows = x if sample_rows is None else x.orderBy(F.xxhash64(_q(id_col), F.lit(seed))).limit(sample_rows)
     rng = random.Random(seed)
     perms = []
     for _ in range(permutations):

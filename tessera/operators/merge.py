@@ -13,7 +13,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,7 +43,9 @@ def merge(left: DataFrame, right: DataFrame, left_on, right_on=None, how: str =
       plain SQL equality;
     * a key pair with one name collapses to one column (``coalesce`` of both
       sides, so right/outer joins keep the right side's value);
-    * other name clashes get ``suffixes``.
+    * other name clashes get ``suffixes``;
+    * keys of different kinds (text and number, say) compare as text, the rule
+      of key detection and of ``merge_size``; a collapsed key is then text.
     """
     lk = _as_list(left_on)
     rk = _as_list(right_on if right_on is not None else left_on)
@@ -61,8 +63,10 @@ def merge(left: DataFrame, right: DataFrame, left_on, right_on=None, how: str =
     rmap = {c: (c + suffixes[1] if c in clash else c) for c in right.columns}
     l = left.select(*[_q(c).alias("__l_" + c) for c in left.columns])
     r = right.select(*[_q(c).alias("__r_" + c) for c in right.columns])
-    conds = [(F.col(f"`__l_{a}`").eqNullSafe(F.col(f"`__r_{b}`")) if null_keys_match
-              else F.col(f"`__l_{a}`") == F.col(f"`__r_{b}`")) for a, b in zip(lk, rk)]
+    types = [_common_type(left.schema[a].dataType, right.schema[b].dataType) for a, b in zip(lk, rk)]
+    sides = [(_as_type(F.col(f"`__l_{a}`"), left.schema[a].dataType, t), _as_type(F.col(f"`__r_{b}`"), right.schema[b].dataType, t))
+             for a, b, t in zip(lk, rk, types)]
+    conds = [x.eqNullSafe(y) if null_keys_match else x == y for x, y in sides]
     cond = reduce(lambda x, y: x & y, conds)
     if how == "outer":
         # full outer = left outer ∪ (right rows without a partner).  AQE can
@@ -72,9 +76,10 @@ def merge(left: DataFrame, right: DataFrame, left_on, right_on=None, how: str =
     else:
         j = l.join(r, cond, how)
     out = []
+    collapsed = {a: F.coalesce(*s) for a, b, s in zip(lk, rk, sides) if a == b}
     for c in left.columns:
         if c in shared:
-            out.append(F.coalesce(F.col(f"`__l_{c}`"), F.col(f"`__r_{c}`")).alias(c))
+            out.append(collapsed[c].alias(c))
         else:
             out.append(F.col(f"`__l_{c}`").alias(lmap[c]))
     out += [F.col(f"`__r_{c}`").alias(rmap[c]) for c in right.columns if c not in shared]
@@ -94,14 +99,19 @@ def _null_safe_parts(df: DataFrame, keys: list[str], types: list[T.DataType]) ->
     shuffled a second time."""
     parts = []
     for i, (k, t) in enumerate(zip(keys, types)):
-        default = F.lit("") if isinstance(t, T.StringType) else F.lit(0).cast(t)
+        if isinstance(t, (T.StringType, T.BinaryType)):
+            default = F.lit("").cast(t)
+        elif isinstance(t, (T.DateType, T.TimestampNTZType)):
+            default = F.lit("1970-01-01").cast(t)
+        else:
+            default = F.lit(0).cast(t)
         parts += [F.coalesce(_q(k).cast(t), default).alias(f"k{i}"), _q(k).isNull().alias(f"z{i}")]
     return parts
 
 
-def _key_counts(df: DataFrame, keys: list[str], tag: str, null_safe_types: list | None = None) -> DataFrame:
-    cols = (_null_safe_parts(df, keys, null_safe_types) if null_safe_types
-            else [_q(k).alias(f"k{i}") for i, k in enumerate(keys)])
+def _key_counts(df: DataFrame, keys: list[str], tag: str, types: list, null_safe: bool) -> DataFrame:
+    cols = (_null_safe_parts(df, keys, types) if null_safe
+            else [_q(k).cast(t).alias(f"k{i}") for i, (k, t) in enumerate(zip(keys, types))])
     return df.groupBy(*cols).agg(F.count(F.lit(1)).alias(tag))
 
 
@@ -113,9 +123,16 @@ def _common_type(a: T.DataType, b: T.DataType) -> T.DataType:
         ia = next((i for i, c in enumerate(order) if isinstance(a, c)), len(order))
         ib = next((i for i, c in enumerate(order) if isinstance(b, c)), len(order))
         return a if ia >= ib else b
+    if all(isinstance(x, (T.DateType, T.TimestampType, T.TimestampNTZType)) for x in (a, b)):
+        return T.TimestampType()
     return T.StringType()
 
 
+def _as_type(key: Column, own: T.DataType, common: T.DataType) -> Column:
+    """A join key cast to the common type; numbers of different widths are left to Spark's own rule."""
+    return key if own == common or isinstance(common, T.NumericType) else key.cast(common)
+
+
 def merge_size(left: DataFrame, right: DataFrame, left_on, right_on=None, how: str = "inner",
                null_keys_match: bool = True) -> DataFrame:
     """Exact output size of every join type, duplicate counts and the
@@ -127,10 +144,9 @@ def merge_size(left: DataFrame, right: DataFrame, left_on, right_on=None, how: s
     """
     lk = _as_list(left_on)
     rk = _as_list(right_on if right_on is not None else left_on)
-    types = ([_common_type(left.schema[a].dataType, right.schema[b].dataType) for a, b in zip(lk, rk)]
-             if null_keys_match else None)
-    lc = _key_counts(left, lk, "nl", types).alias("a")
-    rc = _key_counts(right, rk, "nr", types).alias("b")
+    types = [_common_type(left.schema[a].dataType, right.schema[b].dataType) for a, b in zip(lk, rk)]
+    lc = _key_counts(left, lk, "nl", types, null_keys_match).alias("a")
+    rc = _key_counts(right, rk, "nr", types, null_keys_match).alias("b")
     conds = []
     for i in range(len(lk)):
         conds.append(F.col(f"a.k{i}") == F.col(f"b.k{i}"))

@@ -18,6 +18,8 @@ moves that third into one task.  Instead:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,14 @@ def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner",
+                   small: bool = False) -> DataFrame:
+    """Join on equal names where null equals null; ``small`` broadcasts the right side, whose size the caller bounds."""
+    r = right.select(*[_q(k).alias(f"__j{i}") for i, k in enumerate(on)], *[_q(c) for c in right.columns if c not in on])
+    cond = reduce(lambda a, b: a & b, [_q(k).eqNullSafe(F.col(f"__j{i}")) for i, k in enumerate(on)])
+    return left.join(F.broadcast(r) if small else r, cond, how).drop(*[f"__j{i}" for i in range(len(on))])
+
+
 def running_sum(df: DataFrame, order_by: list[Column], values: list[str], keys: list[str] = (),
                 prefix: str = "cum_", partitions: int | None = None) -> DataFrame:
     """Adds ``cum_<v>`` = sum of ``v`` over the rows of the same key up to
@@ -47,7 +57,7 @@ def running_sum(df: DataFrame, order_by: list[Column], values: list[str], keys:
     offsets = offsets.where(nonzero)
     w = (Window.partitionBy("__pid", *kc).orderBy(*order_by)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = ranged.join(F.broadcast(offsets), ["__pid", *keys], "left")
+    out = null_safe_join(ranged, offsets, ["__pid", *keys], "left", small=True)
     for i, v in enumerate(values):
         out = out.withColumn(f"{prefix}{v}", F.coalesce(F.col(f"__o{i}"), F.lit(0)) + F.sum(_q(v)).over(w))
     return out.drop("__pid", *[f"__o{i}" for i in range(len(values))])

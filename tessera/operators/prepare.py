@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.types import NUMERIC, kind_of
+from tessera.operators.ordered import null_safe_join
 from tessera.operators.quantiles import column_quantiles
 from tessera.session import cut_lineage
 
@@ -90,7 +91,7 @@ def fill_along(df: DataFrame, columns: list[str], order_by: list[str],
     for i in range(len(columns)):
         has_carry = has_carry | F.col(f"__c{i}").isNotNull()
     carry = carry.where(has_carry)
-    joined = ranged.join(F.broadcast(carry), ["__pid", *keys], "left")
+    joined = null_safe_join(ranged, carry, ["__pid", *keys], "left", small=True)
     wf = (Window.partitionBy("__pid", *key_cols).orderBy(*order_cols)
           .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = joined

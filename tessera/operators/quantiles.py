@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.ordered import running_sum
+from tessera.operators.ordered import null_safe_join, running_sum
 
 
 def _q(name: str) -> Column:
@@ -35,7 +35,7 @@ def quantiles_long(long: DataFrame, group: list[str], value: str, probs: list[fl
     cum = running_sum(counts, [F.col("__v")], ["__c"], group)
     if group:
         sizes = counts.groupBy(*[_q(g) for g in group]).agg(F.sum("__c").alias("__n"))
-        j = cum.join(sizes, group)
+        j = null_safe_join(cum, sizes, group)
     else:
         j = cum.withColumn("__n", F.lit(counts.agg(F.sum("__c")).first()[0] or 0))
     lo_edge = F.col("cum___c") - F.col("__c")

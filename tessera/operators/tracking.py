@@ -14,7 +14,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ordered import row_numbers, running_sum
+from tessera.operators.ordered import null_safe_join, row_numbers, running_sum
 from tessera.session import cut_lineage
 
 
@@ -39,9 +39,9 @@ def latest_per_group(df: DataFrame, group: list[str], order_col: str) -> DataFra
 def register_if_changed(registry: DataFrame, candidates: DataFrame, group: list[str],
                         order_col: str, value_col: str) -> DataFrame:
     """L2: candidates whose ``value_col`` (a path) differs from the latest
-    registered row of their group (left-anti join)."""
+    registered row of their group (left-anti join; null equals null)."""
     latest = latest_per_group(registry, group, order_col).select(*group, value_col)
-    return candidates.join(latest, [*group, value_col], "left_anti")
+    return null_safe_join(candidates, latest, [*group, value_col], "left_anti")
 
 
 def with_versions(df: DataFrame, group: list[str], order_by: list[str], name: str = "version") -> DataFrame:
@@ -54,13 +54,13 @@ def rank_by_metric(df: DataFrame, group: list[str], metric: str, name: str = "ra
     """Rank runs by a metric (missing metric counts as 0), best first,
     ties share a rank.  Rank = 1 + rows of the group with a strictly better
     metric: counts per (group, metric), a skew-safe running sum over them,
-    joined back on (group, metric)."""
+    joined back on (group, metric).  Rows with a null group are a group too."""
     m = F.coalesce(_q(metric).cast("double"), F.lit(0.0))
     data = df.withColumn("__m", m)
     counts = data.groupBy(*[_q(g) for g in group], "__m").agg(F.count(F.lit(1)).alias("__n"))
     cum = running_sum(counts, [F.col("__m").desc()], ["__n"], group)
     ranks = cum.select(*group, "__m", (F.col("cum___n") - F.col("__n") + 1).cast("int").alias(name))
-    return data.join(ranks, [*group, "__m"]).drop("__m")
+    return null_safe_join(data, ranks, [*group, "__m"]).select(*[_q(c) for c in df.columns], _q(name))
 
 
 def best_by(df: DataFrame, group: list[str], metric: str, tie_break: list[str] = ()) -> DataFrame:
@@ -74,13 +74,13 @@ def best_by(df: DataFrame, group: list[str], metric: str, tie_break: list[str] =
 def best_with_override(df: DataFrame, group: list[str], metric: str, key: str,
                        override: DataFrame | None = None, tie_break: list[str] = ()) -> DataFrame:
     """L3: the registered model of each group with the best metric, unless
-    the user selected one (``override`` rows of group columns + ``key``)."""
+    the user selected one (``override`` rows of group columns + ``key``).
+    A selection that names no registered model leaves its group's best."""
     best = best_by(df, group, metric, tie_break)
     if override is None:
         return best
-    sel = override.select(*group, key)
-    chosen = df.join(sel, [*group, key], "left_semi")
-    return chosen.unionByName(best.join(sel.select(*group), group, "left_anti"))
+    chosen = null_safe_join(df, override.select(*group, key), [*group, key], "left_semi")
+    return chosen.unionByName(null_safe_join(best, chosen.select(*group).distinct(), group, "left_anti"))
 
 
 def paginate(df: DataFrame, order_by: list[Column], offset: int = 0, limit: int = 50,

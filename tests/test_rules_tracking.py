@@ -107,3 +107,33 @@ def test_tables_by_name_or_index(spark):
     assert src.load_by_name_or_index(spark, d, 2).count() == 1
     info = {r["table_name"]: r["n_rows"] for r in src.table_info(spark, d).collect()}
     assert info == {"Customers": 2, "Orders": 3, "Products": 1}
+
+
+def test_null_group_keys_are_a_group(spark):
+    rows = [(None if i % 2 else "a", i, float(i % 5)) for i in range(24)]
+    df = spark.createDataFrame(rows, "g string, t int, m double").repartition(4)
+    v = tr.with_versions(df, ["g"], ["t"]).collect()
+    for g in (None, "a"):
+        assert [r["version"] for r in sorted((r for r in v if r["g"] == g), key=lambda r: r["t"])] == list(range(1, 13))
+    ranks = tr.rank_by_metric(df, ["g"], "m").collect()
+    assert len(ranks) == 24
+    for r in ranks:
+        assert r["rank"] == 1 + sum(1 for g, _, m in rows if g == r["g"] and m > r["m"])
+
+
+def test_register_null_path_and_override_without_model(spark):
+    reg = spark.createDataFrame([("s", 1, None), (None, 1, "p")], "s string, v int, path string")
+    new = spark.createDataFrame([("s", None), (None, "p"), ("s", "q")], "s string, path string")
+    assert [tuple(r) for r in tr.register_if_changed(reg, new, ["s"], "v", "path").collect()] == [("s", "q")]
+    models = spark.createDataFrame([("s", "m1", 0.5), ("s", "m2", 0.9), (None, "m3", 0.1), (None, "m4", 0.2)],
+                                   "s string, model string, f double")
+    pick = spark.createDataFrame([("s", "absent"), (None, "m3")], "s string, model string")
+    got = {r["s"]: r["model"] for r in tr.best_with_override(models, ["s"], "f", "model", pick).collect()}
+    assert got == {"s": "m2", None: "m3"}
+
+
+def test_detect_date_reads_the_whole_column(spark):
+    rows = [("2024-01-01", "2024-01-02")] * 40 + [("never", None)]
+    df = spark.createDataFrame(rows, "start_date string, end_date string")
+    assert dty.detect_date_column(df) == "end_date"
+    assert dty.detect_date_column(df.where("false")) is None
