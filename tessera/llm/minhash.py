@@ -223,18 +223,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, bands: i
                 .join(found.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
                 .where("ca <> cb").select("a", "b"))
 
-    tried = written(apart(star(2, centres)), "pairs")
-    links = written(links.unionByName(confirmed(tried, sets, percent)), "links")
-    found = written(components(ids, links), "components")
+    def widened(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links and components with the confirmed pairs added; without any, what there is stays as it is."""
+        more = written(confirmed(pairs, sets, percent), "links")
+        if more.isEmpty():
+            return links, found
+        both = links.unionByName(more)
+        return both, written(components(ids, both), "components")
+
+    links, found = widened(written(apart(star(2, centres)), "pairs"))
 
     # Buckets with more members than centres, whose members are still in several components.
     large = shared.where(f"size(heads) > {centres}").join(found, "id")
     split = (large.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
              .where("low < high").select("band", "key"))
     rest = large.join(split, ["band", "key"]).select("id").distinct()
-    more = confirmed(apart(prefix_pairs(sets.join(rest, "id"), found, percent)), sets, percent)
-    links = written(links.unionByName(more), "links")
-    found = written(components(ids, links), "components")
+    links, found = widened(apart(prefix_pairs(sets.join(rest, "id"), found, percent)))
 
     labelled = classes.join(found, "id").select("set_hash", "component")
     out = sketch.join(labelled, "set_hash", "left").select(
