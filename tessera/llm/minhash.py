@@ -166,12 +166,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInPandas(work, "a long, b long")
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id reachable along the edges (a, b), by minimum labels and label jumps."""
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) of every id in the edges (a, b): the smallest id reachable, by minimum labels and label jumps."""
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(),
                    "edges")
-    linked = both.select(F.col("a").alias("id")).distinct()
-    labels = written(linked.withColumn("label", F.col("id")), "labels")
+    # The first round needs no labels: every id starts as its own.
+    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.min(F.least("a", "b")).alias("label")), "labels")
     while True:
         near = (both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy("a")
                 .agg(F.min("label").alias("near")))
@@ -181,8 +181,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         moved = written(lower.join(hop, "next").select("id", "old", F.least("next", "far").alias("label")), "labels")
         labels = moved.select("id", "label")
         if moved.where("label < old").isEmpty():
-            break
-    return nodes.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("component"))
+            return labels.withColumnRenamed("label", "component")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, bands: int = BANDS, rows: int = ROWS,
@@ -213,32 +212,36 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, bands: i
 
     wanted = nodes.join(shared.select("id").distinct(), "id").select("id", "set_hash")
     sets = written(shingle_sets(docs, wanted, width), "sets")
-    tried = written(star(1, 1), "pairs")
-    links = written(confirmed(tried, sets, percent), "links")
+    links = written(confirmed(star(1, 1), sets, percent), "links")
     ids = nodes.select("id")
-    found = written(components(ids, links), "components")
+    found = written(ids.join(components(links), "id", "left").select("id", F.coalesce("component", "id").alias("component")),
+                    "components")
 
     def apart(pairs: DataFrame) -> DataFrame:
         return (pairs.join(found.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a")
                 .join(found.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
                 .where("ca <> cb").select("a", "b"))
 
-    def widened(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Links and components with the confirmed pairs added; without any, what there is stays as it is."""
+    def widened(pairs: DataFrame) -> DataFrame:
+        """The components with the confirmed pairs added: only components that a new link touches are labelled again."""
         more = written(confirmed(pairs, sets, percent), "links")
         if more.isEmpty():
-            return links, found
-        both = links.unionByName(more)
-        return both, written(components(ids, both), "components")
+            return found
+        between = (more.join(found.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a")
+                   .join(found.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
+                   .select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        joined = components(between).select(F.col("id").alias("component"), F.col("component").alias("low"))
+        return written(found.join(joined, "component", "left").select("id", F.coalesce("low", "component").alias("component")),
+                       "components")
 
-    links, found = widened(written(apart(star(2, centres)), "pairs"))
+    found = widened(apart(star(2, centres)))
 
     # Buckets with more members than centres, whose members are still in several components.
     large = shared.where(f"size(heads) > {centres}").join(found, "id")
     split = (large.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
              .where("low < high").select("band", "key"))
     rest = large.join(split, ["band", "key"]).select("id").distinct()
-    links, found = widened(apart(prefix_pairs(sets.join(rest, "id"), found, percent)))
+    found = widened(apart(prefix_pairs(sets.join(rest, "id"), found, percent)))
 
     labelled = classes.join(found, "id").select("set_hash", "component")
     out = sketch.join(labelled, "set_hash", "left").select(
