@@ -35,6 +35,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def one_of_each(docs: DataFrame, digest: Column, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose document, (doc_id, digest of its text), is in ``kept`` (doc_id, digest; each once):
+    one row of each, the longest text, with all columns.  Null ids are equal to each other."""
+    key = lambda d: F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(" "), d)
+    hashable = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    order = F.struct(F.length(F.coalesce("text", F.lit(""))), F.xxhash64(*hashable))
+    # Rows are reduced before they are shuffled: a document that is repeated very often costs one buffer per task.
+    rows = docs.groupBy(key(digest).alias("key")).agg(
+        F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), order).alias("row"))
+    return rows.join(kept.select(key(F.col("digest")).alias("key")), "key").select("row.*")
+
+
 def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A few given rows as a DataFrame, made by Spark from one JSON literal."""
     made = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")

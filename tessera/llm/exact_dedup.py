@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE_CHARS, id_and_text, written
+from tessera.llm.common import SPACE_CHARS, id_and_text, one_of_each, written
 
 
 def hash128(text: Column) -> Column:
@@ -63,6 +63,6 @@ def exact_groups(docs: DataFrame, content_hash: Callable[[Column], Column] = has
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, once each, with all their columns."""
-    kept = exact_groups(docs).where("kept").select("doc_id").distinct()
-    stays = docs.alias("d").join(kept.alias("k"), F.expr("d.doc_id <=> k.doc_id"), "left_semi")
-    return stays
+    kept = exact_groups(docs).where("kept").select("doc_id", F.col("text_sha256").alias("digest"))
+    content = F.translate(F.coalesce(F.col("text"), F.lit("")), SPACE_CHARS, "")
+    return one_of_each(docs, F.sha2(content, 256), kept)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.common import id_and_text, ship, written
+from tessera.llm.common import id_and_text, one_of_each, ship, written
 
 ship(__name__)
 
@@ -118,19 +118,21 @@ def band_keys(shingles: np.ndarray, bands: int, rows: int) -> list[int]:
 
 
 def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """One narrow row per input row: doc_id, n_shingles, set_hash (128 bits), bands. Texts stay in their task."""
+    """One narrow row per input row: doc_id, text_sha256, n_shingles, set_hash (128 bits), bands. Texts stay in their task."""
     def work(frames):
         for frame in frames:
             out = []
             for doc, text in zip(frame["doc_id"].array, frame["text"]):
                 s = shingle_set(text, width)
                 digest = hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest()
-                out.append((doc, len(s), digest, band_keys(s, bands, rows) if len(s) else []))
-            made = pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_hash", "bands"])
+                whole = hashlib.sha256(text.encode()).hexdigest()
+                out.append((doc, whole, len(s), digest, band_keys(s, bands, rows) if len(s) else []))
+            made = pd.DataFrame(out, columns=["doc_id", "text_sha256", "n_shingles", "set_hash", "bands"])
             made["doc_id"] = made["doc_id"].astype("Int64")
             yield made
 
-    return id_and_text(docs).mapInPandas(work, "doc_id long, n_shingles long, set_hash binary, bands array<long>")
+    return id_and_text(docs).mapInPandas(
+        work, "doc_id long, text_sha256 string, n_shingles long, set_hash binary, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -184,9 +186,9 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, bands: int = BANDS, rows: int = ROWS,
-                    centres: int = CENTRES) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept."""
+def near_rows(docs: DataFrame, width: int = 5, percent: int = 85, bands: int = BANDS, rows: int = ROWS,
+              centres: int = CENTRES) -> DataFrame:
+    """One row per input row: doc_id, text_sha256, set_hash, n_shingles, component_id, kept."""
     sketch = written(sketches(docs, width, bands, rows), "sketches")
     named = sketch.where("doc_id is not null and n_shingles > 0")
     classes = named.groupBy("set_hash").agg(F.min("doc_id").alias("id"))
@@ -245,9 +247,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 85, bands: i
 
     labelled = classes.join(found, "id").select("set_hash", "component")
     out = sketch.join(labelled, "set_hash", "left").select(
-        "doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+        "doc_id", "text_sha256", "set_hash", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
         .otherwise(F.col("doc_id")).alias("component_id"))
-    return out.distinct().withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, kept."""
+    return near_rows(docs, **settings).select("doc_id", "n_shingles", "component_id", "kept").distinct()
 
 
 def prefix_pairs(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
@@ -269,6 +276,7 @@ def prefix_pairs(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, **settings) -> DataFrame:
-    """One document of each component, once, with all its columns."""
-    kept = near_duplicates(docs, **settings).where("kept").select("doc_id").distinct()
-    return docs.alias("d").join(kept.alias("k"), F.expr("d.doc_id <=> k.doc_id"), "left_semi")
+    """The documents that stay, once each, with all their columns; of rows that repeat id and set, one text stays."""
+    kept = (near_rows(docs, **settings).where("kept").groupBy("doc_id", "set_hash")
+            .agg(F.min("text_sha256").alias("digest")))
+    return one_of_each(docs, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256), kept)

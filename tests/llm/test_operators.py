@@ -280,6 +280,29 @@ def test_one_edit(a, b, near):
     assert line_dedup.one_edit(a, b) is near
 
 
+def test_drop_functions_keep_each_document_once(spark):
+    rng = np.random.default_rng(12)
+    one, two, three, four, five = (" ".join(f"w{x}" for x in rng.integers(0, 10**6, 80)) for _ in range(5))
+    near = " ".join(one.split()[:-1] + ["other"])
+    rows = [(1, one, "de"), (1, one, "de"), (1, one + " ", "de"), (2, two, "de"), (2, one, "de"), (None, one, "de"),
+            (None, three, "de"), (None, three, "fr"), (None, four, "de"), (3, five, "de"), (3, five, "de"), (4, near, "de"),
+            (5, None, "de"), (5, "", "de")]
+    data = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    key = lambda r: (r["doc_id"] or 0, bare(r["text"]))
+    exact = exact_dedup.drop_exact_copies(data)
+    assert exact.columns == data.columns
+    left = exact.collect()
+    assert sorted(map(key, left)) == sorted((i, bare(t)) for i, t in [
+        (1, one), (2, two), (0, three), (0, four), (3, five), (4, near), (5, "")])
+    assert [r["text"] for r in left if r["doc_id"] == 1] == [one + " "]
+    alone = minhash.drop_near_copies(data)
+    assert alone.columns == data.columns
+    assert sorted(map(key, alone.collect())) == sorted((i, bare(t)) for i, t in [
+        (1, one), (2, two), (0, one), (0, three), (0, four), (3, five), (5, "")])
+    assert sorted(map(key, minhash.drop_near_copies(exact).collect())) == sorted((i, bare(t)) for i, t in [
+        (1, one), (2, two), (0, three), (0, four), (3, five), (5, "")])
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     left = docs
