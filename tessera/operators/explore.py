@@ -125,17 +125,19 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataF
 
 
 def scatter_density(df: DataFrame, x: str, y: str, hue: str | None = None, bins: int = 20,
-                    max_groups: int = 10) -> DataFrame:
-    """A10: 2-D binned counts of (x, y), optionally per hue group limited to
-    the ``max_groups`` most frequent groups (a semi-join on a bounded list)."""
+                    max_groups: int | None = None) -> DataFrame:
+    """A10: 2-D binned counts of (x, y), optionally per hue group: all groups,
+    or the ``max_groups`` most frequent ones (a semi-join on a bounded list)."""
     r = df.agg(F.min(_q(x)).cast("double").alias("x0"), F.max(_q(x)).cast("double").alias("x1"),
                F.min(_q(y)).cast("double").alias("y0"), F.max(_q(y)).cast("double").alias("y1")).first()
     data = df.where(_q(x).isNotNull() & _q(y).isNotNull())
     keys = []
     if hue:
-        top = (data.where(_q(hue).isNotNull()).groupBy(_q(hue).alias("__h"))
-               .agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), "__h").limit(max_groups))
-        data = data.join(F.broadcast(top.select("__h")), _q(hue) == F.col("__h"), "left_semi")
+        data = data.where(_q(hue).isNotNull())
+        if max_groups is not None:
+            top = (data.groupBy(_q(hue).alias("__h"))
+                   .agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), "__h").limit(max_groups))
+            data = data.join(F.broadcast(top.select("__h")), _q(hue) == F.col("__h"), "left_semi")
         keys.append(_q(hue).cast("string").alias("hue"))
     xb = _bin_index(_q(x).cast("double"), r["x0"], r["x1"], bins).alias("x_bin")
     yb = _bin_index(_q(y).cast("double"), r["y0"], r["y1"], bins).alias("y_bin")
@@ -180,14 +182,15 @@ def box_stats(df: DataFrame, column: str, group_by: str | None = None, max_group
         F.sum(F.when((F.col("x") < lo) | (F.col("x") > hi), 1).otherwise(0)).cast("bigint").alias("n_outliers"))
 
 
-def crosstab(df: DataFrame, row: str, col: str, max_rows: int = 20) -> DataFrame:
-    """Row-normalised cross-tabulation in long form for the first
-    ``max_rows`` row values (text order)."""
+def crosstab(df: DataFrame, row: str, col: str, max_rows: int | None = None) -> DataFrame:
+    """Row-normalised cross-tabulation in long form, for all row values
+    or the first ``max_rows`` (text order)."""
     data = df.where(_q(row).isNotNull() & _q(col).isNotNull())
     counts = data.groupBy(_q(row).cast("string").alias("row_value"),
                           _q(col).cast("string").alias("col_value")).agg(F.count(F.lit(1)).alias("count"))
-    first = counts.select("row_value").distinct().orderBy("row_value").limit(max_rows)
-    counts = counts.join(F.broadcast(first), "row_value", "left_semi")
+    if max_rows is not None:
+        first = counts.select("row_value").distinct().orderBy("row_value").limit(max_rows)
+        counts = counts.join(F.broadcast(first), "row_value", "left_semi")
     w = Window.partitionBy("row_value")
     return counts.withColumn("share", F.col("count") / F.sum("count").over(w))
 
@@ -220,8 +223,8 @@ def _n_distinct_over(df: DataFrame, column: str, k: int) -> bool:
     return df.select(_q(column)).distinct().limit(k + 1).count() > k
 
 
-def auto_features(df: DataFrame, target: str, k: int = 6) -> list[str]:
-    """The first ``k`` numeric non-target columns (schema order)."""
+def auto_features(df: DataFrame, target: str, k: int | None = None) -> list[str]:
+    """All numeric non-target columns, or the first ``k`` (schema order)."""
     return [f.name for f in df.schema.fields
             if kind_of(f.dataType) == NUMERIC and f.name != target][:k]
 

@@ -423,10 +423,10 @@ def interaction_features(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFra
 def feature_chain(df: DataFrame, target: str | None = None, poly_columns: list[str] | None = None,
                   degree: int = 2, pairs: list[tuple[str, str]] | None = None,
                   scale: str = "standard") -> DataFrame:
-    """Polynomial terms (given columns or the first five numeric ones),
+    """Polynomial terms (given columns or all numeric ones),
     then interactions, then scaling of the ORIGINAL numeric columns."""
     num = [f.name for f in df.schema.fields if kind_of(f.dataType) == NUMERIC and f.name != target]
-    poly = poly_columns or num[:5]
+    poly = poly_columns or num
     out = polynomial_features(df, poly, degree) if poly else df
     if pairs:
         out = interaction_features(out, pairs)

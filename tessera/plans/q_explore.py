@@ -125,7 +125,7 @@ SELECT l_returnflag AS hue,
 FROM lineitem, r WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL AND l_returnflag IS NOT NULL
 GROUP BY 1, 2, 3""")
 def scatter_density(spark, d):
-    """A10: 20×20 binned scatter of quantity × price per return flag (≤ 10 groups)."""
+    """A10: 20×20 binned scatter of quantity × price per return flag."""
     return ex.scatter_density(load(spark, d, "lineitem"), "l_quantity", "l_extendedprice", "l_returnflag")
 
 
@@ -215,8 +215,8 @@ def group_means(spark, d):
 
 @query("target_analysis_lineitem")
 def target_analysis_lineitem(spark, d):
-    """Per-feature analysis against the return flag for the first
-    six numeric columns, unioned as (feature, rows of its analysis)."""
+    """Per-feature analysis against the return flag for all
+    numeric columns, unioned as (feature, rows of its analysis)."""
     li = load(spark, d, "lineitem")
     feats = ex.auto_features(li, "l_returnflag")
     parts = ex.target_analysis(li, "l_returnflag", feats)
