@@ -2,7 +2,8 @@
 
 Per line: navigation (many ``|`` separators), shouting and symbol noise
 (punctuation rules), one word repeated over and over, boilerplate phrases,
-lines without a letter.  Failing lines are removed; a document whose removed
+lines without a letter.  Failing lines are removed, blank ones with them: the
+cleaned text is the good lines joined by newlines.  A document whose removed
 lines hold more than ``max_lost_percent`` of its characters is rejected, and
 so is one that fails the base limits (too few words, or too many words in
 repeated three-word windows).
@@ -86,7 +87,8 @@ def quality_columns(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT) -
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
         (F.size("lines") - F.size("good_lines")).cast("long").alias("n_removed_lines"),
-        chars(F.col("lines")).alias("line_chars"), chars(F.col("good_lines")).alias("good_chars"))
+        chars(F.col("lines")).alias("line_chars"), chars(F.col("good_lines")).alias("good_chars"),
+        F.array_join("good_lines", "\n").alias("clean_text"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     lost = 100 * (F.col("line_chars") - F.col("good_chars")) > max_lost_percent * F.col("line_chars")
     return df.withColumn("base_failed", failed).withColumn("kept", ~failed & ~lost)
@@ -99,8 +101,15 @@ def judge_quality(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT) ->
         "n_removed_lines")
 
 
+def cleaned(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
+    """One row per input row: doc_id, clean_text (its good lines), kept, n_removed_lines."""
+    return quality_columns(docs.select("doc_id", "text"), max_lost_percent).select(
+        "row.doc_id", "clean_text", "kept", "n_removed_lines")
+
+
 def keep_good(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
-    """The rows whose verdict is to keep, unchanged."""
+    """The rows whose verdict is to keep, with the cleaned text as ``text``."""
     # A filter here would be pushed below the measures and repeat them; unfolding an array of one row is not.
     judged = quality_columns(docs, max_lost_percent)
-    return judged.select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")).select("row.*")
+    row = F.struct(*[F.col("clean_text").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+    return judged.select(F.explode(F.when(F.col("kept"), F.array(row))).alias("row")).select("row.*")

@@ -115,6 +115,19 @@ def test_quality_edges(odd, empty):
     assert quality.keep_good(odd).columns == odd.columns
 
 
+def test_quality_gives_the_cleaned_text(spark):
+    prose = [" ".join(f"word{k}x{i}" for i in range(20)) for k in range(4)]
+    lines = [prose[0], "home | about | help | contact", prose[1], "", "--- 1 ---", "We use cookies: read more", prose[2], prose[3]]
+    rows = [(1, "\n".join(lines), 7), (1, "\n".join(prose), 7), (None, "\n".join(lines[:2]), 7), (2, None, 7)]
+    data = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    clean = "\n".join(prose)
+    got = [(r["doc_id"], r["clean_text"], r["kept"], r["n_removed_lines"]) for r in quality.cleaned(data).collect()]
+    assert sorted(got, key=str) == sorted([(1, clean, True, 3), (1, clean, True, 0), (None, prose[0], False, 1), (2, "", False, 0)],
+                                          key=str)
+    assert [tuple(r) for r in quality.keep_good(data).collect()] == [(1, clean, 7)] * 2
+    assert [tuple(r) for r in corpus_pipeline.quality_stage(spark, data, SF).collect()] == [(1, clean, len(clean))] * 2
+
+
 def test_packing(odd, empty):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(VOCAB)
