@@ -1,7 +1,8 @@
 """Line dedup: a deletion-neighbourhood join over the lines of all documents.
 
 Lines compare by their trimmed, lower-cased form.  Equal forms are one form,
-named by its earliest place (smallest doc_id, then line number).  Two forms
+named by its earliest place (smallest doc_id, then line number, then a 64-bit
+hash of the whole text, which tells texts of one id or of null ids apart).  Two forms
 of at least ``min_chars`` code points are near when one edit (a character
 replaced, added or left out) turns one into the other:
 
@@ -20,9 +21,9 @@ this leaves out nothing.
 A line is dropped when an earlier line equals it or is near it.
 
 Defined cases: blank lines are never dropped; null or empty text is one
-blank line; rows that repeat an id count as one document whose lines are
-told apart by number (of equal places the first stays); lines of a null id
-come last.
+blank line; rows that repeat both id and text are one document; one id with
+several texts, or several null ids, are several documents, each with lines of
+its own, and the summary adds them up by id; lines of a null id come last.
 """
 
 from __future__ import annotations
@@ -44,10 +45,15 @@ def line_form(line: Column) -> Column:
     return F.lower(F.btrim(line, F.lit(SPACE_CHARS)))
 
 
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, form) of every line that is not blank."""
-    split = id_and_text(docs).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    return split.select("doc_id", "line", line_form(F.col("raw")).alias("form")).where("form <> ''")
+    """(doc_id, text_key, line, form) of every line that is not blank."""
+    split = id_and_text(docs).select("doc_id", _text_key(F.col("text")).alias("text_key"),
+                                     F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+    return split.select("doc_id", "text_key", "line", line_form(F.col("raw")).alias("form")).where("form <> ''")
 
 
 def _halves(form: Column) -> Column:
@@ -88,26 +94,27 @@ def one_edit(a: str, b: str) -> bool:
 
 
 def _variants(forms: DataFrame) -> DataFrame:
-    """(key, position, doc_id, line) of the forms (doc_id, line, form, front, back); position -1: the form itself.
+    """(key, position, doc_id, text_key, line) of the forms (doc_id, text_key, line, form, front, back); position -1: the form itself.
     A form that shares its front with another has its edit behind it, and the other way round."""
     def work(frames):
         for frame in frames:
             parts = []
-            for doc, line, form, front, back in frame[["doc_id", "line", "form", "front", "back"]].itertuples(index=False):
+            columns = zip(frame["doc_id"].array, frame["text_key"], frame["line"], frame["form"], frame["front"], frame["back"])
+            for doc, text_key, line, form, front, back in columns:
                 whole, variants = _variant_hashes(form)
                 n = len(form)
                 at = np.arange(n)
                 at = at[((at >= (n - 1) // 2) & front) | ((at < n - (n - 1) // 2) & back)]
                 parts.append(pd.DataFrame({"key": np.append(variants[at], whole), "position": np.append(at, -1),
-                                           "doc_id": doc, "line": line}))
+                                           "doc_id": doc, "text_key": text_key, "line": line}))
             if parts:
                 yield pd.concat(parts, ignore_index=True).astype({"doc_id": "Int64"})
 
-    return forms.mapInPandas(work, "key long, position int, doc_id long, line int")
+    return forms.mapInPandas(work, "key long, position int, doc_id long, text_key long, line int")
 
 
-def _place(doc: str = "doc_id", line: str = "line") -> Column:
-    return F.struct(F.col(doc).isNull().alias("x"), F.col(doc).alias("doc_id"), F.col(line).alias("line"))
+def _place() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "line", "text_key")
 
 
 def near_pairs(docs: DataFrame, forms: DataFrame) -> DataFrame:
@@ -116,13 +123,14 @@ def near_pairs(docs: DataFrame, forms: DataFrame) -> DataFrame:
     shared = halves.groupBy("half", "front").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half", "front")
     wanted = (halves.join(shared, ["half", "front"]).groupBy("place")
               .agg(F.max("front").alias("front"), F.max(~F.col("front")).alias("back")))
-    by_doc = wanted.groupBy(F.col("place.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(
+    by_doc = wanted.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.text_key").alias("text_key")).agg(F.collect_list(F.struct(
         F.col("place.line").alias("line"), "front", "back")).alias("wanted"))
-    texts = (id_and_text(docs).alias("d").join(by_doc.alias("w"), F.expr("d.doc_id <=> w.doc_id"))
-             .select("d.doc_id", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
+    keyed = id_and_text(docs).withColumn("text_key", _text_key(F.col("text")))
+    texts = (keyed.alias("d").join(by_doc.alias("w"), F.expr("d.doc_id <=> w.doc_id and d.text_key = w.text_key"))
+             .select("d.doc_id", "d.text_key", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
              .where("w.line < size(lines)")
-             .select("doc_id", "w.*", line_form(F.get("lines", F.col("w.line"))).alias("form")).where("form <> ''")
-             .dropDuplicates(["doc_id", "line"]))
+             .select("doc_id", "text_key", "w.*", line_form(F.get("lines", F.col("w.line"))).alias("form")).where("form <> ''")
+             .dropDuplicates(["doc_id", "text_key", "line"]))
     texts = written(texts, "near-lines")
     keys = written(_variants(texts).withColumn("place", _place()).select("key", "position", "place"), "variants")
 
@@ -144,24 +152,30 @@ def near_pairs(docs: DataFrame, forms: DataFrame) -> DataFrame:
     return both.where(near("a", "b")).select("later", "earlier")
 
 
-def line_verdicts(docs: DataFrame) -> DataFrame:
-    """One row per line that is not blank: doc_id, line, kept, first_doc_id, first_line (the earliest line that
-    equals it or is near it, itself if kept), n_equal (lines of the same form)."""
-    hashed = _lines(docs).select("doc_id", "line", F.unhex(F.md5(F.col("form").cast("binary"))).alias("hash"),
+def _verdicts(docs: DataFrame) -> DataFrame:
+    """The columns of ``line_verdicts`` and text_key."""
+    hashed = _lines(docs).select("doc_id", "text_key", "line", F.unhex(F.md5(F.col("form").cast("binary"))).alias("hash"),
                                  _halves(F.col("form")).alias("halves"))
-    hashed = written(hashed.dropDuplicates(["doc_id", "line", "hash"]), "lines")
+    hashed = written(hashed.dropDuplicates(["doc_id", "text_key", "line"]), "lines")
     forms = written(hashed.groupBy("hash").agg(F.min(_place()).alias("place"), F.count(F.lit(1)).alias("n_equal"),
                                                F.any_value("halves").alias("halves")), "forms")
     near = near_pairs(docs, forms).groupBy(F.col("later").alias("place")).agg(F.min("earlier").alias("earlier"))
     first = forms.join(near, "place", "left").select("hash", "n_equal", F.coalesce("earlier", "place").alias("first"))
     here = hashed.join(first, "hash").withColumn("place", _place())
-    return here.select("doc_id", "line", (F.col("place") == F.col("first")).alias("kept"),
+    return here.select("doc_id", "text_key", "line", (F.col("place") == F.col("first")).alias("kept"),
                        F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").alias("first_line"), "n_equal")
 
 
+def line_verdicts(docs: DataFrame) -> DataFrame:
+    """One row per line that is not blank: doc_id, line, kept, first_doc_id, first_line (the earliest line that
+    equals it or is near it, itself if kept), n_equal (lines of the same form)."""
+    return _verdicts(docs).drop("text_key")
+
+
 def line_summary(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_lines (not blank), n_kept, dropped (numbers of its dropped lines, sorted)."""
-    verdicts = line_verdicts(docs).groupBy("doc_id").agg(
+    """One row per id, over all texts of the id: doc_id, n_lines (not blank), n_kept, dropped (numbers of its dropped
+    lines, sorted)."""
+    verdicts = _verdicts(docs).groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_lines"), F.sum(F.col("kept").cast("long")).alias("n_kept"),
         F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("line")))).alias("dropped"))
     ids = docs.select("doc_id").distinct()
@@ -172,8 +186,10 @@ def line_summary(docs: DataFrame) -> DataFrame:
 
 def drop_lines(docs: DataFrame) -> DataFrame:
     """The documents, all columns, with their dropped lines left out of ``text``."""
-    gone = line_summary(docs).where("size(dropped) > 0").select("doc_id", F.col("dropped").alias("gone"))
+    gone = (_verdicts(docs).where(~F.col("kept")).groupBy("doc_id", "text_key")
+            .agg(F.collect_list("line").alias("gone")))
     rest = F.array_join(F.filter(F.split("d.text", "\n"), lambda x, i: ~F.array_contains("gone", i)), "\n")
     columns = [F.when(F.col("gone").isNull(), F.col("d.text")).otherwise(rest).alias("text") if c == "text"
                else F.col(f"d.`{c}`") for c in docs.columns]
-    return docs.alias("d").join(gone.alias("g"), F.expr("d.doc_id <=> g.doc_id"), "left").select(*columns)
+    same = F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (_text_key(F.col("d.text")) == F.col("g.text_key"))
+    return docs.alias("d").join(gone.alias("g"), same, "left").select(*columns)
