@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import (bpe, exact_dedup, license_scan, line_dedup, minhash, packing, quality, token_counts, toxicity,
-                         url_filter)
+from tessera.llm import (bpe, centroids, exact_dedup, license_scan, line_dedup, minhash, packing, prefix_trie, quality, simhash,
+                         token_counts, toxicity, url_filter)
 from tessera.llm.common import tokenizer_file
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,82 @@ def op8_minhash(spark, sf_dir):
 def op9_toxicity(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+@_query()
+def op11_simhash(spark, sf_dir):
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query(r"""
+WITH RECURSIVE ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+crc(c, s, x) AS (
+  SELECT c, c::VARCHAR, 4294967295::BIGINT FROM ids
+  UNION ALL
+  SELECT c, s[2:], xor(x >> 8, list_reduce([xor(x & 255, ascii(s[1])::BIGINT), 1, 2, 3, 4, 5, 6, 7, 8],
+                                           lambda a, b: xor(a >> 1, (a & 1) * 3988292384))) FROM crc WHERE s <> ''),
+t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+           sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, ''))) AS n
+  FROM conversations WHERE conv_id IS NOT NULL),
+h AS (SELECT c, c - c % 5 AS b, xor(x, 4294967295) % 9 AS h FROM crc WHERE s = ''),
+r AS (
+  SELECT h.c, 0 AS part, t.n, t.role, t.text FROM h JOIN t ON t.c = h.b AND t.n <= h.h
+  UNION ALL
+  SELECT h.c, 1, t.n, t.role, t.text FROM h JOIN t ON t.c = h.c AND t.n > h.h),
+o AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, n) AS d, role, text FROM r),
+p AS (
+  SELECT c, d, octet_length(encode(text)) AS bytes,
+         string_agg(sha256(octet_length(encode(role)) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY d) AS pre FROM o
+  UNION ALL SELECT c, 0, 0, '' FROM ids),
+e AS (SELECT c, max(d) AS d FROM p GROUP BY c),
+v AS (
+  SELECT p.d, p.pre, min(p.c) AS conv_id, count(*) AS n, max(p.bytes) AS bytes,
+         sha256(coalesce(string_agg(CASE WHEN e.d = p.d THEN p.c::VARCHAR END, ',' ORDER BY p.c), '')) AS ends_sha256
+  FROM p JOIN e USING (c) GROUP BY p.d, p.pre),
+k AS (SELECT d - 1 AS d, left(pre, 64 * (d - 1)) AS pre, count(*) AS n FROM v WHERE d > 0 GROUP BY ALL),
+f AS (SELECT v.*, coalesce(k.n, 0) AS n_children FROM v LEFT JOIN k USING (d, pre)),
+up AS (SELECT unnest(range(0, d + 1)) AS a, d, pre, n, bytes, n_children FROM f),
+s AS (
+  SELECT a AS d, left(pre, 64 * a) AS pre, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves,
+         sum((n - 1) * bytes) AS saved_tokens
+  FROM up GROUP BY ALL)
+SELECT f.conv_id, f.d::BIGINT AS depth, q.conv_id AS parent_conv_id, f.n::BIGINT AS n_convs, f.n_children::BIGINT AS n_children,
+       s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+FROM f JOIN s ON s.d = f.d AND s.pre = f.pre LEFT JOIN f AS q ON q.d = f.d - 1 AND q.pre = left(f.pre, 64 * (f.d - 1))
+""")
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie.trie(prefix_trie.rebuilt_paths(_table(spark, sf_dir, "conversations")))
+
+
+def _clustering_sql(rounds: int = 5, k: int = 40, size: int = 64) -> str:
+    """The rounds one after the other. Squared distances are whole numbers below 2**53, so doubles hold them exactly."""
+    steps = [f"""
+v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {size}),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR)) - 1 AS k, v AS c FROM v
+  QUALIFY k < {k})"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT r, vec_id, v, k, d FROM (
+    SELECT r, vec_id, v, k, list_inner_product(v, v) + list_inner_product(c, c) - 2 * list_inner_product(v, c) AS d FROM v, c{i})
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)""")
+        if i < rounds:
+            steps.append(f"""
+n{i} AS (SELECT k, i, floor(sum(x) / count(*)) AS x FROM (SELECT k, unnest(v) AS x, unnest(range({size})) AS i FROM a{i}) GROUP BY k, i),
+c{i + 1} AS MATERIALIZED (
+  SELECT c{i}.k, coalesce(m.c, c{i}.c) AS c FROM c{i} LEFT JOIN (SELECT k, list(x ORDER BY i) AS c FROM n{i} GROUP BY k) AS m USING (k))""")
+    return f"""WITH {','.join(steps)}
+SELECT a.vec_id, a.k::INTEGER AS cluster, a.d::BIGINT AS distance, (sum(a.d) OVER (PARTITION BY a.k))::BIGINT AS cluster_inertia,
+       (sum(a.d) OVER ())::BIGINT AS inertia,
+       sha256(array_to_string(list_transform(c.c, lambda x: x::BIGINT), ',')) AS centroid_sha256
+FROM a{rounds} AS a JOIN c{rounds} AS c USING (k)"""
+
+
+@_query(_clustering_sql())
+def op13_centroids(spark, sf_dir):
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"), order=centroids.hash_order()).drop("centroid")

@@ -331,4 +331,4 @@ def test_pipeline_stages(spark):
 
 
 def test_queries_are_registered():
-    assert {name.split("_")[0] for name in q.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {name.split("_")[0] for name in q.QUERIES} == {f"op{n}" for n in range(1, 14)}
