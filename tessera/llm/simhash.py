@@ -17,9 +17,9 @@ most; these two steps are the join key:
 
 The longer chains are tested on the joined pair before the whole distance is.
 
-A key under which more than ``crowd`` different fingerprints stand would make
-pairs with the square of their number.  The fingerprints that meet such a key
-are linked without pairs: each one lists all points within ``bound / 2`` bits
+A key under which many more fingerprints stand than under others (``crowd``
+and four times their fair share) would make pairs with the square of their
+number.  The fingerprints that meet such a key are linked without pairs: each one lists all points within ``bound / 2`` bits
 of itself, and two of them share a point exactly when at most ``bound`` bits
 differ, so all at a point are linked with the smallest of them.
 
@@ -49,7 +49,7 @@ from tessera.llm.minhash import components
 ship(__name__)
 
 BITS = 64
-CROWD = 128
+CROWD = 16
 #: Bytes of a text that are cut into words at a time.
 BLOCK = 1 << 20
 _space = re.compile(rb"[\x20\x09-\x0D]")
@@ -161,7 +161,7 @@ def near_points(members: DataFrame, bound: int) -> DataFrame:
     labelled, edges = written(members.select("fp", F.col("fp").alias("label")), "members"), None
     for radius in range(1, bound // 2 + 1):
         listed = F.array(*[F.lit(x) for x in _flips(radius)])
-        points = labelled.select("label", F.explode(F.transform(listed, lambda f: F.col("fp").bitwiseXOR(f))).alias("point"))
+        points = labelled.repartition("fp").select("label", F.explode(F.transform(listed, lambda f: F.col("fp").bitwiseXOR(f))).alias("point"))
         several = points.groupBy("point").agg(F.min("label").alias("a"), F.max("label").alias("high")).where("a < high")
         new = written(points.join(several.select("point", "a"), "point").where("a < label").select("a", F.col("label").alias("b")).distinct(),
                       "point-edges")
@@ -177,7 +177,9 @@ def links(marks: DataFrame, bound: int = 4, crowd: int = CROWD) -> DataFrame:
     if bound < 2 or bound % 2 or bound > 16:
         raise ValueError("bound must be an even number from 2 to 16")
     standing, sought = standing_keys(marks, bound), sought_keys(marks, bound)
-    crowded = written(standing.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("key"), "crowded")
+    narrowest = min(_reach(segments(bound), k, 2) for k in range(bound + 1))
+    most = crowd + 4 * marks.count() // (1 << narrowest)
+    crowded = written(standing.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key"), "crowded")
     calm = sought.join(crowded, "key", "left_anti")
     meet = F.expr("p.key = q.key") & F.expr("(not p.same and p.fp <> q.fp) or p.fp < q.fp")
     found = calm.alias("p").join(standing.alias("q"), meet & F.expr(chain_condition("(p.fp ^ q.fp)", "p.key", bound)))
