@@ -163,7 +163,8 @@ def near_points(members: DataFrame, bound: int) -> DataFrame:
         listed = F.array(*[F.lit(x) for x in _flips(radius)])
         points = labelled.repartition("fp").select("label", F.explode(F.transform(listed, lambda f: F.col("fp").bitwiseXOR(f))).alias("point"))
         several = points.groupBy("point").agg(F.min("label").alias("a"), F.max("label").alias("high")).where("a < high")
-        new = written(points.join(several.select("point", "a"), "point").where("a < label").select("a", F.col("label").alias("b")).distinct(),
+        # Points compress so well that their table looks small enough to broadcast, which it is not.
+        new = written(points.join(several.select("point", "a").hint("merge"), "point").where("a < label").select("a", F.col("label").alias("b")).distinct(),
                       "point-edges")
         edges = new if edges is None else edges.unionByName(new)
         if 2 * radius < bound:
