@@ -3,8 +3,8 @@
 Works on whole batches with numpy: code points are classed by a table
 (letter, number, white space, other), piece starts follow from changes of
 class and the white-space and contraction rules of the pattern, and equal
-pieces of a batch are found by a 64-bit hash, so that only different pieces
-ever become Python strings.
+pieces of a batch are found by a 64-bit hash and compared with each other, so
+that only different pieces ever become Python strings.
 """
 
 from __future__ import annotations
@@ -89,27 +89,53 @@ def piece_starts(codes: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     return starts
 
 
+def _regrouped(joined: str, codes: np.ndarray, first: np.ndarray, stop: np.ndarray, example: np.ndarray, number: np.ndarray,
+               pieces: list[str], step: int = 1 << 18) -> None:
+    """Compares every piece with the example of its group, code point by code point, and gives those that differ
+    (only the hash was equal) groups of their own."""
+    length, own = stop - first, {}
+    for k in range(0, len(first), step):
+        here = slice(k, k + step)
+        n, model = length[here], example[number[here]]
+        same = n == length[model]
+        n = np.where(same, n, 0)
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        differ = codes[np.repeat(first[here], n) + inside] != codes[np.repeat(first[model], n) + inside]
+        wrong = np.flatnonzero(~same).tolist()
+        if differ.any():
+            wrong += np.unique(np.repeat(np.arange(len(n)), n)[differ]).tolist()
+        for i in wrong:
+            piece = joined[first[k + i]:stop[k + i]]
+            if piece not in own:
+                own[piece] = len(pieces)
+                pieces.append(piece)
+            number[k + i] = own[piece]
+
+
 def split_batch(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Different pieces, the piece number of every place, and the place where each text begins
-    (one more at the end)."""
+    (one more at the end). A text without characters begins where the next one does."""
     joined = "\x00".join(texts) + "\x00"
     codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32).copy()
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     ends = np.cumsum(lengths + 1) - 1
     codes[ends] = 0x110000
     kinds = _classes()[codes]
-    first = np.flatnonzero(piece_starts(codes, kinds))
+    starts = piece_starts(codes, kinds)
+    starts[ends] = True  # also right behind another end
+    first = np.flatnonzero(starts)
     stop = np.append(first[1:], len(codes))
+    real = codes[first] != 0x110000
+    first, stop = first[real], stop[real]
+    begins = np.append(np.searchsorted(first, ends - lengths), len(first))
     power, inverse = _powers(len(codes))
     sums = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum(_mixed(codes.astype(np.uint64)) * power[:len(codes)], out=sums[1:])
     hashes = (sums[stop] - sums[first]) * inverse[first]
     hashes ^= (stop - first).astype(np.uint64) * _MIX
-    real = codes[first] != 0x110000
-    begins = np.concatenate(([0], np.cumsum(real)[np.searchsorted(first, ends)])).astype(np.int64)
-    first, stop, hashes = first[real], stop[real], hashes[real]
     _, example, number = np.unique(hashes, return_index=True, return_inverse=True)
     pieces = [joined[a:b] for a, b in zip(first[example].tolist(), stop[example].tolist())]
+    _regrouped(joined, codes, first, stop, example, number, pieces)
     return pieces, number, begins
 
 
