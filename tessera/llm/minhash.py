@@ -1,10 +1,10 @@
 """MinHash near-dedup: one-permutation hashing, banded buckets, star edges, exact confirmation.
 
-1. Every document becomes its set of distinct word shingles (64-bit hashes),
+1. Every document becomes its set of distinct word shingles (128-bit hashes),
    one permutation hash per shingle, and the minimum per bin; empty bins copy
    a bin chosen by a fixed random sequence (optimal densification), so equal
    sets fill equal bins.  Groups of consecutive bins are the bands.
-2. Documents with equal sets collapse to one representative.
+2. Documents with equal sets are one node, and the sets of one id are linked.
 3. In each bucket (band, key) the smallest ids are centres, and every other
    member is paired with them: candidate pairs grow with the members of a
    bucket, not with their square.  The first round takes one centre, the
@@ -19,8 +19,8 @@
 
 Defined cases: a text without words has no shingles and links with nothing;
 fewer than ``width`` words are one shingle; rows that repeat id and set are
-one document; rows of one id with several texts share that id's component; a
-row with a null id is its own component (null) and is kept.
+one document; the sets of one id with several texts are linked with each other,
+so its rows share a component; a row with a null id is its own component (null) and is kept.
 """
 
 from __future__ import annotations
@@ -50,40 +50,35 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_state.get("powers", ((), ()))[0]) < n:
-        size, base, made = max(n, 1 << 20), 0xD1342543DE82EF95, []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            made.append(np.multiply.accumulate(p))
-        _state["powers"] = tuple(made)
-    return _state["powers"]
-
-
 def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word; A-Z are lower-cased and words end at ASCII white space."""
-    raw = text.encode().lower()
-    codes = np.frombuffer(raw, np.uint8)
-    word = ~((codes == 32) | ((codes >= 9) & (codes <= 13)))
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).astype(np.int8)))
-    first, stop = edges[::2], edges[1::2]
-    power, inverse = _powers(len(codes) + 1)
-    sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(_mix(codes.astype(np.uint64)) * power[:len(codes)], out=sums[1:])
-    return _mix((sums[stop] - sums[first]) * inverse[first] + (stop - first).astype(np.uint64))
+    """A 128-bit hash of each word, as two numbers; A-Z are lower-cased and words end at ASCII white space."""
+    import xxhash
+
+    words = text.encode().lower().split()
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "<u8").reshape(-1, 2)
 
 
 def shingle_set(text: str, width: int) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles."""
+    """Sorted distinct 128-bit hashes of the text's shingles, as rows of two numbers."""
     words = word_hashes(text)
     if not len(words):
         return words
     n = max(1, len(words) - width + 1)
-    made = np.full(n, min(width, len(words)), np.uint64)
+    made = np.full((n, 2), min(width, len(words)), np.uint64)
+    made[:, 1] += np.uint64(1 << 32)
     for k in range(min(width, len(words))):
         made = _mix(made * np.uint64(0xD6E8FEB86659FD93) + words[k:k + n])
-    return np.unique(made)
+    made = made[np.lexsort((made[:, 1], made[:, 0]))]
+    new = np.ones(len(made), bool)
+    new[1:] = (made[1:] != made[:-1]).any(1)
+    return np.ascontiguousarray(made[new])
+
+
+def shared_shingles(x: np.ndarray, y: np.ndarray) -> int:
+    """How many shingles two sets share; a shingle is equal when both of its numbers are."""
+    both = np.concatenate((x, y))
+    both = both[np.lexsort((both[:, 1], both[:, 0]))]
+    return int((both[1:] == both[:-1]).all(1).sum())
 
 
 def _donors(bins: int) -> np.ndarray:
@@ -110,7 +105,7 @@ def signature(shingles: np.ndarray, bins: int) -> np.ndarray:
 
 
 def band_keys(shingles: np.ndarray, bands: int, rows: int) -> list[int]:
-    least = signature(shingles, bands * rows).reshape(bands, rows)
+    least = signature(shingles[:, 0], bands * rows).reshape(bands, rows)
     key = np.arange(bands, dtype=np.uint64)
     for k in range(rows):
         key = _mix(key * np.uint64(0xD6E8FEB86659FD93) + least[:, k])
@@ -136,36 +131,42 @@ def sketches(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(id, shingles) of the wanted (id, set_hash), which are told apart by their set's hash."""
+    """(id, shingles, seconds) of the wanted (id, doc_id, set_hash): both numbers of each shingle. The texts of one
+    doc_id are told apart by their set's hash."""
     def work(frames):
         for frame in frames:
-            keep, sets = [], []
-            for doc, text, digest in zip(frame["doc_id"], frame["text"], frame["set_hash"]):
+            keep, firsts, seconds = [], [], []
+            for node, text, digest in zip(frame["id"], frame["text"], frame["set_hash"]):
                 s = shingle_set(text, width)
                 if hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest() == bytes(digest):
-                    keep.append(doc)
-                    sets.append(s.view(np.int64))
-            yield pd.DataFrame({"id": pd.array(keep, "Int64"), "shingles": sets})
+                    keep.append(node)
+                    firsts.append(np.ascontiguousarray(s[:, 0]).view(np.int64))
+                    seconds.append(np.ascontiguousarray(s[:, 1]).view(np.int64))
+            yield pd.DataFrame({"id": pd.array(keep, "Int64"), "shingles": firsts, "seconds": seconds})
 
-    texts = id_and_text(docs).join(wanted.select(F.col("id").alias("doc_id"), "set_hash"), "doc_id")
-    made = texts.select("doc_id", "text", "set_hash").mapInPandas(work, "id long, shingles array<long>")
+    texts = id_and_text(docs).join(wanted.select("id", "doc_id", "set_hash"), "doc_id")
+    made = texts.select("id", "text", "set_hash").mapInPandas(work, "id long, shingles array<long>, seconds array<long>")
     return made.dropDuplicates(["id"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b"))
+    both = (pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"), F.col("seconds").alias("x2")), "a")
+            .join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"), F.col("seconds").alias("y2")), "b"))
 
     def work(frames):
         for frame in frames:
             ok = []
-            for x, y in zip(frame["x"], frame["y"]):
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            for x, x2, y, y2 in zip(frame["x"], frame["x2"], frame["y"], frame["y2"]):
+                # Most pairs show by the first numbers alone, which share at least as much.
+                shared = len(np.intersect1d(x, y))
+                if good := 100 * shared >= percent * (len(x) + len(y) - shared):
+                    shared = shared_shingles(np.stack((x, x2), 1), np.stack((y, y2), 1))
+                    good = 100 * shared >= percent * (len(x) + len(y) - shared)
+                ok.append(good)
             yield frame.loc[ok, ["a", "b"]]
 
-    return both.select("a", "b", "x", "y").mapInPandas(work, "a long, b long")
+    return both.select("a", "b", "x", "x2", "y", "y2").mapInPandas(work, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -186,16 +187,37 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
+def set_nodes(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (doc_id, set_hash): the node of every different set (set_hash, doc_id, id) with the smallest doc_id that
+    has it, and edges (a, b) between the nodes of one doc_id.
+
+    A node's id is that doc_id; of several sets with the same one, all but one get unique ids below every doc_id."""
+    classes = written(named.groupBy("set_hash").agg(F.min("doc_id").alias("doc_id")), "classes")
+    speaks = classes.groupBy("doc_id").agg(F.min("set_hash").alias("first"), F.max("set_hash").alias("last")).where("first < last")
+    silent = written(classes.join(speaks, "doc_id").where("set_hash > first").select("set_hash", "doc_id"), "silent")
+    below = F.least(F.lit(0), F.lit(classes.agg(F.min("doc_id")).first()[0])) - 1
+    other = written(silent.withColumn("own", below - F.monotonically_increasing_id()), "silent")
+    classes = written(classes.join(other.select("set_hash", "own"), "set_hash", "left")
+                      .select("set_hash", "doc_id", F.coalesce("own", "doc_id").alias("id")), "classes")
+    several = (named.groupBy("doc_id").agg(F.min("set_hash").alias("low"), F.max("set_hash").alias("high")).where("low < high")
+               .select("doc_id"))
+    apart = (named.select("doc_id", "set_hash").join(several, "doc_id").distinct()
+             .join(classes.select("set_hash", "id"), "set_hash").select("doc_id", "id"))
+    least = apart.groupBy("doc_id").agg(F.min("id").alias("a"))
+    return classes, apart.join(least, "doc_id").where("a < id").select("a", F.col("id").alias("b")).distinct()
+
+
 def near_rows(docs: DataFrame, width: int = 5, percent: int = 85, bands: int = BANDS, rows: int = ROWS,
-              centres: int = CENTRES) -> DataFrame:
-    """One row per input row: doc_id, text_sha256, set_hash, n_shingles, component_id, kept."""
+              centres: int = CENTRES, link_ids: bool = True) -> DataFrame:
+    """One row per input row: doc_id, text_sha256, set_hash, n_shingles, component_id, kept, and stands: whether its
+    set stands for the component (rows without id or words stand for themselves).
+
+    ``link_ids``: whether the sets of one id are linked, so that every id has one component."""
     sketch = written(sketches(docs, width, bands, rows), "sketches")
     named = sketch.where("doc_id is not null and n_shingles > 0")
-    classes = named.groupBy("set_hash").agg(F.min("doc_id").alias("id"))
-    # Of an id that stands first for several sets, the set with the smallest hash speaks.
-    speaks = classes.groupBy("id").agg(F.min("set_hash").alias("set_hash"))
-    nodes = written(named.join(speaks, "set_hash").where("doc_id = id").dropDuplicates(["id"])
-                    .select("id", "set_hash", "n_shingles", "bands"), "nodes")
+    classes, of_one_id = set_nodes(named)
+    nodes = written(named.join(classes, ["doc_id", "set_hash"]).dropDuplicates(["id"])
+                    .select("id", "doc_id", "set_hash", "n_shingles", "bands"), "nodes")
     members = nodes.select("id", "n_shingles", F.posexplode("bands").alias("band", "key"))
 
     nth = F.row_number().over(Window.partitionBy("band", "key").orderBy("id"))
@@ -212,9 +234,10 @@ def near_rows(docs: DataFrame, width: int = 5, percent: int = 85, bands: int = B
                 .select(F.col("h.id").alias("a"), F.col("h.n_shingles").alias("n"), "b", "m")
                 .where("a < b").where(alike).select("a", "b").distinct())
 
-    wanted = nodes.join(shared.select("id").distinct(), "id").select("id", "set_hash")
+    wanted = nodes.join(shared.select("id").distinct(), "id").select("id", "doc_id", "set_hash")
     sets = written(shingle_sets(docs, wanted, width), "sets")
-    links = written(confirmed(star(1, 1), sets, percent), "links")
+    links = confirmed(star(1, 1), sets, percent)
+    links = written(links.unionByName(of_one_id) if link_ids else links, "links")
     ids = nodes.select("id")
     found = written(ids.join(components(links), "id", "left").select("id", F.coalesce("component", "id").alias("component")),
                     "components")
@@ -245,10 +268,13 @@ def near_rows(docs: DataFrame, width: int = 5, percent: int = 85, bands: int = B
     rest = large.join(split, ["band", "key"]).select("id").distinct()
     found = widened(apart(prefix_pairs(sets.join(rest, "id"), found, percent)))
 
-    labelled = classes.join(found, "id").select("set_hash", "component")
+    labelled = written(classes.join(found, "id").select("set_hash", F.col("component").alias("root"), "doc_id"), "labelled")
+    heads = labelled.groupBy("root").agg(F.min(F.struct("doc_id", "set_hash")).alias("head"))
+    labelled = labelled.join(heads, "root").select("set_hash", F.col("head.doc_id").alias("component"), F.col("head.set_hash").alias("head"))
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     out = sketch.join(labelled, "set_hash", "left").select(
-        "doc_id", "text_sha256", "set_hash", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-        .otherwise(F.col("doc_id")).alias("component_id"))
+        "doc_id", "text_sha256", "set_hash", "n_shingles", F.when(linked, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
+        (~linked | ((F.col("doc_id") == F.col("component")) & (F.col("set_hash") == F.col("head")))).alias("stands"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -276,7 +302,8 @@ def prefix_pairs(sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, **settings) -> DataFrame:
-    """The documents that stay, once each, with all their columns; of rows that repeat id and set, one text stays."""
-    kept = (near_rows(docs, **settings).where("kept").groupBy("doc_id", "set_hash")
+    """The documents that stay, once each, with all their columns; of rows that repeat id and set, one text stays.
+    Here a document is an id and a set: other texts of an id whose copy goes are not lost with it."""
+    kept = (near_rows(docs, link_ids=False, **settings).where("stands").groupBy("doc_id", "set_hash")
             .agg(F.min("text_sha256").alias("digest")))
     return one_of_each(docs, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256), kept)

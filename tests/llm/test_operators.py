@@ -199,6 +199,25 @@ def test_minhash_equals_brute_force(docs, odd, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_minhash_several_texts_of_one_id(spark):
+    rng = np.random.default_rng(21)
+    base, other, third = (" ".join(f"w{x}" for x in rng.integers(0, 10**6, 80)) for _ in range(3))
+    z = lambda t: t + " z"
+    rows = [(10, base), (10, other), (20, base), (30, z(base)), (40, other), (50, z(other)), (60, third), (70, z(third)), (80, base),
+            (80, third), (None, other), (90, None), (90, "one two")]
+    data = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(data).collect()}
+    assert got == {*((i, 10) for i in (10, 20, 30, 40, 50, 60, 70, 80)), (None, None), (90, 90)}
+    apart = spark.createDataFrame([r for r in rows if r[0] != 80], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(apart).collect()}
+    assert got == {*((i, 10) for i in (10, 20, 30, 40, 50)), (60, 60), (70, 60), (None, None), (90, 90)}
+
+
+def test_minhash_tells_words_of_equal_sums_apart(spark):
+    data = spark.createDataFrame(list(enumerate(_odd_words())), "doc_id long, text string")
+    assert sorted(r["component_id"] for r in minhash.near_duplicates(data).collect()) == [0, 1]
+
+
 def test_minhash_large_group_of_near_copies(spark):
     rng = np.random.default_rng(9)
     base = [f"w{i}" for i in range(100)]
