@@ -75,3 +75,18 @@ def cut_lineage(df):
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def ship(module: str) -> None:
+    """Sends a module's functions to the workers by value, so that executors need no copy of this package."""
+    import sys
+
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+def written(df, name: str):
+    """The frame as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
