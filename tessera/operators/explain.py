@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import random
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,7 +61,8 @@ def permutation_shap(tm: TrainedModel, df: DataFrame, id_col: str, sample_rows:
           .otherwise(F.lit(bg[f"m{j}"] or 0.0)).alias(c) for j, c in enumerate(names)])
     scored = tm.pipeline.transform(coal)
     out_col = "probability" if "probability" in scored.columns else None
-    val = vector_to_array(out_col)[1] if out_col else F.col("prediction")
+    from tessera.operators.model import _array
+    val = F.get(_array(scored, out_col), F.lit(1)) if out_col else F.col("prediction")
     w = Window.partitionBy(id_col, "__p").orderBy("__s")
     diffs = scored.select(id_col, "__p", "__s", val.alias("__v")).withColumn(
         "__d", F.col("__v") - F.lag("__v").over(w)).where(F.col("__s") > 0)

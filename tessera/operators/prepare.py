@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.types import NUMERIC, kind_of
-from tessera.operators.ordered import null_safe_join
+from tessera.operators.ordered import null_safe_join, row_numbers
 from tessera.operators.quantiles import column_quantiles
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, written
 
 
 def _q(name: str) -> Column:
@@ -231,8 +231,41 @@ class Encoder:
     categories: list = field(default_factory=list)
     means: dict | None = None
     drop_first: bool = False
+    #: Many categories: a written dictionary (value, code or mean) that is joined by value instead of literals.
+    table: DataFrame | None = None
+    size: int = 0
+
+    @property
+    def vector(self) -> str | None:
+        """Name of the sparse vector column that a wide one-hot encoding gives."""
+        return f"{self.column}_onehot" if self.table is not None and self.method == "one_hot" else None
+
+    def names(self) -> list[str]:
+        """Names of the one-hot features, in order."""
+        if self.table is None:
+            return [f"{self.column}_{v}" for v in self.categories[int(self.drop_first):]]
+        return [f"{self.column}_{r['value']}" for r in self.table.where(F.col("code") >= int(self.drop_first)).orderBy("code").collect()]
+
+    def _by_table(self, df: DataFrame) -> DataFrame:
+        value = _q(self.column).cast("string")
+        if self.method == "ordinal":
+            value = F.coalesce(value, F.lit("nan"))
+        known = self.table.select(F.col("value").alias("__value"), F.col(self.table.columns[1]).alias("__code"))
+        out = df.withColumn("__v", value).join(known, F.col("__v") == F.col("__value"), "left").drop("__v", "__value")
+        if self.method == "one_hot":
+            from pyspark.ml.feature import OneHotEncoder
+            width = self.size - int(self.drop_first)
+            place = F.when(F.col("__code") >= int(self.drop_first), F.col("__code") - int(self.drop_first)).otherwise(width)
+            one = OneHotEncoder(inputCols=["__at"], outputCols=[self.vector], handleInvalid="keep").fit(
+                df.sparkSession.range(1).select(F.lit(float(width - 1)).alias("__at")))      # other values: no entry
+            return one.transform(out.withColumn("__at", place.cast("double"))).drop("__at", "__code", self.column)
+        if self.method == "ordinal":
+            return out.withColumn(self.column, F.coalesce("__code", F.lit(-1)).cast("bigint")).drop("__code")
+        return out.withColumn(self.column, F.col("__code").cast("double" if self.method == "target" else "bigint")).drop("__code")
 
     def transform(self, df: DataFrame) -> DataFrame:
+        if self.table is not None:
+            return self._by_table(df)
         c = _q(self.column)
         if self.method == "one_hot":
             cats = self.categories[1:] if self.drop_first else self.categories
@@ -255,27 +288,30 @@ def fit_encoder(df: DataFrame, column: str, method: str, target: str | None = No
                 max_categories: int = 1000, drop_first: bool = False) -> Encoder:
     """Learn the category list (text order) or the target means.
 
-    The distinct list is read through a TakeOrdered of ``max_categories``+1
-    rows and refused above it: one-hot width and map size stay bounded.
+    Up to ``max_categories`` of them are read to the driver and become literals of the plan.  More stay in a written
+    dictionary: codes and means are joined by value, and a one-hot encoding becomes one sparse vector column.  The
+    numbers are the same either way.
     """
     c = _q(column)
     if method in ("one_hot", "label", "ordinal"):
         src = c.cast("string")
         if method == "ordinal":
             src = F.coalesce(src, F.lit("nan"))
-        vals = (df.select(src.alias("v")).where(F.col("v").isNotNull()).distinct()
-                .orderBy("v").limit(max_categories + 1).collect())
-        if len(vals) > max_categories:
-            raise ValueError(f"{column} has more than {max_categories} categories")
-        return Encoder(method, column, [r["v"] for r in vals], drop_first=drop_first)
+        values = df.select(src.alias("value")).where(F.col("value").isNotNull()).distinct()
+        vals = values.orderBy("value").limit(max_categories + 1).collect()
+        if len(vals) <= max_categories:
+            return Encoder(method, column, [r["value"] for r in vals], drop_first=drop_first)
+        codes = row_numbers(values, [F.col("value")], [], "code").select("value", (F.col("code") - 1).alias("code"))
+        table = written(codes, "dictionary")
+        return Encoder(method, column, drop_first=drop_first, table=table, size=table.count())
     if method == "target":
         if target is None or kind_of(df.schema[target].dataType) != NUMERIC:
             raise ValueError("target encoding needs a numeric target")
-        rows = (df.where(c.isNotNull()).groupBy(c.cast("string").alias("v"))
-                .agg(F.avg(_q(target)).alias("m")).limit(max_categories + 1).collect())
-        if len(rows) > max_categories:
-            raise ValueError(f"{column} has more than {max_categories} categories")
-        return Encoder(method, column, means={r["v"]: r["m"] for r in rows})
+        means = df.where(c.isNotNull()).groupBy(c.cast("string").alias("value")).agg(F.avg(_q(target)).alias("mean"))
+        rows = means.limit(max_categories + 1).collect()
+        if len(rows) <= max_categories:
+            return Encoder(method, column, means={r["value"]: r["mean"] for r in rows})
+        return Encoder(method, column, table=written(means, "dictionary"))
     raise ValueError(f"unknown encoding {method!r}")
 
 
@@ -516,10 +552,17 @@ class ModelMatrix:
 
     @property
     def feature_names(self) -> list[str]:
-        names = list(self.numeric)
-        for e in self.encoders:
-            names += [f"{e.column}_{v}" for v in e.categories[1:]]
-        return names
+        """One name per entry of the assembled feature vector."""
+        return self.dense_names + [n for e in self.encoders if e.vector for n in e.names()]
+
+    @property
+    def dense_names(self) -> list[str]:
+        return list(self.numeric) + [n for e in self.encoders if not e.vector for n in e.names()]
+
+    @property
+    def inputs(self) -> list[str]:
+        """The columns that are assembled: numbers, then the sparse vectors of wide text features."""
+        return self.dense_names + [e.vector for e in self.encoders if e.vector]
 
     def transform(self, df: DataFrame, keep: list[str] = ()) -> DataFrame:
         """Aligned model matrix (P7: absent features → 0, extras dropped,
@@ -536,10 +579,10 @@ class ModelMatrix:
             cur = e.transform(cur)
         if self.target_encoder is not None and self.target in cur.columns:
             cur = self.target_encoder.transform(cur)
-        cols = self.feature_names + ([self.target] if self.target in cur.columns else [])
+        dense = self.dense_names
+        cols = self.inputs + ([self.target] if self.target in cur.columns else [])
         cols += [k for k in keep if k in cur.columns and k not in cols]
-        return cur.select(*[_q(c).cast("double").alias(c) if c in self.feature_names else _q(c)
-                            for c in cols])
+        return cur.select(*[_q(c).cast("double").alias(c) if c in dense else _q(c) for c in cols])
 
 
 def fit_model_matrix(df: DataFrame, target: str, features: list[str] | None = None,

@@ -70,10 +70,10 @@ def class_weights(spark, d):
 
 @query("train_compare")
 def train_compare(spark, d):
-    """Task type, five model types (and an unknown one →
+    """Task type, six model types (and an unknown one →
     error row), metrics on three splits, F1-optimal thresholds, best flag."""
     res, _ = md.train_compare(doc_features(spark, d), "quality", ["doc_id"],
-                              list(md.MODEL_TYPES) + ["knn"], FEATURES)
+                              list(md.MODEL_TYPES) + ["no_such_model"], FEATURES)
     return res
 
 
@@ -95,8 +95,8 @@ def predict(spark, d):
     doc = load(spark, d, "documents")
     feats = doc.select("doc_id", "n_chars", F.size(F.split(F.trim("text"), r"\s+")).cast("double").alias("n_words"),
                        F.size(F.split("text", "\n")).cast("double").alias("n_lines"), "lang", "source")
-    return loaded.predict(feats.withColumn("quality", F.lit(None).cast("int"))).select(
-        F.col("n_chars"), "score", "prediction")
+    return loaded.predict_keep(feats.withColumn("quality", F.lit(None).cast("int")), ["doc_id"]).select(
+        "doc_id", "score", "prediction")
 
 
 @query("importance")
@@ -116,7 +116,7 @@ def shap_linear(spark, d):
 
 @query("shap_permutation")
 def shap_permutation(spark, d):
-    """Sampled permutation Shapley (500 rows × 10 orderings) for a forest."""
+    """Permutation Shapley (all rows × 10 orderings) for a forest."""
     data = md.split_random(doc_features(spark, d), "quality", ["doc_id"])
     _, models = md.train_compare(data, "quality", ["doc_id"], ["random_forest"], FEATURES, split_col="split")
     return xp.mean_abs_shap(xp.permutation_shap(models["random_forest"], data, "doc_id"))
