@@ -279,18 +279,16 @@ def stream_append(spark, d):
 WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
 SELECT event_id, ts, user_id, event_type, value, props FROM r WHERE rn <= 5""")
 def stream_last_n(spark, d):
-    """The last five events per session, kept by the streaming job in a
-    bounded versioned state table."""
-    root = st.last_n_per_key(_stream(spark, d), spark, "user_id", ["ts", "event_id"], 5)
-    return st.read_last_n(spark, root).select("event_id", "ts", "user_id", "event_type", "value", "props")
+    """The last five events per session, kept as keyed state by a resumable streaming job."""
+    root = scratch_path(spark, "last-n")
+    st.last_n_per_key(_stream(spark, d), "user_id", ["ts", "event_id"], 5, root)
+    return st.read_keyed(spark, root, ["user_id"]).select("event_id", "ts", "user_id", "event_type", "value", "props")
 
 
 @query("stream_state", """
 SELECT user_id, arg_max(event_type, ts) AS event_type, max(ts) AS ts, count(*) AS n_events FROM events GROUP BY 1""")
 def stream_state(spark, d):
     """Current state per session from the feed (streaming max_by)."""
-    s = st.current_state(_stream(spark, d), ["user_id"], "ts", "event_type")
-    path = st.run_to_table(s, spark, "state", "update")
-    res = spark.read.parquet(path)
-    latest = res.groupBy("user_id").agg(F.max("batch_id").alias("batch_id"))
-    return res.join(latest, ["user_id", "batch_id"]).drop("batch_id")
+    root = scratch_path(spark, "state")
+    st.run_keyed(st.current_state(_stream(spark, d), ["user_id"], "ts", "event_type"), root, ["user_id"])
+    return st.read_keyed(spark, root, ["user_id"])
