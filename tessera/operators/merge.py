@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.scalar import stable_round as sround
 from tessera.functions.scalar import name_similarity
-from tessera.functions.types import kind_of
+from tessera.functions.types import DATETIME, NUMERIC, kind_of
 
 
 class MergeError(ValueError):
@@ -209,16 +209,69 @@ def merge_summary(left: DataFrame, right: DataFrame, left_on, right_on=None, how
         warn.alias("warnings"), F.array().cast("array<string>").alias("errors"))
 
 
+def _plain_value(value: Column, dt: T.DataType) -> Column:
+    """A text that is the same for values of one kind that are equal, whatever their types: whole numbers without a
+    fraction, dates as the moment they begin."""
+    kind = kind_of(dt)
+    if kind == NUMERIC and not isinstance(dt, T.IntegralType):
+        x = value.cast("double")
+        whole = (F.floor(x) == x) & (F.abs(x) < float(1 << 53))
+        return F.when(whole, F.when(whole, x).cast("bigint").cast("string")).otherwise(x.cast("string"))
+    if kind == DATETIME:
+        return value.cast("timestamp").cast("string")
+    return value.cast("string")
+
+
+def shared_values(tables: dict[str, DataFrame], pairs: list[tuple[tuple[str, str], tuple[str, str]]]):
+    """J4-J7 for many column pairs ((table, column), (table, column)) at once: rows of each table, distinct non-null
+    values of each column, and the number of values that each pair has in common.
+
+    One inverted index serves all pairs.  Each table is scanned once: every row gives (column, value) for each of its
+    columns, which partial aggregation reduces to the distinct ones; grouped by value they give the set of columns
+    that hold it, and those sets are counted.  A value, however often it stands in however many columns, is one row
+    with at most as many entries as there are columns.  Columns of different kinds are compared as text.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    columns = sorted({c for p in pairs for c in p})
+    number = {c: i for i, c in enumerate(columns)}
+    kind = {c: kind_of(tables[c[0]].schema[c[1]].dataType) for c in columns}
+    as_text = {c for p in pairs if kind[p[0]] != kind[p[1]] for c in p}
+    index = []
+    for t in sorted({t for t, _ in columns}):
+        own = [c for c in columns if c[0] == t]
+        cells = [F.struct(F.lit(-1).alias("c"), F.lit("row").alias("form"), F.lit(t).alias("value"))]
+        for c in own:
+            dt = tables[t].schema[c[1]].dataType
+            cells.append(F.struct(F.lit(number[c]).alias("c"), F.lit(kind[c]).alias("form"), _plain_value(_q(c[1]), dt).alias("value")))
+            if c in as_text:
+                cells.append(F.struct(F.lit(number[c]).alias("c"), F.lit("text").alias("form"), _q(c[1]).cast("string").alias("value")))
+        index.append(tables[t].select(F.explode(F.array(*cells)).alias("x")).select("x.*").where("value is not null"))
+    held = reduce(DataFrame.unionByName, index).groupBy("form", "value", "c").agg(F.count(F.lit(1)).alias("n"))
+    sets = held.groupBy("form", "value").agg(F.sort_array(F.collect_list("c")).alias("cs"), F.max("n").alias("n"))
+    # Rows of a table: the one value of its form "row", kept apart by its name.
+    sets = sets.select("form", F.when(F.col("form") == "row", F.col("value")).alias("t"), "cs", "n")
+    counted = sets.groupBy("form", "t", "cs").agg(F.count(F.lit(1)).alias("n_values"), F.max("n").alias("n"))
+    both = counted.select("form", "t", "n_values", "n", F.explode("cs").alias("a"), "cs").select(
+        "form", "t", "n_values", "n", "a", F.explode("cs").alias("b")).where("a <= b")
+    met = both.groupBy("form", "t", "a", "b").agg(F.sum("n_values").alias("n_values"), F.max("n").alias("n"))
+    asked = {(*sorted((number[a], number[b])), kind[a] if kind[a] == kind[b] else "text") for a, b in pairs}
+    asked |= {(number[c], number[c], kind[c]) for c in columns} | {(-1, -1, "row")}
+    wanted = spark.createDataFrame(sorted(asked), "a int, b int, form string")
+    got = met.join(wanted, ["a", "b", "form"]).collect()          # one number for each table, column and pair
+    n_rows = {t: 0 for t, _ in columns} | {r["t"]: r["n"] for r in got if r["form"] == "row"}
+    count = {(r["form"], r["a"], r["b"]): r["n_values"] for r in got}
+    n_values = {c: count.get((kind[c], number[c], number[c]), 0) for c in columns}
+    common = [count.get((kind[a] if kind[a] == kind[b] else "text", *sorted((number[a], number[b]))), 0) for a, b in pairs]
+    return n_rows, n_values, common
+
+
 def detect_keys(tables: dict[str, DataFrame], min_name: float = 0.3,
                 min_overlap: float = 0.1) -> DataFrame:
     """Rank candidate join keys over every table pair and column pair.
 
     1. Prune column pairs by name similarity on the driver (schema only).
-    2. For each table, ONE aggregation gives its row count and the distinct
-       count of every surviving candidate column.
-    3. For each surviving pair, distinct keys of both sides are joined and
-       counted (types of different kinds are compared as text).
-    Everything after step 1 is one lazy plan; only the ranked plans come out.
+    2. ``shared_values`` counts rows, distinct values and common values of all
+       surviving columns and pairs with one scan of each table.
     """
     spark: SparkSession = next(iter(tables.values())).sparkSession
     names = list(tables)
@@ -233,39 +286,10 @@ def detect_keys(tables: dict[str, DataFrame], min_name: float = 0.3,
     if not pairs:
         return spark.createDataFrame([], schema)
 
-    cand: dict[str, set[str]] = {}
-    for _, ta, ca, tb, cb, _s in pairs:
-        cand.setdefault(ta, set()).add(ca)
-        cand.setdefault(tb, set()).add(cb)
-    # Per-column statistics and per-pair overlaps: one job, a few numbers per
-    # candidate column / pair come back (each table is aggregated once).
-    from tessera.operators.profile import distinct_counts
-    col_stats = []
-    for t, cols in cand.items():
-        cols = sorted(cols)
-        col_stats.append(tables[t].agg(F.count(F.lit(1)).alias("a")).select(
-            F.lit(t).alias("t"), F.lit("").alias("c"), F.lit(-2).alias("pid"), "a", F.lit(0).cast("bigint").alias("b")))
-        names = F.array(*[F.lit(c) for c in cols])
-        col_stats.append(distinct_counts(tables[t], cols).select(
-            F.lit(t).alias("t"), F.element_at(names, F.col("__pos") + 1).alias("c"), F.lit(-1).alias("pid"),
-            F.lit(0).cast("bigint").alias("a"), F.col("__nd").alias("b")))
-    commons = []
-    for pid, ta, ca, tb, cb, _s in pairs:
-        ka, kb = tables[ta].schema[ca].dataType, tables[tb].schema[cb].dataType
-        as_text = kind_of(ka) != kind_of(kb)
-        va = _q(ca).cast("string") if as_text else _q(ca)
-        vb = _q(cb).cast("string") if as_text else _q(cb)
-        da = tables[ta].select(va.alias("v")).where(F.col("v").isNotNull()).distinct()
-        db = tables[tb].select(vb.alias("v")).where(F.col("v").isNotNull()).distinct()
-        commons.append(da.join(db, "v", "left_semi").agg(F.count(F.lit(1)).alias("b"))
-                       .select(F.lit("").alias("t"), F.lit("").alias("c"), F.lit(pid).alias("pid"),
-                               F.lit(0).cast("bigint").alias("a"), "b"))
-    got = reduce(DataFrame.unionByName, col_stats + commons).collect()
-    n_rows = {r["t"]: r["a"] for r in got if r["pid"] == -2}
-    stat = {(r["t"], r["c"]): (n_rows[r["t"]], r["b"]) for r in got if r["pid"] == -1}
-    common = {r["pid"]: r["b"] for r in got if r["pid"] >= 0}
-    rows = [(pid, ta, ca, tb, cb, s, stat[(ta, ca)][0], stat[(ta, ca)][1], stat[(tb, cb)][0],
-             stat[(tb, cb)][1], common[pid]) for pid, ta, ca, tb, cb, s in pairs]
+    wanted = [((ta, ca), (tb, cb)) for _, ta, ca, tb, cb, _s in pairs]
+    n_rows, n_values, common = shared_values(tables, wanted)
+    rows = [(pid, ta, ca, tb, cb, s, n_rows[ta], n_values[ta, ca], n_rows[tb], n_values[tb, cb], common[pid])
+            for pid, ta, ca, tb, cb, s in pairs]
     j = spark.createDataFrame(
         rows, "plan_id int, left_table string, left_key string, right_table string, right_key string, "
               "name_similarity double, l_rows bigint, l_distinct bigint, r_rows bigint, r_distinct bigint, "
@@ -299,12 +323,17 @@ def choose_plans(plans: DataFrame, n_alternatives: int = 3) -> DataFrame:
     return plans.orderBy(F.desc("confidence"), "plan_id").limit(1 + n_alternatives)
 
 
-def merge_by_best_plan(tables: dict[str, DataFrame], null_keys_match: bool = True) -> DataFrame:
+def merge_by_best_plan(tables: dict[str, DataFrame], null_keys_match: bool = True,
+                       left_out: list[str] | None = None) -> DataFrame:
     """Detect keys, merge every table reachable through the best
     remaining plan (in confidence order, each table joined once); with no
-    plan at all the first table is returned alone."""
+    plan at all the first table is returned alone.  Names of the tables that
+    no plan reaches are added to ``left_out``."""
     names = list(tables)
-    plans = choose_plans(detect_keys(tables), n_alternatives=len(names) * len(names)).collect()
+    # all plans: at most one for each pair of columns with similar names
+    plans = detect_keys(tables).orderBy(F.desc("confidence"), "plan_id").collect()
+    if left_out is not None and not plans:
+        left_out += names[1:]
     if not plans:
         return tables[names[0]]
     first = plans[0]
@@ -324,6 +353,8 @@ def merge_by_best_plan(tables: dict[str, DataFrame], null_keys_match: bool = Tru
             used.add(new)
             progress = True
             break
+    if left_out is not None:
+        left_out += [n for n in names if n not in used]
     return out
 
 
