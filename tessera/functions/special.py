@@ -85,20 +85,26 @@ def gammaincc(a: float, x: float) -> float:
 
 def t_two_sided(t: float, dof: float) -> float:
     """P(|T| >= |t|) for Student's t with ``dof`` degrees of freedom."""
-    if t is None or dof is None or not math.isfinite(t) or dof <= 0:
+    if t is None or dof is None or math.isnan(t) or not dof > 0:
         return float("nan")
+    if math.isinf(t):
+        return 0.0
     return betainc(dof / 2.0, 0.5, dof / (dof + t * t))
 
 
 def chi2_sf(x: float, dof: float) -> float:
-    if x is None or dof is None or dof <= 0 or not math.isfinite(x):
+    if x is None or dof is None or math.isnan(x) or not dof > 0:
         return float("nan")
+    if math.isinf(x):
+        return 0.0
     return gammaincc(dof / 2.0, x / 2.0)
 
 
 def f_sf(f: float, d1: float, d2: float) -> float:
-    if f is None or d1 is None or d2 is None or d1 <= 0 or d2 <= 0 or not math.isfinite(f):
+    if f is None or d1 is None or d2 is None or not d1 > 0 or not d2 > 0 or math.isnan(f):
         return float("nan")
+    if math.isinf(f):
+        return 0.0
     if f <= 0:
         return 1.0
     return betainc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions.scalar import safe_corr
 from tessera.functions.scalar import stable_round as sround
 from tessera.functions.types import NUMERIC, kind_of
+from tessera.operators.ordered import row_numbers
 
 
 def _q(name: str):
@@ -262,18 +263,10 @@ def feature_ranking(df: DataFrame, target: str, features: list[str] | None = Non
     return scored.withColumn("included", F.col("score") > include_above).orderBy(F.desc("score"), "feature")
 
 
-def label_codes(df: DataFrame, column: str, max_labels: int = 1000) -> DataFrame:
-    """Code = rank of the value among the distinct values (text order).
-
-    A label column is small by nature; the distinct list is capped by a
-    TakeOrdered of ``max_labels`` + 1 rows and an error is raised above it,
-    so the numbering window only ever sees a bounded table.
-    """
-    d = (df.select(_q(column).alias("__v")).where(F.col("__v").isNotNull()).distinct()
-         .orderBy("__v").limit(max_labels + 1))
-    if d.count() > max_labels:
-        raise ValueError(f"{column} has more than {max_labels} labels")
-    return d.withColumn("__code", F.row_number().over(Window.orderBy("__v")) - 1)
+def label_codes(df: DataFrame, column: str) -> DataFrame:
+    """Code = rank of the value among the distinct values (text order), for any number of values."""
+    values = df.select(_q(column).alias("__v")).where(F.col("__v").isNotNull()).distinct()
+    return row_numbers(values, [F.col("__v")], [], "__n").select("__v", (F.col("__n") - 1).alias("__code"))
 
 
 def base_rate(df: DataFrame, target: str, default: float = 0.25) -> DataFrame:

@@ -32,12 +32,20 @@ def _q(name: str):
     return F.col(f"`{name}`")
 
 
+def _moments(value: str) -> list:
+    """Rows, mean and variance of a group; exact where all its values are equal."""
+    x = _q(value).cast("double")
+    flat = F.min(x) == F.max(x)
+    return [F.count(F.lit(1)).alias("n"), F.when(flat, F.min(x)).otherwise(F.avg(x)).alias("m"),
+            F.when(flat & (F.count(F.lit(1)) > 1), F.lit(0.0)).otherwise(F.var_samp(x)).alias("v")]
+
+
 def welch_stats(df: DataFrame, value: str, group: str) -> DataFrame:
     """H2: Welch t statistic and degrees of freedom between the two smallest
     group values (text order; the reference took the first two seen)."""
     g = (df.where(_q(value).isNotNull() & _q(group).isNotNull())
          .groupBy(_q(group).cast("string").alias("g"))
-         .agg(F.count(F.lit(1)).alias("n"), F.avg(_q(value)).alias("m"), F.var_samp(_q(value)).alias("v")))
+         .agg(*_moments(value)))
     two = g.orderBy("g").limit(2)
     w = Window.orderBy("g")  # two rows
     t = two.withColumn("i", F.row_number().over(w)).agg(
@@ -45,28 +53,27 @@ def welch_stats(df: DataFrame, value: str, group: str) -> DataFrame:
     se2 = F.col("v1") / F.col("n1") + F.col("v2") / F.col("n2")
     return t.select(
         F.lit("t_test").alias("test_type"), F.array(F.lit(value), F.lit(group)).alias("variables"),
-        F.try_divide(F.col("m1") - F.col("m2"), F.sqrt(se2)).alias("statistic"),
-        F.try_divide(se2 * se2, F.try_divide((F.col("v1") / F.col("n1")) ** 2, (F.col("n1") - 1).cast("double"))
-                     + F.try_divide((F.col("v2") / F.col("n2")) ** 2, (F.col("n2") - 1).cast("double"))).alias("dof"),
+        # groups that do not vary: no finite statistic if their means differ
+        F.when((se2 == 0) & (F.col("m1") != F.col("m2")), F.signum(F.col("m1") - F.col("m2")) * F.lit(float("inf")))
+        .otherwise(F.try_divide(F.col("m1") - F.col("m2"), F.sqrt(se2))).alias("statistic"),
+        F.when(se2 == 0, F.lit(1.0)).otherwise(F.try_divide(se2 * se2, F.try_divide((F.col("v1") / F.col("n1")) ** 2, (F.col("n1") - 1).cast("double"))
+                     + F.try_divide((F.col("v2") / F.col("n2")) ** 2, (F.col("n2") - 1).cast("double")))).alias("dof"),
         F.lit(None).cast("double").alias("dof2"), (F.coalesce("n1", F.lit(0)) + F.coalesce("n2", F.lit(0))).alias("n"),
         F.concat_ws(" vs ", F.concat(F.col("g1"), F.lit(" (mean "), sround("m1", 4).cast("string"), F.lit(")")),
                     F.concat(F.col("g2"), F.lit(" (mean "), sround("m2", 4).cast("string"), F.lit(")"))).alias("detail"))
 
 
-def chi_square_stats(df: DataFrame, a: str, b: str, yates: bool = True, max_levels: int = 1000) -> DataFrame:
+def chi_square_stats(df: DataFrame, a: str, b: str, yates: bool = True) -> DataFrame:
     """H3: chi-square independence over the full contingency table
     (zero cells included), Yates-corrected when dof = 1.
 
-    The table has (levels of a) × (levels of b) cells — bounded by the
-    category caps, not by rows."""
+    Only observed cells are ever built, at most one per row, so any number
+    of levels is tested."""
     data = df.where(_q(a).isNotNull() & _q(b).isNotNull()).select(
         _q(a).cast("string").alias("a"), _q(b).cast("string").alias("b"))
     obs = data.groupBy("a", "b").agg(F.count(F.lit(1)).alias("o"))
     ra = obs.groupBy("a").agg(F.sum("o").alias("ra"))
     cb = obs.groupBy("b").agg(F.sum("o").alias("cb"))
-    for side, name in ((ra, a), (cb, b)):
-        if side.limit(max_levels + 1).count() > max_levels:
-            raise ValueError(f"{name} has more than {max_levels} levels")
     tot = obs.agg(F.sum("o").alias("n"), F.countDistinct("a").alias("ka"), F.countDistinct("b").alias("kb")).first()
     n, ka, kb = tot["n"] or 0, tot["ka"], tot["kb"]
     if n == 0:
@@ -127,13 +134,13 @@ def correlation_stats(df: DataFrame, x: str, y: str, method: str = "pearson") ->
 def anova_stats(df: DataFrame, value: str, group: str) -> DataFrame:
     """H5: one-way ANOVA from per-group n, mean, variance."""
     g = (df.where(_q(value).isNotNull() & _q(group).isNotNull()).groupBy(_q(group))
-         .agg(F.count(F.lit(1)).alias("n"), F.avg(_q(value)).alias("m"), F.var_samp(_q(value)).alias("v")))
+         .agg(*_moments(value)))
     # grand totals: three numbers, fitted first and applied as literals
     tot = g.agg(F.sum("n").alias("n_total"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("gm"),
-                F.count(F.lit(1)).alias("k_groups")).first()
+                F.count(F.lit(1)).alias("k_groups"), F.min("m").alias("low"), F.max("m").alias("high")).first()
     nt, gm, k = tot["n_total"] or 0, tot["gm"], tot["k_groups"]
     s = g.agg(
-        F.sum(F.col("n") * (F.col("m") - F.lit(gm)) ** 2).alias("ssb"),
+        (F.lit(0.0) if tot["low"] == tot["high"] else F.sum(F.col("n") * (F.col("m") - F.lit(gm)) ** 2)).alias("ssb"),
         F.sum(F.coalesce((F.col("n") - 1) * F.col("v"), F.lit(0.0))).alias("ssw"))
     d1, d2 = float(k - 1), float(nt - k)
     # groups that do not vary within: no finite statistic if their means differ, none at all if they agree
@@ -154,14 +161,14 @@ def _p_udf(kind: pd.Series, stat: pd.Series, d1: pd.Series, d2: pd.Series) -> pd
                       for k, s, a, b in zip(kind, stat, d1, d2)], dtype="float64")
 
 
-def with_conclusions(stats: DataFrame, alpha: float = ALPHA, min_n: int = 3) -> DataFrame:
+def with_conclusions(stats: DataFrame, alpha: float = ALPHA, min_n: int = 3, extra: list[str] = ()) -> DataFrame:
     """H6: p-value and conclusion for each statistics row."""
     p = _p_udf(F.col("test_type"), F.col("statistic"), F.col("dof"), F.col("dof2"))
     out = stats.withColumn("p_value", p)
     bad = (F.col("statistic").isNull() | F.isnan("statistic") | F.col("p_value").isNull()
            | F.isnan("p_value") | (F.col("n") < min_n))
     return out.select(
-        "test_type", "variables", sround("statistic", 6).alias("statistic"), "dof", "dof2", "n",
+        *extra, "test_type", "variables", sround("statistic", 6).alias("statistic"), "dof", "dof2", "n",
         sround("p_value", 6).alias("p_value"),
         F.when(bad, "inconclusive").when(F.col("p_value") < alpha, "supported").otherwise("rejected")
         .alias("conclusion"), "detail")
@@ -237,34 +244,61 @@ def context_hypotheses(columns: list[str], target: str, context: str) -> list[Hy
             if "churn" in (context or "").lower()]
 
 
+#: The variables of each test that have to be numbers (the others are groups).
+_NUMBERS = {"t_test": 1, "anova": 1, "correlation": 2, "spearman": 2, "chi_square": 0}
+
+
+def _problem(df: DataFrame, h: Hypothesis) -> str | None:
+    """Why a hypothesis cannot be tested on the table."""
+    if h.test_type not in _NUMBERS:
+        return "unknown test"
+    if len(h.variables) < 2:
+        return "two variables needed"
+    if any(v not in df.columns for v in h.variables[:2]):
+        return "column not found"
+    text = [v for v in h.variables[:_NUMBERS[h.test_type]] if kind_of(df.schema[v].dataType) != NUMERIC]
+    return f"not a number: {', '.join(text)}" if text else None
+
+
+def _statistics(df: DataFrame, h: Hypothesis) -> DataFrame:
+    a, b = h.variables[:2]
+    if h.test_type == "t_test":
+        return welch_stats(df, a, b)
+    if h.test_type == "chi_square":
+        return chi_square_stats(df, a, b)
+    if h.test_type == "anova":
+        return anova_stats(df, a, b)
+    return correlation_stats(df, a, b, "pearson" if h.test_type == "correlation" else "spearman")
+
+
 def run_tests(df: DataFrame, hypotheses: list[Hypothesis]) -> DataFrame:
-    """H6 batch: statistics of every hypothesis unioned, then p-values and
-    conclusions in one pass over the small result table."""
-    parts = []
-    for h in hypotheses:
-        if len(h.variables) < 2:
-            parts.append(df.sparkSession.createDataFrame(
-                [(h.test_type, h.variables, None, None, None, 0, "two variables needed")], RESULT_SCHEMA))
-            continue
-        a, b = h.variables[0], h.variables[1]
-        if a not in df.columns or b not in df.columns:
-            parts.append(df.sparkSession.createDataFrame(
-                [(h.test_type, h.variables, None, None, None, 0, "column not found")], RESULT_SCHEMA))
-        elif h.test_type == "t_test":
-            parts.append(welch_stats(df, a, b))
-        elif h.test_type == "chi_square":
-            parts.append(chi_square_stats(df, a, b))
-        elif h.test_type in ("correlation", "spearman"):
-            parts.append(correlation_stats(df, a, b, "pearson" if h.test_type == "correlation" else "spearman"))
-        elif h.test_type == "anova":
-            parts.append(anova_stats(df, a, b))
-        else:
-            parts.append(df.sparkSession.createDataFrame(
-                [(h.test_type, h.variables, None, None, None, 0, "unknown test")], RESULT_SCHEMA))
-    out = df.sparkSession.createDataFrame([], RESULT_SCHEMA)
-    for p in parts:
-        out = out.unionByName(p)
-    return with_conclusions(out)
+    """H6 batch: exactly one row per hypothesis, numbered as given (``nth``).  Statistics are unioned, then p-values and
+    conclusions follow in one pass over the small result table.  What cannot be tested is an inconclusive row that
+    says why, and leaves the others alone."""
+    spark = df.sparkSession
+    out = spark.createDataFrame([], "nth int, hypothesis_id string, " + RESULT_SCHEMA)
+    for i, h in enumerate(hypotheses):
+        problem, part = _problem(df, h), None
+        if problem is None:
+            try:
+                part = _statistics(df, h)
+            except Exception as e:  # noqa: BLE001 - one test that fails must not end the batch
+                problem = f"{type(e).__name__}: {e}"[:300]
+        if part is None:
+            part = spark.createDataFrame([(h.test_type, h.variables, None, None, None, 0, problem)], RESULT_SCHEMA)
+        out = out.unionByName(part.select(F.lit(i).alias("nth"), F.lit(h.id).alias("hypothesis_id"), "*"))
+    return with_conclusions(out, extra=["nth", "hypothesis_id"])
+
+
+def detail_lines(results: DataFrame) -> DataFrame:
+    """H7: one line of text per hypothesis (``nth``, ``line``): its verdict, test, variables, numbers and details."""
+    number = lambda c, places: F.coalesce(F.format_number(c, places), F.lit("none"))
+    statistic = F.when(F.col("statistic") == float("inf"), "beyond all bounds").when(
+        F.col("statistic") == -float("inf"), "below all bounds").otherwise(number("statistic", 4))
+    return results.select("nth", F.concat(
+        F.upper("conclusion"), F.lit(" "), F.col("hypothesis_id"), F.lit(": "), F.col("test_type"), F.lit(" of "),
+        F.array_join("variables", " and "), F.lit("; statistic "), statistic, F.lit("; p "), number("p_value", 6),
+        F.lit("; rows "), F.col("n").cast("string"), F.lit("; "), F.coalesce(F.nullif(F.col("detail"), F.lit("")), F.lit("no details"))).alias("line"))
 
 
 def summarize(results: DataFrame) -> DataFrame:

@@ -122,3 +122,46 @@ def hypothesis_batch(spark, d):
 def test_summary(spark, d):
     """Conclusion counts of the batch."""
     return st.summarize(_batch(spark, d))
+
+
+def _edge(spark, d):
+    li = load(spark, d, "lineitem")
+    data = li.select("l_quantity", (F.col("l_quantity") * 2).alias("twice"), "l_returnflag", "l_linestatus", "l_partkey",
+                     F.lit(1.0).alias("constant"), F.lit(None).cast("double").alias("empty"),
+                     F.when(F.col("l_linestatus") == "F", 1.0).otherwise(2.0).alias("fixed"))
+    tests = [("t_test", "l_returnflag", "l_linestatus"), ("chi_square", "l_partkey", "l_linestatus"),
+             ("correlation", "l_quantity", "twice"), ("correlation", "l_quantity", "constant"), ("t_test", "fixed", "l_linestatus"),
+             ("anova", "fixed", "l_linestatus"), ("t_test", "empty", "l_linestatus"), ("anova", "constant", "l_returnflag"),
+             ("chi_square", "no_such_column", "l_linestatus"), ("no_such_test", "l_quantity", "l_linestatus")]
+    return st.run_tests(data, [st.Hypothesis(t, [a, b], f"{a} by {b}", f"h{i}") for i, (t, a, b) in enumerate(tests)])
+
+
+@query("hypothesis_edge", """
+WITH o AS (SELECT l_partkey AS a, l_linestatus AS b, count(*) AS o FROM lineitem WHERE l_partkey IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY ALL),
+s AS (SELECT sum(o) AS n, sum(o) * (sum(o * o / (ra * cb)) - 1) AS chi
+      FROM (SELECT o, sum(o) OVER (PARTITION BY a) AS ra, sum(o) OVER (PARTITION BY b) AS cb FROM o)),
+r AS (SELECT count(*) AS n FROM lineitem),
+e(nth, test_type, conclusion, rows) AS (VALUES
+  (0, 't_test', 'inconclusive', 0), (1, 'chi_square', NULL, 1), (2, 'correlation', 'supported', 1),
+  (3, 'correlation', 'inconclusive', 1), (4, 't_test', 'supported', 1), (5, 'anova', 'supported', 1),
+  (6, 't_test', 'inconclusive', 0), (7, 'anova', 'inconclusive', 1), (8, 'chi_square', 'inconclusive', 0),
+  (9, 'no_such_test', 'inconclusive', 0))
+SELECT nth, test_type, conclusion, CAST(rows * r.n AS BIGINT) AS n, CASE WHEN nth = 1 THEN round(s.chi + 1e-9, 6) END AS chi_square
+FROM e, r, s""")
+def hypothesis_edge(spark, d):
+    """H2-H6: a text value, thousands of levels, perfect and constant variables, groups without spread, an empty
+    column, an unknown column and an unknown test: one row each. (The p-value of the large table has no SQL form.)"""
+    large = F.col("nth") == 1
+    return _edge(spark, d).select("nth", "test_type", F.when(~large, F.col("conclusion")).alias("conclusion"), "n",
+                                  F.when(large, F.col("statistic")).alias("chi_square"))
+
+
+@query("hypothesis_lines", """
+WITH g AS (SELECT l_linestatus AS g, count(*) AS n, avg(l_quantity) AS m FROM lineitem GROUP BY 1)
+SELECT 6 AS nth, 'INCONCLUSIVE h6: t_test of empty and l_linestatus; statistic none; p none; rows 0; no details' AS line
+UNION ALL SELECT 8, 'INCONCLUSIVE h8: chi_square of no_such_column and l_linestatus; statistic none; p none; rows 0; column not found'
+UNION ALL SELECT 0, 'INCONCLUSIVE h0: t_test of l_returnflag and l_linestatus; statistic none; p none; rows 0; not a number: l_returnflag'
+UNION ALL SELECT 5, 'SUPPORTED h5: anova of fixed and l_linestatus; statistic beyond all bounds; p 0.000000; rows ' || sum(n) || '; 2 groups' FROM g""")
+def hypothesis_lines(spark, d):
+    """H7: the detail lines of four of those tests."""
+    return st.detail_lines(_edge(spark, d).where(F.col("nth").isin(0, 5, 6, 8)))

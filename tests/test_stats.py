@@ -63,3 +63,36 @@ def test_typed_hypotheses(spark):
     df = spark.createDataFrame([(1.0, "a", i % 2) for i in range(10)], "x double, s string, y bigint")
     kinds = sorted(h.test_type for h in st.generate_hypotheses(df, "y"))
     assert kinds == ["chi_square", "t_test"]
+
+
+def test_infinite_statistics_have_p_zero():
+    inf = float("inf")
+    assert sp.t_two_sided(inf, 5) == sp.t_two_sided(-inf, 5) == sp.chi2_sf(inf, 2) == sp.f_sf(inf, 2, 9) == 0.0
+    assert math.isnan(sp.t_two_sided(float("nan"), 5)) and math.isnan(sp.f_sf(2.0, 0, 9)) and math.isnan(sp.t_two_sided(1.0, float("nan")))
+
+
+def test_every_hypothesis_gives_one_row(spark):
+    rows = [(float(i), 2.0 * i + 1, f"g{i % 2}", f"l{i}", "text", 3.0, None, float(i % 2)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "x double, y double, g string, level string, word string, same double, none double, fixed double")
+    cases = [("correlation", "x", "y", "supported"), ("correlation", "x", "same", "inconclusive"), ("t_test", "word", "g", "inconclusive"),
+             ("chi_square", "level", "g", "rejected"), ("anova", "fixed", "g", "supported"), ("t_test", "fixed", "g", "supported"),
+             ("t_test", "same", "g", "inconclusive"), ("anova", "none", "g", "inconclusive"), ("spearman", "x", "y", "supported"),
+             ("correlation", "x", "word", "inconclusive"), ("t_test", "x", "gone", "inconclusive"), ("odd", "x", "g", "inconclusive"),
+             ("chi_square", "none", "g", "inconclusive"), ("anova", "x", "word", "inconclusive")]
+    got = st.run_tests(df, [st.Hypothesis(t, [a, b], "") for t, a, b, _ in cases] + [st.Hypothesis("t_test", ["x"], "")])
+    assert [r["conclusion"] for r in got.orderBy("nth").collect()] == [c for *_, c in cases] + ["inconclusive"]
+    by = {r["nth"]: r for r in got.collect()}
+    assert by[0]["p_value"] == 0.0 and by[4]["statistic"] == float("inf") and by[5]["statistic"] == -float("inf")
+    assert by[2]["detail"] == "not a number: word" and by[3]["detail"] == "1500x2" and by[3]["n"] == 1500
+    lines = {r["nth"]: r["line"] for r in st.detail_lines(got).collect()}
+    assert len(lines) == len(cases) + 1 and lines[14].endswith("two variables needed") and "1500x2" in lines[3]
+    assert st.run_tests(df, []).count() == 0
+    total = st.summarize(got).first()
+    assert total["total"] == total["supported"] + total["rejected"] + total["inconclusive"] == len(cases) + 1
+
+
+def test_text_targets_of_any_number_of_labels(spark):
+    from tessera.operators import explore as ex
+    df = spark.createDataFrame([(float(i), f"t{i:05d}", float(i % 7)) for i in range(3000)], "x double, t string, z double")
+    assert [r["feature"] for r in st.leakage(df, "t").collect()] == ["x"]
+    assert ex.feature_ranking(df, "t").first()["feature"] == "x"
