@@ -1,30 +1,42 @@
 """Shapley-style explanations.
 
 * Linear models: exact Shapley values ``coef_j · (x_j − mean_j)`` as column
-  expressions over ALL rows (no sample needed).
-* Any model: sampled permutation Shapley.  A bounded sample of rows (the
-  feature of the reference: 500 by default) × ``permutations`` orderings ×
-  (features + 1) coalitions is exploded, scored by ONE batch ``transform``
-  and differenced inside (row, permutation) windows of features + 1 rows.
+  expressions over all rows.
+* Tree models: exact path-dependent Shapley values from the table of the
+  ensemble's leaf paths, a batch of rows at a time (``tree_shap``).
+* Any model: permutation Shapley.  Rows (all, or ``sample_rows``) ×
+  ``permutations`` orderings × (features + 1) coalitions are exploded, scored
+  by one batch ``transform`` and differenced inside (row, permutation) windows.
 """
 
 from __future__ import annotations
 
 import random
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import GBTClassificationModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressionModel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.scalar import stable_round as sround
-from tessera.operators.model import SEED, TrainedModel
+from tessera.operators.model import SEED, TrainedModel, _array
+from tessera.session import scratch_path, ship
+
+ship(__name__)
 
 
 def _q(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
-def linear_shap(tm: TrainedModel, df: DataFrame, id_col: str) -> DataFrame:
-    """Exact per-row Shapley values of a linear model in (id, feature, shap) form."""
+def linear_shap(tm: TrainedModel, df: DataFrame, id_col: str, rows: DataFrame | None = None) -> DataFrame:
+    """Exact Shapley values of a linear model in (id, feature, shap) form, for ``rows`` (else all of ``df``) against
+    the means of ``df``."""
     m = tm.pipeline.stages[-1]
     coef = m.coefficients.toArray().tolist()
     names = tm.matrix.feature_names
@@ -33,7 +45,8 @@ def linear_shap(tm: TrainedModel, df: DataFrame, id_col: str) -> DataFrame:
     cells = [F.struct(F.lit(c).alias("feature"),
                       (F.lit(coef[i]) * (_q(c) - F.lit(means[f"m{i}"] or 0.0))).alias("shap"))
              for i, c in enumerate(names)]
-    return x.select(_q(id_col), F.explode(F.array(*cells)).alias("e")).select(id_col, "e.feature", "e.shap")
+    shown = x if rows is None else tm.matrix.transform(rows, [id_col])
+    return shown.select(_q(id_col), F.explode(F.array(*cells)).alias("e")).select(id_col, "e.feature", "e.shap")
 
 
 def permutation_shap(tm: TrainedModel, df: DataFrame, id_col: str, sample_rows: int | None = None,
@@ -61,7 +74,6 @@ def permutation_shap(tm: TrainedModel, df: DataFrame, id_col: str, sample_rows:
           .otherwise(F.lit(bg[f"m{j}"] or 0.0)).alias(c) for j, c in enumerate(names)])
     scored = tm.pipeline.transform(coal)
     out_col = "probability" if "probability" in scored.columns else None
-    from tessera.operators.model import _array
     val = F.get(_array(scored, out_col), F.lit(1)) if out_col else F.col("prediction")
     w = Window.partitionBy(id_col, "__p").orderBy("__s")
     diffs = scored.select(id_col, "__p", "__s", val.alias("__v")).withColumn(
@@ -87,3 +99,125 @@ def waterfall(shap: DataFrame, id_col: str, rows: int = 3, top: int = 15) -> Dat
     rest = r.where(F.col("__r") > top).groupBy(id_col).agg(F.sum("shap").alias("shap")) \
         .withColumn("feature", F.lit("other")).select(id_col, "feature", "shap")
     return keep.unionByName(rest)
+
+
+# ------------------------------------------------------- tree ensembles --
+
+@dataclass
+class LeafPaths:
+    """All leaves of an ensemble that test ``d`` different features on their path: feature numbers, the interval
+    (low, high] that leads there, the share of training rows that follow the path at those splits, and the value."""
+    feature: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    share: np.ndarray
+    value: np.ndarray
+
+
+def _leaf_values(model, stats: list, prediction: float, weight: float, classifier: bool) -> float:
+    """What a leaf adds to the explained score: the probability of the second class (forests) or the margin (boosting)."""
+    if classifier and not isinstance(model, GBTClassificationModel):
+        return stats[1] / sum(stats) * weight if sum(stats) else 0.0
+    return prediction * weight
+
+
+def leaf_paths(model) -> list[LeafPaths]:
+    """The leaf-path table of a fitted tree ensemble or single tree, from its saved node table (one row per node)."""
+    spark = SparkSession.getActiveSession()
+    path = scratch_path(spark, "trees")
+    model.write().overwrite().save(path)
+    table = spark.read.parquet(path + "/data")
+    if "nodeData" in table.columns:
+        rows = table.select("treeID", "nodeData.*").collect()          # as large as the model
+        weights = list(model.treeWeights)
+    else:
+        rows = table.select(F.lit(0).alias("treeID"), "*").collect()
+        weights = [1.0]
+    if not isinstance(model, (GBTClassificationModel, GBTRegressionModel)):
+        weights = [w / sum(weights) for w in weights]
+    nodes = {(r["treeID"], r["id"]): r for r in rows}
+    classifier = hasattr(model, "numClasses")
+    # Trees of a boosted classifier are regressions on residuals: their statistics are (rows, sum, sum of squares).
+    counts = classifier and not isinstance(model, GBTClassificationModel)
+    cover = {k: sum(r["impurityStats"]) if counts else r["impurityStats"][0] for k, r in nodes.items()}
+    found: dict[int, list] = {}
+    for tree, weight in enumerate(weights):
+        stack = [(0, {})]
+        while stack:
+            at, tests = stack.pop()
+            node = nodes[tree, at]
+            if node["leftChild"] < 0:
+                value = _leaf_values(model, node["impurityStats"], node["prediction"], weight, classifier)
+                found.setdefault(len(tests), []).append((tests, value))
+                continue
+            split = node["split"]
+            if split["numCategories"] != -1:
+                raise ValueError("splits on unordered categories have no intervals")
+            cut, f = split["leftCategoriesOrThreshold"][0], split["featureIndex"]
+            low, high, share = tests.get(f, (-np.inf, np.inf, 1.0))
+            for child, interval in ((node["leftChild"], (low, min(high, cut))), (node["rightChild"], (max(low, cut), high))):
+                part = cover[tree, child] / cover[tree, at]
+                stack.append((child, {**tests, f: (*interval, share * part)}))
+    out = []
+    for d, leaves in sorted(found.items()):
+        shape = (len(leaves), d)
+        grid = np.array([[(f, *t) for f, t in sorted(tests.items())] for tests, _ in leaves], float).reshape(*shape, 4)
+        out.append(LeafPaths(grid[..., 0].astype(np.int64), grid[..., 1], grid[..., 2], grid[..., 3], np.array([v for _, v in leaves])))
+    return out
+
+
+def base_value(paths: list[LeafPaths]) -> float:
+    """The ensemble's mean over its training rows, by the shares of its paths."""
+    return float(sum((p.value * p.share.prod(1)).sum() for p in paths))
+
+
+def path_shapley(x: np.ndarray, paths: list[LeafPaths], n_features: int) -> np.ndarray:
+    """Exact Shapley values of each row of x (path-dependent: a missing feature follows both branches by their shares).
+
+    A leaf is a product game: with the features S known it is worth value * (product over S of 'the row passes') *
+    (product over the rest of the share). The Shapley weights of such a product are the integral over t of
+    (product over the other features of share * (1 - t) + passes * t), a polynomial in t that a Gauss rule with half
+    as many points sums exactly."""
+    out = np.zeros((len(x), n_features))
+    for p in paths:
+        leaves, d = p.feature.shape
+        if not d:
+            continue
+        points, weights = np.polynomial.legendre.leggauss((d + 1) // 2)
+        order = np.argsort(p.feature.ravel(), kind="stable")
+        kinds, begins = np.unique(p.feature.ravel()[order], return_index=True)
+        step = max(1, (1 << 20) // (leaves * d))
+        for a in range(0, len(x), step):
+            part = x[a:a + step][:, p.feature]
+            passes = ((part > p.low) & (part <= p.high)).astype(float)
+            rest = np.zeros_like(passes)
+            for t, w in zip((points + 1) / 2, weights / 2):
+                factor = p.share * (1 - t) + passes * t
+                rest += w * factor.prod(2, keepdims=True) / factor
+            parts = (p.value[:, None] * (passes - p.share) * rest).reshape(len(part), -1)
+            out[a:a + step, kinds] += np.add.reduceat(parts[:, order], begins, axis=1)
+    return out
+
+
+def tree_shap(tm: TrainedModel, df: DataFrame, id_col: str) -> DataFrame:
+    """Exact Shapley values of a tree model for every row, as (id, feature, shap). They sum to the row's score
+    (forests: probability of the second class; boosting: margin; regression: prediction) less ``tree_base(tm)``."""
+    names, paths = tm.matrix.feature_names, leaf_paths(tm.pipeline.stages[-1])
+    x = tm.pipeline.stages[0].transform(tm.matrix.transform(df, [id_col]))
+    rows = x.select(_q(id_col).alias("id"), vector_to_array("features").alias("x"))
+
+    def work(batches):
+        for batch in batches:
+            values = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(names))
+            made = path_shapley(values, paths, len(names))
+            offsets = pa.array(np.arange(len(made) + 1, dtype=np.int32) * len(names))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(offsets, pa.array(made.ravel()))], ["id", "s"])
+
+    made = rows.mapInArrow(work, T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("s", T.ArrayType(T.DoubleType()))]))
+    listed = F.array(*[F.lit(n) for n in names])
+    return made.select(F.col("id").alias(id_col), F.posexplode("s").alias("at", "shap")).select(
+        id_col, F.get(listed, F.col("at")).alias("feature"), "shap")
+
+
+def tree_base(tm: TrainedModel) -> float:
+    return base_value(leaf_paths(tm.pipeline.stages[-1]))

@@ -124,9 +124,35 @@ def shap_permutation(spark, d):
 
 @query("waterfall")
 def waterfall(spark, d):
-    """Top-15 terms of the first three rows, rest as 'other'."""
+    """Top-15 terms of the first three rows, rest as 'other'; only those rows are explained."""
     data, tm = _lr(spark, d)
-    return xp.waterfall(xp.linear_shap(tm, data, "doc_id"), "doc_id")
+    first = data.orderBy("doc_id").limit(3)
+    return xp.waterfall(xp.linear_shap(tm, data, "doc_id", first), "doc_id")
+
+
+def _forest(spark, d):
+    data = md.split_random(doc_features(spark, d), "quality", ["doc_id"])
+    _, models = md.train_compare(data, "quality", ["doc_id"], ["random_forest"], FEATURES, split_col="split")
+    return data, models["random_forest"]
+
+
+@query("shap_tree")
+def shap_tree(spark, d):
+    """Exact Shapley values of a forest for all rows, mean |value| per feature."""
+    data, tm = _forest(spark, d)
+    return xp.mean_abs_shap(xp.tree_shap(tm, data, "doc_id"))
+
+
+@query("shap_tree_sums", """
+SELECT doc_id, count(*) AS n_rows, true AS adds_up FROM labels JOIN documents USING (doc_id) GROUP BY doc_id""")
+def shap_tree_sums(spark, d):
+    """Whether each row's values add up to its score less the base value, within 1e-6."""
+    data, tm = _forest(spark, d)
+    sums = xp.tree_shap(tm, data, "doc_id").groupBy("doc_id").agg(F.sum("shap").alias("total"))
+    scored = tm.predict_keep(data, ["doc_id"]).select("doc_id", "score")
+    base = xp.tree_base(tm)
+    return scored.join(sums, "doc_id").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.max(F.abs(F.col("total") + base - F.col("score")) < 1e-6).alias("adds_up"))
 
 
 @query("learning_curve")
