@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.functions.scalar import safe_corr
 from tessera.functions.scalar import stable_round as sround
 from tessera.functions.types import NUMERIC, kind_of
-from tessera.operators.ordered import row_numbers
+from tessera.operators.ordered import null_safe_join, row_numbers
 
 
 def _q(name: str):
@@ -145,36 +145,22 @@ def scatter_density(df: DataFrame, x: str, y: str, hue: str | None = None, bins:
     return data.groupBy(*keys, xb, yb).agg(F.count(F.lit(1)).alias("count"))
 
 
-def box_stats(df: DataFrame, column: str, group_by: str | None = None, max_groups: int = 64) -> DataFrame:
+def box_stats(df: DataFrame, column: str, group_by: str | None = None) -> DataFrame:
     """Quartiles, median, whiskers (furthest data within 1.5·IQR) and
-    outlier counts, optionally per group.
+    outlier counts, optionally per group; a null group is a group of its own.
 
-    Pass 1: exact quartiles per group (one aggregation).  Pass 2: the small
-    per-group table is joined back (broadcast by AQE when small) for the
-    conditional min/max/count.
+    Exact quartiles of all groups come from two scans; then the per-group
+    table is joined back (broadcast by AQE when small) for the conditional
+    min/max/count.
     """
     x = _q(column).cast("double")
     g = [_q(group_by).cast("string").alias("group")] if group_by else [F.lit("all").alias("group")]
-    data = df.select(*g, x.alias("x")).where(F.col("x").isNotNull() & F.col("group").isNotNull())
-    from tessera.operators.quantiles import column_quantiles, quantiles_long
-    groups = [r["group"] for r in data.select("group").distinct().limit(max_groups + 1).collect()]
-    if len(groups) <= max_groups:
-        # few groups: one value column per group (each row is non-null in
-        # exactly one), exact quantiles by histogram narrowing — no sort
-        cols = data.select(*[F.when(F.col("group") == F.lit(g), F.col("x")).alias(f"g{i}")
-                             for i, g in enumerate(groups)])
-        qd = column_quantiles(cols, [f"g{i}" for i in range(len(groups))], [0.25, 0.5, 0.75])
-        q = df.sparkSession.createDataFrame(
-            [(str(g), *qd[f"g{i}"]) for i, g in enumerate(groups)],
-            "group string, q1 double, median double, q3 double")
-        n = data.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-        q = F.broadcast(q).join(n, "group").select("group", "n", "q1", "median", "q3")
-    else:
-        qs = quantiles_long(data, ["group"], "x", [0.25, 0.5, 0.75])
-        n = data.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-        q = qs.join(n, "group").select("group", "n", F.col("q0").alias("q1"), F.col("q1").alias("median"),
-                                       F.col("q2").alias("q3"))
-    j = data.join(q, "group")
+    data = df.select(*g, x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    from tessera.operators.quantiles import quantiles_long
+    qs = quantiles_long(data, ["group"], "x", [0.25, 0.5, 0.75])
+    n = data.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    q = null_safe_join(qs, n, ["group"]).select("group", "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
+    j = null_safe_join(data, q, ["group"])
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     return j.groupBy("group", "n", "q1", "median", "q3").agg(
