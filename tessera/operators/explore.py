@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ from tessera.functions.scalar import safe_corr
 from tessera.functions.scalar import stable_round as sround
 from tessera.functions.types import NUMERIC, kind_of
 from tessera.operators.ordered import null_safe_join, row_numbers
+from tessera.session import ship
+
+ship(__name__)
 
 
 def _q(name: str):
@@ -56,33 +61,49 @@ def histogram(df: DataFrame, column: str, bins: int = 50) -> DataFrame:
         (F.col("count") / F.lit(n * width)).alias("density"))
 
 
-def kde(df: DataFrame, column: str, grid: int = 300, prebins: int = 4096) -> DataFrame:
+def kde(df: DataFrame, column: str, grid: int = 300, error: float = 1e-7) -> DataFrame:
     """Gaussian kernel density on ``grid`` points from min to max, Scott
     bandwidth (sample deviation · n^(-1/5)).
 
-    Values are first counted into ``prebins`` fine bins (one shuffle of at
-    most ``prebins`` groups); each bin centre then spreads its weight over
-    the grid.  Work after the scan is prebins × grid, independent of rows.
+    Linear binning: each value shares its weight between the two nearest of
+    many fine bins, in proportion to how near they are.  For bins of width w
+    that changes the density at no point by more than w² / 8 times the largest
+    curvature of the kernel, so w follows from ``error``, the largest change
+    as a share of the kernel's peak.  After the scan, tasks sum the kernel
+    over their bins for the whole grid at once; ``grid`` numbers per task move.
     """
     x = _q(column).cast("double")
+    x = F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)
     st = df.agg(F.min(x).alias("mn"), F.max(x).alias("mx"), F.count(x).alias("n"),
                 F.stddev_samp(x).alias("sd")).first()
     mn, mx, n, sd = st["mn"], st["mx"], st["n"], st["sd"]
-    if not n or n < 2 or not sd:
+    if not n or n < 2 or not sd or mn == mx:
         return df.sparkSession.createDataFrame([], "grid_index int, x double, density double")
     bw = sd * n ** (-1.0 / 5)
-    w = (mx - mn) / prebins if mx > mn else 1.0
-    binned = (df.where(x.isNotNull()).groupBy(_bin_index(x, mn, mx, prebins).alias("b"))
-              .agg(F.count(F.lit(1)).alias("c"))
-              .select((F.lit(mn) + (F.col("b") + 0.5) * F.lit(w)).alias("xc"), "c"))
+    bins = math.ceil((mx - mn) / (bw * math.sqrt(8 * error)))
+    w = (mx - mn) / bins
+    at = (F.col("v") - F.lit(mn)) / F.lit(w)
+    low = F.least(F.floor(at), F.lit(bins - 1))
+    # Equal values first: what is left is at most one row per bin and task.
+    shared = df.select(x.alias("v")).where("v is not null").select(low.alias("b"), (at - low).alias("part"))
+    held = shared.groupBy("b").agg(F.count(F.lit(1)).alias("c"), F.sum("part").alias("up"))
+    weights = held.select((F.lit(mn) + F.col("b") * F.lit(w)).alias("x0"), (F.col("c") - F.col("up")).alias("w0"), F.col("up").alias("w1"))
+    points = np.linspace(mn, mx, grid) if grid > 1 else np.array([mn])
+
+    def work(batches):
+        total = np.zeros(grid)
+        for batch in batches:
+            x0, w0, w1 = (batch.column(c).to_numpy() for c in ("x0", "w0", "w1"))
+            for k in range(0, len(x0), 4096):
+                part = x0[k:k + 4096, None]
+                total += w0[k:k + 4096] @ np.exp(-0.5 * ((points - part) / bw) ** 2)
+                total += w1[k:k + 4096] @ np.exp(-0.5 * ((points - part - w) / bw) ** 2)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(grid, dtype=np.int32)), pa.array(total)], ["g", "s"])
+
+    sums = weights.mapInArrow(work, "g int, s double").groupBy("g").agg(F.sum("s").alias("s"))
     step = (mx - mn) / (grid - 1) if grid > 1 else 0.0
-    spread = binned.select("xc", "c", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("g"))
-    gx = F.lit(mn) + F.col("g") * F.lit(step)
-    z = (gx - F.col("xc")) / F.lit(bw)
-    dens = spread.groupBy("g").agg(F.sum(F.col("c") * F.exp(-0.5 * z * z)).alias("s"))
     norm = 1.0 / (n * bw * math.sqrt(2 * math.pi))
-    return dens.select(F.col("g").cast("int").alias("grid_index"),
-                       (F.lit(mn) + F.col("g") * F.lit(step)).alias("x"),
+    return sums.select(F.col("g").alias("grid_index"), (F.lit(mn) + F.col("g") * F.lit(step)).alias("x"),
                        (F.col("s") * F.lit(norm)).alias("density"))
 
 
@@ -102,27 +123,97 @@ def top_categories(df: DataFrame, column: str, k: int = 30) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(w)).withColumn("n_categories", F.lit(n_cat).cast("bigint"))
 
 
-PAIRS_PER_PASS = 400
+#: Parts of the moments of a pair of columns (x, y) over the rows that have both: count, means, squared deviations of x and y, their product.
+_MOMENTS = ("n", "mx", "my", "cxx", "cyy", "cxy")
+
+
+def _batch_moments(x: np.ndarray, present: np.ndarray) -> dict[str, np.ndarray]:
+    """Moments of all column pairs of one batch, as matrices. Pairs with a value that is no finite number get NaN."""
+    m = present.astype(float)
+    odd = present & ~np.isfinite(x)
+    x = np.where(present & ~odd, x, 0.0)
+    mean = x.sum(0) / np.maximum(m.sum(0), 1)
+    x = np.where(present, x - mean, 0.0)
+    n, sx, sxx, sxy = m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x
+    some = np.maximum(n, 1)
+    cxx = sxx - sx * sx / some
+    cxx[cxx < 1e-12 * sxx] = 0.0          # all equal: nothing but rounding error is left
+    out = {"n": n, "mx": mean[:, None] + sx / some, "my": (mean[:, None] + sx / some).T, "cxx": cxx, "cyy": cxx.T.copy(), "cxy": sxy - sx * sx.T / some}
+    if odd.any():
+        touched = (odd.astype(float).T @ m) > 0
+        out["cxy"][touched | touched.T] = np.nan
+    return out
+
+
+def _merged(a: dict, b: dict) -> dict:
+    """Moments of two sets of rows together."""
+    n = a["n"] + b["n"]
+    some = np.maximum(n, 1)
+    share = a["n"] * b["n"] / some
+    dx, dy = (np.where(share > 0, b[k] - a[k], 0.0) for k in ("mx", "my"))
+    out = {"n": n, "cxx": a["cxx"] + b["cxx"] + dx * dx * share, "cyy": a["cyy"] + b["cyy"] + dy * dy * share,
+           "cxy": a["cxy"] + b["cxy"] + dx * dy * share}
+    for k in ("mx", "my"):
+        out[k] = (a[k] * a["n"] + b[k] * b["n"]) / some
+        same = a[k] == b[k]
+        out[k] = np.where(same, a[k], out[k])
+    return out
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every column pair (nulls dropped per pair) as the full matrix in long form
-    (row, col, r); r is null where a column does not vary. One aggregation per ``PAIRS_PER_PASS`` pairs, which
-    only keeps the generated code small."""
+    (row, col, r); r is null where a column does not vary.
+
+    One scan for any number of columns: a batch of rows gives the moments of all pairs by products of the values and
+    their null masks, moments of batches and tasks are merged, and one row per column and task moves."""
     cols = columns or [f.name for f in df.schema.fields if kind_of(f.dataType) == NUMERIC]
     if len(cols) < 2:
         raise ValueError("correlation needs at least two numeric columns")
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]] + [(c, c) for c in cols]
-    out = None
-    for at in range(0, len(pairs), PAIRS_PER_PASS):
-        part = pairs[at:at + PAIRS_PER_PASS]
-        one = df.agg(*[safe_corr(_q(a), _q(b)).alias(f"r{i}") for i, (a, b) in enumerate(part)])
-        cells = [F.struct(F.lit(x).alias("row"), F.lit(y).alias("col"),
-                          (F.when(F.col(f"r{i}").isNotNull(), 1.0) if a == b else F.col(f"r{i}")).alias("r"))
-                 for i, (a, b) in enumerate(part) for x, y in {(a, b), (b, a)}]
-        made = one.select(F.explode(F.array(*cells)).alias("e")).select("e.*")
-        out = made if out is None else out.unionByName(made)
-    return out
+    x = df.select(*[_q(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    schema = pa.schema([("a", pa.int32()), *[(k, pa.list_(pa.float64())) for k in _MOMENTS]])
+
+    def moments(batches):
+        total = None
+        for batch in batches:
+            arrays = batch.columns
+            present = np.stack([~c.is_null().to_numpy(zero_copy_only=False) for c in arrays], 1)
+            values = np.stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in arrays], 1)
+            for k in range(0, len(values), 4096):
+                part = _batch_moments(values[k:k + 4096], present[k:k + 4096])
+                total = part if total is None else _merged(total, part)
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"a": np.arange(len(cols), dtype=np.int32), **{k: list(total[k]) for k in _MOMENTS}}, schema)
+
+    def correlations(batches):
+        at, total = None, None
+
+        def done():
+            with np.errstate(divide="ignore", invalid="ignore"):
+                r = total["cxy"] / np.sqrt(total["cxx"] * total["cyy"])
+            flat = np.zeros(len(r), bool)
+            for c, m in (("cxx", "mx"), ("cyy", "my")):
+                flat |= total[c] <= total["n"] * (4e-15 * np.abs(total[m])) ** 2
+            bad = flat | ~np.isfinite(r) | (total["n"] < 2)
+            r = np.where(np.arange(len(r)) == at, 1.0, np.clip(r, -1.0, 1.0))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(r), at, np.int32)), pa.array(np.arange(len(r), dtype=np.int32)),
+                                               pa.array(r, mask=bad)], ["a", "b", "r"])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a = batch.column("a")[i].as_py()
+                row = {k: batch.column(k)[i].values.to_numpy() for k in _MOMENTS}
+                if a != at and at is not None:
+                    yield done()
+                total = row if a != at else _merged(total, row)
+                at = a
+        if at is not None:
+            yield done()
+
+    parts = x.mapInArrow(moments, "a int, " + ", ".join(f"{k} array<double>" for k in _MOMENTS))
+    made = parts.repartition("a").sortWithinPartitions("a").mapInArrow(correlations, "a int, b int, r double")
+    grid = df.sparkSession.range(len(cols)).select(F.col("id").cast("int").alias("a"), F.explode(
+        F.sequence(F.lit(0), F.lit(len(cols) - 1))).alias("b"))                     # an empty table has undefined entries
+    names = F.array(*[F.lit(c) for c in cols])
+    return grid.join(made, ["a", "b"], "left").select(F.get(names, F.col("a")).alias("row"), F.get(names, F.col("b")).alias("col"), "r")
 
 
 def scatter_density(df: DataFrame, x: str, y: str, hue: str | None = None, bins: int = 20,

@@ -7,11 +7,16 @@ row into one row per column — never k jobs.
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalar import stable_round as sround
 from tessera.functions.types import DATETIME, NUMERIC, STRING, dtype_name, kind_of
+from tessera.session import ship
+
+ship(__name__)
 
 
 def _q(name: str):
@@ -108,37 +113,27 @@ def _long_text(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def sample_values(df: DataFrame, k: int = 5, columns: list[str] | None = None) -> DataFrame:
     """A2: the first ``k`` distinct non-null values of each column, in text order.
 
-    Spark has no file order, so "first" is the smallest text.  ``k`` passes,
-    each ONE global aggregation over all columns: pass j takes, per column,
-    the smallest text greater than pass j−1's answer.  Partial aggregation
-    leaves one row per partition, so nothing data-sized is shuffled (a
-    distinct over (column, value) would shuffle every distinct value).
+    Spark has no file order, so "first" is the smallest text.  One scan: each
+    task keeps the ``k`` smallest distinct values of every column (merged
+    batch by batch), and the ``k`` smallest of those of all tasks remain.
     """
     cols = columns or df.columns
-    txt = df.select(*[_q(c).cast("string").alias(f"s{i}") for i, c in enumerate(cols)])
-    found: list[list[str]] = [[] for _ in cols]
-    prev: list[str | None] = [None] * len(cols)
-    for _ in range(k):
-        live = [i for i in range(len(cols)) if prev[i] is not None or not found[i]]
-        if not live:
-            break
-        aggs = []
-        for i in live:
-            s = F.col(f"s{i}")
-            cond = s.isNotNull() if prev[i] is None else (s > F.lit(prev[i]))
-            aggs.append(F.min(F.when(cond, s)).alias(f"m{i}"))
-        row = txt.agg(*aggs).first()
-        for i in live:
-            v = row[f"m{i}"]
-            if v is None:
-                prev[i] = None
-                found[i] = found[i] or []
-                found[i].append(None)        # marks the column as exhausted
-            else:
-                found[i].append(v)
-                prev[i] = v
-    data = [(c, [v for v in found[i] if v is not None]) for i, c in enumerate(cols)]
-    return df.sparkSession.createDataFrame(data, "column_name string, sample_values array<string>")
+    text = df.select(*[_q(c).cast("string").alias(f"c{i}") for i, c in enumerate(cols)])
+
+    def smallest(batches):
+        kept = [pa.array([], pa.string()) for _ in cols]
+        for batch in batches:
+            for i, c in enumerate(batch.columns):
+                seen = pc.unique(pa.chunked_array([kept[i], c.drop_null().cast(pa.string())]))
+                kept[i] = seen.take(pc.sort_indices(seen)[:k])
+        for i, c in enumerate(kept):
+            yield pa.RecordBatch.from_arrays([pa.array([i] * len(c), pa.int32()), c], ["c", "v"])
+
+    found = text.mapInArrow(smallest, "c int, v string").distinct()
+    nth = F.row_number().over(Window.partitionBy("c").orderBy("v"))          # at most k rows of each task
+    first = found.withColumn("nth", nth).where(F.col("nth") <= k).groupBy("c").agg(F.array_sort(F.collect_list("v")).alias("sample_values"))
+    names = df.sparkSession.createDataFrame(list(enumerate(cols)), "c int, column_name string")
+    return names.join(first, "c", "left").select("column_name", F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"))
 
 
 def first_values(df: DataFrame, order_by: list[str], k: int = 5) -> DataFrame:

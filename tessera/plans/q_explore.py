@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import dtypes as dty
 from tessera.operators import explore as ex
+from tessera.operators import payload as pl
 from tessera.operators import profile as prof
 from tessera.plans.q_ingest import EVENTS_NULLS_SQL, _events_with_nulls
 from tessera.plans.registry import load, query, round_doubles
@@ -30,16 +31,12 @@ def histogram_price(spark, d):
 @query("kde_quantity", """
 WITH s AS (SELECT min(l_quantity) AS mn, max(l_quantity) AS mx, count(l_quantity) AS n,
                   stddev_samp(l_quantity) AS sd FROM lineitem),
-p AS (SELECT *, sd * pow(n, -0.2) AS bw, (mx - mn) / 4096 AS w, (mx - mn) / 299 AS step FROM s),
-b AS (SELECT least(floor((l_quantity - mn) * 4096 / (mx - mn)), 4095) AS b, count(*) AS c
-      FROM lineitem, p WHERE l_quantity IS NOT NULL GROUP BY 1),
-bc AS (SELECT mn + (b + 0.5) * w AS xc, c FROM b, p),
-g AS (SELECT range AS g FROM range(300))
-SELECT CAST(g AS INTEGER) AS grid_index, round((mn + g * step) + sign((mn + g * step)) * 1e-9, 6) AS x,
-       round((sum(c * exp(-0.5 * ((mn + g * step - xc) / bw) * ((mn + g * step - xc) / bw)))
-             / (n * bw * sqrt(2 * pi()))) + sign((sum(c * exp(-0.5 * ((mn + g * step - xc) / bw) * ((mn + g * step - xc) / bw)))
-             / (n * bw * sqrt(2 * pi())))) * 1e-9, 6) AS density
-FROM g, bc, p GROUP BY g, mn, step, n, bw""")
+p AS (SELECT *, sd * pow(n, -0.2) AS bw, (mx - mn) / 299 AS step FROM s),
+v AS (SELECT l_quantity AS v, count(*) AS c FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY 1),
+g AS (SELECT range AS g FROM range(300)),
+k AS (SELECT g, mn + g * step AS x, sum(c * exp(-0.5 * ((mn + g * step - v) / bw) ** 2)) / (n * bw * sqrt(2 * pi())) AS density
+      FROM g, v, p GROUP BY g, mn, step, n, bw)
+SELECT CAST(g AS INTEGER) AS grid_index, round(x + sign(x) * 1e-9, 6) AS x, round(density + sign(density) * 1e-9, 6) AS density FROM k""")
 def kde_quantity(spark, d):
     """Gaussian density of quantity on 300 grid points."""
     return round_doubles(ex.kde(load(spark, d, "lineitem"), "l_quantity"))
@@ -308,6 +305,50 @@ def json_props(spark, d):
     return ev.select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
+_PAYLOAD = """CASE event_id % 6 WHEN 0 THEN props
+  WHEN 1 THEN '{"k": "' || event_type || '", "who": {"id": ' || CAST(user_id AS VARCHAR) || ', "tags": ["a", 1, null, [2]]}}'
+  WHEN 2 THEN '{"k": null, "who": {"id": null}}' WHEN 3 THEN '{"k": 1.5, "ok": true, "who": []}' WHEN 4 THEN '{broken' END"""
+
+
+def _payloads(spark, d):
+    return load(spark, d, "events").select("event_id", F.expr(_PAYLOAD.replace("VARCHAR", "STRING")).alias("payload"))
+
+
+@query("payload_keys", f"""
+WITH p AS (SELECT {_PAYLOAD} AS j FROM events),
+v AS (SELECT j::JSON AS j FROM p WHERE json_valid(j)),
+t AS (
+  SELECT '$.k' AS path, json_type(j, '$.k') AS t FROM v UNION ALL SELECT '$.ok', json_type(j, '$.ok') FROM v
+  UNION ALL SELECT '$.who', json_type(j, '$.who') FROM v UNION ALL SELECT '$.who.id', json_type(j, '$.who.id') FROM v
+  UNION ALL SELECT '$.who.tags', json_type(j, '$.who.tags') FROM v
+  UNION ALL SELECT '$.who.tags[]', json_type(unnest(json_extract(j, '$.who.tags[*]'))) FROM v
+  UNION ALL SELECT '$.who.tags[][]', json_type(unnest(json_extract(j, '$.who.tags[3][*]'))) FROM v)
+SELECT path, CASE WHEN t IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'number' WHEN t = 'VARCHAR' THEN 'text' WHEN t = 'BOOLEAN' THEN 'flag'
+                  WHEN t = 'OBJECT' THEN 'object' WHEN t = 'ARRAY' THEN 'list' ELSE 'null' END AS kind, count(*) AS n
+FROM t WHERE t IS NOT NULL GROUP BY ALL""")
+def payload_keys(spark, d):
+    """every path of the events' payloads with the kinds of its values."""
+    return pl.payload_keys(_payloads(spark, d), "payload")
+
+
+@query("payload_summary", f"""
+WITH p AS (SELECT {_PAYLOAD} AS j FROM events)
+SELECT count(*) AS n_rows, count(*) - count(j) AS n_missing, count(CASE WHEN j IS NOT NULL AND NOT json_valid(j) THEN 1 END) AS n_malformed
+FROM p""")
+def payload_summary(spark, d):
+    """missing and malformed payloads."""
+    return pl.payload_summary(_payloads(spark, d), "payload").drop("schema")
+
+
+@query("payload_fields", f"""
+WITH p AS (SELECT event_id, {_PAYLOAD} AS j FROM events),
+v AS (SELECT event_id, CASE WHEN json_valid(j) THEN j::JSON END AS j FROM p)
+SELECT event_id, TRY_CAST(json_extract_string(j, '$.who.id') AS BIGINT) AS who_id, json_extract_string(j, '$.who.tags[0]') AS first_tag FROM v""")
+def payload_fields(spark, d):
+    """nested fields as typed columns."""
+    return pl.with_fields(_payloads(spark, d), "payload", {"who_id": ("$.who.id", "bigint"), "first_tag": ("$.who.tags[0]", "string")}).drop("payload")
+
+
 @query("log_shift", """
 WITH m AS (SELECT min(c_acctbal) AS mn FROM customer)
 SELECT c_custkey, round((ln(1 + c_acctbal + CASE WHEN mn <= 0 THEN abs(mn) + 1 ELSE 0 END)) + sign((ln(1 + c_acctbal + CASE WHEN mn <= 0 THEN abs(mn) + 1 ELSE 0 END))) * 1e-9, 6) AS c_acctbal_log
