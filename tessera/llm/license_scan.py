@@ -2,11 +2,12 @@
 
 Every rolling word pair of every text is hashed and joined to the pairs of
 the templates.  A hit at word p of the text and word t of a template votes
-for the diagonal p - t.  A phrase stands at word d exactly when diagonal d
-holds a vote for each of its pairs.  For longer templates, neighbouring
-diagonals (a word inserted or left out moves the rest by one) are merged and
-a span counts when enough of the template's pairs are seen within a span not
-much longer than the template.
+for the diagonal p - t, once the words themselves are equal too.  A phrase
+stands at word d exactly when diagonal d holds a vote for each of its pairs.
+For longer templates, neighbouring diagonals (a word inserted or left out
+moves the rest by one) are merged, and the template is found when enough of
+its pairs are seen within a stretch not much longer than the template,
+anywhere along the merged diagonals.
 
 The pairs table is bounded by the templates given, which are counted before
 it is broadcast; beyond the bound the join is left to the planner.  Texts
@@ -20,7 +21,9 @@ rows give one result each.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,55 +69,70 @@ METHOD_TEMPLATES = (
 )
 
 
-def _pairs(words: Column) -> Column:
-    """Hashes of neighbouring words, by position."""
-    return F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))),
-                       lambda w, i: F.xxhash64(w, F.get(words, i + 1)))
+def _pairs(words: Column, pair_hash: Callable[[Column, Column], Column]) -> Column:
+    """Neighbouring words with a hash of them, by position."""
+    def pair(word: Column, i: Column) -> Column:
+        following = F.get(words, i + 1)
+        return F.struct(pair_hash(word, following).alias("pair"), word.alias("one"), following.alias("two"))
+    return F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), pair)
 
 
 def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = BASE_PHRASES + METHOD_TEMPLATES,
-                  min_share: float = 0.8, gap: int = 2) -> DataFrame:
+                  min_share: float = 0.8, gap: int = 2,
+                  pair_hash: Callable[[Column, Column], Column] = F.xxhash64) -> DataFrame:
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     ``min_share`` of a longer template's word pairs must be seen, on diagonals
-    at most ``gap`` apart, within 1.5 times its length."""
+    chained at most ``gap`` apart, within 1.5 times its length."""
     spark = docs.sparkSession
     rows = [dict(template=i, label=t.label, exact=t.exact, base=t.base, text=t.text) for i, t in enumerate(templates)]
     known = literal_table(spark, rows, "template int, label string, exact boolean, base boolean, text string")
     known = known.withColumn("words", F.split("text", " ")).withColumn("n_pairs", F.size("words") - 1)
     index = known.select("template", "label", "exact", "base", "n_pairs",
-                         F.posexplode(_pairs(F.col("words"))).alias("place", "pair"))
+                         F.posexplode(_pairs(F.col("words"), pair_hash)).alias("place", "p")).select(
+        "template", "label", "exact", "base", "n_pairs", "place", "p.*")
     # The row that carries a document's word count meets a row of the index of its own.
-    count_row = literal_table(spark, [dict(template=-1, n_pairs=0, place=-1, pair=0)],
-                              "template int, label string, exact boolean, base boolean, n_pairs int, place int, pair long")
+    count_row = literal_table(spark, [dict(template=-1, n_pairs=0, place=-1, pair=0, one="", two="")],
+                              "template int, label string, exact boolean, base boolean, n_pairs int, place int, pair long, one string, two string")
     index = index.unionByName(count_row)
     if sum(len(t.text.split()) for t in templates) <= BROADCAST_WORDS:
         index = F.broadcast(index)
 
-    texts = docs.select("doc_id", words_of(F.lower(F.coalesce("text", F.lit(""))), NO_WORD).alias("words"))
+    texts = docs.select("doc_id", words_of(F.translate(F.coalesce("text", F.lit("")), ascii_uppercase, ascii_lowercase), NO_WORD).alias("words"))
+    none = F.struct(F.lit(0).cast("long").alias("pair"), F.lit("").alias("one"), F.lit("").alias("two"))
     texts = texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("long").alias("n_words"),
-                         _pairs(F.col("words")).alias("pairs"))
-    rolled = texts.select("row", "doc_id", "n_words", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), "pairs"))
-                          .alias("at", "pair")).withColumn("word", (F.col("at") - 1).cast("long")).drop("at")
-    hits = rolled.join(index, "pair").where((F.col("word") < 0) == (F.col("template") < 0))
+                         F.concat(F.array(none), _pairs(F.col("words"), pair_hash)).alias("pairs"))
+    rolled = texts.select("row", "doc_id", "n_words", F.posexplode("pairs").alias("at", "p")).select(
+        "row", "doc_id", "n_words", (F.col("at") - 1).cast("long").alias("word"), "p.*")
+    # Equal hashes fetch candidates; a hit is two words that are those of the template.
+    hits = rolled.join(index, ["pair", "one", "two"]).where((F.col("word") < 0) == (F.col("template") < 0))
 
     spot = ["row", "doc_id", "n_words", "template", "label", "exact", "base", "n_pairs"]
     diagonals = hits.groupBy(*spot, (F.col("word") - F.col("place")).alias("diagonal")).agg(
-        F.collect_set("place").alias("places"), F.min("word").alias("first"), F.max("word").alias("last"))
-    full = F.col("exact") & (F.size("places") == F.col("n_pairs"))
-    diagonals = diagonals.where((F.col("template") < 0) | full | ~F.col("exact"))
-
+        F.collect_set(F.struct("word", "place")).alias("hits"), F.min("word").alias("first"))
+    whole = F.col("exact") & (F.size("hits") == F.col("n_pairs"))
+    diagonals = diagonals.where((F.col("template") < 0) | whole | ~F.col("exact"))
+    settled = diagonals.where("template < 0 or exact").select(
+        "row", "doc_id", "n_words", "label", "base", "first", F.when(F.col("template") >= 0, F.lit(1.0)).alias("share"))
+
+    # Longer templates: neighbouring diagonals are one chain, and somewhere along the chain enough of the template's pairs
+    # stand within a stretch not much longer than it. A chain that goes on behind the template loses nothing.
     along = Window.partitionBy("row", "template").orderBy("diagonal")
-    starts = F.col("exact") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > gap, F.lit(True))
-    spans = (diagonals.withColumn("starts", F.when(F.coalesce(starts, F.lit(True)), 1).otherwise(0))
-             .withColumn("span", F.sum("starts").over(along))
-             .groupBy(*spot, "span").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"),
-                                         F.min("first").alias("first"), F.max("last").alias("last")))
-    share = F.size("places") / F.col("n_pairs")
-    found = spans.withColumn("share", F.when(F.col("template") >= 0, share)).where(
-        (F.col("template") < 0) | F.col("exact")
-        | ((F.col("share") >= min_share) & (F.col("last") - F.col("first") <= 1.5 * F.col("n_pairs"))))
-
+    starts = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(along) > gap, F.lit(True))
+    chains = (diagonals.where("template >= 0 and not exact").withColumn("starts", starts.cast("int"))
+              .withColumn("chain", F.sum("starts").over(along))
+              .groupBy(*spot, "chain").agg(F.flatten(F.collect_list("hits")).alias("hits")))
+    places = F.size(F.array_distinct(F.transform("hits", lambda h: h["place"])))
+    seen = chains.where(places >= min_share * F.col("n_pairs")).select(*spot, "chain", F.explode("hits").alias("h")).select(
+        *spot, "chain", "h.*")
+    longest = max([len(t.text.split()) for t in templates if not t.exact], default=0)
+    ahead = Window.partitionBy("row", "template", "chain").orderBy("word").rangeBetween(0, 2 * longest)
+    near = F.filter(F.collect_set(F.struct("word", "place")).over(ahead), lambda h: h["word"] - F.col("word") <= 1.5 * F.col("n_pairs"))
+    shares = seen.withColumn("share", F.size(F.array_distinct(F.transform(near, lambda h: h["place"]))) / F.col("n_pairs"))
+    verified = shares.groupBy(*spot, "chain").agg(F.max("share").alias("share"), F.min("word").alias("first")).where(
+        F.col("share") >= min_share).select("row", "doc_id", "n_words", "label", "base", "first", "share")
+
+    found = settled.unionByName(verified)
     at_base = F.when(F.col("base"), F.col("first"))
     labels = lambda wanted: F.array_join(F.array_sort(F.collect_set(wanted)), ",")
     return found.groupBy("row", "doc_id", "n_words").agg(

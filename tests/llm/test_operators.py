@@ -109,6 +109,22 @@ def test_license_scan_brute_force(spark, docs, odd, empty):
     assert license_scan.scan_licenses(odd).count() == len(ROWS) and license_scan.scan_licenses(empty).count() == 0
 
 
+def test_license_templates_within_chains(spark):
+    """A template followed by more of its own pairs, with words between, cut short, in disorder, and with capitals."""
+    gpl = next(t.text for t in license_scan.METHOD_TEMPLATES if t.label == "gpl").split()
+    texts = ["licensed under cc by nc 4 0", "licensed under cc by nc 4 0" + " 4 0" * 40, "4 0 " * 30 + "licensed under cc by nc 4 0 4 0",
+             " ".join(gpl[:8] + ["also"] + gpl[8:]), " ".join(gpl[:6]), " ".join(reversed(gpl)), "word " * 50 + " ".join(gpl).upper() + " more" * 50,
+             "licensed under x x x x x x x x x x x x cc by x x x x x x x x x x x nc 4 0"]
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weak = lambda a, b: (license_scan.F.length(a) * 10 + license_scan.F.length(b)).cast("long")
+    for made in (license_scan.scan_licenses(data), license_scan.scan_licenses(data, pair_hash=weak)):
+        got = {r["doc_id"]: (r["labels"], r["base_labels"]) for r in made.collect()}
+        assert [got[i][0] for i in range(8)] == ["cc-by,cc-by-nc", "cc-by,cc-by-nc", "cc-by,cc-by-nc", "gpl", "", "", "gpl", "cc-by"]
+        assert [got[i][1] for i in range(8)] == ["cc-by", "cc-by", "cc-by", "gpl", "", "", "gpl", "cc-by"]
+    scores = {r["doc_id"]: r["score"] for r in license_scan.scan_licenses(data).collect()}
+    assert scores[1] == 1.0 and scores[4] == 0.0 and all(0 <= x <= 1 for x in scores.values())
+
+
 def test_quality_edges(odd, empty):
     got = quality.judge_quality(odd).collect()
     assert len(got) == len(ROWS) and quality.judge_quality(empty).count() == 0
