@@ -296,6 +296,15 @@ def target_analysis(df: DataFrame, target: str, features: list[str]) -> dict[str
     return out
 
 
+def analysis_table(parts: dict[str, DataFrame]) -> DataFrame:
+    """The analyses of several features as one table: ``feature`` and the typed columns of all kinds of analysis that occur."""
+    made = [df.select(F.lit(f).alias("feature"), "*") for f, df in parts.items()]
+    out = made[0]
+    for part in made[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def _n_distinct_over(df: DataFrame, column: str, k: int) -> bool:
     """True when the column has more than ``k`` distinct values (bounded probe)."""
     return df.select(_q(column)).distinct().limit(k + 1).count() > k

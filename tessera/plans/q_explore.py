@@ -210,18 +210,23 @@ def group_means(spark, d):
     return round_doubles(ex.group_means(load(spark, d, "orders"), "o_orderpriority", "o_totalprice"))
 
 
-@query("target_analysis_lineitem")
+_MEASURES = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+@query("target_analysis_lineitem", " UNION ALL ".join(f"""
+(WITH q AS (SELECT l_returnflag AS g, count({c}) AS n, quantile_cont({c}::DOUBLE, 0.25) AS q1, quantile_cont({c}::DOUBLE, 0.5) AS median,
+                   quantile_cont({c}::DOUBLE, 0.75) AS q3 FROM lineitem WHERE {c} IS NOT NULL GROUP BY 1)
+ SELECT '{c}' AS feature, g AS "group", n, round(q1 + 1e-9, 6) AS q1, round(median + 1e-9, 6) AS median, round(q3 + 1e-9, 6) AS q3,
+        round(min(CASE WHEN x >= q1 - 1.5 * (q3 - q1) THEN x END) + 1e-9, 6) AS whisker_low,
+        round(max(CASE WHEN x <= q3 + 1.5 * (q3 - q1) THEN x END) + 1e-9, 6) AS whisker_high,
+        count(CASE WHEN x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1) THEN 1 END) AS n_outliers
+ FROM q JOIN (SELECT l_returnflag AS f, {c}::DOUBLE AS x FROM lineitem WHERE {c} IS NOT NULL) ON f IS NOT DISTINCT FROM g
+ GROUP BY g, n, q1, median, q3)""" for c in _MEASURES))
 def target_analysis_lineitem(spark, d):
-    """Per-feature analysis against the return flag for all
-    numeric columns, unioned as (feature, rows of its analysis)."""
+    """The analysis of every numeric column against the return flag (box plots), as one typed table."""
     li = load(spark, d, "lineitem")
-    feats = ex.auto_features(li, "l_returnflag")
-    parts = ex.target_analysis(li, "l_returnflag", feats)
-    out = None
-    for f, df in parts.items():
-        p = df.select(F.lit(f).alias("feature"), F.to_json(F.struct(*df.columns)).alias("stats"))
-        out = p if out is None else out.unionByName(p)
-    return out
+    parts = ex.target_analysis(li, "l_returnflag", ex.auto_features(li, "l_returnflag"))
+    return round_doubles(ex.analysis_table(parts))
 
 
 # ---- type management -------------------------------------------------------
@@ -372,11 +377,11 @@ def null_report_events(spark, d):
 
 @query("suggest_names", """
 SELECT 'o_orderkey_id' AS "column", 'bigint' AS current_dtype, 'string' AS suggested_dtype,
-       'column ''o_orderkey_id'' appears to be an identifier, not a number' AS reason
+       'o_orderkey_id: the name speaks of a key, with which nobody calculates' AS reason
 UNION ALL SELECT 'ship_date_text', 'string', 'datetime',
-       'column ''ship_date_text'' appears to contain dates but is stored as string'
+       'ship_date_text: the name speaks of a point in time, the type is string'
 UNION ALL SELECT 'is_returned', 'double', 'boolean',
-       'column ''is_returned'' holds only whole values and looks like a flag'""")
+       'is_returned: a yes-or-no name over whole numbers'""")
 def suggest_names(spark, d):
     """Name + sample hints over the profile (A1 + A2) of derived columns."""
     li = load(spark, d, "lineitem").select(
@@ -389,14 +394,14 @@ def suggest_names(spark, d):
 
 @query("detect_date", """
 WITH l AS (SELECT strftime(l_shipdate, '%m/%d/%Y') AS ship_date FROM lineitem),
-probe AS (SELECT ship_date FROM l WHERE ship_date IS NOT NULL LIMIT 20)
+probe AS (SELECT ship_date FROM l WHERE ship_date IS NOT NULL)
 SELECT CASE WHEN (SELECT count(*) FROM probe WHERE try_strptime(ship_date, '%m/%d/%Y') IS NOT NULL)
                  = (SELECT count(*) FROM probe) AND (SELECT count(*) FROM probe) > 0
             THEN 'ship_date' END AS date_column,
        (SELECT count(*) FROM l) AS n_rows""")
 def detect_date(spark, d):
     """The date column used by a temporal split (first timestamp column,
-    else a date-named text column whose first values parse)."""
+    else a date-named text column all of whose values parse)."""
     li = load(spark, d, "lineitem").select(
         "l_orderkey", F.date_format("l_shipdate", "MM/dd/yyyy").alias("ship_date"), "l_quantity")
     found = dty.detect_date_column(li)

@@ -138,10 +138,13 @@ def table_info(spark: SparkSession, directory: str, names: list[str] | None = No
 
 
 def source_size(df: DataFrame) -> DataFrame:
-    """Total bytes of the files behind a file-source DataFrame (one row)."""
-    files = df.select(F.col("_metadata.file_path").alias("p"),
-                      F.col("_metadata.file_size").alias("s")).dropDuplicates(["p"])
-    return files.agg(F.coalesce(F.sum("s"), F.lit(0)).cast("bigint").alias("size_bytes"))
+    """Total bytes of the files behind a file-source DataFrame (one row), from the listing of the files; their
+    contents are not read."""
+    files = df.inputFiles()
+    if not files:
+        return df.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("size_bytes"))
+    listed = df.sparkSession.read.format("binaryFile").load(files).select("path", "length")
+    return listed.agg(F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias("size_bytes"))
 
 
 def row_count(df: DataFrame) -> DataFrame:
