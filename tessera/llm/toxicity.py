@@ -1,7 +1,8 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick on folded text.
 
-Folding lower-cases, replaces look-alike letters of other scripts and digits
-or signs that stand for letters, and leaves one space between words.  The
+Folding decomposes accents and compatibility letters, lower-cases, replaces
+look-alike letters of other scripts and digits or signs that stand for
+letters, joins spaced letters, and leaves one space between words.  The
 lexicon is learnt: word beginnings and whole words that occur in toxic
 labelled documents far more often than in clean ones get the log of that
 ratio as weight, and words that begin like a toxic one but occur in clean
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
@@ -43,18 +45,29 @@ MIN_WEIGHT = 2.5
 LIMIT = 0.3
 PREFIXES = range(4, 11)
 
-#: Letters of other scripts that look like Latin ones, and digits and signs used for letters.
-LOOK_ALIKE = dict(zip("аеорсухіјѕһԁɡӏνοαερκτυιβ", "aeopcyxijshdglvoaepktuib"))
+#: Letters of other scripts and small capitals that look like Latin letters (Cyrillic, Greek, Armenian, phonetic).
+LOOK_ALIKE = dict(zip("авекмнорстухіјѕԁԛԝһӏґ", "abekmhopctyxijsdqwhlr")) | dict(zip("αβγεηικνορσςτυχωϲϳ", "abyenikvopostuxwcj")) | dict(
+    zip("օսհոցաԼ", "ouhnqwl")) | dict(zip("ɡıȷʙɢʜɪʟɴʀʏᴀᴄᴅᴇᴊᴋᴍᴏᴘᴛᴜᴠᴡᴢ", "gijbghilnryacdejkmoptuvwz"))
+#: Digits and signs used for letters.
 DIGITS = dict(zip("013457@$", "oieastas"))
 _FOLD = str.maketrans({**LOOK_ALIKE, **DIGITS})
 _BREAK = re.compile(r"[\W_]+")
+#: Marks that stand above, below or through a letter.
+_MARK = re.compile(r"[\u0300-\u036f\u200b-\u200f\u2060\ufeff\u00ad]+")
+_SPACED = re.compile(r"(?<= )(?:\w ){2,}\w(?= )")
 #: Phrases in which a term is harmless.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "moron river")
 
 
 def folded(text: str) -> str:
-    """Folded words between single spaces, with a space at both ends."""
-    return f" {_BREAK.sub(' ', text.lower().translate(_FOLD)).strip()} "
+    """Folded words between single spaces, with a space at both ends.
+
+    Compatibility forms (full-width, bold or circled letters) and accents are decomposed by Unicode's own rule and the
+    marks dropped; then look-alike letters, digits and signs are replaced; single letters in a row are one word."""
+    if not text.isascii():
+        text = _MARK.sub("", unicodedata.normalize("NFKD", text))
+    text = f" {_BREAK.sub(' ', text.lower().translate(_FOLD)).strip()} "
+    return _SPACED.sub(lambda m: m.group().replace(" ", ""), text)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -270,12 +270,55 @@ def test_toxicity_learns_and_holds_out(spark, empty):
     assert toxicity.scored(empty, none).count() == 0
 
 
-def test_toxicity_folding_and_exceptions(spark):
-    score = toxicity.measures({" trash": 3.0, " trashy ": 0.0})
-    texts = ["тrаsh here", "TR4SH", "the trash can is full", "trashy", "no"]
-    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(score("text").alias("m")).collect()
-    assert [r["m"]["hits"] for r in rows] == [0.0 if "т" not in toxicity.LOOK_ALIKE and i == 0 else h
-                                              for i, h in enumerate([1.0, 1.0, 0.0, 0.0, 0.0])]
+@pytest.mark.parametrize("text", ["trash", "TR4SH", "тrаsh", "тяash".replace("я", "r"), "ｔｒａｓｈ", "tráshy".rstrip("y"), "t r a s h", "T.R.A.S.H",
+                                  "t_r_a_s_h", "tr\u200bash", "𝐭𝐫𝐚𝐬𝐡", "ⓣⓡⓐⓢⓗ", "τrαѕh", "ᴛʀᴀsʜ", "t-r-@-$-h"])
+def test_toxicity_folding(text):
+    assert toxicity.folded(f"see {text} here") == " see trash here "
+
+
+def _plain_measure(text, lexicon, exceptions):
+    """Hits by looking at every word on its own and every phrase at every place."""
+    words = toxicity.folded(text or "").split()
+    line = " " + " ".join(words) + " "
+    at, places = 0, []
+    for w in words:
+        places.append(at)
+        at += len(w) + 1
+    best = {}
+    for w, p in zip(words, places):
+        fits = [v for t, v in lexicon.items() if v > 0 and (t == f" {w} " if t.endswith(" ") else f" {w}".startswith(t))]
+        if fits and lexicon.get(f" {w} ") != 0.0:
+            best[p] = max(fits)
+    for phrase in exceptions:
+        k = line.find(f" {phrase} ")
+        while k >= 0:
+            best = {p: v for p, v in best.items() if not k <= p < k + len(phrase) + 1}
+            k = line.find(f" {phrase} ", k + 1)
+    return float(len(best)), sum(best.values()), float(max(1, len(words)))
+
+
+def test_toxicity_measures_equal_brute_force(spark):
+    rng = np.random.default_rng(13)
+    words = ["trash", "trashy", "trashcan", "can", "the", "vile", "viler", "Vi1e", "bin", "clown", "fish", "clownish", "a", "b", "c"]
+    lexicon = {" trash": 3.0, " trashy ": 0.0, " vile": 2.5, " vile ": 4.0, " clown": 2.75, " can ": 3.5, " clownish ": 0.0}
+    exceptions = ("trash can", "clown fish", "trash bin")
+    texts = [" ".join(rng.choice(words, int(n))) for n in rng.integers(0, 14, 400)] + [None, "", "...", "trash can trash can trash"]
+    data = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    got = {r["id"]: tuple(r["m"]) for r in data.select("id", toxicity.measures(lexicon, exceptions)("text").alias("m")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(_plain_measure(t, lexicon, exceptions)), t
+
+
+def test_toxicity_with_ties_and_clashing_columns(spark):
+    rows = [(i, ("vileword " if i % 4 == 0 else "plain ") + "same text", "clash", 5) for i in range(200)] + [(7, None, "x", 1), (None, "vileword", "x", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, toxic int")
+    marks = spark.createDataFrame([(i, int(i % 4 == 0), "z") for i in range(200)] + [(3, 0, "z")], "doc_id long, toxic int, text string")
+    model = toxicity.fit(docs, marks)
+    got = toxicity.scored(docs, model).collect()
+    assert len(got) == len(rows) and {(r["doc_id"] % 4 == 0, r["predicted"]) for r in got if r["doc_id"] not in (None, 7)} == {(True, 1), (False, 0)}
+    assert [r["predicted"] for r in got if r["doc_id"] is None] == [1]
+    left = toxicity.drop_toxic(docs, model)
+    assert left.columns == docs.columns and left.count() == 151
 
 
 def test_token_counts(docs, empty):
