@@ -28,7 +28,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import literal_table, words_of
+from tessera.llm.common import literal_table, words_of, written
 
 #: Separators of words: ASCII characters that are no letter and no digit (upper case counts as letters here,
 #: the text is lower-cased).
@@ -111,7 +111,8 @@ def scan_licenses(docs: DataFrame, templates: tuple[Template, ...] = BASE_PHRASE
     diagonals = hits.groupBy(*spot, (F.col("word") - F.col("place")).alias("diagonal")).agg(
         F.collect_set(F.struct("word", "place")).alias("hits"), F.min("word").alias("first"))
     whole = F.col("exact") & (F.size("hits") == F.col("n_pairs"))
-    diagonals = diagonals.where((F.col("template") < 0) | whole | ~F.col("exact"))
+    # Both branches below see the same rows: places in the scan number the documents.
+    diagonals = written(diagonals.where((F.col("template") < 0) | whole | ~F.col("exact")), "diagonals")
     settled = diagonals.where("template < 0 or exact").select(
         "row", "doc_id", "n_words", "label", "base", "first", F.when(F.col("template") >= 0, F.lit(1.0)).alias("share"))
 
