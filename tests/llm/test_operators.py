@@ -413,6 +413,78 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in packed} == set(rows)
 
 
+def _plain_pipeline(rows, toxic):
+    """All five stages in plain Python: rows (doc_id, text), ids that the toxicity stage rejects."""
+    import regex
+    from tokenizers import Tokenizer
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    syms = lambda t: len(re.findall(r"[#*$%&|<>]", t))
+
+    def bad(line):
+        w = words(line)
+        return ((line.count("|") >= 3 and line.count("|") * 4 >= len(w)) or (2 * len(re.findall("!{2,}", line)) >= max(6, len(w)))
+                or 2 * syms(line) >= max(6, len(w)) or (len(w) >= 12 and 4 * len(set(w)) <= len(w))
+                or (len(w) <= 25 and any(p in line.lower() for p in quality.BOILERPLATE)) or not regex.search(r"\p{L}", line))
+
+    def good(text):
+        w = words(text)
+        grams = [tuple(w[i:i + 3]) for i in range(len(w) - 2)]
+        again = {i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)} if len(set(grams)) < len(grams) else ()
+        lines = [x for x in text.split("\n") if words(x)]
+        kept = [x for x in lines if not bad(x)]
+        lost = sum(map(len, lines)) - sum(map(len, kept))
+        fails = len(w) < 50 or 100 * len(again) > 50 * len(w) or 100 * lost > quality.MAX_LOST_PERCENT * sum(map(len, lines))
+        return None if fails else "\n".join(kept)
+    stages = [{i: t or "" for i, t in rows if i not in toxic}]
+    stages.append({i: c for i, t in stages[0].items() if (c := good(t)) is not None})
+    best = {}
+    for i, t in sorted(stages[1].items(), key=lambda r: (-len(r[1]), r[0])):
+        best.setdefault(bare(t), i)
+    stages.append({i: stages[1][i] for i in best.values()})
+    linked = _truth(stages[2].items())
+    stages.append({i: t for i, t in stages[2].items() if linked[i][1] == i})
+    tok, pieces = Tokenizer.from_file(VOCAB), set()
+    for i, t in stages[3].items():
+        ids = tok.encode(t, add_special_tokens=False).ids + [2]
+        first = len(ids) % 1024 or 1024
+        for k, a in enumerate([0, *range(first, len(ids), 1024)]):
+            b = first if not k else a + 1024
+            pieces.add((i, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())))
+    return stages, pieces
+
+
+def test_pipeline_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    toxic = {r["doc_id"] for r in toxicity.scored(docs, model).collect() if r["predicted"]}
+    stages, pieces = _plain_pipeline(rows, toxic)
+    left = docs
+    for (name, stage), want in zip(corpus_pipeline.STAGES[:-1], stages):
+        left = stage(spark, left, SF)
+        got = [(r["doc_id"], r["text"] or "") for r in left.select("doc_id", "text").collect()]
+        assert len(got) == len(want) and dict(got) == want, name
+    packed = corpus_pipeline.run(spark, SF).collect()
+    assert len(packed) == len(pieces)
+    assert {(r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packed} == pieces
+    whole = sum(n for *_, n, _ in pieces)
+    assert len({r["sequence_id"] for r in packed}) <= -(-whole // 1024) * 1.02 + 2
+
+
+def test_pipeline_of_odd_tables(spark):
+    """Null ids, repeated rows, an empty table, and stages that nothing reaches."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    good = [" ".join(f"w{k}x{i}" for i in range(80)) for k in range(3)]
+    rows = [(None, good[0]), (None, good[0]), (None, good[1]), (5, good[2]), (5, good[2]), (6, None), (7, ""), (8, "short")]
+    for data, n in (([(i, t, "en", "s", len(t or "")) for i, t in rows], 3), ([], 0), ([(1, "short", "en", "s", 5)], 0)):
+        docs = spark.createDataFrame(data, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, SF)
+            assert docs.columns == schema.replace(" long", "").replace(" string", "").split(", "), name
+        assert docs.count() == n
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).select("doc_id").count() == n
+
+
 def test_queries_are_registered():
     assert {name.split("_")[0] for name in q.QUERIES} == {f"op{n}" for n in range(1, 14)}
 
