@@ -103,10 +103,9 @@ def test_polynomial_tool_errors(numeric):
     assert none is None and errs
 
 
-def test_correlation_matrix_equals_numpy_in_several_passes(spark, monkeypatch):
+def test_correlation_matrix_equals_numpy(spark):
     import numpy as np
     from tessera.operators import explore
-    monkeypatch.setattr(explore, "PAIRS_PER_PASS", 4)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 5))
     x[:, 1] += x[:, 0]
