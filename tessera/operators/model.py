@@ -149,7 +149,7 @@ def param_grid(est, model_type: str, draws: int = 10, seed: int = SEED):
     if model_type == "logistic_regression" and est.hasParam("regParam"):
         g = g.addGrid(est.regParam, [0.0, 0.001, 0.01, 0.1, 1.0, 10.0]).addGrid(est.elasticNetParam, [0.0, 0.5, 1.0])
     elif model_type in ("random_forest", "extra_trees") and est.hasParam("maxDepth"):
-        g = (g.addGrid(est.numTrees, [50, 100, 200]).addGrid(est.maxDepth, [3, 5, 8, 12])
+        g = (g.addGrid(est.numTrees, [20, 50, 100]).addGrid(est.maxDepth, [3, 5, 8])
              .addGrid(est.minInstancesPerNode, [1, 2, 5]))
     elif model_type == "gradient_boosting" and est.hasParam("maxDepth"):
         g = (g.addGrid(est.maxIter, [20, 50, 100]).addGrid(est.maxDepth, [3, 5, 7]).addGrid(est.stepSize, [0.01, 0.05, 0.1, 0.2])
@@ -444,12 +444,15 @@ def learning_curve(df: DataFrame, target: str, keys: list[str], model_type: str
         "__fold", F.pmod(F.xxhash64(*[_q(k) for k in keys], F.lit(SEED)), F.lit(folds))).withColumn(
         "__u", (F.pmod(F.xxhash64(*[_q(k) for k in keys], F.lit(SEED + 1)), F.lit(1 << 30)) / float(1 << 30))).cache()
     from concurrent.futures import ThreadPoolExecutor
+    known = None    # the classes of a numeric target are the same for every fit
+    if task == "classification" and kind_of(df.schema[target].dataType) == NUMERIC:
+        known = target_classes(ModelMatrix(target, [], {}, [], None), data)
 
     def one(s, f):
         train = data.where((F.col("__fold") != f) & (F.col("__u") < s))
         test = data.where(F.col("__fold") == f)
         mm = fit_model_matrix(train, target)
-        classes = target_classes(mm, data) if task == "classification" else None
+        classes = known or (target_classes(mm, data) if task == "classification" else None)
         pm = fit_model(train, mm, model_type, task, len(classes or ()), classes=classes)
         tm = TrainedModel(model_type, task, pm, mm, 0.5 if classes and len(classes) == 2 else None, classes=classes)
         scores = []
