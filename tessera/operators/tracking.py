@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.ordered import null_safe_join, row_numbers, running_sum
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, scratch_path
 
 
 def _q(name: str) -> Column:
@@ -133,21 +133,48 @@ def provenance_chain(nodes: DataFrame, id_col: str, parent_col: str, start: Data
 
 
 def lineage_closure(edges: DataFrame, changed: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """Every node reachable downstream of the changed nodes (BFS by
-    iterative join until no new node; cycles end because visited nodes are
-    anti-joined away).  Returns (node, depth) with the changed nodes at 0."""
-    e = edges.select(_q(src).alias("node"), _q(dst).alias("next"))
-    frontier = changed.select(F.col("node"), F.lit(0).alias("depth")).distinct()
-    seen = frontier
-    for step in count(1):
-        nxt = (frontier.join(e, "node").select(F.col("next").alias("node")).distinct()
-               .join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(step)))
-        nxt = cut_lineage(nxt)
-        if nxt.limit(1).count() == 0:
-            break
-        seen = seen.unionByName(nxt)
-        frontier = nxt
-    return seen
+    """Every node reachable downstream of the changed nodes, as (node, depth): fewest steps, the changed nodes at 0.
+
+    Hops double while that is cheap: the table of hops of twice the length is made only if its join, sized exactly from
+    the in- and out-degrees, has at most ``4 * edges`` rows.  So a chain of n levels takes log n rounds, a hub is never
+    squared, and from then on each round goes on by the longest hops from the levels found last.  A round writes what it
+    found once, beside the earlier rounds in one folder, so plans stay flat.  Cycles end because nodes found before are
+    anti-joined away.  Edges with a null end lead nowhere.
+    """
+    spark = edges.sparkSession
+    ends = edges.select(_q(src).alias("node")).union(edges.select(_q(dst))).union(changed.select("node"))
+    kind = ends.schema["node"].dataType.simpleString()
+    root, schema = scratch_path(spark, "closure"), f"node {kind}, depth int"
+
+    def add(rows: DataFrame, part: int) -> DataFrame:
+        rows.select(F.col("node").cast(kind).alias("node"), F.col("depth").cast("int").alias("depth")).write.parquet(f"{root}/part={part}")
+        return spark.read.schema(schema).parquet(f"{root}/part={part}")
+
+    def reached() -> DataFrame:
+        return spark.read.schema(schema).parquet(root).select("node", "depth")
+
+    frontier = add(changed.select("node", F.lit(0).alias("depth")).distinct(), 0)
+    hops = cut_lineage(edges.select(_q(src).cast(kind).alias("node"), _q(dst).cast(kind).alias("next")).dropna().distinct())
+    room, length, doubling = 4 * hops.count(), 1, True
+    for part in count(1):
+        found = (frontier.join(hops, "node").groupBy(F.col("next").alias("node"))
+                 .agg((F.min("depth") + F.lit(length)).alias("depth")))
+        found = add(found.join(reached().select("node"), "node", "left_anti"), part)
+        if found.isEmpty():
+            return reached()
+        # Levels below 2 * length are known while doubling; later, below the end of what this round found.
+        if doubling:
+            ins = hops.groupBy(F.col("next").alias("node")).agg(F.count(F.lit(1)).alias("n_in"))
+            outs = hops.groupBy("node").agg(F.count(F.lit(1)).alias("n_out"))
+            size = ins.join(outs, "node").agg(F.sum(F.col("n_in").cast("double") * F.col("n_out"))).first()[0] or 0
+            doubling = size <= room
+        if doubling:
+            first = hops.select("node", F.col("next").alias("mid"))
+            hops = cut_lineage(first.join(hops.withColumnRenamed("node", "mid"), "mid").select("node", "next").distinct())
+            length *= 2
+            frontier = reached()
+        else:
+            frontier = found
 
 
 def mark_stale(states: DataFrame, closure: DataFrame, node: str = "node", state: str = "state") -> DataFrame:
