@@ -30,7 +30,7 @@ class UrlRule:
     """``pattern`` runs on host || path; ``tokens`` occur in every url it fits.
 
     ``rank`` 1 rules (host and path prefix) decide before rank 0 rules
-    (patterns of the method); within a rank the longest name wins."""
+    (patterns of the method); within a rank the longest name wins, of equally long ones the greater."""
 
     name: str
     verdict: str

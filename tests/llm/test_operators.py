@@ -93,6 +93,34 @@ def test_url_filter_edges(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_url_filter_many_rules(spark):
+    """400 host rules and 100 patterns against every rule run on every url."""
+    rng = np.random.default_rng(9)
+    labels = ["shop", "news", "blog", "cdn", "img", "static", "forum"]
+    hosts = [".".join(rng.choice(labels, rng.integers(1, 3))) + f"{'' if k % 3 else k % 40}.{('net', 'org', 'com')[k % 3]}" for k in range(400)]
+    paths = ["/", "/en/", "/en/a/", "/de/"]
+    rules = {h + p: url_filter.host_rule(h, p, ("allow", "block")[int(rng.integers(2))])
+             for h, p in zip(hosts, rng.choice(paths, len(hosts)))}
+    own = {f"t{k}": url_filter.UrlRule(f"t{k}", "block", rf"/tag{k}(?:/|$)", (f"tag{k}",)) for k in range(100)}
+    given = (*rules.values(), *own.values())
+    urls = [f"http://{rng.choice(['', 'www.', 'a.b.', 'x'])}{hosts[int(rng.integers(400))].upper() if k % 5 == 0 else hosts[int(rng.integers(400))]}"
+            f"{rng.choice(['', *paths])}{rng.choice(['', f'tag{k % 130}', f'tag{k % 130}/x', 'Tag1', '?en'])}" for k in range(600)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+
+    def truth(url):
+        host, path = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url).groups()
+        host = host.lower()
+        fits = [r for r in given if re.search(r.pattern, host + path)]
+        base = max((r for r in fits if r.rank), key=lambda r: (len(r.name), r.name), default=None)
+        other = max((r for r in fits if not r.rank), key=lambda r: (len(r.name), r.name), default=None)
+        return (host, path, base and base.name, base.verdict if base else other.verdict if other else "allow", other and other.name)
+
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"], r["method_rule"])
+           for r in url_filter.filter_urls(pages, given).collect()}
+    assert got == {i: truth(u) for i, u in enumerate(urls)}
+    assert len({r[2] for r in got.values()}) > 50 and len({r[4] for r in got.values()}) > 50
+
+
 def test_license_scan_brute_force(spark, docs, odd, empty):
     texts = docs.select("doc_id", "text").collect() + [(-1, "MIT License, the mit-license; cc by cc by"), (-2, None)]
     data = spark.createDataFrame([tuple(r) for r in texts], "doc_id long, text string")
