@@ -122,6 +122,20 @@ def mode_value(df: DataFrame, column: str):
     return None if r is None else r["v"]
 
 
+def mode_values(df: DataFrame, columns: list[str], at_once: int = 32) -> dict:
+    """E4 for several columns: one scan counts the values of up to ``at_once`` columns as grouping sets, and one row per
+    column, its most frequent non-null value (ties to the smallest), reaches the driver."""
+    found = {c: None for c in columns}
+    for k in range(0, len(columns), at_once):
+        names = {f"v{i}": c for i, c in enumerate(columns[k:k + at_once])}
+        counts = (df.select(*[_q(c).alias(v) for v, c in names.items()])
+                  .groupingSets([[F.col(v)] for v in names], *[F.col(v) for v in names])
+                  .agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n")).where(" or ".join(f"{v} is not null" for v in names)))
+        for r in counts.groupBy("g").agg(F.min(F.struct((-F.col("n")).alias("less"), *names)).alias("best")).collect():
+            found.update({c: r["best"][v] for v, c in names.items() if r["best"][v] is not None})
+    return found
+
+
 def handle_missing(df: DataFrame, strategy: dict[str, str], order_by: list[str] | None = None,
                    keys: list[str] = ()) -> tuple[DataFrame, MissingReport]:
     """Apply a per-column strategy map in order.
@@ -492,18 +506,17 @@ class StepChain:
         cur = df
         for s in self.steps:
             if s.kind == "impute":
-                fills = {}
-                for c in s.columns:
-                    if s.method == "mean":
-                        fills[c] = cur.agg(F.avg(_q(c))).first()[0]
-                    elif s.method == "median":
-                        fills[c] = column_quantiles(cur, [c], [0.5])[c][0]
-                    elif s.method == "mode":
-                        fills[c] = mode_value(cur, c)
-                    elif s.method.startswith("constant:"):
-                        fills[c] = s.method.split(":", 1)[1]
-                    else:
-                        raise ValueError(f"step chain cannot replay {s.method!r}")
+                if s.method == "mean":
+                    means = cur.agg(*[F.avg(_q(c)) for c in s.columns]).first()
+                    fills = dict(zip(s.columns, means))
+                elif s.method == "median":
+                    fills = {c: q[0] for c, q in column_quantiles(cur, s.columns, [0.5]).items()}
+                elif s.method == "mode":
+                    fills = mode_values(cur, s.columns)
+                elif s.method.startswith("constant:"):
+                    fills = dict.fromkeys(s.columns, s.method.split(":", 1)[1])
+                else:
+                    raise ValueError(f"step chain cannot replay {s.method!r}")
                 self.fitted.append(("impute", fills))
                 cur = self._impute(cur, fills)
             elif s.kind == "encode":
