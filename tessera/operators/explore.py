@@ -18,7 +18,7 @@ from tessera.functions.scalar import safe_corr
 from tessera.functions.scalar import stable_round as sround
 from tessera.functions.types import NUMERIC, kind_of
 from tessera.operators.ordered import null_safe_join, row_numbers
-from tessera.session import ship
+from tessera.session import ship, written
 
 ship(__name__)
 
@@ -114,9 +114,10 @@ def summary(df: DataFrame, column: str) -> DataFrame:
 
 
 def top_categories(df: DataFrame, column: str, k: int = 30) -> DataFrame:
-    """The ``k`` most frequent values (ties by value) plus the number of categories."""
-    counts = df.where(_q(column).isNotNull()).groupBy(_q(column).alias("value")).agg(
-        F.count(F.lit(1)).alias("count"))
+    """The ``k`` most frequent values (ties by value) plus the number of categories.  The counts are written once,
+    so the rows are read and grouped once for both."""
+    counts = written(df.where(_q(column).isNotNull()).groupBy(_q(column).alias("value")).agg(
+        F.count(F.lit(1)).alias("count")), "categories")
     n_cat = counts.count()                                   # one number
     top = counts.orderBy(F.desc("count"), "value").limit(k)
     w = Window.orderBy(F.desc("count"), "value")  # over k rows only

@@ -180,6 +180,7 @@ def handle_missing(df: DataFrame, strategy: dict[str, str], order_by: list[str]
             nulls = {c: row[f"z{j}"] or 0 for j, c in enumerate(present)}
         if medians:
             stats.update({c: v[0] for c, v in column_quantiles(out, medians, [0.5]).items()})
+        modes = mode_values(out, [c for c, s in run if s == "mode" and c in out.columns])
         for c, s in run:
             if c not in out.columns:
                 rep.errors.append(f"column not found: {c}")
@@ -190,8 +191,7 @@ def handle_missing(df: DataFrame, strategy: dict[str, str], order_by: list[str]
                     continue
                 pending[c] = F.coalesce(_q(c), F.lit(stats[c]).cast(out.schema[c].dataType))
             elif s == "mode":
-                v = mode_value(out, c)
-                pending[c] = F.coalesce(_q(c), F.lit(v).cast(out.schema[c].dataType))
+                pending[c] = F.coalesce(_q(c), F.lit(modes[c]).cast(out.schema[c].dataType))
             elif s.startswith("constant:") or s == "unknown":
                 lit = typed_constant(out, c, s if s != "unknown" else "constant:unknown")
                 pending[c] = F.coalesce(_q(c), lit)

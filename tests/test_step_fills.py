@@ -40,3 +40,11 @@ def test_steps_fill_all_their_columns(spark):
     want = [(k if k is not None else 1, a if a is not None else mean, s if s is not None else "a", None, f if f is not None else False,
              a + 1 if a is not None else 5.0) for k, a, s, _, f in ROWS]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_missing_values_take_modes_at_once(spark):
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    out, report = pp.handle_missing(df, {"s": "mode", "x": "mean", "k": "mode", "gone": "mode", "nowhere": "mode"})
+    assert report.errors == ["column not found: nowhere"]
+    got = sorted((r["k"], r["s"], r["gone"]) for r in out.collect())
+    assert got == sorted((k or 1, s if s is not None else "a", None) for k, _, s, *_ in ROWS)
