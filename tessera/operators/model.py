@@ -9,6 +9,7 @@ are reproducible functions of the row key (xxhash64), never ``randomSplit``
 from __future__ import annotations
 
 import json
+import math
 import random
 from dataclasses import dataclass
 
@@ -99,6 +100,7 @@ def class_weights(df: DataFrame, target: str, below: float = 0.2, name: str = "w
                    F.max("__n").alias("mx")).first()
     if s["mx"] and s["mn"] / s["mx"] < below:
         w = counts.select("__c", (F.lit(s["N"]) / (F.lit(s["k"]) * F.col("__n"))).alias(name))
+        w = F.broadcast(w) if s["k"] <= 10_000 else w
         return df.join(w, _q(target).eqNullSafe(F.col("__c")), "left").drop("__c")
     return df.withColumn(name, F.lit(1.0))
 
@@ -161,6 +163,21 @@ def param_grid(est, model_type: str, draws: int = 10, seed: int = SEED):
     return maps[:draws]
 
 
+#: Training rows that one task takes before there is a second one.
+ROWS = 16384
+
+
+def compacted(rows: DataFrame, least: int = 1) -> DataFrame:
+    """The rows in as few partitions as their number asks for, ``least`` or more.  A fit runs hundreds of short jobs
+    over them, and each costs a task or two per partition."""
+    return rows.coalesce(max(least, math.ceil(rows.count() / ROWS)))
+
+
+def _draws_rows(est) -> bool:
+    """Whether rows are drawn partition by partition: few partitions are then left as they are, and with them the draw."""
+    return est.hasParam("bootstrap") and est.getOrDefault("bootstrap")
+
+
 class NeighbourModel:
     """The vote (or mean) of the k nearest training rows; ``table`` holds their vectors and labels."""
 
@@ -280,23 +297,32 @@ def target_classes(matrix: ModelMatrix, data: DataFrame) -> list:
     return [r["y"] for r in values]
 
 
-def fit_model(train: DataFrame, matrix: ModelMatrix, model_type: str, task: str, n_classes: int = 2,
-              weight_col: str | None = None, search: bool = False, folds: int = 3, classes: list | None = None,
-              notes: list | None = None) -> PipelineModel | NeighbourModel:
-    """Fit VectorAssembler + estimator; with ``search`` a 3-fold
-    CrossValidator over ≤ 10 sampled parameter maps (falls back to the
-    defaults if the search fails, and says why in ``notes``)."""
+def fit_rows(train: DataFrame, matrix: ModelMatrix, weight_col: str | None = None, classes: list | None = None) -> DataFrame:
+    """The model matrix of the training rows with ``label`` (positions of ``classes``) and the weight."""
     keep = [weight_col] if weight_col and weight_col in train.columns else []
     prepared = matrix.transform(train, keep).withColumnRenamed(matrix.target, "label")
     if classes is not None and classes != list(range(len(classes))):
         place = F.array_position(F.array(*[F.lit(float(c)) for c in classes]), F.col("label").cast("double")) - 1
         prepared = prepared.withColumn("label", place.cast("double"))
+    return prepared
+
+
+def fit_model(train: DataFrame, matrix: ModelMatrix, model_type: str, task: str, n_classes: int = 2,
+              weight_col: str | None = None, search: bool = False, folds: int = 3, classes: list | None = None,
+              notes: list | None = None, prepared: DataFrame | None = None) -> PipelineModel | NeighbourModel:
+    """Fit VectorAssembler + estimator; with ``search`` a 3-fold
+    CrossValidator over ≤ 10 sampled parameter maps (falls back to the
+    defaults if the search fails, and says why in ``notes``).  ``prepared``:
+    the ``fit_rows`` of ``train``, if the caller has them; their lineage goes out with every task, so it is cut."""
+    if prepared is None:
+        prepared = cut_lineage(fit_rows(train, matrix, weight_col, classes))
     if model_type == "knn":
         if matrix.inputs != matrix.feature_names:
             raise ValueError("nearest neighbours need few categories")
         return NeighbourModel.fit(prepared, matrix.inputs, n_classes if task == "classification" else 0)
     asm = VectorAssembler(inputCols=matrix.inputs, outputCol="features", handleInvalid="keep")
-    est = build_estimator(model_type, task, n_classes, keep[0] if keep else None)
+    est = build_estimator(model_type, task, n_classes, weight_col if weight_col in prepared.columns else None)
+    least = 16 if _draws_rows(est) else 1
     if search:
         try:
             ev_ = (MulticlassClassificationEvaluator(metricName="f1") if task == "classification"
@@ -309,7 +335,7 @@ def fit_model(train: DataFrame, matrix: ModelMatrix, model_type: str, task: str,
         except Exception as e:  # noqa: BLE001 - the reference falls back to defaults
             if notes is not None:
                 notes.append(f"search failed, defaults used: {type(e).__name__}: {e}"[:500])
-    return Pipeline(stages=[asm, est]).fit(prepared)
+    return Pipeline(stages=[asm, est]).fit(compacted(prepared, least))
 
 
 def _metrics_for(pred: DataFrame, task: str, classes: list | None = None) -> DataFrame:
@@ -346,12 +372,11 @@ def _split_metrics(tm: "TrainedModel", data: DataFrame, target: str, split_col:
     return out
 
 
-def _fit_one(mt, data, matrix, target, task, classes, split_col, threshold, search):
-    train, notes = data.where(F.col(split_col) == "train"), []
+def _fit_one(mt, data, matrix, target, task, classes, split_col, threshold, search, train, prepared):
+    notes = []
     n_classes = len(classes) if classes is not None else 0
-    if task == "classification":   # M4
-        train = class_weights(train, target, name="__weight")
-    pm = fit_model(train, matrix, mt, task, n_classes, weight_col="__weight", search=search, classes=classes, notes=notes)
+    pm = fit_model(train, matrix, mt, task, n_classes, weight_col="__weight", search=search, classes=classes, notes=notes,
+                   prepared=prepared)
     tm = TrainedModel(mt, task, pm, matrix, None, classes=classes, search_note=notes[0] if notes else None)
     if task == "classification" and n_classes == 2:
         if threshold is not None:
@@ -387,8 +412,13 @@ def train_compare(df: DataFrame, target: str, keys: list[str], model_types=MODEL
     rows, models = [], {}
     schema = ("model_type string, split string, accuracy double, precision double, recall double, f1 double, "
               "auc double, r2 double, rmse double, threshold double, threshold_method string, error double, message string")
+    train = data.where(F.col(split_col) == "train")
+    if task == "classification":   # M4
+        train = class_weights(train, target, name="__weight")
+    prepared = cut_lineage(fit_rows(train, matrix, "__weight", classes))    # the same for every model type
+    scored = compacted(data)
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        futs = {mt: pool.submit(_fit_one, mt, data, matrix, target, task, classes, split_col, threshold, search)
+        futs = {mt: pool.submit(_fit_one, mt, scored, matrix, target, task, classes, split_col, threshold, search, train, prepared)
                 for mt in model_types}
         for mt in model_types:
             try:
