@@ -12,6 +12,8 @@ import json
 import math
 import random
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression,
@@ -324,12 +326,16 @@ def fit_model(train: DataFrame, matrix: ModelMatrix, model_type: str, task: str,
     est = build_estimator(model_type, task, n_classes, weight_col if weight_col in prepared.columns else None)
     least = 16 if _draws_rows(est) else 1
     if search:
+        # The folds CrossValidator would draw, drawn before the partitions are merged.
+        folded = prepared.withColumn("__draw", F.rand(SEED))
+        cuts = [F.col("__draw") >= F.lit(i * (1.0 / folds)) for i in range(1, folds)]
+        folded = cut_lineage(folded.withColumn("__fold", reduce(add, [c.cast("int") for c in cuts], F.lit(0))).drop("__draw"))
         try:
             ev_ = (MulticlassClassificationEvaluator(metricName="f1") if task == "classification"
                    else RegressionEvaluator(metricName="r2"))
             cv = CrossValidator(estimator=est, estimatorParamMaps=param_grid(est, model_type), evaluator=ev_,
-                                numFolds=folds, seed=SEED, parallelism=4)
-            model = Pipeline(stages=[asm, cv]).fit(prepared)
+                                numFolds=folds, seed=SEED, parallelism=4, foldCol="__fold")
+            model = Pipeline(stages=[asm, cv]).fit(compacted(folded, least))
             best = model.stages[1].bestModel
             return PipelineModel(stages=[model.stages[0], best])
         except Exception as e:  # noqa: BLE001 - the reference falls back to defaults

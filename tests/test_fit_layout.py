@@ -34,3 +34,24 @@ def test_partitions_follow_the_rows(rows, monkeypatch):
     plain = Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="features"), md.build_estimator("random_forest", "classification")])
     assert forest.stages[-1].toDebugString.partition("\n")[2] == plain.fit(
         matrix.transform(rows).withColumnRenamed("y", "label")).stages[-1].toDebugString.partition("\n")[2]
+
+
+def test_search_draws_the_same_folds(rows, monkeypatch):
+    matrix, met, folds = fit_model_matrix(rows, "y", ["a", "b"]), _seen(monkeypatch), []
+    k_fold = CrossValidator._kFold
+
+    def seen(self, df):
+        out = k_fold(self, df)
+        folds.append([sorted(r["a"] for r in part.collect()) for _, part in out])
+        return out
+
+    monkeypatch.setattr(CrossValidator, "_kFold", seen)
+    grid = md.param_grid
+    monkeypatch.setattr(md, "param_grid", lambda est, kind: grid(est, kind, 2))
+    md.fit_model(rows, matrix, "logistic_regression", "classification", 2, search=True)
+    assert met == [1]
+    est = md.build_estimator("logistic_regression", "classification")
+    cv = CrossValidator(estimator=est, estimatorParamMaps=md.param_grid(est, "logistic_regression"),
+                        evaluator=MulticlassClassificationEvaluator(metricName="f1"), numFolds=3, seed=md.SEED)
+    cv._kFold(matrix.transform(rows))
+    assert folds[0] == folds[1] and sum(map(len, folds[0])) == 240
