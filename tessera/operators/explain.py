@@ -4,7 +4,8 @@
   expressions over all rows.
 * Tree models: exact path-dependent Shapley values from the table of the
   ensemble's leaf paths, a batch of rows at a time (``tree_shap``).
-* Any model: permutation Shapley.  Rows (all, or ``sample_rows``) ×
+* Tree ensembles: permutation Shapley from the same table.
+* Any other model: permutation Shapley.  Rows (all, or ``sample_rows``) ×
   ``permutations`` orderings × (features + 1) coalitions are exploded, scored
   by one batch ``transform`` and differenced inside (row, permutation) windows.
 """
@@ -16,9 +17,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassificationModel
+from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressionModel
+from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,10 +50,20 @@ def linear_shap(tm: TrainedModel, df: DataFrame, id_col: str, rows: DataFrame |
     return shown.select(_q(id_col), F.explode(F.array(*cells)).alias("e")).select(id_col, "e.feature", "e.shap")
 
 
+def _adds_leaves(tm: TrainedModel) -> bool:
+    """Whether the explained score is the sum of the reached leaves' values: forests and regression trees, not the
+    probability of boosted classifiers, without sparse features."""
+    kinds = (RandomForestClassificationModel, RandomForestRegressionModel, GBTRegressionModel)
+    return isinstance(tm.pipeline.stages[-1], kinds) and tm.matrix.inputs == tm.matrix.feature_names
+
+
 def permutation_shap(tm: TrainedModel, df: DataFrame, id_col: str, sample_rows: int | None = None,
                      permutations: int = 10, seed: int = SEED) -> DataFrame:
     """Permutation Shapley for any fitted model, (id, feature, shap), of all
-    rows, or of ``sample_rows`` of them (the smallest by a hash of the id)."""
+    rows, or of ``sample_rows`` of them (the smallest by a hash of the id).
+
+    Where the score is a sum over leaves, a step changes only the leaves that test the added feature: the same
+    differences come from the table of leaf paths, a batch of rows at a time."""
     names = tm.matrix.feature_names
     x = tm.matrix.transform(df, [id_col])
     bg = x.agg(*[F.avg(_q(c)).alias(f"m{i}") for i, c in enumerate(names)]).first()
@@ -63,6 +74,16 @@ def permutation_shap(tm: TrainedModel, df: DataFrame, id_col: str, sample_rows:
         p = list(range(len(names)))
         rng.shuffle(p)
         perms.append(p)
+    if _adds_leaves(tm):
+        start = np.array([bg[f"m{j}"] or 0.0 for j in range(len(names))])
+        paths = leaf_paths(tm.pipeline.stages[-1])
+        vectors = tm.pipeline.stages[0].transform(rows).select(_q(id_col).alias("id"), vector_to_array("features").alias("x"))
+        made = _explained(vectors, paths, lambda p: _step_terms(p, start, perms), len(names))
+        listed = F.array(*[F.lit(n) for n in names])
+        cells = made.select(F.col("id").alias(id_col), F.posexplode("s").alias("at", "s"))
+        # n rows of one id give n equal coalitions each, of which only the last changes: a share of 1 / n of their mean.
+        return cells.groupBy(id_col, F.get(listed, F.col("at")).alias("feature")).agg(
+            (F.sum("s") / F.count("s") / F.count("s")).alias("shap"))
     # position of feature j inside permutation p, and the feature added at step s
     pos = F.array(*[F.array(*[F.lit(perm.index(j)) for j in range(len(names))]) for perm in perms])
     added = F.array(*[F.array(*[F.lit(names[k]) for k in perm]) for perm in perms])
@@ -171,34 +192,94 @@ def base_value(paths: list[LeafPaths]) -> float:
     return float(sum((p.value * p.share.prod(1)).sum() for p in paths))
 
 
-def path_shapley(x: np.ndarray, paths: list[LeafPaths], n_features: int) -> np.ndarray:
-    """Exact Shapley values of each row of x (path-dependent: a missing feature follows both branches by their shares).
+def _passes(x: np.ndarray, p: LeafPaths) -> np.ndarray:
+    """Whether a value goes the leaf's way at each place: NaN goes right at every split."""
+    return (~(x <= p.low) | (p.low == -np.inf)) & ((x <= p.high) | (p.high == np.inf))
 
-    A leaf is a product game: with the features S known it is worth value * (product over S of 'the row passes') *
-    (product over the rest of the share). The Shapley weights of such a product are the integral over t of
-    (product over the other features of share * (1 - t) + passes * t), a polynomial in t that a Gauss rule with half
-    as many points sums exactly."""
+
+def _by_pattern(p: LeafPaths, terms) -> np.ndarray | None:
+    """(leaf, pattern, place) -> ``terms`` of every pattern of passed tests; None where there are too many patterns."""
+    leaves, d = p.feature.shape
+    if leaves * d << d > 1 << 22:
+        return None
+    return terms((np.arange(1 << d)[:, None] >> np.arange(d) & 1).astype(bool)[:, None, :].repeat(leaves, 1)).transpose(1, 0, 2)
+
+
+def _path_sums(x: np.ndarray, paths: list[LeafPaths], terms: list, tables: list, n_features: int) -> np.ndarray:
+    """Sums by feature of what each leaf gives each row.  That depends only on which of the leaf's tests the row passes
+    (row, leaf, place), so it is looked up by that pattern; leaves with too many patterns compute it for the row."""
     out = np.zeros((len(x), n_features))
-    for p in paths:
+    for p, term, table in zip(paths, terms, tables):
         leaves, d = p.feature.shape
         if not d:
             continue
-        points, weights = np.polynomial.legendre.leggauss((d + 1) // 2)
         order = np.argsort(p.feature.ravel(), kind="stable")
         kinds, begins = np.unique(p.feature.ravel()[order], return_index=True)
         step = max(1, (1 << 20) // (leaves * d))
         for a in range(0, len(x), step):
-            part = x[a:a + step][:, p.feature]
-            passes = ((part > p.low) & (part <= p.high)).astype(float)
-            rest = np.zeros_like(passes)
-            for t, w in zip((points + 1) / 2, weights / 2):
-                factor = p.share * (1 - t) + passes * t
-                rest += w * factor.prod(2, keepdims=True) / factor
-            parts = (p.value[:, None] * (passes - p.share) * rest).reshape(len(part), -1)
-            out[a:a + step, kinds] += np.add.reduceat(parts[:, order], begins, axis=1)
+            passes = _passes(x[a:a + step][:, p.feature], p)
+            parts = term(passes) if table is None else table[np.arange(leaves), passes @ (1 << np.arange(d))]
+            out[a:a + step, kinds] += np.add.reduceat(parts.reshape(len(passes), -1)[:, order], begins, axis=1)
     return out
 
 
+def _shapley_terms(p: LeafPaths):
+    """What a leaf gives its features by Shapley's weights.
+
+    A leaf is a product game: with the features S known it is worth value * (product over S of 'the row passes') *
+    (product over the rest of the share). The Shapley weights of such a product are the integral over t of
+    (product over the other features of share * (1 - t) + passes * t), a polynomial in t that a Gauss rule with half
+    as many points sums exactly."""
+    points, weights = np.polynomial.legendre.leggauss(max(1, (p.feature.shape[1] + 1) // 2))
+
+    def terms(passes: np.ndarray) -> np.ndarray:
+        passes = passes.astype(float)
+        rest = np.zeros_like(passes)
+        for t, w in zip((points + 1) / 2, weights / 2):
+            factor = p.share * (1 - t) + passes * t
+            rest += w * factor.prod(2, keepdims=True) / factor
+        return p.value[:, None] * (passes - p.share) * rest
+    return terms
+
+
+def _step_terms(p: LeafPaths, start: np.ndarray, perms: list[list[int]]):
+    """What a leaf gives its features, on average, as the row's values replace those of ``start`` in each order."""
+    base = _passes(start[p.feature], p)
+    orders = [np.argsort(np.argsort(perm)[p.feature], axis=1) for perm in perms]
+
+    def terms(passes: np.ndarray) -> np.ndarray:
+        out = np.zeros(passes.shape)
+        for order in orders:
+            known = np.take_along_axis(passes, order[None], 2)
+            left = np.take_along_axis(base, order, 1)
+            before, after = np.ones_like(known), np.ones_like(left)
+            before[..., 1:] = np.logical_and.accumulate(known, 2)[..., :-1]
+            after[:, :-1] = np.logical_and.accumulate(left[:, ::-1], 1)[:, ::-1][:, 1:]
+            change = (before & after) * (known.astype(float) - left) * p.value[:, None]
+            out += np.take_along_axis(change, np.argsort(order, axis=1)[None], 2)
+        return out / len(orders)
+    return terms
+
+
+def path_shapley(x: np.ndarray, paths: list[LeafPaths], n_features: int) -> np.ndarray:
+    """Exact Shapley values of each row of x (path-dependent: a missing feature follows both branches by their shares)."""
+    return _path_sums(x, paths, [_shapley_terms(p) for p in paths], [None] * len(paths), n_features)
+
+
+def _explained(rows: DataFrame, paths: list[LeafPaths], make, n_features: int) -> DataFrame:
+    """(id, s): of each row (id, x) the sums by feature of what ``make(leaf paths)`` gives."""
+    def work(batches):
+        terms = [make(p) for p in paths]
+        tables = [_by_pattern(p, t) for p, t in zip(paths, terms)]
+        for batch in batches:
+            values = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, n_features)
+            made = _path_sums(values, paths, terms, tables, n_features)
+            offsets = pa.array(np.arange(len(made) + 1, dtype=np.int32) * n_features)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(offsets, pa.array(made.ravel()))], ["id", "s"])
+
+    return rows.mapInArrow(work, T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("s", T.ArrayType(T.DoubleType()))]))
+
+
 def tree_shap(tm: TrainedModel, df: DataFrame, id_col: str) -> DataFrame:
     """Exact Shapley values of a tree model for every row, as (id, feature, shap). They sum to the row's score
     (forests: probability of the second class; boosting: margin; regression: prediction) less ``tree_base(tm)``."""
@@ -206,14 +287,7 @@ def tree_shap(tm: TrainedModel, df: DataFrame, id_col: str) -> DataFrame:
     x = tm.pipeline.stages[0].transform(tm.matrix.transform(df, [id_col]))
     rows = x.select(_q(id_col).alias("id"), vector_to_array("features").alias("x"))
 
-    def work(batches):
-        for batch in batches:
-            values = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(names))
-            made = path_shapley(values, paths, len(names))
-            offsets = pa.array(np.arange(len(made) + 1, dtype=np.int32) * len(names))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(offsets, pa.array(made.ravel()))], ["id", "s"])
-
-    made = rows.mapInArrow(work, T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("s", T.ArrayType(T.DoubleType()))]))
+    made = _explained(rows, paths, _shapley_terms, len(names))
     listed = F.array(*[F.lit(n) for n in names])
     return made.select(F.col("id").alias(id_col), F.posexplode("s").alias("at", "shap")).select(
         id_col, F.get(listed, F.col("at")).alias("feature"), "shap")
