@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from dataclasses import dataclass
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.scalar import stable_round as sround
-from tessera.operators.model import SEED, TrainedModel, _array
+from tessera.operators.model import ROWS, SEED, TrainedModel, _array
 from tessera.session import scratch_path, ship
 
 ship(__name__)
@@ -267,7 +268,10 @@ def path_shapley(x: np.ndarray, paths: list[LeafPaths], n_features: int) -> np.n
 
 
 def _explained(rows: DataFrame, paths: list[LeafPaths], make, n_features: int) -> DataFrame:
-    """(id, s): of each row (id, x) the sums by feature of what ``make(leaf paths)`` gives."""
+    """(id, s): of each row (id, x) the sums by feature of what ``make(leaf paths)`` gives.  Rows are few bytes and much
+    work, so they are dealt out by number: by size they would all be one task."""
+    rows = rows.repartition(max(1, math.ceil(rows.count() / ROWS)))
+
     def work(batches):
         terms = [make(p) for p in paths]
         tables = [_by_pattern(p, t) for p, t in zip(paths, terms)]

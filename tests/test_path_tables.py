@@ -48,6 +48,13 @@ def test_tables_equal_the_rows_own_terms(rows, forest):
     assert xp._by_pattern(wide, xp._shapley_terms(wide)) is None
 
 
+def test_rows_are_dealt_out_by_number(rows, forest, monkeypatch):
+    monkeypatch.setattr(xp, "ROWS", 50)
+    every = rows.repartition(1)
+    assert xp.tree_shap(forest, every, "id").rdd.getNumPartitions() == 3
+    assert len(_values(xp.tree_shap(forest, every, "id"))) == 150 * len(forest.matrix.feature_names)
+
+
 def test_nan_goes_right(rows, forest):
     paths, n = xp.leaf_paths(forest.pipeline.stages[-1]), len(forest.matrix.feature_names)
     x = np.random.default_rng(2).normal(size=(5, n))
