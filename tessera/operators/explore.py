@@ -242,17 +242,18 @@ def box_stats(df: DataFrame, column: str, group_by: str | None = None) -> DataFr
     outlier counts, optionally per group; a null group is a group of its own.
 
     Exact quartiles of all groups come from two scans; then the per-group
-    table is joined back (broadcast by AQE when small) for the conditional
-    min/max/count.
+    table is joined back for the conditional min/max/count.  With few groups
+    it is broadcast: shuffled by group, the rows would meet in a few tasks.
     """
     x = _q(column).cast("double")
     g = [_q(group_by).cast("string").alias("group")] if group_by else [F.lit("all").alias("group")]
     data = df.select(*g, x.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    from tessera.operators.quantiles import quantiles_long
+    from tessera.operators.quantiles import FEW_GROUPS, quantiles_long
     qs = quantiles_long(data, ["group"], "x", [0.25, 0.5, 0.75])
     n = data.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    q = null_safe_join(qs, n, ["group"]).select("group", "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
-    j = null_safe_join(data, q, ["group"])
+    q = written(null_safe_join(qs, n, ["group"]).select("group", "n", F.col("q0").alias("q1"), F.col("q1").alias("median"),
+                                                        F.col("q2").alias("q3")), "boxes")
+    j = null_safe_join(data, q, ["group"], small=q.count() <= FEW_GROUPS)
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     return j.groupBy("group", "n", "q1", "median", "q3").agg(

@@ -34,6 +34,8 @@ from tessera.session import written
 SKETCH, MARGIN = 4096, 0.004
 #: With fewer values the band is the whole range: the margin would be less than two ranks.
 FEW = math.ceil(2 / MARGIN)
+#: So many groups' bands are broadcast: a join by a few keys would gather the rows in as few tasks.
+FEW_GROUPS = 10_000
 
 
 def _q(name: str) -> Column:
@@ -81,11 +83,12 @@ def quantiles_long(long: DataFrame, group: list[str], value: str, probs: list[fl
     data = long.select(*[_q(g).alias(n) for g, n in zip(group, names)], _number(value).alias("v")).where("v is not null")
     # Sketches are random: all that follows has to see the same bands.
     sketched = written(data.groupBy(*names).agg(*_bounds(F.col("v"), 0, probs, margin)), "bands")
+    few = sketched.count() <= FEW_GROUPS
 
     def pick(sketched: DataFrame) -> DataFrame:
         bands = F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"lo0_{j}").alias("lo"), F.col(f"hi0_{j}").alias("hi")) for j in range(len(probs))])
         known = sketched.select(*names, F.col("n0").alias("n"), bands.alias("bands"))
-        hits = null_safe_join(data, known, names).select(*names, "v", F.explode("bands").alias("b")).where("v <= b.hi").select(
+        hits = null_safe_join(data, known, names, small=few).select(*names, "v", F.explode("bands").alias("b")).where("v <= b.hi").select(
             *names, F.col("b.j").alias("j"), F.when(F.col("v") >= F.col("b.lo"), F.col("v")).alias("v"))
         counts = written(hits.groupBy(*names, "j", "v").agg(F.count(F.lit(1)).alias("c")), "counts")
         share = F.array(*[F.lit(float(p)) for p in probs])
