@@ -183,7 +183,8 @@ def links(marks: DataFrame, bound: int = 4, crowd: int = CROWD) -> DataFrame:
     crowded = written(standing.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("key"), "crowded")
     calm = sought.join(crowded, "key", "left_anti")
     meet = F.expr("p.key = q.key") & F.expr("(not p.same and p.fp <> q.fp) or p.fp < q.fp")
-    found = calm.alias("p").join(standing.alias("q"), meet & F.expr(chain_condition("(p.fp ^ q.fp)", "p.key", bound)))
+    # Keys come from an explode, which Spark sizes as its input: 36 times their table look small enough to broadcast.
+    found = calm.alias("p").join(standing.hint("merge").alias("q"), meet & F.expr(chain_condition("(p.fp ^ q.fp)", "p.key", bound)))
     pairs = found.select(F.expr("least(p.fp, q.fp)").alias("a"), F.expr("greatest(p.fp, q.fp)").alias("b"))
     if crowded.isEmpty():
         return pairs.distinct()
@@ -195,14 +196,15 @@ def near_duplicates(docs: DataFrame, width: int = 4, bound: int = 4, crowd: int
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id."""
     rows = written(fingerprints(docs, width), "fingerprints")
     marks = written(rows.groupBy("fp").agg(F.min("doc_id").alias("id")), "marks")
-    several = (rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("high"))
-               .where("a < high").select("doc_id", "a"))
+    # Written, so that Spark knows their size and does not broadcast the rows of all documents in their place.
+    several = written(rows.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("high"))
+                      .where("a < high").select("doc_id", "a"), "several")
     of_one_id = rows.join(several, "doc_id").where("a < fp").select("a", F.col("fp").alias("b"))
     found = components(links(marks.select("fp"), bound, crowd).unionByName(of_one_id))
     rooted = written(marks.join(found.withColumnRenamed("id", "fp"), "fp", "left").select(
         "fp", "id", F.coalesce("component", "fp").alias("root")), "rooted")
     names = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
+    named = written(rooted.join(names, "root").select("fp", "component_id"), "named")
     return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
