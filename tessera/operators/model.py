@@ -165,14 +165,21 @@ def param_grid(est, model_type: str, draws: int = 10, seed: int = SEED):
     return maps[:draws]
 
 
-#: Training rows that one task takes before there is a second one.
+#: Training rows that one task takes before there is a second one, and numbers that it takes before there are more than
+#: two tasks per core.
 ROWS = 16384
+NUMBERS = 1 << 22
 
 
 def compacted(rows: DataFrame, least: int = 1) -> DataFrame:
     """The rows in as few partitions as their number asks for, ``least`` or more.  A fit runs hundreds of short jobs
-    over them, and each costs a task or two per partition."""
-    return rows.coalesce(max(least, math.ceil(rows.count() / ROWS)))
+    over them, and each costs a task or two per partition: beyond two for each core (``least`` is 1), a partition takes more rows."""
+    n = rows.count()
+    parts = math.ceil(n / ROWS)
+    if least == 1:
+        full = math.ceil(n / max(ROWS, NUMBERS // len(rows.columns)))
+        parts = min(parts, max(2 * rows.sparkSession.sparkContext.defaultParallelism, full))
+    return rows.coalesce(max(least, parts))
 
 
 def _draws_rows(est) -> bool:

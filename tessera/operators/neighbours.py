@@ -35,6 +35,8 @@ from tessera.session import ship, written
 ship(__name__)
 
 BLOCK = 16384
+#: Points that are met first on either side of some queries, beside k.
+NEXT = 64
 _LAST = np.iinfo(np.int64).max
 
 
@@ -117,18 +119,54 @@ def reached_cells(bounded: DataFrame, pivots: np.ndarray, low: np.ndarray, high:
     return bounded.mapInArrow(work, "n long, id long, v array<double>, cell int")
 
 
+def main_direction(y: np.ndarray) -> np.ndarray:
+    """A unit vector near the direction in which the rows of y differ most."""
+    middle = y - y.mean(0)
+    u = np.linspace(1, 2, y.shape[1])
+    for _ in range(4):
+        u = middle.T @ (middle @ u)
+        size = np.sqrt((u ** 2).sum())
+        if not np.isfinite(size) or size == 0:
+            return np.eye(1, y.shape[1])[0]
+        u /= size
+    return u
+
+
 def best_in_block(x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of x, row of y, distance) of the k nearest rows of y to each row of x, by (distance, id)."""
+    """(row of x, row of y, distance) of the k nearest rows of y to each row of x, by (distance, id).
+
+    Both are put in order along the direction in which the rows of y differ most. Places on it lie no further apart than
+    the rows themselves, so of a few queries that stand together only the stretch of points is measured that reaches as
+    far on either side as the k-th best of the points next to them: all points where nothing can be left out."""
     rows, cols, dist = [], [], []
-    y2 = (y ** 2).sum(1)
+    y2, x2 = (y ** 2).sum(1), (x ** 2).sum(1)
+    with np.errstate(over="ignore", invalid="ignore"):
+        u = main_direction(y)
+        px, py = x @ u, y @ u
+        in_x, in_y = np.argsort(px, kind="stable"), np.argsort(py, kind="stable")
+        wide = 1e-12 * y.shape[1] * (np.sqrt(x2.max(initial=0)) + np.sqrt(y2.max()))
+    x, x2, px, y, y2, py, ids = x[in_x], x2[in_x], px[in_x], y[in_y], y2[in_y], py[in_y], ids[in_y]
+    ordered = len(y) > 4 * (k + NEXT) and np.isfinite(wide) and np.isfinite(px).all() and np.isfinite(py).all()
     step = max(1, (1 << 22) // len(y))
+
+    def measured(a: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Squares to the points from lo to hi, the k-th smallest and what rounding may have made of it."""
+        square = x2[a:a + step, None] + y2[None, lo:hi] - 2 * x[a:a + step] @ y[lo:hi].T
+        slack = 1e-12 * y.shape[1] * (x2[a:a + step, None] + y2.max())
+        return square, np.partition(square, min(k, hi - lo) - 1, axis=1)[:, [min(k, hi - lo) - 1]], slack
+
     for a in range(0, len(x), step):
-        part = x[a:a + step]
-        x2 = (part ** 2).sum(1)
-        square = x2[:, None] + y2[None] - 2 * part @ y.T
-        slack = 1e-12 * y.shape[1] * (x2[:, None] + y2.max())
-        last = np.partition(square, min(k, len(y)) - 1, axis=1)[:, [min(k, len(y)) - 1]]
+        part, at = x[a:a + step], px[a:a + step]
+        lo, hi = 0, len(y)
+        if ordered:
+            lo = max(0, np.searchsorted(py, at[0]) - k - NEXT)
+            hi = min(len(y), np.searchsorted(py, at[-1], "right") + k + NEXT)
+            _, last, slack = measured(a, lo, hi)
+            reach = np.sqrt(np.maximum(last + slack, 0) + slack)[:, 0] * (1 + 1e-9) + wide
+            lo, hi = np.searchsorted(py, (at - reach).min()), np.searchsorted(py, (at + reach).max(), "right")
+        square, last, slack = measured(a, lo, hi)
         r, c = np.nonzero(square <= last + slack)
+        c += lo
         d = np.empty(len(r))
         for b in range(0, len(r), 1 << 16):
             d[b:b + (1 << 16)] = np.sqrt(((part[r[b:b + (1 << 16)]] - y[c[b:b + (1 << 16)]]) ** 2).sum(1))
@@ -136,10 +174,11 @@ def best_in_block(x: np.ndarray, y: np.ndarray, ids: np.ndarray, k: int) -> tupl
         r, c, d = r[order], c[order], d[order]
         begin = np.searchsorted(r, np.arange(len(part)))
         keep = np.arange(len(r)) - begin[r] < k
-        rows.append(r[keep] + a)
-        cols.append(c[keep])
+        rows.append(in_x[r[keep] + a])
+        cols.append(in_y[c[keep]])
         dist.append(d[keep])
-    return np.concatenate(rows), np.concatenate(cols), np.concatenate(dist)
+    order = np.argsort(np.concatenate(rows), kind="stable")
+    return np.concatenate(rows)[order], np.concatenate(cols)[order], np.concatenate(dist)[order]
 
 
 def search(asked: DataFrame, cells: DataFrame, counts: dict[int, int], k: int, size: int, block: int) -> DataFrame:
@@ -168,6 +207,11 @@ def search(asked: DataFrame, cells: DataFrame, counts: dict[int, int], k: int, s
                                      pa.array(d)], schema=schema)
 
     by = ["cell", "q", "p"]
+    # The work is in the pairs of blocks, not in their bytes, which Spark would merge into a few tasks.
+    blocks = sum(math.ceil(counts.get(c, 0) / block) * math.ceil(many[c] / block) for c in many)
+    met = sum(math.ceil(counts.get(c, 0) / block) * many[c] for c in many)
+    tasks = max(1, min(blocks, math.ceil(4 * met / block)))
+    left, right = left.repartition(tasks, *by), right.repartition(tasks, *by)
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(work, "n long, query long, point long, distance double")
 
 
@@ -176,7 +220,9 @@ def knn_join(queries: DataFrame, points: DataFrame, k: int, size: int, vector: s
     """One row per query and neighbour: n (number of the query row), query, rank (from 1), point, distance (Euclidean)."""
     given = _usable(points, id_column, vector, size)
     chosen = given.orderBy(F.xxhash64("v"), "v").limit(8 * pivots).select("v").distinct().collect()  # a bounded draw by hash
-    found = np.array(sorted(r["v"] for r in chosen), float)[:pivots]
+    found = np.array(sorted(r["v"] for r in chosen), float)
+    if len(found) > pivots:     # from all of their range: the first ones alone would leave most points in one cell
+        found = found[np.arange(pivots) * len(found) // pivots]
     if not len(found):
         return given.select(F.lit(0).cast("long").alias("n"), F.col("id").alias("query"), F.lit(1).alias("rank"),
                             F.col("id").alias("point"), F.lit(0.0).alias("distance"))
